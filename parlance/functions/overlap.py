@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.text import let
 
@@ -95,7 +96,7 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, with one big integer per row of the table."""
 
@@ -113,7 +114,7 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Word edit distance; each table row is one vector operation."""
 

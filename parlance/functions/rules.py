@@ -216,18 +216,18 @@ def to_plain_english(text: Column) -> Column:
 
 
 def substitute_vocabulary(text: Column, vocabulary: dict[str, dict[str, str]]) -> Column:
-    """Whole-word keys give way to their colloquial (else formal) form."""
+    """Whole-word keys of the untouched text give way to their colloquial (else formal) form."""
     import re
 
-    out = text
+    out, low = text, F.lower(text)
     for key, forms in vocabulary.items():
         wording = forms.get("colloquial") or forms.get("formal") or ""
         if key.startswith("_") or not wording:
             continue
         pattern = rf"(?U)\b{re.escape(key)}\b"
-        out = F.when(
-            F.lower(text).rlike(pattern), F.regexp_replace(out, f"(?i){pattern}", wording)
-        ).otherwise(out)
+        # A pattern that never matches keeps ``out`` from appearing in two branches.
+        chosen = F.when(low.rlike(pattern), f"(?i){pattern}").otherwise("(?!)")
+        out = F.regexp_replace(out, chosen, F.lit(wording))
     return out
 
 
@@ -243,9 +243,10 @@ def translate_terms_in_line(line: Column, terms: list[tuple[str, str]] = NOTE_TE
     """As ``translate_terms``, but only for terms found in the untouched line."""
     out, low = line, F.lower(line)
     for english, local in terms:
-        out = F.when(
-            F.contains(low, F.lit(english.lower())), translate_terms(out, [(english, local)])
-        ).otherwise(out)
+        present = F.contains(low, F.lit(english.lower()))
+        for form in dict.fromkeys([english, english.capitalize(), english.upper()]):
+            # Replacing the empty string changes nothing.
+            out = F.replace(out, F.when(present, form).otherwise(""), F.lit(local))
     return out
 
 

@@ -101,17 +101,19 @@ def style_variants(turns: DataFrame, vocabulary: dict[str, dict[str, str]]) -> D
 def dialect_variants(turns: DataFrame, fillers: bool = False, seed: int = 42) -> DataFrame:
     """Every turn in every dialect; fillers are drawn from the turn's own key."""
     key = F.concat_ws("_", "session_id", "turn_id")
+    said = {f"_said_{d}": rules.to_dialect(F.col("text"), d) for d in rules.DIALECTS}
+    wide = turns.withColumns(said)
     made = []
     for name in rules.DIALECTS:
-        said = rules.to_dialect(F.col("text"), name)
+        one = F.col(f"_said_{name}")
         if fillers:
-            said = rules.add_dialect_filler(said, F.col("role"), name, key, seed)
-        made.append(F.struct(F.lit(name).alias("dialect"), said.alias("t")))
+            one = rules.add_dialect_filler(one, F.col("role"), name, key, seed)
+        made.append(F.struct(F.lit(name).alias("dialect"), one.alias("t")))
     return (
-        turns.withColumn("_v", F.explode(F.array(*made)))
+        wide.withColumn("_v", F.explode(F.array(*made)))
         .withColumn("dialect", F.col("_v.dialect"))
         .withColumn("text", F.col("_v.t"))
-        .drop("_v")
+        .drop("_v", *said)
     )
 
 
@@ -125,14 +127,14 @@ def dialect_compare(turns: DataFrame, min_chars: int = 30) -> DataFrame:
 
 def spoken_style(turns: DataFrame, fillers: bool = False, seed: int = 42) -> DataFrame:
     """Spoken wording, slang, gendered verbs and optional fillers, in that order."""
-    said = rules.to_slang(rules.to_spoken(F.col("text")))
-    said = rules.to_gender(said, F.col("role"), F.col("gender"))
-    if fillers:
-        key = F.concat_ws("_", "session_id", "turn_id")
-        said = F.when(
-            F.col("role") == "Patient", rules.add_spoken_filler(said, F.col("role"), key, seed=seed)
-        ).otherwise(said)
-    return turns.withColumn("text", said)
+    said = F.col("text")
+    out = turns.withColumn("text", rules.to_slang(rules.to_spoken(said)))
+    out = out.withColumn("text", rules.to_gender(said, F.col("role"), F.col("gender")))
+    if not fillers:
+        return out
+    key = F.concat_ws("_", "session_id", "turn_id")
+    chatty = rules.add_spoken_filler(said, F.col("role"), key, seed=seed)
+    return out.withColumn("text", F.when(F.col("role") == "Patient", chatty).otherwise(said))
 
 
 def master_rows(variants: DataFrame) -> DataFrame:

@@ -211,16 +211,10 @@ def filler_injection(spark, sf):
         "session_id", "turn_id", "role", F.col("mr").alias("text"),
         scores.gender_label(F.col("session_id") % 3, B.GENDERS).alias("gender"),
     )
-    plain = T.dialect_variants(said).withColumnRenamed("text", "plain")
-    filled = T.dialect_variants(said, fillers=True).select("session_id", "turn_id", "dialect", "text")
-    spoken = T.spoken_style(said).withColumnRenamed("text", "plain").withColumn("dialect", F.lit("spoken"))
-    chatty = T.spoken_style(said, fillers=True).select(
-        "session_id", "turn_id", F.lit("spoken").alias("dialect"), "text"
-    )
-    cols = ["session_id", "turn_id", "dialect", "role", "plain"]
-    return plain.select(*cols).unionByName(spoken.select(*cols)).join(
-        filled.unionByName(chatty), ["session_id", "turn_id", "dialect"]
-    )
+    cols = ["session_id", "turn_id", "dialect", "role", "text"]
+    regional = T.dialect_variants(said, fillers=True)
+    spoken = T.spoken_style(said, fillers=True).withColumn("dialect", F.lit("spoken"))
+    return regional.select(*cols).unionByName(spoken.select(*cols))
 
 
 def _sql_plain(expr: str) -> str:
@@ -541,14 +535,8 @@ def sql_matches(source: str, table: str, keys: str, patterns: list[tuple[int, st
   hitspans AS (SELECT *, start + CAST(length(hit) AS INTEGER) AS stop FROM spans)"""
 
 
-def _no_groups(p: str) -> str:
-    import re
-
-    return re.sub(r"\((?!\?)", "(?:", p)
-
-
-@query("highlight_spans", f"""WITH {B.TALK}, both AS (SELECT {KEY}, replace(en || ' ' || mr, 'safety ', 'औषधउपचार ') AS x FROM talk),
-  {sql_matches('x', 'both', KEY, [(i, 'H', p) for i, p in enumerate(spans.HIGHLIGHTS)])},
+@query("highlight_spans", f"""WITH {B.TALK}, mixed AS (SELECT {KEY}, replace(en || ' ' || mr, 'safety ', 'औषधउपचार ') AS x FROM talk),
+  {sql_matches('x', 'mixed', KEY, [(i, 'H', p) for i, p in enumerate(spans.HIGHLIGHTS)])},
   o AS (SELECT *, max(stop) OVER (PARTITION BY {KEY} ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hitspans),
   g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {KEY} ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS grp FROM o)
   SELECT {KEY}, min(start) AS start, max(stop) AS stop FROM g GROUP BY {KEY}, grp""")
@@ -678,11 +666,11 @@ def rate_wer(spark, sf):
     return B.read(spark, sf, "events").select("event_id", F.round(v, 6).alias("wer"), scores.rate_wer(v).alias("rating"))
 
 
-@query("real_time_factor", """SELECT event_id, round(value / greatest(event_id % 50, 1e-6), 4) AS rtf,
-  round(value / greatest(event_id % 50, 1), 3) AS rtf_whole FROM events""")
+@query("real_time_factor", """SELECT event_id, round(value / greatest(event_id % 50, 1e-6), 6) AS rtf,
+  round(value / greatest(event_id % 50, 1), 6) AS rtf_whole FROM events""")
 def real_time_factor(spark, sf):
     d = F.col("event_id") % 50
     return B.read(spark, sf, "events").select(
-        "event_id", F.round(scores.real_time_factor(F.col("value"), d), 4).alias("rtf"),
-        F.round(scores.real_time_factor(F.col("value"), d, 1.0), 3).alias("rtf_whole"),
+        "event_id", F.round(scores.real_time_factor(F.col("value"), d), 6).alias("rtf"),
+        F.round(scores.real_time_factor(F.col("value"), d, 1.0), 6).alias("rtf_whole"),
     )
