@@ -262,12 +262,13 @@ def role_label(role: Column, language: Column) -> Column:
 
 def draw(key: Column, seed: int, salt: str) -> Column:
     """Uniform number in [0, 1) that depends only on the row key and the seed."""
-    return F.pmod(F.xxhash64(key, F.lit(f"{salt}:{seed}")), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.md5(F.concat_ws(":", key, F.lit(f"{salt}:{seed}")))
+    return F.conv(F.left(digest, F.lit(7)), 16, 10).cast("long") / float(16**7)
 
 
 def pick(items: list[str], key: Column, seed: int, salt: str) -> Column:
-    at = F.pmod(F.xxhash64(key, F.lit(f"{salt}:{seed}")), F.lit(len(items))).cast("int")
-    return F.element_at(F.array(*[F.lit(x) for x in items]), at + 1)
+    at = F.floor(draw(key, seed, salt) * len(items)).cast("int")
+    return F.get(F.array(*[F.lit(x) for x in items]), at)
 
 
 def add_dialect_filler(text: Column, role: Column, dialect: str, key: Column, seed: int = 42) -> Column:

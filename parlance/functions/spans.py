@@ -205,45 +205,48 @@ def keyword_spans(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.when(low.rlike(cut), let(low, hits_in)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def match_spans(text: Column, pattern: str, rule: int, label: str, confidence: float) -> Column:
-    """Left-to-right, non-overlapping matches of one pattern."""
+def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: float) -> Column:
+    """Left-to-right, non-overlapping matches of each pattern.
+
+    A pattern that matches leaves the pieces between its hits and the hits themselves;
+    their lengths, summed in turn, are the offsets.
+    """
+    cut = [
+        F.when(
+            text.rlike(pattern),
+            F.struct(
+                F.lit(number).alias("rule"), F.lit(label).alias("label"),
+                F.split(text, pattern, -1).alias("gaps"),
+                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+            ),
+        )
+        for number, label, pattern in rules
+    ]
 
     def place(m: Column) -> Column:
-        n = F.size(m["hits"])
-        lengths = F.transform(
-            F.sequence(F.lit(0), 2 * n - 1),
-            lambda i: F.when(
-                i % 2 == 0, F.length(F.get(m["gaps"], (i / 2).cast("int")))
-            ).otherwise(F.length(F.get(m["hits"], (i / 2).cast("int")))),
+        lengths = F.flatten(
+            F.zip_with(m["gaps"], m["hits"], lambda g, h: F.array(
+                F.length(g), F.coalesce(F.length(h), F.lit(0))
+            ))
         )
         return let(
             _running_ends(lengths),
             lambda ends: F.transform(
                 m["hits"],
                 lambda _, k: F.struct(
-                    F.lit(rule).alias("rule"), F.lit(label).alias("label"),
+                    m["rule"].alias("rule"), m["label"].alias("label"),
                     F.get(ends, 2 * k).alias("start"), F.get(ends, 2 * k + 1).alias("stop"),
                     F.lit(confidence).alias("confidence"),
                 ),
             ),
         )
 
-    found = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-    )
-    return F.when(text.rlike(pattern), let(found, place)).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return F.flatten(F.transform(F.array_compact(F.array(*cut)), place)).cast(SPAN)
 
 
 def pattern_spans(text: Column, groups: dict[str, list[str]] = PATTERNS) -> Column:
-    return F.flatten(
-        F.array(
-            *[
-                match_spans(text, f"(?i){rule}", i, label, PATTERN_CONFIDENCE)
-                for i, label, rule in flat_rules(groups)
-            ]
-        )
-    )
+    rules = [(i, label, f"(?i){rule}") for i, label, rule in flat_rules(groups)]
+    return match_spans(text, rules, PATTERN_CONFIDENCE)
 
 
 def merge_spans(spans: Column) -> Column:
@@ -273,7 +276,5 @@ def merge_spans(spans: Column) -> Column:
 
 
 def highlight_spans(text: Column, patterns: list[str] = HIGHLIGHTS) -> Column:
-    found = [
-        match_spans(text, f"(?i){p}", i, "HIGHLIGHT", 1.0) for i, p in enumerate(patterns)
-    ]
-    return merge_spans(F.flatten(F.array(*found)))
+    rules = [(i, "HIGHLIGHT", f"(?i){p}") for i, p in enumerate(patterns)]
+    return merge_spans(match_spans(text, rules, 1.0))

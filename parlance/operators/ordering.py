@@ -160,6 +160,11 @@ def cut_by_rank(
     return whole.unionByName(ranked).drop("_bucket", "_lo", "_hi", "_first", "_last")
 
 
-def hash_bucket(key: Column, seed: int, bits: int = 12) -> Column:
-    """Even, order-preserving buckets over the seeded hash of a unique key."""
-    return F.shiftright(F.xxhash64(key, F.lit(seed)), 64 - bits)
+def seeded_hash(key: Column, seed: int | str) -> Column:
+    """Hex digest of a key and a seed: the same on every engine and partitioning."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+
+
+def hash_bucket(digest: Column, digits: int = 3) -> Column:
+    """Even, order-preserving buckets over a hex digest."""
+    return F.left(digest, F.lit(digits))

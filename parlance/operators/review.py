@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import scores
 from parlance.functions.sections import SECTIONS
 from parlance.functions.text import latin_ratio
-from parlance.operators.ordering import head_rows
+from parlance.operators.ordering import head_rows, seeded_hash
 
 # Section and note length limits and the share of Latin characters allowed.
 MIN_SECTION_CHARS, SHORT_NOTE, LONG_NOTE = 50, 500, 3000
@@ -108,7 +108,7 @@ def stratified_sample(notes: DataFrame, key: Column, per_stratum: int = PER_STRA
     """Up to ``per_stratum`` notes per severity stratum, chosen by a seeded hash of the key."""
     stratum = scores.band(F.coalesce("phq8_score", F.lit(0)), scores.STRATA)
     return head_rows(
-        notes.withColumn("stratum", stratum).withColumn("_h", F.xxhash64(key, F.lit(seed))),
+        notes.withColumn("stratum", stratum).withColumn("_h", seeded_hash(key, seed)),
         ["stratum"], [F.col("_h")], per_stratum,
     ).drop("_h")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.ordering import cut_by_rank, hash_bucket
+from parlance.operators.ordering import cut_by_rank, hash_bucket, seeded_hash
 
 # Split shares, quality gates, augmentation names.
 TRAIN, VAL = 0.8, 0.1
@@ -21,9 +21,9 @@ PER_CLIP = 3
 
 def split_three_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Seeded shuffle, then floor(80 %) train, floor(10 %) val, the rest test."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     return cut_by_rank(
-        hashed, hash_bucket(F.col(key), seed), ["_h", key], [TRAIN, VAL], ["train", "val", "test"]
+        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN, VAL], ["train", "val", "test"]
     ).drop("_h")
 
 
@@ -32,9 +32,9 @@ def split_two_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
     Under ten rows all are train and the first one is val as well.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     large = cut_by_rank(
-        hashed, hash_bucket(F.col(key), seed), ["_h", key], [TRAIN], ["train", "val"]
+        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN], ["train", "val"]
     ).drop("_h")
     few = df.limit(SMALL_SET)
     n = few.agg(F.count("*").alias("n"))
@@ -71,7 +71,7 @@ def augmentation_plan(clips: DataFrame, key: str, per_clip: int = PER_CLIP, seed
     ordered = F.transform(
         F.array_sort(
             F.array(*[
-                F.struct(F.xxhash64(F.col(key), F.lit(f"{n}:{seed}")).alias("h"), F.lit(n).alias("n"))
+                F.struct(seeded_hash(F.col(key), f"{n}:{seed}").alias("h"), F.lit(n).alias("n"))
                 for n in names
             ])
         ),

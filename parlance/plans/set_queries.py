@@ -102,7 +102,7 @@ def assign_speakers(spark, sf):
     return I.assign_speakers(c, _segments(spark, sf), WIDTH).select("session_id", "chunk_id", "speaker")
 
 
-@query("visit_patient", f"WITH {B.PATIENTS}, {B.VISITS} SELECT visit_id, patient_id, created_at::DATE AS day, full_name AS patient_name FROM visits JOIN patients ON id = patient_id")
+@query("visit_patient", f"WITH {B.PATIENTS}, {B.VISITS} SELECT visit_id, patient_id, visits.created_at::DATE AS day, full_name AS patient_name FROM visits JOIN patients ON id = patient_id")
 def visit_patient(spark, sf):
     v = clinic.visits_of_patient(B.visits(spark, sf), B.patients(spark, sf))
     return v.select("visit_id", "patient_id", F.col("created_at").cast("date").alias("day"), "patient_name")
@@ -154,13 +154,14 @@ def review_note(spark, sf):
 
 
 SQL_KEYWORDS = ", ".join(f"({i}, {quote(l)}, {quote(k.lower())})" for i, l, k in spans.flat_rules(spans.KEYWORDS))
+# Each step looks for the next hit one character further on, so hits may overlap.
 KEYWORD_HITS = f"""kw(rule, label, kw) AS (VALUES {SQL_KEYWORDS}),
-  khits AS (SELECT {{keys}}, rule, label, CAST(p - 1 AS INTEGER) AS start, CAST(p - 1 + length(kw) AS INTEGER) AS stop, substr({{src}}, p, length(kw)) AS entity
-    FROM (SELECT {{keys}}, {{src}}, rule, label, kw, unnest(range(1, length({{src}}) + 1)) AS p FROM {{table}}, kw WHERE contains(lower({{src}}), kw))
-    WHERE substr(lower({{src}}), p, length(kw)) = kw)"""
+  step AS (SELECT {{keys}}, rule, label, kw, {{src}} AS txt, strpos(lower({{src}}), kw) AS p FROM {{table}}, kw WHERE contains(lower({{src}}), kw)
+    UNION ALL SELECT {{keys}}, rule, label, kw, txt, p + strpos(substr(lower(txt), p + 1), kw) FROM step WHERE strpos(substr(lower(txt), p + 1), kw) > 0),
+  khits AS (SELECT {{keys}}, rule, label, CAST(p - 1 AS INTEGER) AS start, CAST(p - 1 + length(kw) AS INTEGER) AS stop, substr(txt, p, length(kw)) AS entity FROM step)"""
 
 
-@query("keyword_entities", f"""WITH {B.TALK}, x AS (SELECT {KEY}, en || ' ' || mr AS t FROM talk), {KEYWORD_HITS.format(keys=KEY, src='t', table='x')}
+@query("keyword_entities", f"""WITH RECURSIVE {B.TALK}, x AS (SELECT {KEY}, en || ' ' || mr AS t FROM talk), {KEYWORD_HITS.format(keys=KEY, src='t', table='x')}
   SELECT {KEY}, entity, label, start, stop, 0.9::DOUBLE AS confidence FROM khits""")
 def keyword_entities(spark, sf):
     t = B.talk(spark, sf).select("session_id", "turn_id", F.concat("en", F.lit(" "), "mr").alias("text"))
@@ -202,9 +203,9 @@ def entity_dedupe(spark, sf):
     return E.top_entities(found, ["session_id"]).select("session_id", "entity", "label", "score")
 
 
-@query("entity_summary", f"""WITH {B.TALK}, x AS (SELECT {KEY}, en || ' ' || mr AS t FROM talk), {KEYWORD_HITS.format(keys=KEY, src='t', table='x')},
-  f AS (SELECT session_id, label, lower(entity) AS k, arg_min(entity, (turn_id, rule, start)) AS entity, min((turn_id, rule, start)) AS at FROM khits GROUP BY ALL)
-  SELECT session_id, label, entity, CAST(row_number() OVER (PARTITION BY session_id, label ORDER BY at) AS INTEGER) AS place FROM f""")
+@query("entity_summary", f"""WITH RECURSIVE {B.TALK}, x AS (SELECT {KEY}, en || ' ' || mr AS t FROM talk), {KEYWORD_HITS.format(keys=KEY, src='t', table='x')},
+  f AS (SELECT session_id, label, lower(entity) AS k, arg_min(entity, (turn_id, rule, start)) AS entity, min((turn_id, rule, start)) AS seen FROM khits GROUP BY ALL)
+  SELECT session_id, label, entity, CAST(row_number() OVER (PARTITION BY session_id, label ORDER BY seen) AS INTEGER) AS place FROM f""")
 def entity_summary(spark, sf):
     from pyspark.sql import Window
 
@@ -230,12 +231,12 @@ def entity_block(spark, sf):
 SIDE_PATTERNS = [(i + len(spans.flat_rules(spans.KEYWORDS)), l, p) for i, l, p in PATTERN_RULES]
 
 
-@query("entity_by_side", f"""WITH {B.TALK}, both_texts AS (SELECT {KEY}, CASE WHEN role = 'Doctor' THEN 'doctor' ELSE 'patient' END AS side, 'marathi' AS source, mr AS t FROM talk
+@query("entity_by_side", f"""WITH RECURSIVE {B.TALK}, both_texts AS (SELECT {KEY}, CASE WHEN role = 'Doctor' THEN 'doctor' ELSE 'patient' END AS side, 'marathi' AS source, mr AS t FROM talk
     UNION ALL SELECT {KEY}, CASE WHEN role = 'Doctor' THEN 'doctor' ELSE 'patient' END, 'english', en FROM talk),
   {KEYWORD_HITS.format(keys='session_id, turn_id, side, source', src='t', table='both_texts')},
   {sql_matches('t', 'both_texts', 'session_id, turn_id, side, source', SIDE_PATTERNS)},
-  a AS (SELECT session_id, turn_id, side, source, rule, label, start, entity, 0.9 AS confidence FROM khits
-    UNION ALL SELECT session_id, turn_id, side, source, rule, label, start, hit, 0.95 FROM hitspans),
+  a AS (SELECT session_id, turn_id, side, source, rule, label, start, entity, 0.9::DOUBLE AS confidence FROM khits
+    UNION ALL SELECT session_id, turn_id, side, source, rule, label, start, hit, 0.95::DOUBLE FROM hitspans),
   f AS (SELECT session_id, turn_id, side, source, label, lower(entity) AS k, arg_min(entity, (rule, start)) AS entity, arg_min(confidence, (rule, start)) AS confidence FROM a GROUP BY ALL)
   SELECT session_id, turn_id, side, label, entity || ' [' || source || ']' AS entity, confidence::DOUBLE AS confidence FROM f""")
 def entity_by_side(spark, sf):
@@ -360,13 +361,13 @@ def rouge_l(spark, sf):
 MATCHES = f"""nm AS (SELECT *, {B.sql_norm('pred')} AS pn, {B.sql_norm('ref')} AS rn FROM mixed)"""
 
 
-@query("exact_match", f"""WITH {B.PAIRS}, mixed AS (SELECT {KEY}, CASE turn_id % 4 WHEN 0 THEN upper(ref) || '!' WHEN 1 THEN '...' ELSE pred END AS pred,
+@query("exact_match", f"""WITH {B.PAIRS}, mixed AS (SELECT {KEY}, CASE turn_id % 4 WHEN 0 THEN '  ' || ref || '!' WHEN 1 THEN '...' ELSE pred END AS pred,
     CASE WHEN session_id % 3 = 0 AND turn_id % 4 = 1 THEN '' ELSE ref END AS ref FROM pairs), {MATCHES}
   SELECT {KEY}, CASE WHEN pn = rn AND rn <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS exact_match, CASE WHEN (pn <> '') = (rn <> '') THEN 1.0 ELSE 0.0 END::DOUBLE AS section_presence_acc FROM nm""")
 def exact_match(spark, sf):
     t = F.col("turn_id") % 4
     p = B.pairs(spark, sf).withColumn(
-        "pred", F.when(t == 0, F.concat(F.upper("ref"), F.lit("!"))).when(t == 1, "...").otherwise(F.col("pred"))
+        "pred", F.when(t == 0, F.concat(F.lit("  "), "ref", F.lit("!"))).when(t == 1, "...").otherwise(F.col("pred"))
     ).withColumn("ref", F.when((F.col("session_id") % 3 == 0) & (t == 1), "").otherwise(F.col("ref")))
     return V.matches(p).drop("pred", "ref")
 
@@ -400,7 +401,7 @@ COMPARE = f"""WITH {B.SECTION_PAIRS}, a AS (SELECT section, avg(length(pred)) AS
 def compare_runs(spark, sf):
     """Baseline lacks one section; the candidate swaps prediction and reference."""
     pairs = B.section_pairs(spark, sf)
-    swapped = pairs.withColumnsRenamed({"pred": "ref", "ref": "pred"})
+    swapped = pairs.select("section", F.col("ref").alias("pred"), F.col("pred").alias("ref"))
 
     def means(df):
         empty = [F.lit(None).cast("double").alias(m) for m in V.METRICS[3:]]

@@ -149,8 +149,8 @@ TIMED = f"""words AS (
   SELECT session_id, turn_id, speaker, role, raw AS text_en,
     len({sql_words('raw')}) AS w FROM talk),
 timed AS (
-  SELECT *, round((sum(w) OVER (PARTITION BY session_id ORDER BY turn_id) - w) * 0.4, 3) AS start_time,
-    round((sum(w) OVER (PARTITION BY session_id ORDER BY turn_id)) * 0.4, 3) AS stop_time
+  SELECT *, round((sum(w) OVER (PARTITION BY session_id ORDER BY turn_id) - w) * 0.4::DOUBLE, 3) AS start_time,
+    round((sum(w) OVER (PARTITION BY session_id ORDER BY turn_id)) * 0.4::DOUBLE, 3) AS stop_time
   FROM words)"""
 
 

@@ -82,6 +82,11 @@ def scan_sessions(
 def scan_zip_members(
     spark: SparkSession, path: str, suffixes: tuple[str, ...] = KEEP_SUFFIXES
 ) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return unzip_members(files, suffixes)
+
+
+def unzip_members(files: DataFrame, suffixes: tuple[str, ...] = KEEP_SUFFIXES) -> DataFrame:
     """Text of the archive members with a wanted suffix, their folders dropped."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +103,6 @@ def scan_zip_members(
                                 }
                             )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return files.select("path", "content").mapInPandas(
         unzip, "archive string, file_name string, content string"
     )
@@ -116,9 +120,9 @@ def scan_clips(spark: SparkSession, path: str) -> DataFrame:
     return clips.withColumn("language", F.lower(strip(F.col("language"))))
 
 
-def scan_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of a JSON map from term to text or to {formal, marathi, hindi}."""
-    raw = spark.read.option("wholetext", True).text(path)
+def scan_glossary(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Terms of a JSON map from term to text or to {formal, marathi, hindi}, per file or line."""
+    raw = spark.read.option("wholetext", whole_file).text(path)
     terms = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("english", "v"))
     forms = F.from_json("v", "struct<formal:string,marathi:string,hindi:string>")
     nested = F.startswith(F.ltrim("v"), F.lit("{"))
@@ -137,9 +141,10 @@ def parse_review(reply: Column) -> Column:
     return F.when(body.isNotNull(), F.from_json(F.to_json(body), REVIEW))
 
 
-def scan_reviews(spark: SparkSession, path: str) -> DataFrame:
+def scan_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Reviews of JSON arrays, or of one object per line, with their defaults filled in."""
     return (
-        spark.read.schema(REVIEW).option("multiLine", True).json(path)
+        spark.read.schema(REVIEW).option("multiLine", multi_line).json(path)
         .withColumn("overall_quality", F.coalesce("overall_quality", F.lit("unknown")))
         .withColumn("needs_correction", F.coalesce("needs_correction", F.lit(False)))
         .withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<section:string,"
@@ -173,10 +178,15 @@ def note_sections(payload: Column, language: str = "english") -> Column:
 
 
 def scan_notes(spark: SparkSession, path: str, language: str = "english") -> DataFrame:
-    """Notes of a folder of JSON files; broken files are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_name").alias("file_name"), F.try_parse_json("value").alias("p")
+    files = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_name").alias("file_name"), "value"
     )
+    return parse_notes(files, language)
+
+
+def parse_notes(files: DataFrame, language: str = "english") -> DataFrame:
+    """Notes out of (file_name, value) JSON texts; broken texts are skipped."""
+    raw = files.select("file_name", F.try_parse_json("value").alias("p"))
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     digits = F.nullif(F.regexp_extract(stem, r"(\d+)", 1), F.lit(""))
     return raw.filter(F.col("p").isNotNull()).select(
