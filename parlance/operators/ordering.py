@@ -114,7 +114,6 @@ def cut_by_rank(
     order: Sequence[str],
     fractions: Sequence[float],
     labels: Sequence[str],
-    small: tuple[int, Mapping[str, Column]] | None = None,
     label_col: str = "split",
 ) -> DataFrame:
     """Cut one global order at exact row counts ``floor(n * fraction)``.
@@ -157,7 +156,9 @@ def cut_by_rank(
         .withColumn(label_col, label(F.col("_rank")))
         .drop("_rank")
     )
-    return whole.unionByName(ranked).drop("_bucket", "_lo", "_hi", "_first", "_last")
+    return whole.unionByName(ranked).drop(
+        "_bucket", "_lo", "_hi", "_total", "_first", "_last"
+    )
 
 
 def seeded_hash(key: Column, seed: int | str) -> Column:

@@ -313,8 +313,8 @@ def noise_snr(spark, sf):
     )
 
 
-@query("overlap_windows", """WITH s AS (SELECT vec_id, embedding, unnest(range(0, 64, 12)) AS at FROM embeddings), w AS (SELECT vec_id, CAST(at // 12 AS INTEGER) AS chunk_id, at, list_slice(embedding, at + 1, at + 16) AS x FROM s)
-  SELECT vec_id, chunk_id, at / 16.0::DOUBLE AS start_s, (at + len(x)) / 16.0::DOUBLE AS end_s, CAST(len(x) AS INTEGER) AS n, round(list_sum(x::DOUBLE[]), 6) AS total FROM w WHERE len(x) / 16.0 >= 0.5""")
+@query("overlap_windows", """WITH s AS (SELECT vec_id, embedding, unnest(range(0, 64, 12)) AS lo FROM embeddings), w AS (SELECT vec_id, CAST(lo // 12 AS INTEGER) AS chunk_id, lo, list_slice(embedding, lo + 1, lo + 16) AS x FROM s)
+  SELECT vec_id, chunk_id, lo / 16.0::DOUBLE AS start_s, (lo + len(x)) / 16.0::DOUBLE AS end_s, CAST(len(x) AS INTEGER) AS n, round(list_sum(x::DOUBLE[]), 6) AS total FROM w WHERE len(x) / 16.0 >= 0.5""")
 def overlap_windows(spark, sf):
     e = B.read(spark, sf, "embeddings").select("vec_id", "embedding")
     cut = W.windows(e, "vec_id", "embedding", rate=16, window_s=1, overlap_s=0.25)

@@ -122,7 +122,7 @@ def scan_clips(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_glossary(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Terms of a JSON map from term to text or to {formal, marathi, hindi}, per file or line."""
-    raw = spark.read.option("wholetext", whole_file).text(path)
+    raw = spark.read.text(path, wholetext=whole_file)
     terms = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("english", "v"))
     forms = F.from_json("v", "struct<formal:string,marathi:string,hindi:string>")
     nested = F.startswith(F.ltrim("v"), F.lit("{"))
@@ -171,14 +171,15 @@ def note_sections(payload: Column, language: str = "english") -> Column:
     for key in keys:
         is_object = F.startswith(kind(key), F.lit("OBJECT"))
         out = F.when(is_object, nested(f"{key}.")) if out is None else out.when(is_object, nested(f"{key}."))
-    for key in keys:
-        as_text = F.try_variant_get(payload, f"$.{key}", "string")
-        out = out.when(kind(key) == "STRING", sections.split_sections_robust(as_text))
+    as_text = F.coalesce(
+        *[F.when(kind(k) == "STRING", F.try_variant_get(payload, f"$.{k}", "string")) for k in keys]
+    )
+    out = out.when(as_text.isNotNull(), sections.split_sections_robust(as_text))
     return out.otherwise(nested(""))
 
 
 def scan_notes(spark: SparkSession, path: str, language: str = "english") -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"), "value"
     )
     return parse_notes(files, language)

@@ -27,8 +27,8 @@ def write_turn_files(master: DataFrame, path: str) -> None:
         master.withColumn("_bucket", turn_bucket())
         .repartition("session_id", "language", "style", "_bucket")
         .sortWithinPartitions("session_id", "language", "style", "turn_id")
-        .select("session_id", "language", "style", "turn_id", F.col("role").alias("speaker"),
-                *[c for c in TURN_FILE_COLUMNS if c != "speaker"])
+        .withColumn("speaker", F.col("role"))
+        .select("session_id", "language", "style", "turn_id", *TURN_FILE_COLUMNS)
         .write.mode("overwrite").partitionBy("session_id", "language", "style")
         .option("maxRecordsPerFile", FILE_ROWS).options(sep="\t", **CSV).csv(path)
     )

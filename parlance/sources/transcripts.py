@@ -42,8 +42,8 @@ def scan_transcripts(
     sid = session_id if session_id is not None else scores.session_id_from_path(F.col("_file"))
     if sep is None:
         files = (
-            spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", suffix).text(path)
+            spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", suffix).text(path, wholetext=True)
             .select(where.alias("_file"), F.col("value").alias("_content"))
             .withColumn("session_id", sid).filter("session_id IS NOT NULL")
         )
