@@ -110,6 +110,14 @@ def sanitise_section(text: Column) -> Column:
     return strip(F.array_join(first_by_key(keyed), "\n"))
 
 
+def named(texts: Column) -> Column:
+    """Note struct out of an array with one text per section."""
+    return let(
+        texts,
+        lambda a: F.struct(*[F.get(a, i).alias(name) for i, name in enumerate(SECTIONS)]),
+    ).cast(NOTE_TYPE)
+
+
 def collect_sections(
     lines: Column, section_of: Callable[[Column], Column], finish: Callable[[Column], Column]
 ) -> Column:
@@ -132,12 +140,14 @@ def collect_sections(
                 ),
             )
 
-            def section(x: Column, name: str) -> Column:
+            def section(x: Column, name: Column) -> Column:
                 mine = F.filter(x, lambda s: s["name"] == name)
-                joined = F.array_join(F.flatten(F.transform(mine, lambda s: s["lines"])), "\n")
-                return finish(joined).alias(name)
+                return finish(
+                    F.array_join(F.flatten(F.transform(mine, lambda s: s["lines"])), "\n")
+                )
 
-            return let(blocks, lambda x: F.struct(*[section(x, name) for name in SECTIONS]))
+            names = F.array(*[F.lit(name) for name in SECTIONS])
+            return let(blocks, lambda x: F.transform(names, lambda name: section(x, name)))
 
         return let(heads, blocks_of)
 
@@ -145,7 +155,7 @@ def collect_sections(
         lines,
         lambda x: F.struct(x.alias("lines"), F.transform(x, section_of).alias("marks")),
     )
-    return let(bound, gather).cast(NOTE_TYPE)
+    return named(let(bound, gather))
 
 
 def split_sections_simple(text: Column) -> Column:
@@ -192,9 +202,9 @@ def split_sections_by_offset(text: Column) -> Column:
                 F.substring(text, start, stop - start),
                 rf"(?i)^(?:\*\*)?\s*{name}\s*:?\s*(?:\*\*)?\s*", "",
             )
-            return F.when(F.size(at) > 0, sanitise_section(body)).otherwise("").alias(name)
+            return F.when(F.size(at) > 0, body).otherwise("")
 
-        return F.when(F.size(marks) > 0, F.struct(*[chunk(name) for name in SECTIONS]))
+        return F.when(F.size(marks) > 0, F.array(*[chunk(name) for name in SECTIONS]))
 
     low = F.lower(text)
     found = F.array(
@@ -204,7 +214,8 @@ def split_sections_by_offset(text: Column) -> Column:
             for name in SECTIONS
         ]
     )
-    return let(F.array_sort(F.filter(found, lambda m: m["start"] > 0)), cut).cast(NOTE_TYPE)
+    chunks = let(F.array_sort(F.filter(found, lambda m: m["start"] > 0)), cut)
+    return let(chunks, lambda c: F.when(c.isNotNull(), named(F.transform(c, sanitise_section))))
 
 
 def split_sections_json(text: Column) -> Column:
@@ -216,15 +227,8 @@ def split_sections_json(text: Column) -> Column:
         known = F.lit(False)
         for name in SECTIONS:
             known = known | F.map_contains_key(m, name)
-        return F.when(
-            known,
-            F.struct(
-                *[
-                    sanitise_section(F.coalesce(F.element_at(m, name), F.lit(""))).alias(name)
-                    for name in SECTIONS
-                ]
-            ),
-        )
+        texts = F.array(*[F.coalesce(F.element_at(m, name), F.lit("")) for name in SECTIONS])
+        return F.when(known, named(F.transform(texts, sanitise_section)))
 
     return F.when(body != "", let(parsed, pick)).cast(NOTE_TYPE)
 

@@ -47,22 +47,24 @@ def unmatched_counts(pred: DataFrame, ref: DataFrame, key: str) -> DataFrame:
     )
 
 
+def with_tokens(pairs: DataFrame) -> DataFrame:
+    """Token arrays of both texts, made once for all metrics."""
+    return pairs.withColumn("_p", tokens(F.col("pred"))).withColumn("_r", tokens(F.col("ref")))
+
+
 def token_prf(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn(
-        "_s", overlap.token_prf(tokens(F.col("pred")), tokens(F.col("ref")))
-    ).select("*", "_s.*").drop("_s")
+    scored = with_tokens(pairs).withColumn("_s", overlap.token_prf(F.col("_p"), F.col("_r")))
+    return scored.select(*pairs.columns, "_s.*")
 
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
-    return pairs.withColumn(
-        f"rouge{n}_f1", overlap.rouge_n(tokens(F.col("pred")), tokens(F.col("ref")), n)
-    )
+    score = overlap.rouge_n(F.col("_p"), F.col("_r"), n)
+    return with_tokens(pairs).select(*pairs.columns, score.alias(f"rouge{n}_f1"))
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn(
-        "rougeL_f1", overlap.rouge_l(tokens(F.col("pred")), tokens(F.col("ref")))
-    )
+    score = overlap.rouge_l(F.col("_p"), F.col("_r"))
+    return with_tokens(pairs).select(*pairs.columns, score.alias("rougeL_f1"))
 
 
 def matches(pairs: DataFrame) -> DataFrame:
@@ -73,8 +75,15 @@ def matches(pairs: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """All eight metrics per row."""
-    return matches(rouge_l(rouge_n(rouge_n(token_prf(pairs), 1), 2)))
+    """All eight metrics per row, from one tokenisation; unigram overlap serves two of them."""
+    p, r = F.col("_p"), F.col("_r")
+    scored = with_tokens(pairs).withColumn("_s", overlap.token_prf(p, r))
+    return scored.select(
+        *pairs.columns, "_s.*", F.col("_s.f1").alias("rouge1_f1"),
+        overlap.rouge_n(p, r, 2).alias("rouge2_f1"), overlap.rouge_l(p, r).alias("rougeL_f1"),
+        ((p == r) & (F.size(p) > 0)).cast("double").alias("exact_match"),
+        ((F.size(p) > 0) == (F.size(r) > 0)).cast("double").alias("section_presence_acc"),
+    )
 
 
 def section_means(scored: DataFrame) -> DataFrame:

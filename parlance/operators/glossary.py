@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.overlap import ngrams
+from parlance.functions.text import let, words
+from parlance.operators.ordering import head_rows
+
 # Built-in terms as (english, marathi, hindi, category).
 TERMS = [
     ("depression", "नैराश्य", "अवसाद", "symptom"),
@@ -55,95 +59,100 @@ TERMS = [
 # Phrase lookup takes 1-3 words over 3 characters, two hits per phrase,
 # ten terms per text.
 PHRASE_WORDS, PHRASE_MIN_CHARS, PHRASE_HITS, TEXT_TERMS = 3, 3, 2, 10
-BLOCK_TERMS = 256
-SALTS = 16
+
+# Term vectors up to this size go to every worker; larger glossaries are joined in blocks.
+BROADCAST_BYTES = 64 << 20
+BLOCK_TERMS = 4096
+GROUP_QUERIES = 20_000
+TEXTS_PER_STEP = 64
 
 
 def term_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TERMS, "english string, marathi string, hindi string, category string")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-            F.lit(0.0), lambda s, v: s + v,
+def _top_of(term_ids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
+    """Function from query ids and vectors to their ``k`` best terms by cosine."""
+    scale = np.linalg.norm(matrix, axis=1)
+
+    def run(ids, vectors) -> pd.DataFrame:
+        q = np.stack(vectors).astype(np.float64)
+        sims = (q @ matrix.T) / (np.linalg.norm(q, axis=1)[:, None] * scale)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), best.shape[1])
+        return pd.DataFrame(
+            {
+                "query_id": np.asarray(ids)[rows],
+                "term_id": term_ids[best.ravel()],
+                "similarity": sims[rows, best.ravel()],
+            }
         )
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def _block_scores(sides: tuple[str, str], k: int) -> Callable:
-    """Top ``k`` terms of one block for every query vector of an Arrow batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query, out = sides
-        for pdf in batches:
-            parts = []
-            for _, part in pdf.groupby("block", sort=False):
-                names = part["terms"].iloc[0]
-                term_ids = [t["term_id"] for t in names]
-                matrix = np.array([t["vector"] for t in names], dtype=np.float64)
-                vectors = np.stack(part[query].to_numpy()).astype(np.float64)
-                sims = vectors @ matrix.T
-                sims /= np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(part)), top.shape[1])
-                cols = top.ravel()
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            out: part[out].to_numpy()[rows],
-                            "term_id": np.asarray(term_ids)[cols],
-                            "similarity": sims[rows, cols],
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
     return run
 
 
 def term_topk(
-    queries: DataFrame, terms: DataFrame, k: int = 5, block_terms: int = BLOCK_TERMS
+    queries: DataFrame, terms: DataFrame, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``k`` nearest terms of each query vector by cosine, exact for any glossary size.
 
-    ``queries``: query_id, vector. ``terms``: term_id (0..n-1), vector. Terms are packed
-    into blocks of bounded size; each query meets each block once on an equi-key salted
-    over the queries, keeps ``k`` candidates per block, and the blocks are merged.
+    ``queries``: query_id, vector. ``terms``: term_id (0..n-1), vector. The glossary is
+    measured first: a small one goes to every worker and queries are not moved at all, a
+    large one is cut into blocks that meet salted groups of queries, and the ``k``
+    candidates of each block are merged.
     """
-    blocks = (
-        terms.withColumn("block", F.floor(F.col("term_id") / block_terms))
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("term_id", "vector"))).alias("terms"))
-    )
-    last = terms.agg(F.floor(F.max("term_id") / block_terms).alias("last"))
-    salted_blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     id_type = queries.schema["query_id"].dataType.simpleString()
-    spread = (
-        queries.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last.scalar())))
+    schema = f"query_id {id_type}, term_id long, similarity double"
+    size = terms.agg(
+        F.count("*").alias("n"), F.sum(F.size("vector").cast("long") * 8).alias("bytes")
+    ).first()
+    if not size["n"]:
+        return queries.sparkSession.createDataFrame([], schema)
+    if size["bytes"] <= broadcast_bytes:
+        rows = terms.select("term_id", "vector").orderBy("term_id").collect()
+        shared = queries.sparkSession.sparkContext.broadcast(
+            (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64))
+        )
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            run = _top_of(*shared.value, k)
+            for pdf in batches:
+                if len(pdf):
+                    yield run(pdf["query_id"].to_numpy(), pdf["vector"])
+
+        return queries.select("query_id", "vector").mapInPandas(near, schema)
+
+    n_blocks = -(-size["n"] // BLOCK_TERMS)
+    salts = max(1, -(-queries.count() // GROUP_QUERIES))
+    spread = queries.select(
+        "query_id", "vector",
+        F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
     )
-    found = spread.join(salted_blocks, ["block", "salt"]).mapInPandas(
-        _block_scores(("vector", "query_id"), k),
-        f"query_id {id_type}, term_id long, similarity double",
+    blocks = terms.select(
+        "term_id", "vector", F.floor(F.col("term_id") / BLOCK_TERMS).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
+    )
+
+    def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "term_id": [], "similarity": []})
+        t = t.sort_values("term_id")
+        matrix = np.stack(t["vector"]).astype(np.float64)
+        return _top_of(t["term_id"].to_numpy(), matrix, k)(q["query_id"].to_numpy(), q["vector"])
+
+    found = spread.groupBy("block", "salt").cogroup(blocks.groupBy("block", "salt")).applyInPandas(
+        meet, schema
     )
     return _best(found, ["query_id"], "term_id", k)
 
 
 def _best(found: DataFrame, keys: list[str], term: str, k: int) -> DataFrame:
-    from parlance.operators.ordering import head_rows
-
     return head_rows(found, keys, [F.col("similarity").desc(), F.col(term).asc()], k)
 
 
 def phrases_of(c: Column) -> Column:
     """Distinct runs of 1-3 neighbouring words longer than three characters."""
-    from parlance.functions.overlap import ngrams
-    from parlance.functions.text import let, words
-
     plain = F.replace(F.replace(c, F.lit(","), F.lit(" ")), F.lit("."), F.lit(" "))
     runs = let(words(plain), lambda w: F.concat(*[ngrams(w, n + 1) for n in range(PHRASE_WORDS)]))
     return F.array_distinct(F.filter(runs, lambda p: F.length(p) > PHRASE_MIN_CHARS))
@@ -166,8 +175,8 @@ def phrase_terms(
 ) -> DataFrame:
     """Best glossary terms of each text: two per phrase, best score per term, top ten.
 
-    ``embed`` is the user's model, called on batches of distinct phrases. Each phrase is
-    looked up once however many texts hold it.
+    ``embed`` is the user's model, called on the distinct phrases of a few texts at a
+    time, where the texts lie; only the best score per text and term is shuffled.
     """
     names = np.array(sorted(t[0] for t in TERMS))
 
@@ -175,25 +184,32 @@ def phrase_terms(
         terms = embed(list(names))
         term_sq = (terms * terms).sum(axis=1)
         for pdf in batches:
-            vectors = embed(pdf["phrase"].tolist())
-            sq = (vectors * vectors).sum(axis=1)
-            scale = np.sqrt(sq[:, None] * term_sq)
-            sims = np.divide(vectors @ terms.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :PHRASE_HITS]
-            rows = np.repeat(np.arange(len(pdf)), best.shape[1])
-            yield pd.DataFrame(
-                {
-                    "phrase": pdf["phrase"].to_numpy()[rows],
-                    "english": names[best.ravel()],
-                    "similarity": sims[rows, best.ravel()],
-                }
-            )
-
-    said = texts.select(*key, F.explode(phrases_of(F.col("text"))).alias("phrase"))
-    hits = said.select("phrase").distinct().mapInPandas(
-        lookup, "phrase string, english string, similarity double"
-    )
-    scored = (
-        said.join(hits, "phrase").groupBy(*key, "english").agg(F.max("similarity").alias("similarity"))
+            for lo in range(0, len(pdf), TEXTS_PER_STEP):
+                part = pdf.iloc[lo:lo + TEXTS_PER_STEP]
+                owner = np.repeat(np.arange(len(part)), part["_phrases"].map(len))
+                if not len(owner):
+                    continue
+                codes, distinct = pd.factorize(np.concatenate(part["_phrases"].tolist()))
+                vectors = embed(list(distinct))
+                sq = (vectors * vectors).sum(axis=1)
+                scale = np.sqrt(sq[:, None] * term_sq)
+                sims = np.divide(vectors @ terms.T, scale, out=np.zeros_like(scale), where=scale > 0)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :PHRASE_HITS]
+                hits = pd.DataFrame(
+                    {
+                        "row": np.repeat(owner, best.shape[1]),
+                        "term": best[codes].ravel(),
+                        "similarity": np.take_along_axis(sims, best, axis=1)[codes].ravel(),
+                    }
+                ).groupby(["row", "term"], as_index=False)["similarity"].max()
+                out = part[key].iloc[hits["row"].to_numpy()].reset_index(drop=True)
+                out["english"] = names[hits["term"].to_numpy()]
+                out["similarity"] = hits["similarity"].to_numpy()
+                yield out
+
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in key)
+    hits = texts.select(*key, phrases_of(F.col("text")).alias("_phrases")).mapInPandas(
+        lookup, f"{kinds}, english string, similarity double"
     )
+    scored = hits.groupBy(*key, "english").agg(F.max("similarity").alias("similarity"))
     return _best(scored, key, "english", top)

@@ -268,11 +268,11 @@ def term_topk(spark, sf):
 @query("term_topk_all", """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS term_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b)
   SELECT query_id, term_id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, term_id) <= 5""")
 def term_topk_all(spark, sf):
-    """Every vector is a term too, so the glossary spans several blocks."""
+    """Every vector is a term too; the block route, which takes any glossary size."""
     e = B.read(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     terms = e.select(F.col("vec_id").alias("term_id"), F.col("embedding").alias("vector"))
-    return G.term_topk(q, terms, 5).withColumn("similarity", F.round("similarity", 6))
+    return G.term_topk(q, terms, 5, broadcast_bytes=0).withColumn("similarity", F.round("similarity", 6))
 
 
 LETTERS = "['" + "','".join("abcdefghijklmnopqrstuvwxyz") + "']"

@@ -204,9 +204,42 @@ def gender_rewrite(spark, sf):
     )
 
 
-@query("filler_injection")
+def sql_draw(salt: str) -> str:
+    return f"(('0x' || left(md5(session_id || '_' || turn_id || ':{salt}:42'), 7))::BIGINT / 268435456.0::DOUBLE)"
+
+
+def sql_pick(items: list[str], salt: str) -> str:
+    return f"{B.sql_list(items)}[1 + floor({sql_draw(salt)} * {len(items)})::BIGINT]"
+
+
+def _sql_fillers() -> str:
+    parts = []
+    for d in rules.DIALECTS:
+        t = sql_replace("mr", rules.DIALECT_RULES[d])
+        if d not in rules.DIALECT_FILLERS:
+            parts.append(f"SELECT {KEY}, '{d}' AS dialect, role, {t} AS text FROM talk")
+            continue
+        chance, items = rules.DIALECT_FILLERS[d]
+        f = sql_pick(items, f"{d}-word")
+        parts.append(
+            f"SELECT {KEY}, '{d}' AS dialect, role, CASE WHEN role = 'Patient' AND length(t) >= 15 AND {sql_draw(d + '-chance')} <= {chance} THEN "
+            f"CASE WHEN {sql_draw(d + '-side')} < 0.5 THEN {f} || ', ' || t ELSE t || ' ' || {f} END ELSE t END AS text FROM (SELECT *, {t} AS t FROM talk)"
+        )
+    f = sql_pick(rules.PATIENT_FILLERS, "spoken-p")
+    said = sql_replace(sql_replace("mr", rules.SPOKEN_RULES), rules.SLANG_RULES)
+    gendered = (f"CASE WHEN role = 'Patient' AND session_id % 3 = 1 THEN {sql_replace('s', rules.MALE_RULES)} "
+                f"WHEN role = 'Patient' AND session_id % 3 = 0 THEN {sql_replace('s', rules.FEMALE_RULES)} ELSE s END")
+    parts.append(
+        f"SELECT {KEY}, 'spoken', role, CASE WHEN role = 'Patient' AND length(t) >= 20 AND {sql_draw('spoken-chance')} <= 0.1 THEN "
+        f"CASE WHEN {sql_draw('spoken-side')} > 0.5 THEN {f} || ', ' || t WHEN cut > 0 THEN left(t, cut) || ' ' || {f} || ', ' || trim(substr(t, cut + 1)) ELSE t END ELSE t END "
+        f"FROM (SELECT *, length(regexp_extract(t, '^[^,।.]*[,।.]')) AS cut FROM (SELECT *, {gendered} AS t FROM (SELECT *, {said} AS s FROM talk)))"
+    )
+    return " UNION ALL ".join(parts)
+
+
+@query("filler_injection", f"WITH {B.TALK} {_sql_fillers()}")
 def filler_injection(spark, sf):
-    """Dialect fillers and conversational fillers; drawn by hash, so checked by properties."""
+    """Dialect fillers and conversational fillers, drawn from each turn's key."""
     said = B.talk(spark, sf).select(
         "session_id", "turn_id", "role", F.col("mr").alias("text"),
         scores.gender_label(F.col("session_id") % 3, B.GENDERS).alias("gender"),
@@ -457,19 +490,6 @@ def split_sections_simple(spark, sf):
     ).select("session_id", "turn_id", "n.*")
 
 
-@query("split_sections_robust")
-def split_sections_robust(spark, sf):
-    """Headed notes, JSON notes and plain texts, by turn."""
-    t, k = B.talk(spark, sf), F.col("turn_id") % 3
-    body = F.to_json(F.struct(F.col("en").alias("subjective"), F.col("note_text").alias("plan")))
-    source = F.when(k == 0, F.col("note_text")).when(
-        k == 1, F.concat(F.lit("Here: "), body, F.lit(" done"))
-    ).otherwise(F.col("raw"))
-    return t.select(
-        "session_id", "turn_id", sections.split_sections_robust(source).alias("n")
-    ).select("session_id", "turn_id", "n.*")
-
-
 BARE = "trim(lower(line), '*: ')"
 SANITISE = f"""l0 AS ({LINES.format(KEY, 'x', 'src')}),
   l AS (SELECT {KEY}, line_no, {B.sql_strip('line')} AS line FROM l0),
@@ -491,6 +511,70 @@ def sanitise_section(spark, sf):
     )
 
 
+def _sql_header(name: str) -> str:
+    return f"(?:\\*\\*)?\\s*{name}\\s*:?\\s*(?:\\*\\*)?"
+
+
+def _sql_robust() -> str:
+    names = sections.SECTIONS
+    starts = ", ".join(
+        f"CASE WHEN regexp_matches(lower(x), '{_sql_header(n)}') THEN length(regexp_extract(lower(x), '(?s)^(.*?){_sql_header(n)}', 1)) END AS at_{n}"
+        for n in names
+    )
+    chunks = " UNION ALL ".join(
+        f"SELECT {KEY}, 'off_{n}' AS part, CASE WHEN at_{n} IS NULL THEN '' ELSE regexp_replace(substr(x, at_{n} + 1, coalesce(least("
+        + ", ".join(f"CASE WHEN at_{o} > at_{n} THEN at_{o} END" for o in names if o != n)
+        + f"), length(x)) - at_{n}), '(?i)^(?:\\*\\*)?\\s*{n}\\s*:?\\s*(?:\\*\\*)?\\s*', '') END AS x FROM offs WHERE k <> 1"
+        for n in names
+    )
+    long_arms = " ".join(f"WHEN regexp_matches(line, '(?i)^{_sql_header(n)}') THEN '{n}'" for n in names)
+    short_arms = " ".join(f"WHEN regexp_matches(line, {quote('(?i)' + p)}) THEN '{n}'" for n, p in sections.SHORT_HEADERS.items())
+    by_line = " UNION ALL ".join(
+        f"SELECT {KEY}, 'line_{n}', coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE cur = '{n}' AND sec IS NULL), '') FROM filled GROUP BY {KEY}"
+        for n in names
+    )
+    key3 = f"{KEY}, part"
+    sanitised = SANITISE.replace(KEY, key3)
+    get = lambda part: f"coalesce(max(y) FILTER (WHERE part = '{part}'), '')"
+    first = ", ".join(
+        f"CASE WHEN any_value(k) = 1 THEN {get('json_' + n)} WHEN {get('off_' + n)} <> '' AND any_value(headed) THEN {get('off_' + n)} ELSE {get('line_' + n)} END AS {n}"
+        for n in names
+    )
+    blank = " AND ".join(f"{n} = ''" for n in names)
+    final = ", ".join(
+        f"CASE WHEN {n} <> '' THEN {n}" + (f" WHEN k <> 1 AND {blank} AND whole <> '' THEN whole" if n == "subjective" else "")
+        + f" ELSE '{sections.EMPTY_SECTION}' END AS {n}"
+        for n in names
+    )
+    return f"""WITH {B.TALK}, body AS (SELECT {KEY}, turn_id % 3 AS k, CASE turn_id % 3 WHEN 0 THEN note_text ELSE raw END AS x, en, note_text FROM talk),
+  offs AS (SELECT *, {starts} FROM body),
+  l1 AS ({LINES.format(KEY, 'x', 'body WHERE k <> 1')}),
+  l2 AS (SELECT {KEY}, line_no, {B.sql_strip('line')} AS line FROM l1),
+  marked AS (SELECT *, CASE {long_arms} {short_arms} END AS sec FROM l2 WHERE line <> ''),
+  filled AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY {KEY} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM marked),
+  parts AS ({chunks} UNION ALL {by_line} UNION ALL SELECT {KEY}, 'whole', x FROM body WHERE k <> 1
+    UNION ALL SELECT {KEY}, 'json_subjective', en FROM body WHERE k = 1 UNION ALL SELECT {KEY}, 'json_plan', note_text FROM body WHERE k = 1),
+  src AS (SELECT {key3}, regexp_replace(regexp_replace(x, '\\s*#{{3,}}\\s*', chr(10), 'g'), '\\s+[•●]\\s*', chr(10) || '- ', 'g') AS x FROM parts),
+  {sanitised},
+  clean AS (SELECT {key3}, {B.sql_strip("string_agg(line, chr(10) ORDER BY line_no)")} AS y FROM d WHERE rn = 1 GROUP BY {key3}),
+  heads AS (SELECT {KEY}, k, coalesce({', '.join('at_' + n for n in names)}) IS NOT NULL AS headed FROM offs),
+  wide AS (SELECT {KEY}, any_value(k) AS k, {get('whole')} AS whole, {first} FROM heads LEFT JOIN clean USING ({KEY}) GROUP BY {KEY})
+  SELECT {KEY}, {final} FROM wide"""
+
+
+@query("split_sections_robust", _sql_robust())
+def split_sections_robust(spark, sf):
+    """Headed notes, JSON notes and plain texts, by turn."""
+    t, k = B.talk(spark, sf), F.col("turn_id") % 3
+    body = F.to_json(F.struct(F.col("en").alias("subjective"), F.col("note_text").alias("plan")))
+    source = F.when(k == 0, F.col("note_text")).when(
+        k == 1, F.concat(F.lit("Here: "), body, F.lit(" done"))
+    ).otherwise(F.col("raw"))
+    return t.select(
+        "session_id", "turn_id", sections.split_sections_robust(source).alias("n")
+    ).select("session_id", "turn_id", "n.*")
+
+
 @query("subsections_keypoints", f"""WITH {B.TALK}, src AS (SELECT {KEY},
     regexp_replace(regexp_replace(regexp_replace(replace(note_text, chr(13), chr(10)), '\\s*#{{1,6}}\\s*', chr(10), 'g'),
       '\\s+([^:\\n-][^:\\n]{{2,110}}:)\\s*-\\s+', chr(10) || '\\1' || chr(10) || '- ', 'g'), '\\s+-\\s+', chr(10) || '- ', 'g') AS x FROM talk),
