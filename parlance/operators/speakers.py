@@ -35,6 +35,39 @@ def _letter(flips: Column) -> Column:
     return F.when(F.pmod(flips, F.lit(2)) == 0, "A").otherwise("B")
 
 
+def _marked(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
+    """Position, pause before the chunk, and question-then-brief-reply, per chunk."""
+    placed = prefix(
+        chunks.withColumn("_q", text.is_question(F.col("text"))),
+        ["session_id"], ["chunk_id"], chunk_bucket(),
+        lag={"_prev_end": F.col("end_s"), "_asked": F.col("_q")}, position="_i",
+    )
+    gap = F.coalesce(F.col("start_s") - F.col("_prev_end") > pause_s, F.lit(False))
+    cue = F.coalesce("_asked", F.lit(False)) & text.is_brief_reply(F.col("text"))
+    return placed.withColumn("_gap", gap).withColumn("_cue", cue).drop("_q", "_prev_end", "_asked")
+
+
+def _with_flips(marked: DataFrame) -> DataFrame:
+    """Speaker letters by pauses (``_by_pause``) and by cues (``_by_cue``).
+
+    The first even position also switches if no cue has before, so the cue switches are
+    the cue rows plus the earliest of {cue, even position}.
+    """
+    session = marked.groupBy("session_id").agg(
+        F.min(F.when((F.col("_i") >= 1) & (F.col("_cue") | (F.col("_i") % 2 == 0)), F.col("_i")))
+        .alias("_first"),
+        F.bool_or("_gap").alias("_paused"),
+    )
+    flip = F.coalesce(F.col("_cue") | (F.col("_i") == F.col("_first")), F.lit(False))
+    counted = prefix(
+        marked.join(session, "session_id"), ["session_id"], ["chunk_id"], chunk_bucket(),
+        running_sum={"_pauses": F.col("_gap").cast("long"), "_cues": flip.cast("long")},
+    )
+    return counted.withColumn("_by_pause", _letter(F.col("_pauses"))).withColumn(
+        "_by_cue", _letter(F.col("_cues"))
+    )
+
+
 def speaker_by_pause(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
     """Speakers A and B change after a pause longer than ``pause_s``."""
     back = prefix(
@@ -49,36 +82,15 @@ def speaker_by_pause(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
 
 
 def speaker_by_cue(chunks: DataFrame) -> DataFrame:
-    """A question answered briefly changes the speaker.
-
-    The first even position also does if nothing has before, so the flips are the cue
-    rows plus the earliest of {cue, even position}.
-    """
-    placed = prefix(
-        chunks.withColumn("_q", text.is_question(F.col("text"))),
-        ["session_id"], ["chunk_id"], chunk_bucket(), lag={"_asked": F.col("_q")}, position="_i",
-    )
-    marked = placed.withColumn(
-        "_cue", F.coalesce("_asked", F.lit(False)) & text.is_brief_reply(F.col("text"))
-    )
-    first = marked.groupBy("session_id").agg(
-        F.min(F.when((F.col("_i") >= 1) & (F.col("_cue") | (F.col("_i") % 2 == 0)), F.col("_i")))
-        .alias("_first")
-    )
-    flip = (F.col("_cue") | (F.col("_i") == F.col("_first"))).cast("long")
-    counted = prefix(
-        marked.join(first, "session_id"), ["session_id"], ["chunk_id"], chunk_bucket(),
-        running_sum={"_flips": F.coalesce(flip, F.lit(0).cast("long"))},
-    )
-    return counted.withColumn("speaker", _letter(F.col("_flips"))).drop(
-        "_q", "_asked", "_i", "_cue", "_first", "_flips"
+    """A question answered briefly changes the speaker, as does the first even position."""
+    return _with_flips(_marked(chunks)).withColumn("speaker", F.col("_by_cue")).select(
+        *[c for c in chunks.columns if c != "speaker"], "speaker"
     )
 
 
-def speaker_rebalance(chunks: DataFrame) -> DataFrame:
-    """Alternate speakers where one of A and B holds nearly all chunks."""
-    placed = prefix(chunks, ["session_id"], ["chunk_id"], chunk_bucket(), position="_i")
-    share = chunks.groupBy("session_id").agg(
+def _rebalance(placed: DataFrame) -> DataFrame:
+    """Alternate by position ``_i`` where one of A and B holds nearly all chunks."""
+    share = placed.groupBy("session_id").agg(
         F.count("*").alias("_n"),
         F.greatest(
             F.count_if(F.col("speaker") == "A"), F.count_if(F.col("speaker") == "B")
@@ -92,17 +104,16 @@ def speaker_rebalance(chunks: DataFrame) -> DataFrame:
     )
 
 
+def speaker_rebalance(chunks: DataFrame) -> DataFrame:
+    return _rebalance(prefix(chunks, ["session_id"], ["chunk_id"], chunk_bucket(), position="_i"))
+
+
 def speaker_hints(chunks: DataFrame) -> DataFrame:
-    """Pauses decide; sessions without a pause switch go by cues; then rebalance."""
-    by_pause = speaker_by_pause(chunks).withColumnRenamed("speaker", "_pause")
-    switched = by_pause.groupBy("session_id").agg(
-        F.bool_or(F.col("_pause") == "B").alias("_switched")
-    )
-    by_cue = speaker_by_cue(by_pause).withColumnRenamed("speaker", "_cue")
-    chosen = by_cue.join(switched, "session_id").withColumn(
-        "speaker", F.when(F.col("_switched"), F.col("_pause")).otherwise(F.col("_cue"))
-    )
-    return speaker_rebalance(chosen.drop("_pause", "_cue", "_switched"))
+    """Pauses decide; sessions without a pause go by cues; then rebalance."""
+    chosen = F.when(F.col("_paused"), F.col("_by_pause")).otherwise(F.col("_by_cue"))
+    keep = [c for c in chunks.columns if c != "speaker"]
+    flips = _with_flips(_marked(chunks)).withColumn("speaker", chosen)
+    return _rebalance(flips.select(*keep, "speaker", "_i"))
 
 
 def chunk_score(said: Column, chunk_id: Column) -> tuple[Column, Column]:

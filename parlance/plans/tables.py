@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import scores
 from parlance.operators import turns as T
+from parlance.session import spread
 
 CLINICIANS = ["assistant", "system"]
 GENDERS = {0: "female", 1: "male"}
@@ -52,8 +53,13 @@ VOCABULARY = {
 }
 
 
+# Tables whose rows carry long texts or arrays.
+HEAVY = {"conversations", "documents", "embeddings"}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(table) if name in HEAVY else table
 
 
 def lit_array(items: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "parlance") -> SparkSession:
@@ -22,6 +22,16 @@ def local_session(cores: str = "*", app: str = "parlance") -> SparkSession:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs that come in fewer splits than there are cores.
+
+    Text work is bound by the processor, and a small file is one split. Inputs with
+    enough splits, as any large one has, are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir``, set here only for local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
