@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import scores, spans
+from parlance.functions.rows import explode_rows, inline_rows
 from parlance.operators.ordering import head_rows
 
 # How many entities a note keeps and how many a label lists.
@@ -17,7 +18,7 @@ NO_ENTITIES = "No specific medical entities extracted."
 def _spread(df: DataFrame, found: Column, source: str) -> DataFrame:
     hit = F.col("_hit")
     return (
-        df.withColumn("_hit", F.explode(found))
+        explode_rows(df, [F.col(c) for c in df.columns], found, "_hit")
         .withColumn(
             "entity", F.substring(source, hit["start"] + 1, hit["stop"] - hit["start"])
         )
@@ -120,8 +121,7 @@ def keyword_context(turns: DataFrame, source: str = "text") -> DataFrame:
         )
     keep = [c for c in turns.columns if c != source]
     return (
-        turns.withColumn("_e", F.explode(F.array_compact(F.array(*rows))))
-        .select(*keep, "_e.*")
+        inline_rows(turns, keep, F.array_compact(F.array(*rows)))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import overlap
+from parlance.functions.rows import inline_rows
 from parlance.functions.sections import SECTIONS
 from parlance.functions.text import normalise, tokens
 
@@ -18,7 +19,7 @@ METRICS = [
 def unpivot_sections(notes: DataFrame, keys: list[str], note: str = "note") -> DataFrame:
     """One row per (note, section)."""
     parts = [F.struct(F.lit(s).alias("section"), F.col(f"{note}.{s}").alias("text")) for s in SECTIONS]
-    return notes.select(*keys, F.inline(F.array(*parts)))
+    return inline_rows(notes, keys, F.array(*parts))
 
 
 def pair_predictions(pred: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import scores
+from parlance.functions.rows import explode_rows, inline_rows
 from parlance.functions.sections import SECTIONS
 from parlance.functions.text import latin_ratio
 from parlance.operators.ordering import head_rows, seeded_hash
@@ -34,9 +35,7 @@ def check_completeness(notes: DataFrame, keys: list[str]) -> DataFrame:
                  _length(lang, s).alias("n_chars"))
         for lang in LANGS for s in SECTIONS
     ]
-    return notes.select(*keys, F.inline(F.array(*parts))).filter(
-        F.col("n_chars") < MIN_SECTION_CHARS
-    )
+    return inline_rows(notes, keys, F.array(*parts)).filter(F.col("n_chars") < MIN_SECTION_CHARS)
 
 
 def check_script(notes: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,8 +122,7 @@ def edge_cases(notes: DataFrame, keys: list[str]) -> DataFrame:
             F.when(total > LONG_NOTE, "too_long"),
         )
     )
-    return notes.select(*keys, "phq8_score", total.alias("total_length"),
-                        F.explode(reasons).alias("reason"))
+    return explode_rows(notes, [*keys, "phq8_score", total.alias("total_length")], reasons, "reason")
 
 
 def review_list(sample: DataFrame, edges: DataFrame, issues: DataFrame, keys: list[str], n: int = 5) -> DataFrame:

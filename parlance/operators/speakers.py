@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text
+from parlance.functions.rows import explode_rows
 from parlance.operators.ordering import prefix
 
 # Pause that switches speakers, and the dominance that forces alternation.
@@ -176,7 +177,7 @@ def role_from_speaker(chunks: DataFrame) -> DataFrame:
 def roles_by_line(transcripts: DataFrame, key: str = "session_id") -> DataFrame:
     """Alternate roles over the non-empty lines of a transcript without chunks."""
     lines = F.filter(F.transform(F.split("transcript", "\n"), text.strip), lambda x: x != "")
-    return transcripts.select(key, F.posexplode(lines).alias("_i", "text")).select(
+    return explode_rows(transcripts, [key], lines, "text", "_i").select(
         key,
         (F.col("_i") + 1).alias("turn_id"),
         F.when(F.col("_i") % 2 == 0, "Doctor").otherwise("Patient").alias("role"),

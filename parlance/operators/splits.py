@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.rows import explode_rows
 from parlance.operators.ordering import cut_by_rank, hash_bucket, seeded_hash
 
 # Split shares, quality gates, augmentation names.
@@ -81,7 +82,7 @@ def augmentation_plan(clips: DataFrame, key: str, per_clip: int = PER_CLIP, seed
         F.col("split") == "train",
         F.array_insert(F.slice(ordered, 1, per_clip), 1, F.lit(None).cast("string")),
     ).otherwise(F.array(F.lit(None).cast("string")))
-    return clips.withColumn("augmented", F.explode(chosen)).withColumn(
+    return explode_rows(clips, [F.col(c) for c in clips.columns], chosen, "augmented").withColumn(
         "file_name",
         F.when(
             F.col("augmented").isNotNull(),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores, text
+from parlance.functions.rows import explode_rows
 from parlance.operators.ordering import (
     BUCKET_ROWS, head_rows, head_tail_rows, prefix,
 )
@@ -78,20 +79,15 @@ def style_variants(turns: DataFrame, vocabulary: dict[str, dict[str, str]]) -> D
     ``text`` holds the translation supplied by the caller's model.
     """
     formal = rules.substitute_vocabulary(F.col("text"), vocabulary)
-    spoken = rules.to_slang(rules.to_spoken(formal))
-    variants = turns.withColumn("_formal", formal).withColumn(
-        "_v",
-        F.array(
-            F.struct(F.lit("formal_translated").alias("style"), F.col("_formal").alias("t")),
-            F.struct(F.lit("colloquial").alias("style"), spoken.alias("t")),
-            F.struct(
-                F.lit("code_mixed").alias("style"),
-                text.code_mix(F.col("text_en"), F.col("_formal"), rules.CODE_MIX_KEEP).alias("t"),
-            ),
-        ),
-    )
+    variants = turns.withColumn("_formal", formal)
+    said = {
+        "formal_translated": F.col("_formal"),
+        "colloquial": rules.to_slang(rules.to_spoken(F.col("_formal"))),
+        "code_mixed": text.code_mix(F.col("text_en"), F.col("_formal"), rules.CODE_MIX_KEEP),
+    }
+    made = F.array(*[F.struct(F.lit(k).alias("style"), v.alias("t")) for k, v in said.items()])
     return (
-        variants.withColumn("_v", F.explode("_v"))
+        explode_rows(variants, [F.col(c) for c in variants.columns], made, "_v")
         .withColumn("style", F.col("_v.style"))
         .withColumn("text", F.col("_v.t"))
         .drop("_v", "_formal")
@@ -110,7 +106,7 @@ def dialect_variants(turns: DataFrame, fillers: bool = False, seed: int = 42) ->
             one = rules.add_dialect_filler(one, F.col("role"), name, key, seed)
         made.append(F.struct(F.lit(name).alias("dialect"), one.alias("t")))
     return (
-        wide.withColumn("_v", F.explode(F.array(*made)))
+        explode_rows(wide, [F.col(c) for c in wide.columns], F.array(*made), "_v")
         .withColumn("dialect", F.col("_v.dialect"))
         .withColumn("text", F.col("_v.t"))
         .drop("_v", *said)

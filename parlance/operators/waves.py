@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.rows import explode_rows
 from parlance.functions.text import let, valid_clip_text
 
 # Sample rate, clip length limits, peak level, window layout (seconds).
@@ -53,7 +54,7 @@ def windows(clips: DataFrame, key: str, wave: str, rate: int = SAMPLE_RATE,
     size, step = int(window_s * rate), int((window_s - overlap_s) * rate)
     n = F.size(wave)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = clips.select(key, wave, F.posexplode(starts).alias("chunk_id", "_at"))
+    cut = explode_rows(clips, [key, wave], starts, "_at", "chunk_id")
     return (
         cut.withColumn("samples", F.slice(wave, F.col("_at") + 1, size))
         .filter(F.size("samples") / rate >= min_tail_s)

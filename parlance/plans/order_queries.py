@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores, text
 from parlance.functions.sections import SECTIONS
+from parlance.functions.rows import explode_rows, inline_rows
 from parlance.operators import clinic, evaluation as V, review as R
 from parlance.operators import speakers as S, splits as P, turns as T, waves as W
 from parlance.plans import tables as B
@@ -257,7 +258,7 @@ WAVES = "wv AS (SELECT vec_id, embedding::DOUBLE[] AS wave FROM embeddings)"
 
 
 def _spread(df, wave):
-    return df.select("vec_id", F.posexplode(wave).alias("i", "_x")).select("vec_id", "i", F.round("_x", 6).alias("x"))
+    return explode_rows(df, ["vec_id"], wave, "_x", "i").select("vec_id", "i", F.round("_x", 6).alias("x"))
 
 
 @query("peak_normalise", f"WITH {WAVES}, pk AS (SELECT *, list_max(list_transform(wave, lambda v: abs(v))) AS m FROM wv) " + SAMPLES.format("round(CASE WHEN m > 0 THEN wave[i] / m * 0.95::DOUBLE ELSE wave[i] END, 6)", "pk"))
@@ -300,9 +301,8 @@ def resample_speed_pitch(spark, sf):
         F.struct(F.lit("rate").alias("kind"), W.change_rate(w, 44100).alias("wave")),
         F.struct(F.lit("pitch").alias("kind"), W.shift_pitch(w, 1.5).alias("wave")),
     )
-    return e.select("vec_id", F.inline(kinds)).select(
-        "vec_id", "kind", F.posexplode("wave").alias("i", "x")
-    ).withColumn("x", F.round("x", 6))
+    made = inline_rows(e, ["vec_id"], kinds)
+    return explode_rows(made, ["vec_id", "kind"], F.col("wave"), "x", "i").withColumn("x", F.round("x", 6))
 
 
 @query("noise_snr")

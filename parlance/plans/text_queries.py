@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores, sections, spans, text
+from parlance.functions.rows import explode_rows, inline_rows
 from parlance.operators import clinic, turns as T
 from parlance.plans import tables as B
 from parlance.plans.registry import query
@@ -294,14 +295,14 @@ def vocab_substitute(spark, sf):
     ELSE coalesce(nullif(mr, ''), en) END AS text FROM k""")
 def code_mix(spark, sf):
     """Four-word pieces of each turn, so that every branch is met."""
-    w = F.split("en", " ")
-    pieces = B.talk(spark, sf).select(
-        "session_id", "turn_id", "mr",
-        F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(w) / 4).cast("int")),
-            lambda p: F.array_join(F.slice(w, F.greatest(p * 4, F.lit(1)),
+    pieces = explode_rows(
+        B.talk(spark, sf).withColumn("_w", F.split("en", " ")), ["session_id", "turn_id", "mr"],
+        F.transform(
+            F.sequence(F.lit(0), F.floor(F.size("_w") / 4).cast("int")),
+            lambda p: F.array_join(F.slice("_w", F.greatest(p * 4, F.lit(1)),
                                            F.when(p == 0, 3).otherwise(4)), " "),
-        )).alias("piece", "en"),
+        ),
+        "en", "piece",
     ).filter((F.col("en") != "") | (F.col("piece") == 0))
     mr = F.when(F.col("piece") % 5 == 0, "").otherwise(F.left("mr", F.lit(20)))
     return pieces.select(
@@ -341,8 +342,8 @@ LINES = "SELECT {0}, unnest(string_split({1}, chr(10))) AS line, generate_subscr
   SELECT {KEY}, CAST(line_no AS INTEGER) AS line_no, CASE WHEN blank THEN line ELSE t END AS line,
     NOT blank AND {sql_share('t', ASCII)} / greatest(length(t), 1) > 0.7 AS needs_model FROM m""")
 def line_translate_route(spark, sf):
-    lines = B.talk(spark, sf).select(
-        "session_id", "turn_id", F.posexplode(F.split("note_text", "\n")).alias("line_no", "line")
+    lines = explode_rows(
+        B.talk(spark, sf), ["session_id", "turn_id"], F.split("note_text", "\n"), "line", "line_no"
     )
     blank = text.is_blank(F.col("line"))
     done = lines.withColumn("_t", rules.translate_terms_in_line(F.col("line")))
@@ -594,11 +595,8 @@ def subsections_keypoints(spark, sf):
     subs = B.talk(spark, sf).select(
         "session_id", "turn_id", sections.subsections(F.col("note_text")).alias("subs")
     )
-    return subs.select(
-        "session_id", "turn_id",
-        F.array_join(sections.key_points(F.col("subs")), " | ").alias("key_points"),
-        F.posexplode("subs").alias("sub_no", "s"),
-    ).select(
+    points = F.array_join(sections.key_points(F.col("subs")), " | ").alias("key_points")
+    return explode_rows(subs, ["session_id", "turn_id", points], F.col("subs"), "s", "sub_no").select(
         "session_id", "turn_id", "sub_no", F.col("s.title").alias("title"),
         F.size("s.points").alias("n_points"), F.array_join("s.points", "\n").alias("points"), "key_points",
     )
@@ -626,9 +624,7 @@ def sql_matches(source: str, table: str, keys: str, patterns: list[tuple[int, st
   SELECT {KEY}, min(start) AS start, max(stop) AS stop FROM g GROUP BY {KEY}, grp""")
 def highlight_spans(spark, sf):
     x = F.replace(F.concat("en", F.lit(" "), "mr"), F.lit("safety "), F.lit("औषधउपचार "))
-    return B.talk(spark, sf).select(
-        "session_id", "turn_id", F.inline(spans.highlight_spans(x))
-    )
+    return inline_rows(B.talk(spark, sf), ["session_id", "turn_id"], spans.highlight_spans(x))
 
 
 def _sql_pack(key: str, table: str, source: str, sep: str, limit: int, glue: str) -> str:
@@ -647,9 +643,8 @@ def _sql_pack(key: str, table: str, source: str, sep: str, limit: int, glue: str
   {_sql_pack('doc_id', 'src', 'x', "'. '", 500, "'. '")}
   SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, {B.sql_strip('chunk')} AS chunk FROM packed""")
 def chunk_text(spark, sf):
-    return B.read(spark, sf, "documents").select(
-        "doc_id", F.posexplode(text.chunk_sentences(F.col("text"))).alias("chunk_no", "chunk")
-    )
+    docs = B.read(spark, sf, "documents")
+    return explode_rows(docs, ["doc_id"], text.chunk_sentences(F.col("text")), "chunk", "chunk_no")
 
 
 @query("chunk_lines", f"""WITH RECURSIVE src AS (SELECT doc_id, text AS x FROM documents WHERE length(text) > 4500),
@@ -657,9 +652,8 @@ def chunk_text(spark, sf):
   SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM packed
   UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 4500""")
 def chunk_lines(spark, sf):
-    return B.read(spark, sf, "documents").select(
-        "doc_id", F.posexplode(text.chunk_lines(F.col("text"))).alias("chunk_no", "chunk")
-    )
+    docs = B.read(spark, sf, "documents")
+    return explode_rows(docs, ["doc_id"], text.chunk_lines(F.col("text")), "chunk", "chunk_no")
 
 
 def _sql_format(template: str, *args: str) -> str:

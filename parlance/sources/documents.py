@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import sections
+from parlance.functions.rows import explode_rows
 from parlance.functions.text import strip
 
 TURN = (
@@ -64,9 +65,9 @@ def scan_sessions(
     """Turns of session records, in list order; unknown roles are kept as written."""
     raw = spark.read.schema(SESSION).option("multiLine", multi_line).json(path)
     return (
-        raw.select(
-            "session_id", "phq8_score", "severity", "symptom_profile", "persona",
-            F.posexplode(turns_of_session(dialect)).alias("pos", "t"),
+        explode_rows(
+            raw, ["session_id", "phq8_score", "severity", "symptom_profile", "persona"],
+            turns_of_session(dialect), "t", "pos",
         )
         .select(
             "session_id", F.coalesce("t.turn_id", F.col("pos").cast("long")).alias("turn_id"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import scores
-from parlance.functions.text import let, strip
+from parlance.functions.rows import explode_rows
+from parlance.functions.text import strip
 from parlance.operators.turns import with_metrics, with_roles
 
 # Transcript columns and how many characters decide the separator.
@@ -51,9 +52,9 @@ def scan_transcripts(
         rows = files.select("session_id", tabbed.alias("_tab"), _records(F.col("_content")).alias("_r"))
         head = F.get("_r", 0)
         names = F.when(F.col("_tab"), F.split(head, "\t")).otherwise(F.split(head, ","))
-        body = rows.withColumn("_names", F.transform(names, strip)).select(
-            "session_id", "_tab", "_names",
-            F.posexplode(F.slice("_r", F.lit(2), F.size("_r"))).alias("turn_id", "_line"),
+        body = explode_rows(
+            rows.withColumn("_names", F.transform(names, strip)), ["session_id", "_tab", "_names"],
+            F.slice("_r", F.lit(2), F.size("_r")), "_line", "turn_id",
         )
         width = len(COLUMNS)
         got = F.when(F.col("_tab"), _fields(F.col("_line"), "\t", width)).otherwise(
