@@ -68,15 +68,15 @@ def dedupe(entities: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def by_side(turns: DataFrame) -> DataFrame:
     """Entities of patient and doctor from the native and the English text of each turn."""
-    sides = turns.withColumn("side", scores.side_of(F.col("role")))
-    base = ["session_id", "turn_id", "side"]
-    native = rule_entities(sides.select(*base, "text")).withColumn("source", F.lit("marathi"))
-    english = rule_entities(sides.select(*base, F.col("text_en").alias("text"))).withColumn(
-        "source", F.lit("english")
+    both = F.array(
+        F.struct(F.lit("marathi").alias("source"), F.col("text").alias("said")),
+        F.struct(F.lit("english").alias("source"), F.col("text_en").alias("said")),
     )
-    firsts = dedupe(
-        native.unionByName(english).drop("text"), [*base, "source"], ["rule", "start"]
+    said = inline_rows(
+        turns, ["session_id", "turn_id", scores.side_of(F.col("role")).alias("side")], both
     )
+    found = rule_entities(said, "said").drop("said")
+    firsts = dedupe(found, ["session_id", "turn_id", "side", "source"], ["rule", "start"])
     return firsts.withColumn(
         "entity", F.concat("entity", F.lit(" ["), F.col("source"), F.lit("]"))
     )

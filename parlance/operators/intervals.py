@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ordering import prefix
+from parlance.session import settle
 
 # Seconds per time bucket; about the length of a typical segment works best.
 BUCKET_S = 60.0
@@ -59,7 +60,7 @@ def assign_by_nearest(chunks: DataFrame, segments: DataFrame, width: float = BUC
     """Label of the segment whose midpoint is nearest, the earliest listed on a tie.
 
     Chunks and segments share one timeline per session; the neighbours before and after
-    each chunk come from two passes over it, not from pairs.
+    each chunk come from one ordered pass over it, not from pairs.
     """
     mid = (F.col("start_s") + F.col("end_s")) / 2
     seg = F.struct(F.col("mid").alias("mid"), F.col("seg_id").alias("seg_id"),
@@ -78,11 +79,7 @@ def assign_by_nearest(chunks: DataFrame, segments: DataFrame, width: float = BUC
     )
     both = prefix(
         line, ["session_id"], ["mid", "kind", "chunk_id"], F.floor(F.col("mid") / width),
-        last_value={"_before": F.col("seg")},
-    ).withColumn("_back", -F.col("mid")).withColumn("_id", -F.col("chunk_id"))
-    both = prefix(
-        both, ["session_id"], ["_back", "kind", "_id"], F.floor(F.col("_back") / width),
-        last_value={"_after": F.col("seg")},
+        last_value={"_before": F.col("seg")}, next_value={"_after": F.col("seg")},
     )
 
     def distance(side: str) -> Column:
@@ -102,7 +99,10 @@ def assign_by_nearest(chunks: DataFrame, segments: DataFrame, width: float = BUC
 
 def assign_speakers(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:
     """Overlap decides; chunks without any take the nearest segment."""
-    hit = assign_by_overlap(chunks, segments, width).select("session_id", "chunk_id", "speaker")
+    hit = settle(
+        assign_by_overlap(chunks, segments, width).select("session_id", "chunk_id", "speaker"),
+        "overlap-labels",
+    )
     missed = chunks.join(hit, ["session_id", "chunk_id"], "left_anti")
     near = assign_by_nearest(missed, segments, width)
     return chunks.drop("speaker").join(hit.unionByName(near), ["session_id", "chunk_id"], "left")

@@ -8,11 +8,14 @@ summaries are joined back on (session, bucket).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Test of (this row, previous row).
+Step = Callable[[Column, Column], Column]
+
 # Rows per bucket when the order column is a dense counter.
 BUCKET_ROWS = 65536
 
@@ -25,65 +28,98 @@ def prefix(
     lag: Mapping[str, Column] | None = None,
     running_sum: Mapping[str, Column] | None = None,
     last_value: Mapping[str, Column] | None = None,
+    next_value: Mapping[str, Column] | None = None,
+    step_sum: Mapping[str, tuple[Column, Step]] | None = None,
     position: str | None = None,
 ) -> DataFrame:
     """Add columns computed along ``order`` inside each group of ``keys``.
 
     ``bucket`` must not decrease along ``order``, and (keys, order) must be unique.
     ``lag`` gives the value on the previous row, ``running_sum`` includes the current
-    row, ``last_value`` is the latest non-NULL value up to the current row, and
-    ``position`` counts from 0.
+    row, ``last_value`` and ``next_value`` are the nearest non-NULL values up to and from
+    the current row, and ``position`` counts from 0. ``step_sum`` counts, up to the
+    current row, the rows for which a test of (this row's struct, the previous row's
+    struct) holds.
     """
-    lag, running_sum, last_value = lag or {}, dict(running_sum or {}), last_value or {}
+    lag, last_value, next_value = lag or {}, last_value or {}, next_value or {}
+    running_sum, step_sum = dict(running_sum or {}), step_sum or {}
     if position:
         running_sum[position] = F.lit(1).cast("long")
     keys, order = list(keys), list(order)
     part = [*keys, "_bucket"]
+    values = {**lag, **running_sum, **last_value, **next_value,
+              **{n: inputs for n, (inputs, _) in step_sum.items()}}
+
+    def holds(name: str, this: Column, before: Column) -> Column:
+        test = step_sum[name][1](this, before)
+        return F.when(before.isNotNull() & test, 1).otherwise(0).cast("long")
 
     work = df.withColumn("_bucket", bucket)
-    for name, value in {**lag, **running_sum, **last_value}.items():
+    for name, value in values.items():
         work = work.withColumn(f"_v_{name}", value)
 
+    inside = Window.partitionBy(*part).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    if step_sum:
+        # Tests inside a bucket; the first row of a bucket is tested between buckets.
+        for n in step_sum:
+            work = work.withColumn(
+                f"_h_{n}", holds(n, F.col(f"_v_{n}"), F.lag(f"_v_{n}").over(inside))
+            )
+
     at = F.struct(*order)
+
+    def some(name: str) -> Column:
+        return F.when(F.col(f"_v_{name}").isNotNull(), at)
+
     totals = [F.lit(True).alias("_any")]
     totals += [F.max_by(f"_v_{n}", at).alias(f"_t_{n}") for n in lag]
     totals += [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in running_sum]
-    totals += [
-        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}")
-        for n in last_value
-    ]
+    totals += [F.max_by(f"_v_{n}", some(n)).alias(f"_t_{n}") for n in last_value]
+    totals += [F.min_by(f"_v_{n}", some(n)).alias(f"_t_{n}") for n in next_value]
+    for n in step_sum:
+        totals += [F.sum(f"_h_{n}").alias(f"_t_{n}"), F.min_by(f"_v_{n}", at).alias(f"_a_{n}"),
+                   F.max_by(f"_v_{n}", at).alias(f"_z_{n}")]
     across = Window.partitionBy(*keys).orderBy("_bucket")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        work.groupBy(*part).agg(*totals)
-        .select(
-            *part,
-            *[F.lag(f"_t_{n}").over(across).alias(f"_c_{n}") for n in lag],
-            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in running_sum],
-            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last_value],
-            F.row_number().over(across).alias("_nth"),
+    after = across.rowsBetween(1, Window.unboundedFollowing)
+    per_bucket = work.groupBy(*part).agg(*totals)
+    for n in step_sum:
+        per_bucket = per_bucket.withColumn(
+            f"_e_{n}", holds(n, F.col(f"_a_{n}"), F.lag(f"_z_{n}").over(across))
         )
-        .filter("_nth > 1")
-        .drop("_nth")
-    )
+    carry = per_bucket.select(
+        *part,
+        *[F.lag(f"_t_{n}").over(across).alias(f"_c_{n}") for n in lag],
+        *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in running_sum],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last_value],
+        *[F.first(f"_t_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in next_value],
+        *[
+            (F.coalesce(F.sum(F.col(f"_t_{n}") + F.col(f"_e_{n}")).over(before), F.lit(0))
+             + F.col(f"_e_{n}")).alias(f"_c_{n}")
+            for n in step_sum
+        ],
+        F.count("*").over(Window.partitionBy(*keys)).alias("_buckets"),
+    ).filter("_buckets > 1").drop("_buckets")
 
-    inside = Window.partitionBy(*part).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = work.select(
         "*",
         F.row_number().over(inside).alias("_rn"),
         *[F.lag(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in lag],
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in running_sum],
         *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in last_value],
+        *[F.first(f"_v_{n}", ignorenulls=True).over(onward).alias(f"_l_{n}") for n in next_value],
+        *[F.sum(f"_h_{n}").over(upto).alias(f"_l_{n}") for n in step_sum],
     )
     joined = local.join(carry, part, "left")
-    out = [F.col(c) for c in df.columns if c not in {**lag, **running_sum, **last_value}]
+    out = [F.col(c) for c in df.columns if c not in values]
     for n in lag:
         out.append(F.when(F.col("_rn") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}")).alias(n))
-    for n in running_sum:
+    for n in [*running_sum, *step_sum]:
         total = F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
         out.append((total - 1 if n == position else total).alias(n))
-    for n in last_value:
+    for n in [*last_value, *next_value]:
         out.append(F.coalesce(f"_l_{n}", f"_c_{n}").alias(n))
     return joined.select(*out)
 

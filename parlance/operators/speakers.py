@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text
 from parlance.functions.rows import explode_rows
-from parlance.operators.ordering import prefix
+from parlance.operators.ordering import Step, prefix
+from parlance.session import settle
 
 # Pause that switches speakers, and the dominance that forces alternation.
 PAUSE_S = 1.5
@@ -36,56 +37,62 @@ def _letter(flips: Column) -> Column:
     return F.when(F.pmod(flips, F.lit(2)) == 0, "A").otherwise("B")
 
 
-def _marked(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
-    """Position, pause before the chunk, and question-then-brief-reply, per chunk."""
-    placed = prefix(
-        chunks.withColumn("_q", text.is_question(F.col("text"))),
-        ["session_id"], ["chunk_id"], chunk_bucket(),
-        lag={"_prev_end": F.col("end_s"), "_asked": F.col("_q")}, position="_i",
+def _pause(pause_s: float) -> tuple[Column, Step]:
+    times = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"))
+    return times, lambda this, prev: F.coalesce(this["start"] - prev["end"] > pause_s, F.lit(False))
+
+
+def _cue() -> tuple[Column, Step]:
+    said = F.struct(
+        text.is_question(F.col("text")).alias("asks"), text.is_brief_reply(F.col("text")).alias("brief")
+    )
+    return said, lambda this, prev: prev["asks"] & this["brief"]
+
+
+def speaker_by_pause(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
+    """Speakers A and B change after a pause longer than ``pause_s``."""
+    counted = prefix(
+        chunks, ["session_id"], ["chunk_id"], chunk_bucket(), step_sum={"_flips": _pause(pause_s)}
     )
-    gap = F.coalesce(F.col("start_s") - F.col("_prev_end") > pause_s, F.lit(False))
-    cue = F.coalesce("_asked", F.lit(False)) & text.is_brief_reply(F.col("text"))
-    return placed.withColumn("_gap", gap).withColumn("_cue", cue).drop("_q", "_prev_end", "_asked")
+    return counted.withColumn("speaker", _letter(F.col("_flips"))).drop("_flips")
 
 
-def _with_flips(marked: DataFrame) -> DataFrame:
-    """Speaker letters by pauses (``_by_pause``) and by cues (``_by_cue``).
+def _counted(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
+    """Position, pauses and cues so far, per chunk, written to the shared folder.
 
-    The first even position also switches if no cue has before, so the cue switches are
-    the cue rows plus the earliest of {cue, even position}.
+    Several per-session facts are read from it next, so it is computed once.
     """
-    session = marked.groupBy("session_id").agg(
-        F.min(F.when((F.col("_i") >= 1) & (F.col("_cue") | (F.col("_i") % 2 == 0)), F.col("_i")))
-        .alias("_first"),
-        F.bool_or("_gap").alias("_paused"),
-    )
-    flip = F.coalesce(F.col("_cue") | (F.col("_i") == F.col("_first")), F.lit(False))
     counted = prefix(
-        marked.join(session, "session_id"), ["session_id"], ["chunk_id"], chunk_bucket(),
-        running_sum={"_pauses": F.col("_gap").cast("long"), "_cues": flip.cast("long")},
-    )
-    return counted.withColumn("_by_pause", _letter(F.col("_pauses"))).withColumn(
-        "_by_cue", _letter(F.col("_cues"))
+        chunks, ["session_id"], ["chunk_id"], chunk_bucket(), position="_i",
+        step_sum={"_pauses": _pause(pause_s), "_cues": _cue()},
     )
+    return settle(counted, "speaker-flips")
 
 
-def speaker_by_pause(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
-    """Speakers A and B change after a pause longer than ``pause_s``."""
-    back = prefix(
-        chunks, ["session_id"], ["chunk_id"], chunk_bucket(), lag={"_prev_end": F.col("end_s")}
+def _session_facts(counted: DataFrame) -> DataFrame:
+    """Whether a session has a pause, and a cue among its second and third chunk."""
+    return counted.groupBy("session_id").agg(
+        (F.max("_pauses") > 0).alias("_paused"),
+        F.coalesce(F.max(F.when(F.col("_i") <= 2, F.col("_cues"))) > 0, F.lit(False)).alias("_early"),
     )
-    gap = (F.col("start_s") - F.col("_prev_end") > pause_s).cast("long")
-    flips = prefix(
-        back, ["session_id"], ["chunk_id"], chunk_bucket(),
-        running_sum={"_flips": F.coalesce(gap, F.lit(0).cast("long"))},
-    )
-    return flips.withColumn("speaker", _letter(F.col("_flips"))).drop("_prev_end", "_flips")
+
+
+def _by_cue() -> Column:
+    """Speaker by cues; without an early cue the third chunk switches too."""
+    extra = F.when((F.col("_i") >= 2) & ~F.col("_early"), 1).otherwise(0)
+    return _letter(F.col("_cues") + extra)
 
 
 def speaker_by_cue(chunks: DataFrame) -> DataFrame:
-    """A question answered briefly changes the speaker, as does the first even position."""
-    return _with_flips(_marked(chunks)).withColumn("speaker", F.col("_by_cue")).select(
-        *[c for c in chunks.columns if c != "speaker"], "speaker"
+    """A question answered briefly changes the speaker.
+
+    The first even position also does when nothing has before it: position 2, unless
+    position 1 or 2 is a cue.
+    """
+    counted = _counted(chunks)
+    keep = [c for c in chunks.columns if c != "speaker"]
+    return counted.join(_session_facts(counted), "session_id").withColumn("speaker", _by_cue()).select(
+        *keep, "speaker"
     )
 
 
@@ -111,10 +118,11 @@ def speaker_rebalance(chunks: DataFrame) -> DataFrame:
 
 def speaker_hints(chunks: DataFrame) -> DataFrame:
     """Pauses decide; sessions without a pause go by cues; then rebalance."""
-    chosen = F.when(F.col("_paused"), F.col("_by_pause")).otherwise(F.col("_by_cue"))
+    counted = _counted(chunks)
+    chosen = F.when(F.col("_paused"), _letter(F.col("_pauses"))).otherwise(_by_cue())
     keep = [c for c in chunks.columns if c != "speaker"]
-    flips = _with_flips(_marked(chunks)).withColumn("speaker", chosen)
-    return _rebalance(flips.select(*keep, "speaker", "_i"))
+    labelled = counted.join(_session_facts(counted), "session_id").withColumn("speaker", chosen)
+    return _rebalance(labelled.select(*keep, "speaker", "_i"))
 
 
 def chunk_score(said: Column, chunk_id: Column) -> tuple[Column, Column]:

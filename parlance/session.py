@@ -49,3 +49,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that several later steps use: they are computed once, the plan stays
+    short, and lost executors cost no more than the current step.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

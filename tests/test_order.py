@@ -21,14 +21,18 @@ def test_prefix_equals_a_plain_window(spark, width):
     got = O.prefix(
         df, ["k"], ["o"], F.floor(F.col("o") / width), lag={"prev": F.col("v")},
         running_sum={"cum": F.col("v")}, last_value={"seen": F.col("s")}, position="pos",
+        next_value={"ahead": F.col("s")},
+        step_sum={"ups": (F.struct(F.col("v").alias("v")), lambda this, prev: this["v"] > prev["v"])},
     )
     w = Window.partitionBy("k").orderBy("o")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     want = df.select(
         "*", F.lag("v").over(w).alias("prev"), F.sum("v").over(up).alias("cum"),
         (F.row_number().over(w) - 1).alias("pos"), F.last("s", ignorenulls=True).over(up).alias("seen"),
-    )
-    cols = ["k", "o", "v", "s", "prev", "cum", "pos", "seen"]
+        F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("ahead"),
+        F.coalesce((F.col("v") > F.lag("v").over(w)).cast("long"), F.lit(0)).alias("_up"),
+    ).withColumn("ups", F.sum("_up").over(up))
+    cols = ["k", "o", "v", "s", "prev", "cum", "pos", "seen", "ahead", "ups"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
