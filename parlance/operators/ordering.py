@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 # Test of (this row, previous row).
 Step = Callable[[Column, Column], Column]
 
+# Hex digits of a hash bucket, the bucket count they give, and rows a lookup may hold.
+HASH_DIGITS = 3
+HASH_BUCKETS = 16**HASH_DIGITS
+LOOKUP_ROWS = 100_000
+
 # Rows per bucket when the order column is a dense counter.
 BUCKET_ROWS = 65536
 
@@ -151,12 +156,14 @@ def cut_by_rank(
     fractions: Sequence[float],
     labels: Sequence[str],
     label_col: str = "split",
+    max_buckets: int | None = None,
 ) -> DataFrame:
     """Cut one global order at exact row counts ``floor(n * fraction)``.
 
     A histogram over buckets finds the buckets that hold a cut; only their rows are
     ranked, the rest is labelled by a lookup on the bucket. ``fractions`` are the
-    shares of all labels but the last.
+    shares of all labels but the last. A known, small bound on the number of buckets
+    (``max_buckets``) lets the lookup go to the rows instead of the rows to the lookup.
     """
     work = df.withColumn("_bucket", bucket)
     sizes = work.groupBy("_bucket").agg(F.count("*").alias("_n"))
@@ -183,6 +190,8 @@ def cut_by_rank(
     edges = edges.withColumn("_first", label(F.col("_lo"))).withColumn(
         "_last", label(F.col("_hi") - 1)
     )
+    if max_buckets is not None and max_buckets <= LOOKUP_ROWS:
+        edges = F.broadcast(edges)
     tagged = work.join(edges, "_bucket")
     whole = tagged.filter("_first = _last").withColumn(label_col, F.col("_first"))
     within = Window.partitionBy("_bucket").orderBy(*order)
@@ -202,6 +211,6 @@ def seeded_hash(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def hash_bucket(digest: Column, digits: int = 3) -> Column:
-    """Even, order-preserving buckets over a hex digest."""
-    return F.left(digest, F.lit(digits))
+def hash_bucket(digest: Column) -> Column:
+    """Even, order-preserving buckets over a hex digest, ``HASH_BUCKETS`` at most."""
+    return F.left(digest, F.lit(HASH_DIGITS))

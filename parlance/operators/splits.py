@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.rows import explode_rows
-from parlance.operators.ordering import cut_by_rank, hash_bucket, seeded_hash
+from parlance.operators.ordering import (
+    HASH_BUCKETS, cut_by_rank, hash_bucket, seeded_hash,
+)
 
 # Split shares, quality gates, augmentation names.
 TRAIN, VAL = 0.8, 0.1
@@ -24,7 +26,8 @@ def split_three_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Seeded shuffle, then floor(80 %) train, floor(10 %) val, the rest test."""
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     return cut_by_rank(
-        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN, VAL], ["train", "val", "test"]
+        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN, VAL], ["train", "val", "test"],
+        max_buckets=HASH_BUCKETS,
     ).drop("_h")
 
 
@@ -35,7 +38,8 @@ def split_two_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     large = cut_by_rank(
-        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN], ["train", "val"]
+        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN], ["train", "val"],
+        max_buckets=HASH_BUCKETS,
     ).drop("_h")
     few = df.limit(SMALL_SET)
     n = few.agg(F.count("*").alias("n"))
