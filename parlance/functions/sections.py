@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import is_blank, let, squeeze, strip
+from parlance.functions.text import NOT_KEPT, is_blank, let, squeeze, strip
 
 SECTIONS = ["subjective", "objective", "assessment", "plan"]
 NOTE_TYPE = "struct<subjective:string,objective:string,assessment:string,plan:string>"
@@ -309,7 +309,7 @@ def prepare_conversation(text: Column, max_chars: int = PROMPT_CHARS) -> Column:
         kept,
         lambda x: F.struct(
             x.alias("line"),
-            F.regexp_replace(F.lower(x), r"[^a-z0-9ऀ-ॿ ]+", "").alias("key"),
+            F.regexp_replace(F.lower(x), f"[{NOT_KEPT}]+", "").alias("key"),
         ),
     )
     merged = let(

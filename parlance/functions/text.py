@@ -25,6 +25,11 @@ BRIEF_REPLY_WORDS = 14
 CLIP_TEXT_MIN, CLIP_TEXT_MAX = 3, 500
 
 
+# All characters but 0-9, a-z, Devanagari and the blank. Spelt out, the class matches
+# several times faster than the negated one.
+NOT_KEPT = r"\x00-\x1F!-/:-`{-\x{8FF}\x{980}-\x{10FFFF}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once per row and use it many times in ``body``.
 
@@ -61,7 +66,7 @@ def squeeze(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """Lower-case letters and digits (Latin and Devanagari), single spaces."""
-    kept = F.regexp_replace(F.lower(c), r"[^0-9a-zऀ-ॿ]+", " ")
+    kept = F.regexp_replace(F.lower(c), f"[{NOT_KEPT} ]+", " ")
     return F.coalesce(F.btrim(kept), F.lit(""))
 
 
