@@ -59,7 +59,7 @@ def side_of(role: Column) -> Column:
 
 def int_of(text: Column) -> Column:
     """Whole number held in text, NULL when empty or malformed."""
-    return F.expr("CAST(NULL AS INT)") if text is None else F.btrim(text).try_cast("int")
+    return F.btrim(text).try_cast("int")
 
 
 def score_of(first: Column, second: Column) -> Column:

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores
-from parlance.functions.sections import SECTIONS
 from parlance.operators import splits as P, turns as T
 from parlance.plans import tables as B
 from parlance.plans.order_queries import EXAMPLES, _examples, sql_hash

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.functions import rules, scores, text
-from parlance.functions.sections import SECTIONS
+from parlance.functions import scores, text
 from parlance.functions.rows import explode_rows, inline_rows
 from parlance.operators import clinic, evaluation as V, review as R
 from parlance.operators import speakers as S, splits as P, turns as T, waves as W
 from parlance.plans import tables as B
-from parlance.plans.registry import ORACLES, query
-from parlance.plans.set_queries import E_LEN, M_ALL, RATIO, SHORT, EXPECT
+from parlance.plans.registry import query
+from parlance.plans.set_queries import E_LEN, EXPECT, RATIO, SHORT
 from parlance.plans.tables import quote
-from parlance.plans.text_queries import DETECT, KEY, SQL_BRIEF, SQL_QUESTION, sql_replace
+from parlance.plans.text_queries import DETECT, KEY, SQL_BRIEF, SQL_QUESTION
 from parlance.session import scratch
 from parlance.streaming import jobs
 

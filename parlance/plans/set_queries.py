@@ -388,10 +388,6 @@ def eval_report(spark, sf):
     return report.select("section", *[F.round(m, 6).alias(m) for m in V.METRICS])
 
 
-COMPARE = f"""WITH {B.SECTION_PAIRS}, a AS (SELECT section, avg(length(pred)) AS v FROM spairs WHERE section <> 'plan' GROUP BY section),
-  b AS (SELECT section, avg(length(ref)) AS v FROM spairs GROUP BY section)"""
-
-
 @query("compare_runs", f"""WITH RECURSIVE {B.SECTION_PAIRS}, {BAGS}, {sql_overlap(1)},
   a AS (SELECT section, avg(p) AS precision, avg(r) AS recall, avg(f1) AS f1 FROM spairs JOIN sc USING ({KEY}) WHERE section <> 'plan' GROUP BY section),
   b AS (SELECT section, avg(r) AS precision, avg(p) AS recall, avg(f1) AS f1 FROM spairs JOIN sc USING ({KEY}) GROUP BY section),
