@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, exact_dedup, url_filters
+from parlance.llm import chat, exact_dedup, packing, token_counts, url_filters
 from parlance.llm.common import LOWER, UPPER
 from parlance.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -108,3 +108,22 @@ def op7(spark, sf):
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def vocabulary() -> str:
+    """Vocabulary file the queries are stated for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_packing")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return packing.pack(docs, vocabulary(), with_ids=False)
+
+
+@query("op9_token_counts")
+def op9(spark, sf):
+    counted = token_counts.count_tokens(table(spark, sf, "documents", "doc_id", "text"), vocabulary())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
