@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, exact_dedup, packing, token_counts, url_filters
+from parlance.llm import (
+    chat, decontamination, exact_dedup, labelled, packing, quality, token_counts, toxicity,
+    url_filters,
+)
 from parlance.llm.common import LOWER, UPPER
 from parlance.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -127,3 +130,36 @@ def op8(spark, sf):
 def op9(spark, sf):
     counted = token_counts.count_tokens(table(spark, sf, "documents", "doc_id", "text"), vocabulary())
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op10_decontamination")
+def op10(spark, sf):
+    leaks = decontamination.find_leaks(
+        table(spark, sf, "documents", "doc_id", "text"),
+        table(spark, sf, "benchmark", "item_id", "text"),
+    )
+    return leaks.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "exact"
+    )
+
+
+def _scored(spark, sf, label, folds, fold, train, score):
+    """Learns from the rows outside the fold and scores all documents."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    labels = table(spark, sf, "labels", "doc_id", label)
+    held_out = labelled.in_fold("doc_id", folds, fold)
+    model = train(labelled.labelled_sample(docs, labels, label, ~held_out))
+    return score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    return _scored(spark, sf, "toxic", 4, 2, toxicity.train, toxicity.score_toxicity)
+
+
+@query("op5_quality")
+def op5(spark, sf):
+    return _scored(spark, sf, "quality", 5, 0, quality.train, quality.score_quality)
