@@ -112,3 +112,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def window_hash(seq: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of ``width`` values, built from windows of powers of two."""
+    n = len(seq) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, power, step = None, 0, seq, 1
+    while True:
+        if width & step:
+            part = power[done : done + n]
+            out = part if out is None else mix64(out * K1 + part * K2)
+            done += step
+        if done == width:
+            return mix64(out ^ np.uint64(width))
+        power = mix64(power[:-step] * K1 + power[step:] * K2)
+        step *= 2

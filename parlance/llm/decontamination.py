@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import ROW, Growing, mix64, number_rows, spread_index
+from parlance.llm.common import ROW, Growing, mix64, number_rows, spread_index, window_hash
 from parlance.llm.words import ChunkTable, chunks_of, sums, text_slices
 
 WIDTH = 13
@@ -40,7 +40,7 @@ TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?:;][\"')\]]*$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 MARKS = np.array([0, 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997], np.uint64)
-K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def word_hash(word: str) -> int:
@@ -108,23 +108,6 @@ def templates(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, ...]:
     return np.where(kind == PLAIN, value, MARKS[kind]), kind, value, counts
 
 
-def window_hash(seq: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window of ``width`` values, built from windows of powers of two."""
-    n = len(seq) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, done, power, step = None, 0, seq, 1
-    while True:
-        if width & step:
-            part = power[done : done + n]
-            out = part if out is None else mix64(out * K1 + part * K2)
-            done += step
-        if done == width:
-            return mix64(out ^ np.uint64(width))
-        power = mix64(power[:-step] * K1 + power[step:] * K2)
-        step *= 2
-
-
 def second_hash(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     out = np.full(len(at), 0x5851F42D4C957F2D, np.uint64)
     for j in range(width):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    chat, decontamination, exact_dedup, labelled, packing, quality, token_counts, toxicity,
+    chat, decontamination, exact_dedup, jaccard_join, labelled, packing, quality, token_counts, toxicity,
     url_filters,
 )
 from parlance.llm.common import LOWER, UPPER
@@ -163,3 +163,35 @@ def op4(spark, sf):
 @query("op5_quality")
 def op5(spark, sf):
     return _scored(spark, sf, "quality", 5, 0, quality.train, quality.score_quality)
+
+
+@query(
+    "op3_jaccard_join",
+    rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                          '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+            END AS s
+        FROM words),
+    tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b
+        FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach(a, r) AS (
+        SELECT doc_id, doc_id FROM sets
+        UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.r = links.a)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, min(r) AS component_id
+    FROM sets JOIN reach ON doc_id = reach.a GROUP BY doc_id, s
+    """,
+)
+def op3(spark, sf):
+    found = jaccard_join.similar_groups(table(spark, sf, "documents", "doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id"
+    )
