@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import ROW, Growing, mix64, number_rows, spread_index, window_hash
+from parlance.llm.common import (
+    ROW, Growing, mix64, number_rows, spread_index, stored, window_hash,
+)
 from parlance.llm.words import ChunkTable, chunks_of, sums, text_slices
 
 WIDTH = 13
@@ -205,7 +207,7 @@ def find_leaks(
     )
     held = spark.sparkContext.broadcast(seen)
 
-    read = number_rows(docs).select(
+    read = number_rows(stored(docs)).select(
         ROW, F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")
     )
     # Ids travel as they are, looked up by row only where a window passed.
@@ -257,5 +259,6 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, columns as given."""
+    docs = stored(docs)
     leaks = find_leaks(docs, benchmark, **options).select(ROW).distinct()
     return number_rows(docs).join(leaks, ROW, "left_anti").select(*docs.columns)

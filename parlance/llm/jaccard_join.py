@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import repeats
 from parlance.llm.common import (
-    ROW, Growing, number_rows, parts_for, spread_index, text_bytes, window_hash,
+    ROW, Growing, number_rows, parts_for, spread_index, stored, text_bytes, window_hash,
 )
 from parlance.llm.components import components
 from parlance.llm.words import ChunkTable, text_slices
@@ -124,7 +124,7 @@ def _summaries(read: DataFrame, size: int, words: int) -> DataFrame:
                 })
 
     def answer(packed: pd.DataFrame) -> pd.DataFrame:
-        refs, _ = repeats.answers(packed)
+        refs, _, _ = repeats.answers(packed)
         first, n = repeats.runs(refs)
         zero = np.zeros(len(first), np.int64)
         own = np.frombuffer(b"".join(x for x in packed["own"] if x), np.int64).reshape(-1, 6)
@@ -307,6 +307,7 @@ def similar_groups(
     and none drops a candidate.
     """
     limit = Threshold(percent)
+    docs = stored(docs)
     read = _read(docs, id_col, text)
     size = text_bytes(docs, text)
     told = settle(
@@ -397,6 +398,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     A null id counts as larger than others; of rows with the same id the first one read
     stays. Rows without words all stay.
     """
+    docs = stored(docs)
     found = similar_groups(docs, id_col, text, **options)
     best = F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("m")
     stay = found.groupBy("group").agg(best).select(F.col(f"m.{ROW}").alias(ROW))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    chat, decontamination, exact_dedup, jaccard_join, labelled, packing, quality, token_counts, toxicity,
-    url_filters,
+    chat, decontamination, exact_dedup, jaccard_join, labelled, packing, quality,
+    suffix_dedup, token_counts, toxicity, url_filters,
 )
 from parlance.llm.common import LOWER, UPPER
 from parlance.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -195,3 +195,9 @@ def op3(spark, sf):
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    return suffix_dedup.drop_repeats(docs, with_text=False)

@@ -25,21 +25,23 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def questions(
-    keys: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int
+    keys: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int, most: int = 1
 ) -> tuple[np.ndarray, pd.DataFrame]:
-    """What repeats among the keys of one batch, and the packed rows for the rest.
+    """Which keys occur over ``most`` times in one batch, and the packed rows for the rest.
 
-    ``refs`` (int64) and ``places`` (int32) come back with the answer of a key that is
-    unique in this batch.
+    A key that occurs up to ``most`` times is sent with its ``refs`` (int64) and ``places``
+    (int32), which come back with the answer; one that occurs oftener is sent once.
     """
     order = np.argsort(keys, kind="stable")
     first, n = runs(keys[order])
+    often = n > most
     known = np.zeros(len(keys), bool)
-    known[order] = np.repeat(n > 1, n)
-    at = order[first]
-    sent, ref = keys[at], np.where(n > 1, NO_ANSWER, refs[at])
-    place = places[at]
-    bucket = (mix64(sent) % np.uint64(buckets)).astype(np.int32)
+    known[order] = np.repeat(often, n)
+    sent = np.ones(len(keys), bool)
+    sent[known] = False
+    sent[order[first[often]]] = True
+    keys, ref, place = keys[sent], np.where(known, NO_ANSWER, refs)[sent], places[sent]
+    bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int32)
     # Inside a bucket in the order of refs, which packs well.
     by = np.lexsort((ref, bucket))
     start, size = runs(bucket[by])
@@ -47,21 +49,30 @@ def questions(
     for a, k in zip(start, size):
         own = by[a : a + k]
         rows.append((
-            int(bucket[own[0]]), sent[own].tobytes(), ref[own].astype(np.int64).tobytes(),
+            int(bucket[own[0]]), keys[own].tobytes(), ref[own].astype(np.int64).tobytes(),
             place[own].astype(np.int32).tobytes(),
         ))
     return known, pd.DataFrame(rows, columns=["bucket", "keys", "refs", "places"])
 
 
-def answers(packed: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Refs and places, by ref, of the keys of one bucket that came from several batches."""
+def answers(
+    packed: pd.DataFrame, crowd: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Refs and places, by ref and place, of the keys of one bucket that repeat.
+
+    The third array tells which of them belong to a key that some batch sent for many, or
+    that came over ``crowd`` times.
+    """
     keys = np.frombuffer(b"".join(packed["keys"]), np.uint64)
     refs = np.frombuffer(b"".join(packed["refs"]), np.int64)
     places = np.frombuffer(b"".join(packed["places"]), np.int32)
     order = np.argsort(keys, kind="stable")
-    _, n = runs(keys[order])
-    again = order[np.repeat(n > 1, n)]
-    # A key sent without a wish for an answer has been met twice already.
-    again = again[refs[again] != NO_ANSWER]
-    again = again[np.lexsort((places[again], refs[again]))]
-    return refs[again], places[again]
+    first, n = runs(keys[order])
+    many = refs[order] == NO_ANSWER
+    held = np.maximum.reduceat(many, first) if len(first) else np.zeros(0, bool)
+    again = order[np.repeat((n > 1) | held, n)]
+    crowded = np.repeat(((n > crowd) | held)[(n > 1) | held], n[(n > 1) | held])
+    wanted = refs[again] != NO_ANSWER
+    again, crowded = again[wanted], crowded[wanted]
+    by = np.lexsort((places[again], refs[again]))
+    return refs[again[by]], places[again[by]], crowded[by]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import ROW, ascii_lower, number_rows
+from parlance.llm.common import ROW, ascii_lower, number_rows, stored
 
 # Keys the range cuts are chosen from, per partition.
 CUT_SAMPLE = 64
@@ -56,7 +56,7 @@ def judge_urls(
     spark = pages.sparkSession
     added = ["host", "path", "rule", "verdict"]
     given = [c for c in pages.columns if c not in added]
-    base = number_rows(pages.select(*given))
+    base = number_rows(stored(pages.select(*given)))
     base = base.withColumn("host", url_host(url)).withColumn("path", url_path(url))
     keyed = base.select(
         ROW, "host", "path", reversed_host("host").alias("key"), F.xxhash64(ROW).alias("spread")
