@@ -1,19 +1,57 @@
-"""A training corpus out of raw documents: the operators in a row."""
+"""A training corpus out of raw documents: five operators in a row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import exact_dedup
+from parlance.llm import (
+    decontamination, exact_dedup, jaccard_join, labelled, packing, queries, toxicity,
+)
 from parlance.session import scratch
 
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below the threshold."""
+    labels = queries.table(spark, sf_dir, "labels", "doc_id", "toxic")
+    keep = ~labelled.in_fold("doc_id", 4, 2)
+    net = toxicity.train(labelled.labelled_sample(docs, labels, "toxic", keep))
+    scored = toxicity.score_toxicity(docs, net, keep_text=True)
+    return scored.filter(F.col("score") < TOXIC).select(*docs.columns)
+
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text, the one with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", drop_exact)]
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents, the one with the smallest id."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_leaks(
+        docs, queries.table(spark, sf_dir, "benchmark", "item_id", "text")
+    )
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their place in a sequence."""
+    return packing.pack(docs, queries.vocabulary(), with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("decontamination", drop_leaked),
+    ("packing", pack),
+]
+# A network, a similarity join and a tokenizer: SQL expresses none of them.
 ORACLE_SQL = None
 
 

@@ -104,13 +104,14 @@ def score_texts(
     prepare: Callable[[], Callable[[list[str]], np.ndarray]],
     text: str = "text",
     score: str = "score",
+    keep_text: bool = False,
 ) -> DataFrame:
-    """The rows with a score in place of their text.
+    """The rows with a score in place of their text, or next to it.
 
     ``prepare`` runs once per task and gives a function from texts to scores. Null counts
     as empty text; other columns pass through.
     """
-    given = [c for c in docs.columns if c not in (text, score)]
+    given = [c for c in docs.columns if c not in (text, score) or keep_text and c == text]
     read = docs.select(*given, F.coalesce(text, F.lit("")).alias(score))
     schema = T.StructType([*read.schema.fields[:-1], T.StructField(score, T.DoubleType())])
 

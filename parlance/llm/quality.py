@@ -227,15 +227,17 @@ class Scorer:
         return sigmoid(self.field.slope * raw + self.field.offset)
 
 
-def score_quality(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """The rows with ``score`` (0 to 1, higher is better) in place of their text.
+def score_quality(
+    docs: DataFrame, field: Field, text: str = "text", keep_text: bool = False
+) -> DataFrame:
+    """The rows with ``score`` (0 to 1, higher is better) in place of their text, or next to it.
 
     All lines of the whole text are labelled. Null and empty texts are one empty line and
     get the score it has. Repeated rows get the same score, other columns pass through, a
     column named ``score`` is replaced, an empty table gives an empty table.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
-    return score_texts(docs, lambda: Scorer(held.value), text)
+    return score_texts(docs, lambda: Scorer(held.value), text, keep_text=keep_text)
 
 
 def label_lines(text: str, field: Field) -> list[tuple[str, float]]:

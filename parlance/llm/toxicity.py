@@ -372,8 +372,10 @@ def train(
     return net
 
 
-def score_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows with ``score`` (0 to 1) in place of their text.
+def score_toxicity(
+    docs: DataFrame, net: Network, text: str = "text", keep_text: bool = False
+) -> DataFrame:
+    """The rows with ``score`` (0 to 1) in place of their text, or next to it.
 
     Every word of every text is in a window; a text is as toxic as its worst window. Null
     and empty texts have one empty window and get the score it has. Repeated rows get the
@@ -381,4 +383,4 @@ def score_toxicity(docs: DataFrame, net: Network, text: str = "text") -> DataFra
     table gives an empty table.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
-    return score_texts(docs, lambda: Scorer(held.value), text)
+    return score_texts(docs, lambda: Scorer(held.value), text, keep_text=keep_text)
