@@ -157,6 +157,8 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) ->
                 keys = window_hash(seq, w)
                 filled = np.concatenate(([0], np.cumsum(kind != PLAIN)))
                 at = np.flatnonzero(2 * (filled[w:] - filled[: n - w + 1]) < w)
+                if not len(at):
+                    continue
                 key, check, slots = _rows(keys[at], at, w, seq, kind, value)
                 yield pd.DataFrame({
                     "item": [item] * len(at), "width": np.int32(w), "whole": n < SHORT,

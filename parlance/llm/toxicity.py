@@ -268,13 +268,13 @@ def _inputs(p, corpus, known, words):
     return x, (grams, n, own, pooled)
 
 
-def _batch(p, corpus, known, rows, y):
+def _batch(p, corpus, known, rows, y, weights):
     at, mask = corpus.place(rows)
     words, back = np.unique(at, return_inverse=True)
     back = back.reshape(at.shape)
     x, (grams, n, own, pooled) = _inputs(p, corpus, known, words)
     gf, gb = ((x @ p[f"w{d}"] + p[f"b{d}"])[back] for d in "fb")
-    _, g, d_gf, d_gb = gradients(p, gf, gb, mask, y, np.ones(len(y), np.float32))
+    _, g, d_gf, d_gb = gradients(p, gf, gb, mask, y, weights)
     d_x = 0
     for d, part in (("f", d_gf), ("b", d_gb)):
         flat = part.reshape(-1, 3 * HIDDEN)
@@ -349,16 +349,24 @@ def train(
         label, free = y[owner[rank]], rng.random(len(rank))
         some = (label == 1) & (nth < 1) | (label == 0) & ((nth < 2) | (nth < 12) & (free < 0.2))
         chosen = rank[fit[owner[rank]] & some]
-        for _ in range(epochs):
+        # Small samples get smaller steps and enough of them.
+        size = 256 if len(chosen) > 4096 else 64
+        passes = max(epochs, -(-100 * size // max(1, len(chosen))))
+        gain = np.clip((y[owner[chosen]] == 0).sum() / 3 / max(1, (y[owner[chosen]] == 1).sum()), 1, 8)
+        for _ in range(passes):
             shuffled = rng.permutation(chosen)
-            for i in range(0, len(shuffled), 256):
-                rows = shuffled[i : i + 256]
+            for i in range(0, len(shuffled), size):
+                rows = shuffled[i : i + size]
                 tick += 1
-                for k, g in _batch(p, corpus, known, rows, y[owner[rows]]).items():
+                label = y[owner[rows]]
+                weights = np.where(label == 1, gain, 1.0)
+                for k, g in _batch(p, corpus, known, rows, label, weights).items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     step = rate * np.sqrt(1 - 0.99**tick) / (1 - 0.9**tick)
+                    # The tables have many rows and few examples for each.
+                    step = step * 0.05 if k in ("words", "chars") else step
                     p[k] -= (step * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
                 p["words"][0] = 0
         x = _inputs(p, corpus, known, every)[0]
