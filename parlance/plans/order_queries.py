@@ -328,10 +328,16 @@ def _stream(spark, sf, columns):
 
 @query("stream_ingest_sessions", "SELECT event_id, user_id, epoch_us(ts) AS at FROM events")
 def stream_ingest_sessions(spark, sf):
-    """Events arrive twice in the stream and are kept once."""
-    out = scratch(spark, "ingest")
-    s = _stream(spark, sf, ["event_id", "user_id", "ts"])
-    jobs.ingest(s.union(s), ["event_id"], "ts", out, scratch(spark, "ingest-state")).awaitTermination()
+    """Three batches: new keys, then later ones with old keys again, then the earliest, late."""
+    e = B.read(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    src, out = scratch(spark, "ingest-files"), scratch(spark, "ingest")
+    part = F.col("event_id") % 3
+    again = e.withColumn("ts", F.col("ts") + F.expr("interval 2 days"))
+    first, later, late = (e.filter(part == k) for k in (1, 2, 0))
+    for batch in (first, later.unionByName(again.filter(part == 1)), late.unionByName(again.filter(part != 0))):
+        batch.coalesce(1).write.mode("append").parquet(src)
+    s = jobs.read_files(spark, src, e.schema, files_per_batch=1)
+    jobs.ingest(s, ["event_id"], "ts", out, scratch(spark, "ingest-state")).awaitTermination()
     got = spark.read.schema("event_id long, user_id long, ts timestamp").parquet(out)
     return got.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
 
@@ -340,15 +346,20 @@ def stream_ingest_sessions(spark, sf):
 def stream_progress(spark, sf):
     out = scratch(spark, "progress")
     jobs.progress(_stream(spark, sf, ["event_type"]), "event_type", out, scratch(spark, "progress-state")).awaitTermination()
-    return spark.read.parquet(out)
+    return jobs.newest(spark, out)
 
 
 @query("stream_active_visits", """WITH d AS (SELECT unnest(generate_series(0, 6)) AS k), w AS (SELECT epoch_us(date_trunc('day', ts))::BIGINT - k * 86400000000 AS lo FROM events, d)
   SELECT lo AS window_start, lo + 7 * 86400000000 AS window_end, count(*) AS visits FROM w WHERE lo IS NOT NULL GROUP BY lo""")
 def stream_active_visits(spark, sf):
-    out = scratch(spark, "active")
-    jobs.active_visits(_stream(spark, sf, ["ts"]), "ts", out, scratch(spark, "active-state")).awaitTermination()
-    got = spark.read.parquet(out)
+    """Two runs over one folder; the second brings the earlier half, days late."""
+    e = B.read(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    src, out, state = (scratch(spark, n) for n in ("active-files", "active", "active-state"))
+    early = F.dayofmonth("ts") <= 15
+    for half in (e.filter(~early), e.filter(early | early.isNull())):
+        half.write.mode("append").parquet(src)
+        jobs.daily_visits(jobs.read_files(spark, src, e.schema), "ts", out, state).awaitTermination()
+    got = jobs.active_visits(spark, out)
     return got.select(
         F.unix_micros("window_start").alias("window_start"), F.unix_micros("window_end").alias("window_end"), "visits"
     )

@@ -1,7 +1,8 @@
 """Three incremental jobs over file streams: ingest, progress, active visits.
 
 Every job runs with ``availableNow``: it takes the files that are new since its
-checkpoint and stops, so a scheduled re-run skips finished work.
+checkpoint and stops, so a scheduled re-run skips finished work. A batch that is run
+again after a failure writes the same result once more, so nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-LATENESS = "1 hour"
+# Folders of the ingest output; a key is looked up in one of them.
+KEY_BUCKETS = 64
 
 
 def read_files(spark: SparkSession, path: str, schema, name: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -20,44 +22,95 @@ def read_files(spark: SparkSession, path: str, schema, name: str = "*.parquet",
     return reader.parquet(path)
 
 
-def ingest(rows: DataFrame, key: list[str], event_time: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append each key once; state for a key is dropped once the watermark passes it."""
+def _start(rows: DataFrame, write, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
-        rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withWatermark(event_time, LATENESS)
-        .dropDuplicatesWithinWatermark(key)
-        .writeStream.format("parquet").option("path", out)
+        rows.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _publish(out: str):
+def ingest(rows: DataFrame, key: list[str], event_time: str, out: str, checkpoint: str,
+           buckets: int = KEY_BUCKETS) -> StreamingQuery:
+    """Append each key once: a row is taken if and only if its key is not in the output.
+
+    Neither late keys are lost nor old ones taken again, however late they come, and no
+    state is kept but the output itself. It is partitioned by a hash of the key, so a batch
+    reads the key columns of the folders its keys belong to. Of the rows of a new key in
+    one batch the earliest is taken.
+    """
+    spark = rows.sparkSession
+    fields = [f for f in rows.schema.fields if f.name not in (*key, event_time)]
+    order = [event_time, *[f.name for f in fields]]
+    spark.createDataFrame([], rows.schema).withColumn("bucket", F.lit(0)).write.mode(
+        "append"
+    ).partitionBy("bucket").parquet(out)
+
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        place = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        new = (
+            batch.withColumn("bucket", place).groupBy("bucket", *key)
+            .agg(F.min(F.struct(*order)).alias("_r"))
+            .select("bucket", *key, "_r.*")
+        )
+        kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
+        done = batch.sparkSession.read.schema(f"{kinds}, bucket int").parquet(out)
+        new.join(done, ["bucket", *key], "left_anti").write.mode("append").partitionBy(
+            "bucket"
+        ).parquet(out)
+
+    return _start(rows, write, checkpoint)
+
+
+def _publish(out: str):
+    """One folder per batch; a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return write
 
 
+def newest(spark: SparkSession, out: str) -> DataFrame:
+    """The result of the last batch whose folder is complete."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [
+        int(s.getPath().getName().split("=")[1])
+        for s in files.listStatus(path)
+        if s.getPath().getName().startswith("batch=")
+        and files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    ]
+    return spark.read.parquet(f"{out}/batch={max(done)}")
+
+
 def progress(rows: DataFrame, by: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Finished rows per group so far, republished after every batch."""
+    """Finished rows per group so far; ``newest`` reads the last complete state."""
     counts = rows.groupBy(by).agg(F.count("*").alias("done"))
-    return (
-        counts.writeStream.outputMode("complete").foreachBatch(_publish(out))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return _start(counts, _publish(out), checkpoint, "complete")
 
 
-def active_visits(rows: DataFrame, event_time: str, out: str, checkpoint: str,
-                  width: str = "7 days", slide: str = "1 day") -> StreamingQuery:
-    """Visits per sliding seven-day window, republished after every batch."""
-    counts = (
-        rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withWatermark(event_time, LATENESS)
-        .groupBy(F.window(event_time, width, slide).alias("w"))
-        .agg(F.count("*").alias("visits"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "visits")
-    )
+def daily_visits(rows: DataFrame, event_time: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Visits per day and batch. No state is kept, so rows may come as late as they like."""
+    days = rows.select(F.date_trunc("day", F.col(event_time).cast("timestamp")).alias("day"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _publish(out)(batch.filter("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n")), batch_id)
+
+    return _start(days, write, checkpoint)
+
+
+def active_visits(spark: SparkSession, out: str, days: int = 7) -> DataFrame:
+    """Visits per window of ``days`` days that begins on a day, from the daily counts."""
+    daily = spark.read.schema("day timestamp, n long, batch int").parquet(out)
+    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    start = F.col("day") - F.make_dt_interval(days=F.col("back"))
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(_publish(out))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        daily.groupBy("day").agg(F.sum("n").alias("n")).select("day", "n", back.alias("back"))
+        .groupBy(start.alias("window_start")).agg(F.sum("n").alias("visits"))
+        .select(
+            "window_start",
+            (F.col("window_start") + F.make_dt_interval(days=F.lit(days))).alias("window_end"),
+            "visits",
+        )
     )

@@ -101,21 +101,21 @@ def test_training_lines(spark, tmp_path):
     assert spark.read.json(f"{out}/split=train").collect()[0].asDict() == {"prompt": "p\n1", "response": "r"}
 
 
-def test_stream_takes_each_file_and_key_once(spark, tmp_path):
+def test_stream_takes_each_key_once_however_late(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    rows = spark.range(10).select("id", F.timestamp_seconds(F.lit(1700000000) + F.col("id")).alias("ts"))
-    rows.write.parquet(src)
+    schema = "id long, ts timestamp, v string"
 
-    def run():
-        s = jobs.read_files(spark, src, rows.schema)
-        jobs.ingest(s.union(s), ["id"], "ts", out, state).awaitTermination()
+    def run(*rows):
+        df = spark.createDataFrame([(i, d, v) for i, d, v in rows], "id long, day string, v string")
+        df.select("id", F.to_timestamp("day").alias("ts"), "v").coalesce(1).write.mode("append").parquet(src)
+        jobs.ingest(jobs.read_files(spark, src, df.select("id", F.to_timestamp("day").alias("ts"), "v").schema),
+                    ["id"], "ts", out, state).awaitTermination()
+        return sorted((r.id, r.v) for r in spark.read.schema(schema).parquet(out).collect())
 
-    run()
-    run()
-    assert spark.read.parquet(out).count() == 10
-    spark.range(10, 15).select("id", F.timestamp_seconds(F.lit(1700000000) + F.col("id")).alias("ts")).write.mode("append").parquet(src)
-    run()
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(15))
+    assert run((1, "2024-01-10", "a"), (2, "2024-01-10", "b"), (2, "2024-01-09", "c")) == [(1, "a"), (2, "c")]
+    assert run((3, "2024-01-11", "d")) == [(1, "a"), (2, "c"), (3, "d")]
+    # A key never seen, days late, and a finished one again.
+    assert run((4, "2024-01-09", "e"), (1, "2024-01-12", "f")) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
 
 
 def test_progress_over_two_runs(spark, tmp_path):
@@ -123,8 +123,22 @@ def test_progress_over_two_runs(spark, tmp_path):
     spark.range(6).select((F.col("id") % 2).alias("k")).write.parquet(src)
     schema = spark.read.parquet(src).schema
     jobs.progress(jobs.read_files(spark, src, schema), "k", out, state).awaitTermination()
-    assert {(r.k, r.done) for r in spark.read.parquet(out).collect()} == {(0, 3), (1, 3)}
+    assert {(r.k, r.done) for r in jobs.newest(spark, out).collect()} == {(0, 3), (1, 3)}
     spark.range(2).select(F.lit(1).cast("long").alias("k")).write.mode("append").parquet(src)
     jobs.progress(jobs.read_files(spark, src, schema), "k", out, state).awaitTermination()
-    spark.catalog.refreshByPath(out)
-    assert {(r.k, r.done) for r in spark.read.parquet(out).collect()} == {(0, 3), (1, 5)}
+    assert {(r.k, r.done) for r in jobs.newest(spark, out).collect()} == {(0, 3), (1, 5)}
+    # A folder without its mark is a batch still being written.
+    spark.range(1).write.parquet(f"{out}/batch=9")
+    (tmp_path / "out" / "batch=9" / "_SUCCESS").unlink()
+    assert {(r.k, r.done) for r in jobs.newest(spark, out).collect()} == {(0, 3), (1, 5)}
+
+
+def test_visits_may_come_late(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for days in (["2024-01-20", "2024-01-21"], ["2024-01-02", "2024-01-20"]):
+        df = spark.createDataFrame([(d,) for d in days], "d string").select(F.to_timestamp("d").alias("ts"))
+        df.write.mode("append").parquet(src)
+        jobs.daily_visits(jobs.read_files(spark, src, df.schema), "ts", out, state).awaitTermination()
+    got = {str(r.window_start.date()): r.visits for r in jobs.active_visits(spark, out).collect()}
+    assert got["2024-01-20"] == 3 and got["2024-01-15"] == 3 and got["2024-01-14"] == 2
+    assert got["2024-01-02"] == 1 and got["2023-12-27"] == 1 and len(got) == 7 + 8
