@@ -227,7 +227,9 @@ def substitute_vocabulary(text: Column, vocabulary: dict[str, dict[str, str]]) -
         pattern = rf"(?U)\b{re.escape(key)}\b"
         # A pattern that never matches keeps ``out`` from appearing in two branches.
         chosen = F.when(low.rlike(pattern), f"(?i){pattern}").otherwise("(?!)")
-        out = F.regexp_replace(out, chosen, F.lit(wording))
+        # A wording is text, not a pattern.
+        plain = wording.replace("\\", "\\\\").replace("$", "\\$")
+        out = F.regexp_replace(out, chosen, F.lit(plain))
     return out
 
 

@@ -221,7 +221,10 @@ def split_sections_by_offset(text: Column) -> Column:
 def split_sections_json(text: Column) -> Column:
     """Sections of a JSON object inside the text; NULL when there is none."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, "map<string,string>")
+    # A tail behind the object makes the whole slice no JSON.
+    parsed = F.when(
+        F.try_parse_json(body).isNotNull(), F.from_json(body, "map<string,string>")
+    )
 
     def pick(m: Column) -> Column:
         known = F.lit(False)

@@ -7,6 +7,7 @@ forward pass over the pieces between hits, inside the row.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,15 +151,46 @@ def flat_rules(groups: dict[str, list[str]]) -> list[tuple[int, str, str]]:
     return [(i, label, rule) for i, (label, rule) in enumerate(pairs)]
 
 
-def _running_ends(lengths: Column) -> Column:
-    """Cumulative sums of an array of ints."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+# Elements that are summed together on the way to running sums.
+BLOCK = 256
+
+
+def _running(items: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of all elements up to each one, for arrays of ints of at least 0.
 
-    def step(acc: Column, n: Column) -> Column:
-        at = acc["at"] + n
-        return F.struct(at.alias("at"), F.array_append(acc["ends"], at).alias("ends"))
+    Totals of blocks are run through first, then each element goes through its own block:
+    work grows with the elements times the block, not with their square.
+    """
+    def upto(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), join)
+
+    def blocks(n: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+    def fill(b: Column) -> Column:
+        own, heads = b["own"], b["heads"]
+        return F.transform(
+            own,
+            lambda _, i: join(
+                F.get(heads, F.floor(i / BLOCK).cast("int")),
+                upto(F.slice(own, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
+            ),
+        )
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["ends"])
+    def run(own: Column) -> Column:
+        totals = F.transform(blocks(F.size(own)), lambda k: upto(F.slice(own, k * BLOCK + 1, F.lit(BLOCK))))
+        heads = let(
+            totals,
+            lambda t: F.transform(t, lambda _, k: upto(F.slice(t, F.lit(1), k))),
+        )
+        return let(F.struct(own.alias("own"), heads.alias("heads")), fill)
+
+    return let(items, lambda own: F.when(F.size(own) > 0, run(own)).otherwise(own))
+
+
+def _running_ends(lengths: Column) -> Column:
+    """Cumulative sums of an array of ints."""
+    return _running(lengths, lambda a, b: a + b)
 
 
 def keyword_spans(text: Column, groups: dict[str, list[str]]) -> Column:
@@ -251,28 +283,33 @@ def pattern_spans(text: Column, groups: dict[str, list[str]] = PATTERNS) -> Colu
 
 def merge_spans(spans: Column) -> Column:
     """Sorted array<struct<start,stop>> with overlapping or touching spans united."""
-    start = F.array().cast("array<struct<start:int,stop:int>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return (
-            F.when((F.size(acc) == 0), F.array(s))
-            .when(s["start"] > last["stop"], F.array_append(acc, s))
-            .otherwise(
-                F.array_append(
-                    F.slice(acc, F.lit(1), F.size(acc) - 1),
-                    F.struct(
-                        last["start"].alias("start"),
-                        F.greatest(last["stop"], s["stop"]).alias("stop"),
-                    ),
-                )
-            )
-        )
-
     plain = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     )
-    return F.aggregate(plain, start, step)
+
+    def unite(b: Column) -> Column:
+        s, far = b["s"], b["far"]
+        # A span that starts behind all stops before it begins a new one.
+        heads = F.filter(
+            F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] > F.get(far, i - 1)), i)),
+            lambda i: i.isNotNull(),
+        )
+        return let(
+            heads,
+            lambda h: F.transform(
+                h,
+                lambda i, k: F.struct(
+                    F.get(s, i)["start"].alias("start"),
+                    F.get(far, F.coalesce(F.get(h, k + 1), F.size(s)) - 1).alias("stop"),
+                ),
+            ),
+        )
+
+    def bind(s: Column) -> Column:
+        far = _running(F.transform(s, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+        return let(F.struct(s.alias("s"), far.alias("far")), unite)
+
+    return let(plain, bind)
 
 
 def highlight_spans(text: Column, patterns: list[str] = HIGHLIGHTS) -> Column:

@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ordering import prefix
-from parlance.session import settle
 
 # Seconds per time bucket; about the length of a typical segment works best.
 BUCKET_S = 60.0
 
 
+# Buckets one interval may touch, a week of minutes.
+MAX_BUCKETS = 7 * 24 * 60
+
+
 def _buckets(start: Column, stop: Column, width: float) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(stop / width))
+    """Time buckets of an interval; one that is longer than any recording is an error."""
+    first, last = F.floor(start / width), F.floor(stop / width)
+    long = F.concat(F.lit("interval too long: "), start.cast("string"), F.lit(" to "), stop.cast("string"))
+    return F.when(last - first > MAX_BUCKETS, F.raise_error(long).cast("array<bigint>")).otherwise(
+        F.sequence(first, last)
+    )
 
 
 def overlap_pairs(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:
@@ -99,10 +107,9 @@ def assign_by_nearest(chunks: DataFrame, segments: DataFrame, width: float = BUC
 
 def assign_speakers(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:
     """Overlap decides; chunks without any take the nearest segment."""
-    hit = settle(
-        assign_by_overlap(chunks, segments, width).select("session_id", "chunk_id", "speaker"),
-        "overlap-labels",
-    )
-    missed = chunks.join(hit, ["session_id", "chunk_id"], "left_anti")
-    near = assign_by_nearest(missed, segments, width)
-    return chunks.drop("speaker").join(hit.unionByName(near), ["session_id", "chunk_id"], "left")
+    key = ["session_id", "chunk_id"]
+    hit = assign_by_overlap(chunks, segments, width).select(*key, F.col("speaker").alias("_hit"))
+    met = chunks.drop("speaker").join(hit, key, "left")
+    missed = met.filter("_hit IS NULL").select(*key, "start_s", "end_s")
+    near = assign_by_nearest(missed, segments, width).withColumnRenamed("speaker", "_near")
+    return met.join(near, key, "left").withColumn("speaker", F.coalesce("_hit", "_near")).drop("_hit", "_near")

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 # Test of (this row, previous row).
 Step = Callable[[Column, Column], Column]
 
-# Hex digits of a hash bucket, the bucket count they give, and rows a lookup may hold.
+# Hex digits of a hash that are counted together: 4096 values.
 HASH_DIGITS = 3
-HASH_BUCKETS = 16**HASH_DIGITS
-LOOKUP_ROWS = 100_000
 
 # Rows per bucket when the order column is a dense counter.
 BUCKET_ROWS = 65536
@@ -151,59 +149,62 @@ def head_tail_rows(df: DataFrame, keys: Sequence[str], order: str, max_rows: int
 
 def cut_by_rank(
     df: DataFrame,
-    bucket: Column,
+    digits: Sequence[Column],
     order: Sequence[str],
     fractions: Sequence[float],
     labels: Sequence[str],
     label_col: str = "split",
-    max_buckets: int | None = None,
 ) -> DataFrame:
     """Cut one global order at exact row counts ``floor(n * fraction)``.
 
-    A histogram over buckets finds the buckets that hold a cut; only their rows are
-    ranked, the rest is labelled by a lookup on the bucket. ``fractions`` are the
-    shares of all labels but the last. A known, small bound on the number of buckets
-    (``max_buckets``) lets the lookup go to the rows instead of the rows to the lookup.
+    ``digits`` are columns of bounded range that spell out the beginning of ``order``, most
+    significant first. A histogram over the first digit finds the cell that holds a cut, a
+    histogram of that cell over the next digit a smaller one, and so on; the rows of the
+    last cell are ranked. All this reads the order columns only. It gives the last row
+    before each cut, and one pass over the rows compares them with it. ``fractions`` are
+    the shares of all labels but the last; ``order`` must be unique and not NULL.
     """
-    work = df.withColumn("_bucket", bucket)
-    sizes = work.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # One row per bucket: the number of buckets, not of rows, bounds this window.
-    w = Window.orderBy("_bucket")
-    edges = sizes.select(
-        "_bucket",
-        (F.sum("_n").over(w) - F.col("_n")).alias("_lo"),
-        F.sum("_n").over(w).alias("_hi"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"),
-    )
-    cuts = F.lit(0).cast("long")
-    marks = []
-    for share in fractions:
-        cuts = cuts + F.floor(F.col("_total") * F.lit(share)).cast("long")
-        marks.append(cuts)
-
-    def label(rank: Column) -> Column:
-        out = None
-        for mark, name in zip(marks, labels):
-            out = F.when(rank < mark, name) if out is None else out.when(rank < mark, name)
-        return out.otherwise(labels[-1])
-
-    edges = edges.withColumn("_first", label(F.col("_lo"))).withColumn(
-        "_last", label(F.col("_hi") - 1)
-    )
-    if max_buckets is not None and max_buckets <= LOOKUP_ROWS:
-        edges = F.broadcast(edges)
-    tagged = work.join(edges, "_bucket")
-    whole = tagged.filter("_first = _last").withColumn(label_col, F.col("_first"))
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    ranked = (
-        tagged.filter("_first <> _last")
-        .withColumn("_rank", F.col("_lo") + F.row_number().over(within) - 1)
-        .withColumn(label_col, label(F.col("_rank")))
-        .drop("_rank")
-    )
-    return whole.unionByName(ranked).drop(
-        "_bucket", "_lo", "_hi", "_total", "_first", "_last"
+    at = F.struct(*order)
+    keys = df.select(*order, *[d.alias(f"_d{i}") for i, d in enumerate(digits)])
+    # One row per cell: the range of the digit, not the number of rows, bounds this window.
+    cells = keys.groupBy("_d0").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    marks, before = [], F.lit(0).cast("long")
+    for i, share in enumerate(fractions):
+        before = before + F.floor(total * F.lit(share)).cast("long")
+        marks.append(F.struct(F.lit(i).alias("cut"), before.alias("mark")))
+    w = Window.orderBy("_d0")
+    held = cells.select(
+        "_d0", (F.sum("_n").over(w) - F.col("_n")).alias("_lo"), "_n", F.array(*marks).alias("_m")
+    ).select("_d0", "_lo", "_n", F.explode("_m").alias("_c"))
+    last = F.col("_c.mark") - 1
+    held = held.filter((last >= F.col("_lo")) & (last < F.col("_lo") + F.col("_n"))).select(
+        F.col("_c.cut").alias("cut"), "_d0", (last - F.col("_lo")).alias("rest")
     )
+    for level in range(1, len(digits)):
+        seen = [f"_d{i}" for i in range(level)]
+        digit = f"_d{level}"
+        # At most one cell per cut.
+        inner = keys.join(F.broadcast(held), seen).groupBy("cut", "rest", *seen, digit).agg(
+            F.count("*").alias("_n")
+        )
+        w = Window.partitionBy("cut").orderBy(digit)
+        inner = inner.withColumn("_lo", F.sum("_n").over(w) - F.col("_n"))
+        held = inner.filter("rest >= _lo AND rest < _lo + _n").select(
+            "cut", *seen, digit, (F.col("rest") - F.col("_lo")).alias("rest")
+        )
+    seen = [f"_d{i}" for i in range(len(digits))]
+    w = Window.partitionBy("cut").orderBy(*order)
+    found = keys.join(F.broadcast(held), seen).withColumn("_r", F.row_number().over(w) - 1)
+    ends = found.filter("_r = rest").agg(
+        *[F.max(F.when(F.col("cut") == i, at)).alias(f"c{i}") for i in range(len(fractions))]
+    ).select(F.struct("*").alias("c")).scalar()
+    out = None
+    for i, name in enumerate(labels[:-1]):
+        # Without a row before the cut nothing gets the label.
+        inside = F.coalesce(at <= ends[f"c{i}"], F.lit(False))
+        out = F.when(inside, name) if out is None else out.when(inside, name)
+    return df.withColumn(label_col, out.otherwise(labels[-1]))
 
 
 def seeded_hash(key: Column, seed: int | str) -> Column:
@@ -211,6 +212,12 @@ def seeded_hash(key: Column, seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
 
-def hash_bucket(digest: Column) -> Column:
-    """Even, order-preserving buckets over a hex digest, ``HASH_BUCKETS`` at most."""
-    return F.left(digest, F.lit(HASH_DIGITS))
+def hash_digits(digest: Column) -> list[Column]:
+    """Two digits of 4096 values each at the head of a hex digest."""
+    return [F.substring(digest, 1, HASH_DIGITS), F.substring(digest, 1 + HASH_DIGITS, HASH_DIGITS)]
+
+
+def long_digits(key: Column) -> list[Column]:
+    """The upper three of the four 16-bit digits of a long, in the order of its values."""
+    high = F.shiftright(key, 48)
+    return [high, *[F.shiftright(key, n).bitwiseAND(0xFFFF) for n in (32, 16)]]

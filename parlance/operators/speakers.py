@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parlance.functions import text
 from parlance.functions.rows import explode_rows
 from parlance.operators.ordering import Step, prefix
-from parlance.session import settle
 
 # Pause that switches speakers, and the dominance that forces alternation.
 PAUSE_S = 1.5
@@ -58,19 +57,19 @@ def speaker_by_pause(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
 
 
 def _counted(chunks: DataFrame, pause_s: float = PAUSE_S) -> DataFrame:
-    """Position, pauses and cues so far, per chunk, written to the shared folder.
-
-    Several per-session facts are read from it next, so it is computed once.
-    """
-    counted = prefix(
+    """Position, pauses and cues so far, per chunk."""
+    return prefix(
         chunks, ["session_id"], ["chunk_id"], chunk_bucket(), position="_i",
         step_sum={"_pauses": _pause(pause_s), "_cues": _cue()},
     )
-    return settle(counted, "speaker-flips")
 
 
-def _session_facts(counted: DataFrame) -> DataFrame:
-    """Whether a session has a pause, and a cue among its second and third chunk."""
+def _session_facts(chunks: DataFrame) -> DataFrame:
+    """Whether a session has a pause, and a cue among its second and third chunk.
+
+    One row per session comes back; the chunks themselves are not moved for it.
+    """
+    counted = _counted(chunks.select("session_id", "chunk_id", "start_s", "end_s", "text"))
     return counted.groupBy("session_id").agg(
         (F.max("_pauses") > 0).alias("_paused"),
         F.coalesce(F.max(F.when(F.col("_i") <= 2, F.col("_cues"))) > 0, F.lit(False)).alias("_early"),
@@ -91,7 +90,7 @@ def speaker_by_cue(chunks: DataFrame) -> DataFrame:
     """
     counted = _counted(chunks)
     keep = [c for c in chunks.columns if c != "speaker"]
-    return counted.join(_session_facts(counted), "session_id").withColumn("speaker", _by_cue()).select(
+    return counted.join(_session_facts(chunks), "session_id").withColumn("speaker", _by_cue()).select(
         *keep, "speaker"
     )
 
@@ -121,7 +120,7 @@ def speaker_hints(chunks: DataFrame) -> DataFrame:
     counted = _counted(chunks)
     chosen = F.when(F.col("_paused"), _letter(F.col("_pauses"))).otherwise(_by_cue())
     keep = [c for c in chunks.columns if c != "speaker"]
-    labelled = counted.join(_session_facts(counted), "session_id").withColumn("speaker", chosen)
+    labelled = counted.join(_session_facts(chunks), "session_id").withColumn("speaker", chosen)
     return _rebalance(labelled.select(*keep, "speaker", "_i"))
 
 

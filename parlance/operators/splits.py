@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.rows import explode_rows
-from parlance.operators.ordering import (
-    HASH_BUCKETS, cut_by_rank, hash_bucket, seeded_hash,
-)
+from parlance.operators.ordering import cut_by_rank, hash_digits, long_digits, seeded_hash
 
 # Split shares, quality gates, augmentation names.
 TRAIN, VAL = 0.8, 0.1
@@ -26,8 +24,7 @@ def split_three_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Seeded shuffle, then floor(80 %) train, floor(10 %) val, the rest test."""
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     return cut_by_rank(
-        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN, VAL], ["train", "val", "test"],
-        max_buckets=HASH_BUCKETS,
+        hashed, hash_digits(F.col("_h")), ["_h", key], [TRAIN, VAL], ["train", "val", "test"]
     ).drop("_h")
 
 
@@ -38,8 +35,7 @@ def split_two_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """
     hashed = df.withColumn("_h", seeded_hash(F.col(key), seed))
     large = cut_by_rank(
-        hashed, hash_bucket(F.col("_h")), ["_h", key], [TRAIN], ["train", "val"],
-        max_buckets=HASH_BUCKETS,
+        hashed, hash_digits(F.col("_h")), ["_h", key], [TRAIN], ["train", "val"]
     ).drop("_h")
     few = df.limit(SMALL_SET)
     n = few.agg(F.count("*").alias("n"))
@@ -50,13 +46,14 @@ def split_two_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return large.filter(~is_small).unionByName(small.filter(is_small))
 
 
-def split_sequential(df: DataFrame, key: str, bucket: Column) -> DataFrame:
+def split_sequential(df: DataFrame, key: str) -> DataFrame:
     """First max(1, floor(80 %)) rows in key order train, the rest val; a single row is both.
 
-    ``bucket`` is a non-decreasing function of ``key`` that keeps buckets bounded.
+    ``key`` is a unique whole number.
     """
     # floor(0.8 n) is 0 only for n = 1, where the row is train and val alike.
-    cut = cut_by_rank(df, bucket, [key], [TRAIN], ["train", "val"])
+    digits = long_digits(F.col(key).cast("long"))
+    cut = cut_by_rank(df, digits, [key], [TRAIN], ["train", "val"])
     few = df.limit(2)
     only = few.agg(F.count("*").alias("n")).scalar() == 1
     return cut.unionByName(few.withColumn("split", F.lit("train")).filter(only))

@@ -179,7 +179,7 @@ def split_two_way(spark, sf):
   SELECT doc_id, CASE WHEN rk < floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM r""")
 def split_sequential(spark, sf):
     d = B.read(spark, sf, "documents").select("doc_id")
-    return P.split_sequential(d, "doc_id", F.floor(F.col("doc_id") / 65536))
+    return P.split_sequential(d, "doc_id")
 
 
 EXAMPLES = f"""ex AS (SELECT {KEY}, raw AS prompt, 'Subjective: ' || en || ' objective ' || CASE WHEN turn_id % 2 = 0 THEN 'assessment' ELSE '' END || ' Plan' AS response FROM talk)"""

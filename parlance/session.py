@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Setting of a session on one machine: tasks that share the rows of a one-split file.
+SCAN_TASKS = "spark.parlance.scanTasks"
+
+
 def local_session(cores: str = "*", app: str = "parlance") -> SparkSession:
     """Session for one machine; on a cluster, pass the session the cluster gives."""
     return (
@@ -18,26 +24,27 @@ def local_session(cores: str = "*", app: str = "parlance") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(SCAN_TASKS, str(os.cpu_count() if cores == "*" else cores))
         .getOrCreate()
     )
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on inputs that come in fewer splits than there are cores.
-
-    Text work is bound by the processor, and a small file is one split. Inputs with
-    enough splits, as any large one has, are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Rows over as many tasks as the session asks for, as they come where it asks for none."""
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: ``spark.checkpoint.dir``, set here only for local runs."""
+    """Folder every executor sees: ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in this very process gets a folder of this machine when
+    the setting is missing.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="parlance-")
     spark.conf.set("spark.checkpoint.dir", folder)

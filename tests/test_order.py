@@ -48,12 +48,26 @@ def test_splits_are_exact_and_disjoint(spark, n):
         assert sorted(r.id for r in two) == list(range(n)) and count(two, "train") == int(n * 0.8)
     else:
         assert count(two, "train") == n and count(two, "val") == min(n, 1)
-    seq = P.split_sequential(df, "id", F.floor(F.col("id") / 7)).collect()
+    seq = P.split_sequential(df, "id").collect()
     cut = max(1, int(n * 0.8)) if n else 0
     assert sorted(r.id for r in seq if r.split == "train") == list(range(cut))
     assert sorted(r.id for r in seq if r.split == "val") == ([0] if n == 1 else list(range(cut, n)))
 
 
+def test_splits_refine_the_cell_of_a_cut(spark):
+    """One value of the first digit: the second digit finds the cut; negative and wide keys too."""
+    from parlance.operators.ordering import cut_by_rank, long_digits
+
+    df = spark.range(1000).withColumn("h", F.format_string("000%029d", F.col("id")))
+    digits = [F.substring("h", 1, 3), F.substring("h", 30, 3)]
+    got = cut_by_rank(df, digits, ["h"], [0.8, 0.1], ["a", "b", "c"]).collect()
+    assert {r.id: r.split for r in got} == {i: "a" if i < 800 else "b" if i < 900 else "c" for i in range(1000)}
+    keys = [-(2**62), -70000, -1, 0, 5, 65536, 2**33, 2**50, 2**62, 7]
+    wide = spark.createDataFrame([(k,) for k in keys], "id long")
+    got = cut_by_rank(wide, long_digits(F.col("id")), ["id"], [0.5], ["a", "b"]).collect()
+    assert {r.id for r in got if r.split == "a"} == set(sorted(keys)[:5])
+
+
 def test_split_does_not_depend_on_partitioning(spark):
     a = P.split_three_way(spark.range(0, 500, 1, 1), "id").collect()
     b = P.split_three_way(spark.range(0, 500, 1, 7), "id").collect()
