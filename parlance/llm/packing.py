@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -85,23 +87,78 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Bytes to the letters byte-level vocabularies write them as: printable ones as they
+    are, the others, in order, from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(rest)}}
+
+
+class PlainWords:
+    """Ids of chunks that are a word of plain letters, with or without one mark behind it.
+
+    Such a word is one unit for a vocabulary that lower-cases, splits letters from marks
+    and works on bytes, so its model is asked directly, once per word; the library's whole
+    way through normaliser and splitter costs several times as much. ``usable`` tells, by
+    comparing both ways on samples, whether a vocabulary is of that kind.
+    """
+
+    MARKS = ".,;:!?"
+    # Below it, lower case of a letter is one letter whatever is around it.
+    LETTERS = "\u0130"
+
+    def __init__(self, library) -> None:
+        self.library, self.model, self.letters = library, library.model, _byte_letters()
+        self.marks = {m: self._whole(m) for m in self.MARKS}
+        self.known: dict[str, list[int]] = {}
+        samples = ["word", "Word,", "éÀß.", "ab", "Thenon!", "aº;", "xÿ", "don?", "ZZ:"]
+        self.usable = all(self.ids(s) in (None, self._whole(s)) for s in samples)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk of that kind, None for another."""
+        mark = self.marks.get(chunk[-1])
+        word = chunk if mark is None else chunk[:-1]
+        if not word.isalpha() or not word.isascii() and (
+            max(word) >= self.LETTERS or not unicodedata.is_normalized("NFC", word)
+        ):
+            return None
+        word = word.lower()
+        own = self.known.get(word)
+        if own is None:
+            letters = word
+            if not word.isascii():
+                letters = word.encode().decode("latin-1").translate(self.letters)
+            own = self.known[word] = [t.id for t in self.model.tokenize(letters)]
+        return own if mark is None else own + mark
+
+
 class TokenTable:
-    """Ids of chunks, worked out by the library once per chunk."""
+    """Ids of chunks, worked out once per chunk."""
 
     def __init__(self, path: str) -> None:
         self.library = _library(path)
+        self.plain = PlainWords(self.library)
         self.table = ChunkTable(self._new)
 
     def _new(self):
+        self.plain.known.clear()
         self.ids, self.first, self.size = Growing(np.int32), Growing(np.int64), Growing(np.int64)
         return self._learn
 
     def _learn(self, fresh: list[str]) -> None:
-        held = [e.ids for e in self.library.encode_batch(fresh, add_special_tokens=False)]
+        held = [self.plain.ids(c) for c in fresh] if self.plain.usable else [None] * len(fresh)
+        odd = [i for i, ids in enumerate(held) if ids is None]
+        whole = self.library.encode_batch([fresh[i] for i in odd], add_special_tokens=False)
+        for i, e in zip(odd, whole):
+            held[i] = e.ids
         sizes = np.fromiter(map(len, held), np.int64, len(held))
         self.first.add(self.ids.n + np.cumsum(sizes) - sizes)
         self.size.add(sizes)
-        self.ids.add(np.fromiter((i for h in held for i in h), np.int32, int(sizes.sum())))
+        self.ids.add(np.fromiter(chain.from_iterable(held), np.int32, int(sizes.sum())))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         codes, counts = self.table.encode(texts)

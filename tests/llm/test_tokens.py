@@ -97,6 +97,24 @@ def test_repeated_and_null_ids(spark):
     assert sorted(r.n_tokens for r in counted) == [1, 2, 2]
 
 
+def test_plain_words_are_the_librarys():
+    random.seed(2)
+    plain = packing.PlainWords(LIB)
+    assert plain.usable
+    letters = "abzABZéÉßÿÀøØµªºþÐñ" + "ı" + "İΣσς" + "한ㄱ" + "Å" + "e\u0301" + "'.,;:!?-1 "
+    seen = 0
+    for _ in range(4000):
+        chunk = "".join(random.choice(letters) for _ in range(random.randrange(1, 7))).strip()
+        if chunk:
+            own = plain.ids(chunk)
+            seen += own is not None
+            assert own is None or own == ids(chunk), repr(chunk)
+    assert seen > 300
+    for path in ("byte_bpe_50k.json",):
+        other = Tokenizer.from_file(public_tokenizers.path(path))
+        assert not packing.PlainWords(other).usable
+
+
 def test_empty_table(spark):
     empty = rows(spark, ODD).limit(0)
     assert packing.pack(empty, PATH).collect() == []
