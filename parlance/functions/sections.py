@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import NOT_KEPT, is_blank, let, squeeze, strip
+from parlance.functions.text import LINE_END, NOT_KEPT, WS, is_blank, let, squeeze, strip
 
 SECTIONS = ["subjective", "objective", "assessment", "plan"]
 NOTE_TYPE = "struct<subjective:string,objective:string,assessment:string,plan:string>"
@@ -23,10 +23,10 @@ SECTION_MARKS = {
     "plan": ["plan", "योजना", "p:"],
 }
 SHORT_HEADERS = {
-    "subjective": r"^\s*(?:s|subj)\s*[:\-]\s*$",
-    "objective": r"^\s*(?:o|obj)\s*[:\-]\s*$",
-    "assessment": r"^\s*(?:a|assess?)\s*[:\-]\s*$",
-    "plan": r"^\s*(?:p|pln)\s*[:\-]\s*$",
+    "subjective": rf"^{WS}*(?:s|subj){WS}*[:\-]{WS}*$",
+    "objective": rf"^{WS}*(?:o|obj){WS}*[:\-]{WS}*$",
+    "assessment": rf"^{WS}*(?:a|assess?){WS}*[:\-]{WS}*$",
+    "plan": rf"^{WS}*(?:p|pln){WS}*[:\-]{WS}*$",
 }
 EMPTY_SECTION = "- Not clearly elicited from interview."
 TRIM_NOTE = "\n...[trimmed for length]...\n"
@@ -56,11 +56,12 @@ REVIEWED_RESPONSE = (
 
 
 def header(name: str) -> str:
-    return rf"(?:\*\*)?\s*{name}\s*:?\s*(?:\*\*)?"
+    return rf"(?:\*\*)?{WS}*{name}{WS}*:?{WS}*(?:\*\*)?"
 
 
-def lines_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+def lines_of(text: Column, ends: str = LINE_END) -> Column:
+    """Stripped lines that are not empty; ``ends`` is what separates them."""
+    return F.filter(F.transform(F.split(text, ends), strip), lambda x: x != "")
 
 
 def first_by_key(items: Column) -> Column:
@@ -78,8 +79,8 @@ def first_by_key(items: Column) -> Column:
 
 def sanitise_section(text: Column) -> Column:
     """One clinical point per line, headings kept, repeated lines dropped."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*#{3,}\s*", "\n")
-    out = F.regexp_replace(out, r"\s+[•●]\s*", "\n- ")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{WS}*#{{3,}}{WS}*", "\n")
+    out = F.regexp_replace(out, rf"{WS}+[•●]{WS}*", "\n- ")
 
     def bare(line: Column) -> Column:
         return F.btrim(F.lower(line), F.lit("*: "))
@@ -90,7 +91,7 @@ def sanitise_section(text: Column) -> Column:
     )
 
     def point(line: Column) -> Column:
-        body = strip(F.regexp_replace(line, r"^#{1,6}\s*", ""))
+        body = strip(F.regexp_replace(line, rf"^#{{1,6}}{WS}*", ""))
         return let(
             body,
             lambda b: F.when(
@@ -104,7 +105,7 @@ def sanitise_section(text: Column) -> Column:
     keyed = F.transform(
         F.transform(kept, point),
         lambda x, i: F.struct(
-            F.regexp_replace(F.lower(x), r"\s+", " ").alias("k"), i.alias("i"), x.alias("v")
+            F.regexp_replace(F.lower(x), rf"{WS}+", " ").alias("k"), i.alias("i"), x.alias("v")
         ),
     )
     return strip(F.array_join(first_by_key(keyed), "\n"))
@@ -170,7 +171,7 @@ def split_sections_simple(text: Column) -> Column:
             out = F.when(hit, name) if out is None else out.when(hit, name)
         return out
 
-    return collect_sections(lines_of(text), section_of, strip)
+    return collect_sections(lines_of(text, "\n"), section_of, strip)
 
 
 def split_sections_by_line(text: Column) -> Column:
@@ -200,7 +201,7 @@ def split_sections_by_offset(text: Column) -> Column:
                               F.length(text) + 1)
             body = F.regexp_replace(
                 F.substring(text, start, stop - start),
-                rf"(?i)^(?:\*\*)?\s*{name}\s*:?\s*(?:\*\*)?\s*", "",
+                rf"(?i)^(?:\*\*)?{WS}*{name}{WS}*:?{WS}*(?:\*\*)?{WS}*", "",
             )
             return F.when(F.size(at) > 0, body).otherwise("")
 
@@ -306,7 +307,7 @@ def prepare_conversation(text: Column, max_chars: int = PROMPT_CHARS) -> Column:
             F.concat(strip(F.substring(line, F.lit(1), at - 1)), F.lit(": "), said),
         )
 
-    lines = F.filter(F.transform(F.split(text, "\n"), squeeze), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_END), squeeze), lambda x: x != "")
     kept = F.filter(F.transform(lines, tidy), lambda x: x.isNotNull())
     keyed = F.transform(
         kept,
@@ -342,9 +343,9 @@ def prepare_conversation(text: Column, max_chars: int = PROMPT_CHARS) -> Column:
 def subsections(text: Column) -> Column:
     """array<struct<title, points>>: headings ending in ':' and the points under them."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r", "\n")
-    t = F.regexp_replace(t, r"\s*#{1,6}\s*", "\n")
-    t = F.regexp_replace(t, r"\s+([^:\n-][^:\n]{2,110}:)\s*-\s+", "\n$1\n- ")
-    t = F.regexp_replace(t, r"\s+-\s+", "\n- ")
+    t = F.regexp_replace(t, rf"{WS}*#{{1,6}}{WS}*", "\n")
+    t = F.regexp_replace(t, rf"{WS}+([^:\n-][^:\n]{{2,110}}:){WS}*-{WS}+", "\n$1\n- ")
+    t = F.regexp_replace(t, rf"{WS}+-{WS}+", "\n- ")
 
     def group(lines: Column) -> Column:
         n = F.size(lines)
@@ -354,7 +355,7 @@ def subsections(text: Column) -> Column:
         )
 
         def point(x: Column) -> Column:
-            return strip(F.regexp_replace(x, r"^-+\s*", ""))
+            return strip(F.regexp_replace(x, rf"^-+{WS}*", ""))
 
         def blocks(h: Column) -> Column:
             made = F.transform(
@@ -374,7 +375,7 @@ def subsections(text: Column) -> Column:
 
         return let(F.array_insert(heads, 1, F.lit(-1)), blocks)
 
-    return let(lines_of(t), group)
+    return let(lines_of(t, "\n"), group)
 
 
 def key_points(subs: Column, n: int = 3) -> Column:

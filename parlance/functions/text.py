@@ -10,8 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace removed at both ends of a line.
-BLANKS = " \t\r\n\x0b\x0c"
+# The white space of Unicode, as characters and as a class that Java and RE2
+# read alike, and the ends of a line.
+BLANK_RANGES = [
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+]
+BLANKS = "".join(chr(c) for a, b in BLANK_RANGES for c in range(a, b + 1))
+WS = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in BLANK_RANGES) + "]"
+LINE_END = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Question cues, brief-reply openers and length of a brief reply.
 QUESTION_CUES = [
@@ -53,7 +60,7 @@ def or_else(c: Column, other: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
@@ -61,7 +68,7 @@ def word_count(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def normalise(c: Column) -> Column:
@@ -135,15 +142,15 @@ def clean_asr_text(c: Column) -> Column:
     word = r"[\p{L}\p{N}_']+"
     out = strip(F.coalesce(c, F.lit("")))
     out = F.regexp_replace(out, r"(.)\1{7,}", "$1$1$1")
-    out = F.regexp_replace(out, rf"(?iU)\b({word})(?:\s+\1){{5,}}\b", "$1")
-    out = F.regexp_replace(out, rf"(?iU)\b({word}(?:\s+{word}){{1,3}})(?:\s+\1){{3,}}\b", "$1")
+    out = F.regexp_replace(out, rf"(?iU)\b({word})(?:{WS}+\1){{5,}}\b", "$1")
+    out = F.regexp_replace(out, rf"(?iU)\b({word}(?:{WS}+{word}){{1,3}})(?:{WS}+\1){{3,}}\b", "$1")
     return squeeze(out)
 
 
 def collapse_loops(c: Column) -> Column:
     """Drop noise runs, an exact second half, and looping 3-6 word openings."""
-    cleaned = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"([.·•\-]\s*){6,}", ""))
-    cleaned = strip(F.regexp_replace(cleaned, r"\s{2,}", " "))
+    cleaned = strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"([.·•\\-]{WS}*){{6,}}", ""))
+    cleaned = strip(F.regexp_replace(cleaned, f"{WS}{{2,}}", " "))
 
     def shorten(b: Column) -> Column:
         text, w = b["text"], b["w"]

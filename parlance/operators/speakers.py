@@ -183,7 +183,7 @@ def role_from_speaker(chunks: DataFrame) -> DataFrame:
 
 def roles_by_line(transcripts: DataFrame, key: str = "session_id") -> DataFrame:
     """Alternate roles over the non-empty lines of a transcript without chunks."""
-    lines = F.filter(F.transform(F.split("transcript", "\n"), text.strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("transcript", text.LINE_END), text.strip), lambda x: x != "")
     return explode_rows(transcripts, [key], lines, "text", "_i").select(
         key,
         (F.col("_i") + 1).alias("turn_id"),

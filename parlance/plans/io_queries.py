@@ -171,19 +171,22 @@ def parse_review(spark, sf):
 
 @query("scan_notes", f"""WITH {B.TALK}, s AS (SELECT *, turn_id % 4 AS k FROM talk WHERE turn_id % 4 <> 3)
   SELECT CASE WHEN k = 0 THEN 's' || session_id ELSE CAST(session_id AS VARCHAR) END AS session_id, 'soap_' || session_id || '_' || turn_id || '.json' AS file_name,
-    CASE k WHEN 0 THEN raw WHEN 1 THEN '- one' ELSE en END AS subjective, CASE k WHEN 1 THEN '- two' ELSE '' END AS objective,
-    CASE k WHEN 1 THEN '- three' ELSE '' END AS assessment, CASE k WHEN 1 THEN '- four' WHEN 2 THEN 'p' ELSE '' END AS plan FROM s""")
+    CASE k WHEN 0 THEN raw WHEN 1 THEN '- ' || replace(raw, chr(10), ' ') ELSE en END AS subjective, CASE k WHEN 1 THEN '- two' ELSE '' END AS objective,
+    CASE k WHEN 1 THEN '- three' ELSE '' END AS assessment, CASE k WHEN 1 THEN '- ' || replace(raw, chr(10), ' ') || '!' WHEN 2 THEN mr ELSE '' END AS plan FROM s""")
 def scan_notes(spark, sf):
     """Nested, plain-text, top-level and broken note files."""
     k = F.col("turn_id") % 4
-    headed = "**SUBJECTIVE:**\none\n**OBJECTIVE:**\ntwo\n**ASSESSMENT:**\nthree\n**PLAN:**\nfour"
+    said = F.replace("raw", F.lit("\n"), F.lit(" "))
+    headed = F.concat(
+        F.lit("**SUBJECTIVE:**\n"), said, F.lit("\n**OBJECTIVE:**\ntwo\n**ASSESSMENT:**\nthree\n**PLAN:**\n"), said, F.lit("!")
+    )
     value = (
         F.when(k == 0, F.to_json(F.struct(
             F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session_id"),
             F.struct(F.col("raw").alias("subjective")).alias("soap_en"))))
-        .when(k == 1, F.to_json(F.struct(F.lit(headed).alias("soap_english"))))
-        .when(k == 2, F.to_json(F.struct(F.col("en").alias("subjective"), F.lit("p").alias("plan"))))
-        .otherwise("{broken")
+        .when(k == 1, F.to_json(F.struct(headed.alias("soap_english"))))
+        .when(k == 2, F.to_json(F.struct(F.col("en").alias("subjective"), F.col("mr").alias("plan"))))
+        .otherwise(F.concat(F.lit("{broken "), "raw"))
     )
     files = B.talk(spark, sf).select(
         F.concat(F.lit("soap_"), F.concat_ws("_", "session_id", "turn_id"), F.lit(".json")).alias("file_name"), value.alias("value")

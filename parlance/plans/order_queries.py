@@ -137,7 +137,9 @@ def search_patients(spark, sf):
 
 @query("json_payload_decode", """SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events""")
 def json_payload_decode(spark, sf):
-    raw = F.when(F.col("event_id") % 5 == 0, "{broken").when(F.col("event_id") % 5 == 1, "").otherwise(F.col("props"))
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{broken "), "props")).when(
+        F.col("event_id") % 5 == 1, F.concat(F.lit("["), "props")
+    ).otherwise(F.col("props"))
     return B.read(spark, sf, "events").select(
         "event_id", clinic.decode_payload(raw, "struct<k:int>")["k"].alias("k")
     )
@@ -265,12 +267,13 @@ def peak_normalise(spark, sf):
     return _spread(B.read(spark, sf, "embeddings"), W.peak_normalise(F.col("embedding")))
 
 
-@query("duration_filter", """WITH c AS (SELECT vec_id, (vec_id % 65) / 16.0::DOUBLE AS duration_s FROM embeddings)
-  SELECT vec_id, duration_s, CASE WHEN duration_s < 1 THEN 'too_short' WHEN duration_s > 3 THEN 'too_long' ELSE 'kept' END AS outcome FROM c""")
+@query("duration_filter", """WITH c AS (SELECT vec_id, len(embedding) * (vec_id % 4) / 16.0::DOUBLE AS duration_s FROM embeddings)
+  SELECT vec_id, duration_s, CASE WHEN duration_s < 1 THEN 'too_short' WHEN duration_s > 5 THEN 'too_long' ELSE 'kept' END AS outcome FROM c""")
 def duration_filter(spark, sf):
-    wave = F.slice("embedding", F.lit(1), (F.col("vec_id") % 65).cast("int"))
+    """Each whole waveform no time, once, twice or three times over."""
+    wave = F.flatten(F.array_repeat("embedding", (F.col("vec_id") % 4).cast("int")))
     e = B.read(spark, sf, "embeddings").select("vec_id", W.duration_s(wave, 16).alias("duration_s"))
-    reason = W.skip_reason(F.lit("spoken"), F.lit(True), F.col("duration_s"), 1.0, 3.0)
+    reason = W.skip_reason(F.lit("spoken"), F.lit(True), F.col("duration_s"), 1.0, 5.0)
     return e.withColumn("outcome", F.coalesce(reason, F.lit("kept")))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from parlance.functions.text import WS
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -12,7 +14,8 @@ def query(name: str, sql: str | None = None):
     def keep(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            # White space in the SQL twins is that of Unicode, as it is in the functions.
+            ORACLES[name] = sql.replace("\\s", WS)
         return fn
 
     return keep

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores, spans
 from parlance.functions.sections import SECTIONS
+from parlance.functions.text import LINE_END
 from parlance.operators import clinic, entities as E, evaluation as V, glossary as G
 from parlance.operators import intervals as I, review as R, speakers as S, turns as T
 from parlance.plans import tables as B
@@ -555,11 +556,11 @@ def role_from_speaker(spark, sf):
     return S.role_from_speaker(B.chunks(spark, sf)).select("session_id", "chunk_id", "speaker", "role")
 
 
-@query("roles_by_line", f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+@query("roles_by_line", f"""WITH l0 AS (SELECT doc_id, unnest(string_split_regex(x, '{LINE_END}')) AS line, generate_subscripts(string_split_regex(x, '{LINE_END}'), 1) AS n FROM (SELECT doc_id, {B.sql_odd_blanks('text')} AS x FROM documents)),
   l AS (SELECT doc_id, {B.sql_strip('line')} AS text, n FROM l0 WHERE {B.sql_strip('line')} <> '')
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS turn_id, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 THEN 'Doctor' ELSE 'Patient' END AS role, text FROM l""")
 def roles_by_line(spark, sf):
-    d = B.read(spark, sf, "documents").select("doc_id", F.col("text").alias("transcript"))
+    d = B.read(spark, sf, "documents").select("doc_id", B.odd_blanks(F.col("text")).alias("transcript"))
     return S.roles_by_line(d, "doc_id")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import scores
+from parlance.functions import text as text_functions
 from parlance.operators import turns as T
 from parlance.session import spread
 
@@ -42,6 +43,7 @@ NOTE_LINES = [
     "moderate depression", "S:", "O:", "- follow-up in two weeks", "Risk Formulation:", "no risk",
     "plan", "```", "P:", "विषय", "झोप कमी", "A:", "- - restless", "medication review",
     "Mental Status Exam: - quiet", "   ", "मूल्यांकन", "## Notes", "- Calm", "sleep diary",
+    "calm\u2028- restless", "sleep\u00a0\u3000poor", "O:\r- quiet", "mood\x0blow\x85flat", "\u2003Risk\x1cnone\u2029",
 ]
 VOCABULARY = {
     "sleep": {"colloquial": "झोप", "formal": "निद्रा"},
@@ -116,6 +118,24 @@ TALK = f"""talk AS (
     {sql_derive(NOTE_LINES, chr(10))} AS note_text
   FROM conversations)"""
 
+BLANKS_SQL = " || ".join(f"chr({ord(c)})" for c in text_functions.BLANKS)
+# Lines between any of the ends of a line; each query's SQL reads ``\\s`` as Unicode white space.
+LINES_ANY = f"SELECT {{0}}, unnest(string_split_regex({{1}}, '{text_functions.LINE_END.replace('{', '{{').replace('}', '}}')}')) AS line, generate_subscripts(string_split_regex({{1}}, '{text_functions.LINE_END.replace('{', '{{').replace('}', '}}')}'), 1) - 1 AS line_no FROM {{2}}"
+
+
+def odd_blanks(text: Column) -> Column:
+    """The text with line and paragraph blanks of Unicode in place of some plain ones."""
+    spaced = F.replace(F.replace(text, F.lit(", "), F.lit(",\u2028")), F.lit(" the "), F.lit("\u00a0the\u3000"))
+    return F.replace(spaced, F.lit(" and "), F.lit("\x85and\x0b"))
+
+
+def sql_odd_blanks(expr: str) -> str:
+    return (
+        f"replace(replace(replace({expr}, ', ', ',' || chr(8232)), ' the ', chr(160) || 'the' || chr(12288)),"
+        " ' and ', chr(133) || 'and' || chr(11))"
+    )
+
+
 # Words of a text, split at white space.
 SQL_WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 SQL_NORM = "trim(regexp_replace(lower({0}), '[^0-9a-z\\x{{0900}}-\\x{{097F}}]+', ' ', 'g'))"
@@ -134,7 +154,7 @@ def sql_tokens(expr: str) -> str:
 
 
 def sql_strip(expr: str) -> str:
-    return f"trim({expr}, ' ' || chr(9) || chr(13) || chr(10) || chr(11) || chr(12))"
+    return f"trim({expr}, {BLANKS_SQL})"
 
 
 def sql_band(score: str, names: list[str], unknown: str = "'unknown'") -> str:

@@ -151,7 +151,7 @@ def text_normalise(spark, sf):
 @query("detect_language", f"""WITH {B.TALK} SELECT 'd' || doc_id AS id, {DETECT.format('text')} AS language FROM documents
   UNION ALL SELECT 't' || session_id || '_' || turn_id || '_' || k, {DETECT.format('x')} FROM (
     SELECT {KEY}, 'mr' AS k, mr AS x FROM talk UNION ALL SELECT {KEY}, 'both', mr || ' ' || raw FROM talk
-    UNION ALL SELECT {KEY}, 'num', repeat('12 ', 3) || left(en, 9) FROM talk)""")
+    UNION ALL SELECT {KEY}, 'num', regexp_replace(en, '[a-zA-Z]+', '12', 'g') FROM talk)""")
 def detect_language(spark, sf):
     docs = B.read(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("x")
@@ -160,7 +160,7 @@ def detect_language(spark, sf):
         F.concat_ws("_", F.concat(F.lit("t"), F.col("session_id")), "turn_id").alias("id"),
         F.explode(F.create_map(
             F.lit("mr"), F.col("mr"), F.lit("both"), F.concat("mr", F.lit(" "), "raw"),
-            F.lit("num"), F.concat(F.lit("12 12 12 "), F.left("en", F.lit(9))),
+            F.lit("num"), F.regexp_replace("en", "[a-zA-Z]+", "12"),
         )).alias("k", "x"),
     ).select(F.concat_ws("_", "id", "k").alias("id"), "x")
     return docs.unionByName(said).select("id", text.detect_language(F.col("x")).alias("language"))
@@ -284,7 +284,7 @@ def vocab_substitute(spark, sf):
 @query("code_mix", f"""WITH {B.TALK}, parts AS (
     SELECT {KEY}, mr, unnest(string_split(en, ' ')) AS x, generate_subscripts(string_split(en, ' '), 1) AS i FROM talk),
   pieces AS (SELECT {KEY}, i // 4 AS piece, string_agg(x, ' ' ORDER BY i) AS en,
-      CASE WHEN (i // 4) % 5 = 0 THEN '' ELSE left(any_value(mr), 20) END AS mr
+      CASE WHEN (i // 4) % 5 = 0 THEN '' ELSE any_value(mr) END AS mr
     FROM parts GROUP BY {KEY}, i // 4),
   w AS (SELECT *, {B.sql_words('en')} AS ws FROM pieces),
   k AS (SELECT *, list_filter(ws, lambda x: list_contains({B.sql_list(rules.CODE_MIX_KEEP)},
@@ -304,7 +304,7 @@ def code_mix(spark, sf):
         ),
         "en", "piece",
     ).filter((F.col("en") != "") | (F.col("piece") == 0))
-    mr = F.when(F.col("piece") % 5 == 0, "").otherwise(F.left("mr", F.lit(20)))
+    mr = F.when(F.col("piece") % 5 == 0, "").otherwise(F.col("mr"))
     return pieces.select(
         "session_id", "turn_id", F.col("piece").cast("long").alias("piece"),
         text.code_mix(F.col("en"), mr, rules.CODE_MIX_KEEP).alias("text"),
@@ -323,17 +323,6 @@ def term_translate(spark, sf):
     return B.talk(spark, sf).select("session_id", "turn_id", rules.translate_terms(F.col("en")).alias("text"))
 
 
-def _sql_line_terms(line: str) -> str:
-    out = line
-    for english, local in rules.NOTE_TERMS:
-        inner = out
-        for form in (english, english.capitalize(), english.upper()):
-            inner = f"replace({inner}, {quote(form)}, {quote(local)})"
-        # The condition is on the untouched line: a term that is absent there stays untouched.
-        out = inner if english.islower() else f"CASE WHEN contains(lower({line}), {quote(english.lower())}) THEN {inner} ELSE {out} END"
-    return out
-
-
 LINES = "SELECT {0}, unnest(string_split({1}, chr(10))) AS line, generate_subscripts(string_split({1}, chr(10)), 1) - 1 AS line_no FROM {2}"
 
 
@@ -392,17 +381,17 @@ def _loopy(c, key):
     )
 
 
-@query("collapse_loops", f"""WITH r AS (SELECT doc_id, {LOOP_MAKERS_SQL} AS x FROM documents),
+@query("collapse_loops", f"""WITH r AS (SELECT doc_id, {LOOP_MAKERS_SQL} AS x FROM (SELECT doc_id, {B.sql_odd_blanks('text')} AS text FROM documents)),
   c AS (SELECT doc_id, {B.sql_strip("regexp_replace(" + B.sql_strip("regexp_replace(x, '([.·•-]\\s*){6,}', '', 'g')") + ", '\\s{2,}', ' ', 'g')")} AS t FROM r),
   s AS (SELECT *, {B.sql_words('t')} AS w FROM c), q AS (SELECT *, len(w) AS n FROM s)
   SELECT doc_id, {_sql_loops()} AS text FROM q""")
 def collapse_loops(spark, sf):
     docs = B.read(spark, sf, "documents")
-    return docs.select("doc_id", text.collapse_loops(_loopy(F.col("text"), F.col("doc_id"))).alias("text"))
+    return docs.select("doc_id", text.collapse_loops(_loopy(B.odd_blanks(F.col("text")), F.col("doc_id"))).alias("text"))
 
 
 @query("low_info_filter", f"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text
-    WHEN 1 THEN repeat(left(text, 4) || ' ', (4 + doc_id % 6)::BIGINT) ELSE '...' || left(text, (doc_id % 60)::BIGINT) END AS x FROM documents),
+    WHEN 1 THEN repeat(text || ' ', (1 + doc_id % 6)::BIGINT) ELSE regexp_replace(text, '[\\p{{L}}\\p{{N}}_'']+', 'uh', 'g') END AS x FROM documents),
   t AS (SELECT doc_id, regexp_extract_all(lower(x), '([\\p{{L}}\\p{{N}}_'']+)', 1) AS w FROM r),
   e AS (SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM t),
   b AS (SELECT *, CASE WHEN tok = lag(tok) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS brk FROM e),
@@ -414,16 +403,16 @@ def low_info_filter(spark, sf):
     c, k = F.col("text"), F.col("doc_id")
     x = (
         F.when(k % 3 == 0, c)
-        .when(k % 3 == 1, F.repeat(F.concat(F.left(c, F.lit(4)), F.lit(" ")), (4 + k % 6).cast("int")))
-        .otherwise(F.concat(F.lit("..."), F.left(c, (k % 60).cast("int"))))
+        .when(k % 3 == 1, F.repeat(F.concat(c, F.lit(" ")), (1 + k % 6).cast("int")))
+        .otherwise(F.regexp_replace(c, r"[\p{L}\p{N}_']+", "uh"))
     )
     return B.read(spark, sf, "documents").select("doc_id", text.is_low_info(x).alias("low_info"))
 
 
-@query("validate_transcript", f"""SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS transcript
-  FROM documents WHERE length({B.sql_strip('text')}) BETWEEN 3 AND 500""")
+@query("validate_transcript", f"""SELECT doc_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS transcript
+  FROM (SELECT doc_id, {B.sql_odd_blanks('text')} AS x FROM documents) WHERE length({B.sql_strip('x')}) BETWEEN 3 AND 500""")
 def validate_transcript(spark, sf):
-    c = F.col("text")
+    c = B.odd_blanks(F.col("text"))
     return B.read(spark, sf, "documents").filter(text.valid_clip_text(c)).select(
         "doc_id", text.squeeze(c).alias("transcript")
     )
@@ -450,8 +439,8 @@ def brief_reply(spark, sf):
     )
 
 
-@query("prepare_conversation", f"""WITH d AS (SELECT doc_id, replace(replace(text, '. ', '.' || chr(10)), ' the ', ' : ') AS x FROM documents),
-  l AS ({LINES.format('doc_id', 'x', 'd')}),
+@query("prepare_conversation", f"""WITH d AS (SELECT doc_id, replace(replace({B.sql_odd_blanks('text')}, '. ', '.' || chr(10)), ' of ', ' : ') AS x FROM documents),
+  l AS ({B.LINES_ANY.format('doc_id', 'x', 'd')}),
   s AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l),
   p AS (SELECT *, strpos(line, ':') AS c FROM s WHERE line <> ''),
   r AS (SELECT doc_id, line_no, CASE WHEN c = 0 THEN line
@@ -462,7 +451,8 @@ def brief_reply(spark, sf):
   SELECT doc_id, CASE WHEN length(m) > 7000 THEN left(m, 3500) || chr(10) || '...[trimmed for length]...' || chr(10) || right(m, 3500)
     ELSE coalesce(m, '') END AS text FROM documents LEFT JOIN j USING (doc_id)""")
 def prepare_conversation(spark, sf):
-    x = F.replace(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(" the "), F.lit(" : "))
+    odd = B.odd_blanks(F.col("text"))
+    x = F.replace(F.replace(odd, F.lit(". "), F.lit(".\n")), F.lit(" of "), F.lit(" : "))
     return B.read(spark, sf, "documents").select("doc_id", sections.prepare_conversation(x).alias("text"))
 
 
@@ -492,7 +482,7 @@ def split_sections_simple(spark, sf):
 
 
 BARE = "trim(lower(line), '*: ')"
-SANITISE = f"""l0 AS ({LINES.format(KEY, 'x', 'src')}),
+SANITISE = f"""l0 AS ({B.LINES_ANY.format(KEY, 'x', 'src')}),
   l AS (SELECT {KEY}, line_no, {B.sql_strip('line')} AS line FROM l0),
   k AS (SELECT *, {B.sql_strip("regexp_replace(line, '^#{1,6}\\s*', '')")} AS b FROM l
     WHERE line <> '' AND {BARE} NOT IN ('subjective', 'objective', 'assessment', 'plan') AND NOT starts_with({BARE}, '```')),
@@ -549,7 +539,7 @@ def _sql_robust() -> str:
     )
     return f"""WITH {B.TALK}, body AS (SELECT {KEY}, turn_id % 3 AS k, CASE turn_id % 3 WHEN 0 THEN note_text ELSE raw END AS x, en, note_text FROM talk),
   offs AS (SELECT *, {starts} FROM body),
-  l1 AS ({LINES.format(KEY, 'x', 'body WHERE k <> 1')}),
+  l1 AS ({B.LINES_ANY.format(KEY, 'x', 'body WHERE k <> 1')}),
   l2 AS (SELECT {KEY}, line_no, {B.sql_strip('line')} AS line FROM l1),
   marked AS (SELECT *, CASE {long_arms} {short_arms} END AS sec FROM l2 WHERE line <> ''),
   filled AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY {KEY} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur FROM marked),
