@@ -42,6 +42,13 @@ def visits_of_patient(visits: DataFrame, patients: DataFrame, patient_id: int |
     return visits.join(names, "patient_id")
 
 
+def patient_visits(visits: DataFrame, patients: DataFrame, patient_id: int | Column, limit: int | None = 100) -> DataFrame:
+    """Visits of one patient, newest first; no limit with ``None``."""
+    mine = visits.filter(F.col("patient_id") == patient_id)
+    rows = visits_of_patient(mine, patients).orderBy(F.col("created_at").desc(), F.col("visit_id"))
+    return rows if limit is None else rows.limit(clamp(limit, MAX_VISITS))
+
+
 def recent_visits(visits: DataFrame, patients: DataFrame, limit: int = 100) -> DataFrame:
     """Newest visits of known patients first."""
     n = clamp(limit, MAX_VISITS)

@@ -37,6 +37,11 @@ def keyword_entities(
     return _spread(turns, spans.keyword_spans(F.col(source), keywords), source)
 
 
+def indic_entities(turns: DataFrame, source: str = "text") -> DataFrame:
+    """Keyword occurrences by the list for Indian languages."""
+    return keyword_entities(turns, source, spans.INDIC_KEYWORDS)
+
+
 def pattern_entities(
     turns: DataFrame, source: str = "text", patterns: dict[str, list[str]] = spans.PATTERNS
 ) -> DataFrame:
@@ -131,8 +136,9 @@ def top_entities(entities: DataFrame, keys: list[str], n: int = NOTE_ENTITIES) -
     return head_rows(firsts, keys, [F.col("score").desc(), F.col("rule").asc()], n)
 
 
-def entity_block(entities: DataFrame, keys: list[str]) -> DataFrame:
-    """Text block per note: up to eight entries under each label heading."""
+def entity_block(entities: DataFrame, keys: list[str], notes: DataFrame) -> DataFrame:
+    """Text block per note: up to eight entries under each label heading, or a line that
+    says there are none."""
     top = top_entities(entities, keys)
     listed = head_rows(top, [*keys, "label"], [F.col("score").desc(), F.col("rule").asc()],
                        LISTED_PER_LABEL)
@@ -154,8 +160,9 @@ def entity_block(entities: DataFrame, keys: list[str]) -> DataFrame:
         F.lit("\n**"), F.col("label"), F.lit("S:**\n"),
         F.array_join(F.transform("items", lambda x: x["t"]), "\n"),
     )
-    return (
+    made = (
         blocks.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), body.alias("b")))).alias("x"))
         .select(*keys, F.array_join(F.transform("x", lambda x: x["b"]), "\n").alias("block"))
     )
+    return notes.select(*keys).distinct().join(made, keys, "left").fillna(NO_ENTITIES, ["block"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.overlap import ngrams
+from parlance.functions.rows import explode_rows
 from parlance.functions.text import let, words
 from parlance.operators.ordering import head_rows
 
@@ -60,89 +61,83 @@ TERMS = [
 # ten terms per text.
 PHRASE_WORDS, PHRASE_MIN_CHARS, PHRASE_HITS, TEXT_TERMS = 3, 3, 2, 10
 
-# Term vectors up to this size go to every worker; larger glossaries are joined in blocks.
-BROADCAST_BYTES = 64 << 20
+# Terms in a block, queries in a group, and similarities held at once.
 BLOCK_TERMS = 4096
 GROUP_QUERIES = 20_000
-TEXTS_PER_STEP = 64
+TILE = 1 << 21
+# Texts the model is given at once.
+EMBED_ROWS = 4096
+# Digits by which similarities are compared: sums may differ behind them from block to block.
+DIGITS = 12
 
 
 def term_table(spark: SparkSession) -> DataFrame:
+    """The built-in glossary."""
     return spark.createDataFrame(TERMS, "english string, marathi string, hindi string, category string")
 
 
-def _top_of(term_ids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
-    """Function from query ids and vectors to their ``k`` best terms by cosine."""
+def _nearest(vectors: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Query rows, term columns and similarities of the ``k`` best terms by cosine, the
+    first listed on a tie; a vector without length has similarity 0 to all."""
     scale = np.linalg.norm(matrix, axis=1)
-
-    def run(ids, vectors) -> pd.DataFrame:
-        q = np.stack(vectors).astype(np.float64)
-        sims = (q @ matrix.T) / (np.linalg.norm(q, axis=1)[:, None] * scale)
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        return pd.DataFrame(
-            {
-                "query_id": np.asarray(ids)[rows],
-                "term_id": term_ids[best.ravel()],
-                "similarity": sims[rows, best.ravel()],
-            }
-        )
-
-    return run
-
-
-def term_topk(
-    queries: DataFrame, terms: DataFrame, k: int = 5, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+    k, step = min(k, len(matrix)), max(1, TILE // max(1, len(matrix)))
+    rows, columns, values = [], [], []
+    for lo in range(0, len(vectors), step):
+        q = vectors[lo:lo + step]
+        size = np.linalg.norm(q, axis=1)[:, None] * scale
+        sims = np.divide(q @ matrix.T, size, out=np.zeros((len(q), len(matrix))), where=size > 0)
+        sims = np.round(sims, DIGITS)
+        least = np.partition(sims, -k, axis=1)[:, -k]
+        at, term = np.nonzero(sims >= least[:, None])
+        found = sims[at, term]
+        order = np.lexsort((term, -found, at))
+        at, term, found = at[order], term[order], found[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        rows.append(at[nth < k] + lo)
+        columns.append(term[nth < k])
+        values.append(found[nth < k])
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+
+
+def term_topk(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
     """``k`` nearest terms of each query vector by cosine, exact for any glossary size.
 
-    ``queries``: query_id, vector. ``terms``: term_id (0..n-1), vector. The glossary is
-    measured first: a small one goes to every worker and queries are not moved at all, a
-    large one is cut into blocks that meet salted groups of queries, and the ``k``
-    candidates of each block are merged.
+    ``queries``: query_id, vector. ``terms``: term_id, vector. Terms are cut into blocks and
+    queries into groups by hash, both bounded; every group meets every block, similarities
+    are worked out tile by tile, and the ``k`` candidates of each block are merged. How many
+    blocks and groups there are is part of the query, not found out before it.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, term_id long, similarity double"
-    size = terms.agg(
-        F.count("*").alias("n"), F.sum(F.size("vector").cast("long") * 8).alias("bytes")
-    ).first()
-    if not size["n"]:
-        return queries.sparkSession.createDataFrame([], schema)
-    if size["bytes"] <= broadcast_bytes:
-        rows = terms.select("term_id", "vector").orderBy("term_id").collect()
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64))
+    def times(df: DataFrame, size: int) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("n")).scalar()
+
+    def copies(df: DataFrame, own: str, id_col: str, size: int, other: str, count: Column) -> DataFrame:
+        held = df.select(id_col, "vector", times(df, size).alias("_own"), count.alias("_other"))
+        return held.select(
+            id_col, "vector", F.pmod(F.xxhash64(id_col), F.col("_own")).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1)).alias(other),
         )
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            run = _top_of(*shared.value, k)
-            for pdf in batches:
-                if len(pdf):
-                    yield run(pdf["query_id"].to_numpy(), pdf["vector"])
-
-        return queries.select("query_id", "vector").mapInPandas(near, schema)
-
-    n_blocks = -(-size["n"] // BLOCK_TERMS)
-    salts = max(1, -(-queries.count() // GROUP_QUERIES))
-    spread = queries.select(
-        "query_id", "vector",
-        F.pmod(F.xxhash64("query_id"), F.lit(salts)).alias("salt"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
-    )
-    blocks = terms.select(
-        "term_id", "vector", F.floor(F.col("term_id") / BLOCK_TERMS).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"),
+    q_type, t_type = (
+        df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (terms, "term_id"))
     )
+    asked = copies(queries, "salt", "query_id", GROUP_QUERIES, "block", times(terms, BLOCK_TERMS))
+    offered = copies(terms, "block", "term_id", BLOCK_TERMS, "salt", times(queries, GROUP_QUERIES))
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "term_id", "similarity"]
         if not len(q) or not len(t):
-            return pd.DataFrame({"query_id": q["query_id"][:0], "term_id": [], "similarity": []})
+            return pd.DataFrame(columns=names)
         t = t.sort_values("term_id")
-        matrix = np.stack(t["vector"]).astype(np.float64)
-        return _top_of(t["term_id"].to_numpy(), matrix, k)(q["query_id"].to_numpy(), q["vector"])
+        rows, columns, values = _nearest(
+            np.stack(q["vector"]).astype(np.float64), np.stack(t["vector"]).astype(np.float64), k
+        )
+        return pd.DataFrame({
+            "query_id": q["query_id"].to_numpy()[rows], "term_id": t["term_id"].to_numpy()[columns],
+            "similarity": values,
+        })
 
-    found = spread.groupBy("block", "salt").cogroup(blocks.groupBy("block", "salt")).applyInPandas(
-        meet, schema
+    found = asked.groupBy("block", "salt").cogroup(offered.groupBy("block", "salt")).applyInPandas(
+        meet, f"query_id {q_type}, term_id {t_type}, similarity double"
     )
     return _best(found, ["query_id"], "term_id", k)
 
@@ -167,49 +162,39 @@ def letter_vectors(texts: Sequence[str]) -> np.ndarray:
     return out
 
 
+def embedded(df: DataFrame, text: str, embed: Callable[[Sequence[str]], np.ndarray], name: str) -> DataFrame:
+    """Distinct texts as ``name`` with their vectors; ``embed`` is the user's model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), EMBED_ROWS):
+                part = pdf[name].iloc[lo:lo + EMBED_ROWS].tolist()
+                yield pd.DataFrame({name: part, "vector": list(np.asarray(embed(part), dtype=np.float64))})
+
+    distinct = df.select(F.col(text).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    return distinct.mapInPandas(run, f"{name} string, vector array<double>")
+
+
 def phrase_terms(
     texts: DataFrame,
     key: list[str],
     embed: Callable[[Sequence[str]], np.ndarray] = letter_vectors,
     top: int = TEXT_TERMS,
+    glossary: DataFrame | None = None,
+    hits: int = PHRASE_HITS,
 ) -> DataFrame:
     """Best glossary terms of each text: two per phrase, best score per term, top ten.
 
-    ``embed`` is the user's model, called on the distinct phrases of a few texts at a
-    time, where the texts lie; only the best score per text and term is shuffled.
+    ``glossary`` has a column ``english``, as ``term_table`` and ``scan_glossary`` give it.
+    Each distinct phrase is embedded and looked up once, whatever the number of texts that
+    hold it, and only the best score per text and term goes on.
     """
-    names = np.array(sorted(t[0] for t in TERMS))
-
-    def lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = embed(list(names))
-        term_sq = (terms * terms).sum(axis=1)
-        for pdf in batches:
-            for lo in range(0, len(pdf), TEXTS_PER_STEP):
-                part = pdf.iloc[lo:lo + TEXTS_PER_STEP]
-                owner = np.repeat(np.arange(len(part)), part["_phrases"].map(len))
-                if not len(owner):
-                    continue
-                codes, distinct = pd.factorize(np.concatenate(part["_phrases"].tolist()))
-                vectors = embed(list(distinct))
-                sq = (vectors * vectors).sum(axis=1)
-                scale = np.sqrt(sq[:, None] * term_sq)
-                sims = np.divide(vectors @ terms.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :PHRASE_HITS]
-                hits = pd.DataFrame(
-                    {
-                        "row": np.repeat(owner, best.shape[1]),
-                        "term": best[codes].ravel(),
-                        "similarity": np.take_along_axis(sims, best, axis=1)[codes].ravel(),
-                    }
-                ).groupby(["row", "term"], as_index=False)["similarity"].max()
-                out = part[key].iloc[hits["row"].to_numpy()].reset_index(drop=True)
-                out["english"] = names[hits["term"].to_numpy()]
-                out["similarity"] = hits["similarity"].to_numpy()
-                yield out
-
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in key)
-    hits = texts.select(*key, phrases_of(F.col("text")).alias("_phrases")).mapInPandas(
-        lookup, f"{kinds}, english string, similarity double"
+    terms = term_table(texts.sparkSession) if glossary is None else glossary
+    phrases = explode_rows(texts, [*key], phrases_of(F.col("text")), "query_id")
+    near = term_topk(
+        embedded(phrases, "query_id", embed, "query_id"), embedded(terms, "english", embed, "term_id"), hits
+    )
+    scored = phrases.join(near, "query_id").groupBy(*key, F.col("term_id").alias("english")).agg(
+        F.max("similarity").alias("similarity")
     )
-    scored = hits.groupBy(*key, "english").agg(F.max("similarity").alias("similarity"))
     return _best(scored, key, "english", top)

@@ -181,6 +181,19 @@ def role_from_speaker(chunks: DataFrame) -> DataFrame:
     )
 
 
+def turn_roles(chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Numbered turns with roles: from the chunks, or line by line where no chunk says anything.
+
+    ``transcripts``: session_id, transcript.
+    """
+    said = role_from_speaker(chunks)
+    placed = prefix(said, ["session_id"], ["chunk_id"], chunk_bucket(), position="_i")
+    rest = transcripts.join(said.select("session_id").distinct(), "session_id", "left_anti")
+    return placed.select(
+        "session_id", (F.col("_i") + 1).cast("long").alias("turn_id"), "role", "text"
+    ).unionByName(roles_by_line(rest).withColumn("turn_id", F.col("turn_id").cast("long")))
+
+
 def roles_by_line(transcripts: DataFrame, key: str = "session_id") -> DataFrame:
     """Alternate roles over the non-empty lines of a transcript without chunks."""
     lines = F.filter(F.transform(F.split("transcript", text.LINE_END), text.strip), lambda x: x != "")

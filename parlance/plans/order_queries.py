@@ -10,7 +10,7 @@ from parlance.operators import clinic, evaluation as V, review as R
 from parlance.operators import speakers as S, splits as P, turns as T, waves as W
 from parlance.plans import tables as B
 from parlance.plans.registry import query
-from parlance.plans.set_queries import E_LEN, EXPECT, RATIO, SHORT
+from parlance.plans.set_queries import BAGS, E_LEN, EXPECT, RATIO, SHORT, SQL_EDIT
 from parlance.plans.tables import quote
 from parlance.plans.text_queries import DETECT, KEY, SQL_BRIEF, SQL_QUESTION
 from parlance.session import scratch
@@ -113,13 +113,14 @@ def token_runs(spark, sf):
     )
 
 
-@query("worst_k", f"""WITH {B.PAIRS}, n AS (SELECT {KEY}, {B.sql_norm('pred')} AS p, {B.sql_norm('ref')} AS r FROM pairs), e AS (SELECT {KEY}, round(100.0::DOUBLE * levenshtein(p, r) / greatest(length(r), 1), 6) AS sample_error FROM n)
+@query("worst_k", f"""WITH RECURSIVE {B.PAIRS}, {BAGS}, {SQL_EDIT}, e AS (SELECT {KEY}, round(100.0::DOUBLE * word_edits / greatest(ref_words, 1), 6) AS sample_error FROM wd)
   SELECT * FROM e ORDER BY sample_error DESC, session_id, turn_id LIMIT 20""")
 def worst_k(spark, sf):
-    e = V.char_errors(B.pairs(spark, sf))
+    """By word error, as the samples to look at are chosen."""
+    e = V.word_errors(B.pairs(spark, sf))
     scored = e.select(
         "session_id", "turn_id",
-        F.round(100.0 * F.col("char_edits") / F.greatest("ref_chars", F.lit(1)), 6).alias("sample_error"),
+        F.round(100.0 * F.col("word_edits") / F.greatest("ref_words", F.lit(1)), 6).alias("sample_error"),
     )
     return V.worst_k(scored, "sample_error", ["session_id", "turn_id"])
 
@@ -307,11 +308,16 @@ def resample_speed_pitch(spark, sf):
     return explode_rows(made, ["vec_id", "kind"], F.col("wave"), "x", "i").withColumn("x", F.round("x", 6))
 
 
-@query("noise_snr")
+@query("noise_snr", """SELECT vec_id % 4 AS part, count(*) AS clips, sum(len(embedding))::BIGINT AS samples, 20 AS snr_db FROM embeddings GROUP BY 1""")
 def noise_snr(spark, sf):
+    """Over the many samples of a part, what was added has the power that was asked for."""
     e = B.read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return W.add_noise(e, "vec_id", "embedding", 20.0).select(
-        "vec_id", F.posexplode("embedding").alias("i", "x")
+    noisy = W.add_noise(e, "vec_id", "embedding", 20.0).withColumnRenamed("embedding", "noisy")
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    added = F.zip_with("noisy", "embedding", lambda a, b: a - b)
+    return e.join(noisy, "vec_id").groupBy((F.col("vec_id") % 4).alias("part")).agg(
+        F.count("*").alias("clips"), F.sum(F.size("noisy")).alias("samples"),
+        F.round(10 * F.log10(F.sum(square(F.col("embedding"))) / F.sum(square(added)))).cast("int").alias("snr_db"),
     )
 
 

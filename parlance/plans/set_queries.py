@@ -13,6 +13,8 @@ from parlance.plans import tables as B
 from parlance.plans.registry import query
 from parlance.plans.tables import quote
 from parlance.plans.text_queries import KEY, sql_matches
+from parlance.session import scratch
+from parlance.sources import documents as D
 
 UNLABELLED = "coalesce(split, 'unknown')"
 
@@ -109,6 +111,13 @@ def visit_patient(spark, sf):
     return v.select("visit_id", "patient_id", F.col("created_at").cast("date").alias("day"), "patient_name")
 
 
+@query("patient_visits", f"WITH {B.PATIENTS}, {B.VISITS} SELECT visit_id, patient_id, full_name AS patient_name FROM visits JOIN patients ON id = patient_id WHERE patient_id = (SELECT min(patient_id) FROM visits) ORDER BY visits.created_at DESC, visit_id LIMIT 3")
+def patient_visits(spark, sf):
+    v = B.visits(spark, sf)
+    one = v.agg(F.min("patient_id").alias("p")).scalar()
+    return clinic.patient_visits(v, B.patients(spark, sf), one, 3).select("visit_id", "patient_id", "patient_name")
+
+
 @query("patient_visit_count", f"""WITH {B.PATIENTS}, {B.VISITS} SELECT p.*, (SELECT count(*) FROM visits v WHERE v.patient_id = p.id) AS session_count FROM patients p""")
 def patient_visit_count(spark, sf):
     return clinic.visit_counts(B.patients(spark, sf), B.visits(spark, sf))
@@ -162,6 +171,18 @@ KEYWORD_HITS = f"""kw(rule, label, kw) AS (VALUES {SQL_KEYWORDS}),
   khits AS (SELECT {{keys}}, rule, label, CAST(p - 1 AS INTEGER) AS start, CAST(p - 1 + length(kw) AS INTEGER) AS stop, substr(txt, p, length(kw)) AS entity FROM step)"""
 
 
+INDIC_HITS = KEYWORD_HITS.replace(
+    SQL_KEYWORDS, ", ".join(f"({i}, {quote(l)}, {quote(k.lower())})" for i, l, k in spans.flat_rules(spans.INDIC_KEYWORDS))
+)
+
+
+@query("indic_entities", f"""WITH RECURSIVE {B.TALK}, {INDIC_HITS.format(keys=KEY, src='mr', table='talk')}
+  SELECT {KEY}, entity, label, start, stop FROM khits""")
+def indic_entities(spark, sf):
+    t = B.talk(spark, sf).select("session_id", "turn_id", "mr")
+    return E.indic_entities(t, "mr").select("session_id", "turn_id", "entity", "label", "start", "stop")
+
+
 @query("keyword_entities", f"""WITH RECURSIVE {B.TALK}, x AS (SELECT {KEY}, en || ' ' || mr AS t FROM talk), {KEYWORD_HITS.format(keys=KEY, src='t', table='x')}
   SELECT {KEY}, entity, label, start, stop, 0.9::DOUBLE AS confidence FROM khits""")
 def keyword_entities(spark, sf):
@@ -223,10 +244,10 @@ def entity_summary(spark, sf):
   t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY {KEY}, label ORDER BY score DESC, rule) <= 8),
   b AS (SELECT {KEY}, label, chr(10) || '**' || label || 'S:**' || chr(10) || string_agg('  - ' || entity ||
     CASE WHEN context <> '' THEN ': "' || context || '"' ELSE '' END, chr(10) ORDER BY score DESC, rule) AS body FROM t GROUP BY {KEY}, label)
-  SELECT {KEY}, string_agg(body, chr(10) ORDER BY CASE label WHEN 'SYMPTOM' THEN 1 ELSE 2 END) AS block FROM b GROUP BY {KEY}""")
+  SELECT {KEY}, coalesce(string_agg(body, chr(10) ORDER BY CASE label WHEN 'SYMPTOM' THEN 1 ELSE 2 END), '{E.NO_ENTITIES}') AS block FROM talk LEFT JOIN b USING ({KEY}) GROUP BY {KEY}""")
 def entity_block(spark, sf):
-    found = E.keyword_context(B.talk(spark, sf).select("session_id", "turn_id", "en"), "en")
-    return E.entity_block(found, ["session_id", "turn_id"])
+    t = B.talk(spark, sf).select("session_id", "turn_id", "en")
+    return E.entity_block(E.keyword_context(t, "en"), ["session_id", "turn_id"], t)
 
 
 SIDE_PATTERNS = [(i + len(spans.flat_rules(spans.KEYWORDS)), l, p) for i, l, p in PATTERN_RULES]
@@ -269,11 +290,11 @@ def term_topk(spark, sf):
 @query("term_topk_all", """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS term_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b)
   SELECT query_id, term_id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, term_id) <= 5""")
 def term_topk_all(spark, sf):
-    """Every vector is a term too; the block route, which takes any glossary size."""
+    """Every vector is a term too."""
     e = B.read(spark, sf, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     terms = e.select(F.col("vec_id").alias("term_id"), F.col("embedding").alias("vector"))
-    return G.term_topk(q, terms, 5, broadcast_bytes=0).withColumn("similarity", F.round("similarity", 6))
+    return G.term_topk(q, terms, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 LETTERS = "['" + "','".join("abcdefghijklmnopqrstuvwxyz") + "']"
@@ -296,6 +317,21 @@ def phrase_terms(spark, sf):
     return G.phrase_terms(t, ["session_id", "turn_id"]).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("phrase_terms_user_glossary", f"""WITH {B.TALK}, {PHRASES.replace("(VALUES " + ', '.join('(' + quote(t[0]) + ')' for t in G.TERMS) + ") x(english)", "(SELECT DISTINCT english FROM (SELECT 't' || item_id || ' ' || text AS english FROM benchmark UNION ALL SELECT unnest(" + B.sql_list([t[0] for t in G.TERMS]) + ")))")}
+  SELECT {KEY}, english, round(similarity, 6) AS similarity FROM best QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY best.similarity DESC, english) <= 10""")
+def phrase_terms_user_glossary(spark, sf):
+    """Built-in terms and those of a glossary file."""
+    path = scratch(spark, "user-glossary")
+    item = F.struct(F.concat(F.lit("t"), F.col("item_id").cast("string"), F.lit(" "), "text").alias("k"), F.lit("m").alias("v"))
+    B.read(spark, sf, "benchmark").select(F.to_json(F.map_from_entries(F.array(item))).alias("value")).write.text(path)
+    own = D.scan_glossary(spark, path, whole_file=False).select("english")
+    terms = G.term_table(spark).select("english").unionByName(own)
+    t = B.talk(spark, sf).select("session_id", "turn_id", F.col("en").alias("text"))
+    found = G.phrase_terms(t, ["session_id", "turn_id"], glossary=terms)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+
 @query("session_summary", f"""WITH {B.TALK}, {B.TIMED} SELECT session_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'Patient') AS n_patient_turns,
   arg_max(stop_time, turn_id) AS session_duration_sec FROM timed GROUP BY session_id""")
 def session_summary(spark, sf):
@@ -564,6 +600,18 @@ def roles_by_line(spark, sf):
     return S.roles_by_line(d, "doc_id")
 
 
+@query("turn_roles", f"""WITH {SPEAKER_SCORES}, said AS (SELECT c.session_id, row_number() OVER (PARTITION BY c.session_id ORDER BY chunk_id) AS turn_id, CASE WHEN speaker = doctor_speaker OR upper(speaker) = 'A' THEN 'Doctor' ELSE 'Patient' END AS role, text
+    FROM chunks c JOIN ds USING (session_id) WHERE {B.sql_strip('text')} <> '' AND c.session_id % 2 = 0),
+  l0 AS (SELECT doc_id, unnest(string_split_regex(text, '{LINE_END}')) AS line, generate_subscripts(string_split_regex(text, '{LINE_END}'), 1) AS n FROM documents WHERE doc_id NOT IN (SELECT session_id FROM said)),
+  l AS (SELECT doc_id, {B.sql_strip('line')} AS text, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS turn_id FROM l0 WHERE {B.sql_strip('line')} <> '')
+  SELECT session_id, CAST(turn_id AS BIGINT) AS turn_id, role, text FROM said
+  UNION ALL SELECT doc_id, CAST(turn_id AS BIGINT), CASE WHEN turn_id % 2 = 1 THEN 'Doctor' ELSE 'Patient' END, text FROM l""")
+def turn_roles(spark, sf):
+    """Sessions with an even number have chunks; every document is a session's transcript."""
+    d = B.read(spark, sf, "documents").select(F.col("doc_id").alias("session_id"), F.col("text").alias("transcript"))
+    return S.turn_roles(B.chunks(spark, sf).filter("session_id % 2 = 0"), d)
+
+
 @query("clinic_stats", f"""WITH {B.VISITS} SELECT count(*) AS total_sessions, count(*) FILTER (WHERE created_at >= TIMESTAMP '2001-08-01' - INTERVAL 7 DAYS) AS active_sessions_last_7_days,
   (SELECT count(*) FROM customer) AS total_patients FROM visits""")
 def clinic_stats(spark, sf):

@@ -35,57 +35,45 @@ def scan_transcripts(
 ) -> DataFrame:
     """Turns of all transcripts under ``path`` with roles, word counts and durations.
 
-    Without ``sep`` each file is read as one record and its first 512 characters pick
-    the separator. With ``sep`` files stream through the CSV reader, for files too large
-    for one record. Files whose name carries no session number are skipped.
+    The first 512 characters of a file pick its separator, unless ``sep`` names it; columns
+    are found by their names in the header, whatever their order. Each file, one interview,
+    is read as one record. Files whose name carries no session number are skipped.
     """
     where = F.col("_metadata.file_path")
     sid = session_id if session_id is not None else scores.session_id_from_path(F.col("_file"))
+    files = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", suffix).text(path, wholetext=True)
+        .select(where.alias("_file"), F.col("value").alias("_content"))
+        .withColumn("session_id", sid).filter("session_id IS NOT NULL")
+    )
+    probe = F.when(F.contains(F.left("_content", F.lit(PROBE_CHARS)), F.lit("\t")), "\t").otherwise(",")
+    rows = files.select(
+        "session_id", (probe if sep is None else F.lit(sep)).alias("_sep"),
+        _records(F.col("_content")).alias("_r"),
+    )
+    names = F.split(F.get("_r", 0), F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E")))
+    body = explode_rows(
+        rows.withColumn("_names", F.transform(names, strip)), ["session_id", "_sep", "_names"],
+        F.slice("_r", F.lit(2), F.size("_r")), "_line", "turn_id",
+    )
+    width = len(COLUMNS)
     if sep is None:
-        files = (
-            spark.read.option("recursiveFileLookup", True)
-            .option("pathGlobFilter", suffix).text(path, wholetext=True)
-            .select(where.alias("_file"), F.col("value").alias("_content"))
-            .withColumn("session_id", sid).filter("session_id IS NOT NULL")
-        )
-        tabbed = F.contains(F.left("_content", F.lit(PROBE_CHARS)), F.lit("\t"))
-        rows = files.select("session_id", tabbed.alias("_tab"), _records(F.col("_content")).alias("_r"))
-        head = F.get("_r", 0)
-        names = F.when(F.col("_tab"), F.split(head, "\t")).otherwise(F.split(head, ","))
-        body = explode_rows(
-            rows.withColumn("_names", F.transform(names, strip)), ["session_id", "_tab", "_names"],
-            F.slice("_r", F.lit(2), F.size("_r")), "_line", "turn_id",
-        )
-        width = len(COLUMNS)
-        got = F.when(F.col("_tab"), _fields(F.col("_line"), "\t", width)).otherwise(
+        got = F.when(F.col("_sep") == "\t", _fields(F.col("_line"), "\t", width)).otherwise(
             _fields(F.col("_line"), ",", width)
         )
+    else:
+        got = _fields(F.col("_line"), sep, width)
 
-        def column(name: str) -> Column:
-            at = F.array_position("_names", name)
-            cells = F.array(*[F.col(f"_f.c{i}") for i in range(width)])
-            return F.when(at > 0, F.get(cells, (at - 1).cast("int"))).alias(name)
+    def column(name: str) -> Column:
+        at = F.array_position("_names", name)
+        cells = F.array(*[F.col(f"_f.c{i}") for i in range(width)])
+        return F.when(at > 0, F.get(cells, (at - 1).cast("int"))).alias(name)
 
-        turns = body.withColumn("_f", got).select(
-            "session_id", F.col("turn_id").cast("long").alias("turn_id"),
-            *[column(n) for n in COLUMNS],
-        )
-    else:
-        read = (
-            spark.read.schema(", ".join(f"{c} string" for c in COLUMNS))
-            .option("header", True).option("sep", sep).option("multiLine", True)
-            .option("escape", '"').option("recursiveFileLookup", True)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("pathGlobFilter", suffix).csv(path)
-            .select(where.alias("_file"), *COLUMNS, F.monotonically_increasing_id().alias("_row"))
-        )
-        # A multi-line file is read by one task, so its row ids are consecutive.
-        first = read.groupBy("_file").agg(F.min("_row").alias("_first"))
-        turns = (
-            read.join(first, "_file")
-            .withColumn("session_id", sid).filter("session_id IS NOT NULL")
-            .select("session_id", (F.col("_row") - F.col("_first")).alias("turn_id"), *COLUMNS)
-        )
+    turns = body.withColumn("_f", got).select(
+        "session_id", F.col("turn_id").cast("long").alias("turn_id"),
+        *[column(n) for n in COLUMNS],
+    )
     named = turns.withColumn("speaker", strip(F.coalesce("speaker", F.lit("")))).withColumn(
         "text_en", strip(F.coalesce("value", F.lit("")))
     ).drop("value")

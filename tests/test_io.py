@@ -25,6 +25,10 @@ def test_transcripts_of_both_kinds(spark, tmp_path):
     ]
     tabbed = X.scan_transcripts(spark, str(tmp_path / "3_TRANSCRIPT.csv"), sep="\t").collect()
     assert sorted((r.turn_id, r.text_en) for r in tabbed) == [(0, 'hi "you"\nthere'), (1, "ok, fine")]
+    # With and without a named separator the header decides.
+    for sep in (None, ","):
+        r = X.scan_transcripts(spark, str(tmp_path / "4_TRANSCRIPT.csv"), sep=sep).first()
+        assert (r.role, r.speaker, r.text_en, r.start_time, r.stop_time) == ("Doctor", "Ellie", "hi, you", 3.0, 1.0)
 
 
 def test_last_label_file_wins(spark, tmp_path):

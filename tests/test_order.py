@@ -159,19 +159,28 @@ def test_clinician_inference(spark):
     assert got == {1: "B1", 2: "X"}
 
 
-def test_topk_routes_agree(spark):
+def test_topk_with_small_blocks_and_ties(spark, monkeypatch):
+    """Tiles, blocks and groups smaller than the tables; terms that tie in different blocks."""
     rng = random.Random(2)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(8)]
-    q = spark.createDataFrame([(i, vec()) for i in range(30)], "query_id long, vector array<double>")
-    t = spark.createDataFrame([(i, vec()) for i in range(25)], "term_id long, vector array<double>")
-    old = G.BLOCK_TERMS, G.GROUP_QUERIES
-    G.BLOCK_TERMS, G.GROUP_QUERIES = 4, 7
-    try:
-        blocks = {(r.query_id, r.term_id) for r in G.term_topk(q, t, 3, broadcast_bytes=0).collect()}
-    finally:
-        G.BLOCK_TERMS, G.GROUP_QUERIES = old
-    small = {(r.query_id, r.term_id) for r in G.term_topk(q, t, 3).collect()}
-    assert blocks == small and len(small) == 90
+    vectors = [vec() for _ in range(12)]
+    terms = [(i, vectors[i % 12]) for i in range(30)] + [(99, [0.0] * 8)]
+    queries = [(i, vec()) for i in range(30)]
+    q = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    t = spark.createDataFrame(terms, "term_id long, vector array<double>")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) * sum(x * x for x in b)
+        return round(sum(x * y for x, y in zip(a, b)) / n**0.5, 10) if n else 0.0
+
+    want = {(i, j) for i, v in queries for j, _ in sorted(terms, key=lambda x: (-cosine(v, x[1]), x[0]))[:4]}
+    for block, group, tile in ((4096, 20000, 1 << 21), (4, 7, 8), (1, 1, 1)):
+        monkeypatch.setattr(G, "BLOCK_TERMS", block)
+        monkeypatch.setattr(G, "GROUP_QUERIES", group)
+        monkeypatch.setattr(G, "TILE", tile)
+        assert {(r.query_id, r.term_id) for r in G.term_topk(q, t, 4).collect()} == want
+    assert G.term_topk(q, t.limit(0), 4).collect() == []
+
 
 
 def test_augmentation_plan(spark):
