@@ -211,30 +211,64 @@ def keyword_spans(text: Column, groups: dict[str, list[str]]) -> Column:
         ]
     )
 
-    def hits_in(low: Column) -> Column:
-        pieces = F.split(low, cut)
-        starts = F.array_distinct(F.array_insert(
-            _running_ends(F.transform(pieces, F.length)), 1, F.lit(0)
-        ))
-        return F.flatten(
-            F.transform(
-                starts,
-                lambda at: let(
-                    F.substring(low, at + 1, F.lit(longest)),
-                    lambda ahead: F.transform(
-                        F.filter(table, lambda k: F.startswith(ahead, k["kw"])),
-                        lambda k: F.struct(
-                            k["rule"].alias("rule"), k["label"].alias("label"),
-                            at.alias("start"), (at + k["len"]).alias("stop"),
-                            F.lit(KEYWORD_CONFIDENCE).alias("confidence"),
-                        ),
+    def hits_in(b: Column) -> Column:
+        pieces, ends = b["pieces"], b["ends"]
+
+        def at_piece(piece: Column, n: Column) -> Column:
+            # What follows the cut, from the next pieces: the text is not walked again.
+            ahead = F.left(F.array_join(F.slice(pieces, n + 1, F.lit(longest)), ""), F.lit(longest))
+            at = F.get(ends, n) - F.length(piece)
+            return let(
+                F.struct(ahead.alias("ahead"), at.alias("at")),
+                lambda x: F.transform(
+                    F.filter(table, lambda k: F.startswith(x["ahead"], k["kw"])),
+                    lambda k: F.struct(
+                        k["rule"].alias("rule"), k["label"].alias("label"),
+                        x["at"].alias("start"), (x["at"] + k["len"]).alias("stop"),
+                        F.lit(KEYWORD_CONFIDENCE).alias("confidence"),
                     ),
                 ),
             )
-        )
+
+        return F.flatten(F.transform(pieces, at_piece))
+
+    def cut_up(pieces: Column) -> Column:
+        ends = _running_ends(F.transform(pieces, F.length))
+        return let(F.struct(pieces.alias("pieces"), ends.alias("ends")), hits_in)
 
     low = F.lower(text)
-    return F.when(low.rlike(cut), let(low, hits_in)).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    found = let(F.split(low, cut), cut_up)
+    return F.when(low.rlike(cut), found).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+
+# Characters of a block of text that a span is read from.
+TEXT_BLOCK = 1024
+
+
+def with_entities(text: Column, spans: Column) -> Column:
+    """The spans with the text they mark as ``entity``.
+
+    A place in a text is found by walking there from its start, so the text is cut into
+    blocks once and a span reads the one or two it lies in.
+    """
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / TEXT_BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda k: F.substring(text, k * TEXT_BLOCK + 1, F.lit(TEXT_BLOCK))
+    )
+
+    def read(b: Column, s: Column) -> Column:
+        n = s["stop"] - s["start"]
+        first = F.floor(s["start"] / TEXT_BLOCK).cast("int")
+        near = F.array_join(F.slice(b, first + 1, F.floor(n / TEXT_BLOCK).cast("int") + 2), "")
+        return F.substring(near, s["start"] % TEXT_BLOCK + 1, n)
+
+    return F.when(
+        F.size(spans) > 0,
+        let(
+            F.struct(blocks.alias("b"), spans.alias("s")),
+            lambda x: F.transform(x["s"], lambda s: s.withField("entity", read(x["b"], s))),
+        ),
+    )
 
 
 def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import scores, spans
 from parlance.functions.rows import explode_rows, inline_rows
+from parlance.functions.text import let
 from parlance.operators.ordering import head_rows
 
 # How many entities a note keeps and how many a label lists.
@@ -17,16 +18,11 @@ NO_ENTITIES = "No specific medical entities extracted."
 
 def _spread(df: DataFrame, found: Column, source: str) -> DataFrame:
     hit = F.col("_hit")
-    return (
-        explode_rows(df, [F.col(c) for c in df.columns], found, "_hit")
-        .withColumn(
-            "entity", F.substring(source, hit["start"] + 1, hit["stop"] - hit["start"])
-        )
-        .select(
-            *df.columns, "entity", hit["label"].alias("label"), hit["start"].alias("start"),
-            hit["stop"].alias("stop"), hit["confidence"].alias("confidence"),
-            hit["rule"].alias("rule"),
-        )
+    marked = let(found, lambda s: spans.with_entities(F.col(source), s))
+    return explode_rows(df, [F.col(c) for c in df.columns], marked, "_hit").select(
+        *df.columns, hit["entity"].alias("entity"), hit["label"].alias("label"),
+        hit["start"].alias("start"), hit["stop"].alias("stop"),
+        hit["confidence"].alias("confidence"), hit["rule"].alias("rule"),
     )
 
 
