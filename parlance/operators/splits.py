@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.rows import explode_rows
@@ -18,6 +18,13 @@ AUGMENTATIONS = [
     "volume_up", "volume_down", "pitch_up", "pitch_down",
 ]
 PER_CLIP = 3
+# What each augmentation draws (rate, signal-to-noise in dB, gain in dB,
+# semitones), from and to; rates have two digits.
+DRAWS = {
+    "speed_slow": (0.82, 0.92), "speed_fast": (1.08, 1.18), "noise_light": (28.0, 38.0),
+    "noise_heavy": (15.0, 22.0), "volume_up": (2.0, 6.0), "volume_down": (-6.0, -2.0),
+    "pitch_up": (1.0, 2.5), "pitch_down": (-2.5, -1.0),
+}
 
 
 def split_three_way(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -67,9 +74,23 @@ def quality_filter(examples: DataFrame) -> DataFrame:
     return examples.filter(keep)
 
 
+def drawn_amount(key: Column, name: Column, seed: int = 42) -> Column:
+    """How much of an augmentation a clip gets: even over its range, from a hash of the key."""
+    share = F.conv(F.left(F.md5(F.concat_ws(":", key.cast("string"), name, F.lit(f"amount{seed}"))), F.lit(6)), 16, 10)
+    out = None
+    for n, (low, high) in DRAWS.items():
+        value = F.lit(low) + share.cast("double") / 16.0**6 * F.lit(high - low)
+        value = F.round(value, 2) if n.startswith("speed") else value
+        out = F.when(name == n, value) if out is None else out.when(name == n, value)
+    return out
+
+
 def augmentation_plan(clips: DataFrame, key: str, per_clip: int = PER_CLIP, seed: int = 42,
                       names: list[str] = AUGMENTATIONS) -> DataFrame:
-    """Train clips plus up to ``per_clip`` variants each, in seeded order; other splits as is."""
+    """Train clips plus up to ``per_clip`` variants each, in seeded order; other splits as is.
+
+    ``amount`` is what a variant draws, for ``waves.augment``.
+    """
     ordered = F.transform(
         F.array_sort(
             F.array(*[
@@ -89,7 +110,7 @@ def augmentation_plan(clips: DataFrame, key: str, per_clip: int = PER_CLIP, seed
             F.col("augmented").isNotNull(),
             F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit("_"), "augmented", F.lit(".wav")),
         ).otherwise(F.col("file_name")),
-    )
+    ).withColumn("amount", drawn_amount(F.col(key), F.col("augmented"), seed))
 
 
 def augmentation_summary(before: DataFrame, after: DataFrame) -> DataFrame:

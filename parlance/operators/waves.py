@@ -41,8 +41,8 @@ def skip_reason(transcript: Column, found: Column, seconds: Column,
     )
 
 
-def gain_clip(wave: Column, gain_db: float) -> Column:
-    factor = 10 ** (gain_db / 20)
+def gain_clip(wave: Column, gain_db: float | Column) -> Column:
+    factor = F.pow(F.lit(10.0), (gain_db if isinstance(gain_db, Column) else F.lit(float(gain_db))) / 20)
     return F.transform(
         wave, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * factor))
     )
@@ -86,45 +86,67 @@ def resample(wave: Column, n_out: Column) -> Column:
     return let(F.struct(wide.alias("w"), n_out.cast("int").alias("m")), build)
 
 
-def change_speed(wave: Column, rate: float) -> Column:
-    return resample(wave, F.floor(F.size(wave) / F.lit(float(rate))))
+def change_speed(wave: Column, rate: float | Column) -> Column:
+    return resample(wave, F.floor(F.size(wave) / (rate if isinstance(rate, Column) else F.lit(float(rate)))))
 
 
 def change_rate(wave: Column, rate: int, target: int = SAMPLE_RATE) -> Column:
     return resample(wave, F.floor(F.size(wave) * F.lit(target) / F.lit(rate)))
 
 
-def shift_pitch(wave: Column, semitones: float) -> Column:
+def shift_pitch(wave: Column, semitones: float | Column) -> Column:
     """Resample to change pitch, then back to the original length."""
-    factor = 2 ** (-semitones / 12)
+    if isinstance(semitones, Column):
+        factor = F.pow(F.lit(2.0), -semitones / 12)
+    else:
+        factor = F.lit(2 ** (-semitones / 12))
     return let(
-        F.struct(resample(wave, F.floor(F.size(wave) * F.lit(factor))).alias("s"), F.size(wave).alias("n")),
+        F.struct(resample(wave, F.floor(F.size(wave) * factor)).alias("s"), F.size(wave).alias("n")),
         lambda b: resample(b["s"], b["n"]),
     )
 
 
-def add_noise(clips: DataFrame, key: str, wave: str, snr_db: float, seed: int = 42) -> DataFrame:
-    """Gaussian noise at a signal-to-noise ratio, drawn from the clip's own key."""
+def add_noise(clips: DataFrame, key: str, wave: str, snr_db: float | Column, seed: int = 42) -> DataFrame:
+    """Gaussian noise at a signal-to-noise ratio, drawn from the clip's own key; a clip
+    whose ratio is NULL stays as it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, samples in zip(pdf["_seed"], pdf[wave]):
+            for k, samples, ratio in zip(pdf["_seed"], pdf[wave], pdf["_snr"]):
                 x = np.asarray(samples, dtype=np.float64)
                 power = float(np.mean(x**2)) if len(x) else 0.0
-                if power:
+                if power and ratio == ratio and ratio is not None:
                     rng = np.random.default_rng(k & 0x7FFFFFFFFFFFFFFF)
-                    x = x + rng.normal(0, np.sqrt(power / 10 ** (snr_db / 10)), len(x))
+                    x = x + rng.normal(0, np.sqrt(power / 10 ** (ratio / 10)), len(x))
                 out.append(x.astype(np.float32))
             yield pd.DataFrame({key: pdf[key], wave: out})
 
     kind = clips.schema[key].dataType.simpleString()
     return (
-        clips.select(key, wave, F.xxhash64(F.col(key), F.lit(seed)).alias("_seed"))
+        clips.select(
+            key, wave, F.xxhash64(F.col(key), F.lit(seed)).alias("_seed"),
+            (snr_db if isinstance(snr_db, Column) else F.lit(float(snr_db))).alias("_snr"),
+        )
         .mapInPandas(run, f"{key} {kind}, {wave} array<float>")
     )
 
 
+def augment(clips: DataFrame, key: str, wave: str, name: str = "augmented", amount: str = "amount",
+            seed: int = 42) -> DataFrame:
+    """``key`` (unique per variant) and the waveform after its augmentation; none for a NULL name."""
+    kind, by = F.col(name), F.col(amount)
+    plain = F.transform(wave, lambda x: x.cast("double"))
+    changed = (
+        F.when(kind.startswith("speed"), change_speed(F.col(wave), by))
+        .when(kind.startswith("volume"), gain_clip(F.col(wave), by))
+        .when(kind.startswith("pitch"), shift_pitch(F.col(wave), by))
+        .otherwise(plain)
+    )
+    ratio = F.when(kind.startswith("noise"), by)
+    return add_noise(clips.select(key, name, amount, changed.alias(wave)), key, wave, ratio, seed)
+
+
 def clip_stats(clips: DataFrame, reason: str = "skip_reason") -> DataFrame:
     """Per language and outcome: clips, minutes and mean length."""
     return clips.groupBy("language", F.coalesce(reason, F.lit("kept")).alias("outcome")).agg(

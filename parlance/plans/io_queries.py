@@ -287,3 +287,20 @@ def sink_training_jsonl(spark, sf):
 def training_metadata(spark, sf):
     ids = B.talk(spark, sf).select(F.concat_ws("_", "session_id", "turn_id").alias("id"))
     return K.training_metadata(P.split_two_way(ids, "id"))
+
+
+@query("corrected_metadata", f"""WITH {B.TALK}, x AS (SELECT turn_id % 3 = 0 AS corrected, CASE WHEN turn_id % 3 = 0 THEN length(raw) % 7 ELSE 0 END AS fixed, speaker AS quality FROM talk),
+  q AS (SELECT string_agg(quality || ':' || n, ',' ORDER BY quality) AS d FROM (SELECT quality, count(*) AS n FROM x GROUP BY quality))
+  SELECT count(*) AS total_rows, CAST(floor(count(*) * 0.8) AS BIGINT) AS train_examples, CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS val_examples,
+    count(*) FILTER (WHERE corrected) AS corrected, count(*) FILTER (WHERE NOT corrected) AS validated, CAST(sum(fixed) AS BIGINT) AS total_issues_fixed, (SELECT d FROM q) AS quality_distribution FROM x""")
+def corrected_metadata(spark, sf):
+    """Issues and quality that follow from each turn."""
+    fixed = F.when(F.col("turn_id") % 3 == 0, F.length("raw") % 7).otherwise(0)
+    ex = B.talk(spark, sf).select(
+        F.concat_ws("_", "session_id", "turn_id").alias("id"), (F.col("turn_id") % 3 == 0).alias("corrected"),
+        fixed.alias("num_issues_fixed"), F.col("speaker").alias("quality"),
+    )
+    entry = lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))
+    return K.corrected_metadata(P.split_two_way(ex, "id")).withColumn(
+        "quality_distribution", F.array_join(F.transform(F.map_entries("quality_distribution"), entry), ",")
+    )

@@ -243,16 +243,48 @@ def review_list(spark, sf):
 AUG = ", ".join(quote(n) for n in P.AUGMENTATIONS)
 
 
+def sql_amount(key: str, name: str) -> str:
+    digest = f"md5({key} || ':' || {name} || ':amount42')"
+    share = "(" + " + ".join(
+        f"(strpos('0123456789abcdef', substr({digest}, {i + 1}, 1)) - 1) * {16 ** (5 - i)}" for i in range(6)
+    ) + ")::DOUBLE"
+    arms = ""
+    for n, (low, high) in P.DRAWS.items():
+        value = f"{low}::DOUBLE + {share} / {16.0 ** 6}::DOUBLE * {high - low!r}::DOUBLE"
+        arms += f" WHEN {quote(n)} THEN " + (f"round({value}, 2)" if n.startswith("speed") else value)
+    return f"CASE {name}{arms} END"
+
+
 @query("augmentation_plan", f"""WITH c AS (SELECT doc_id, 'clip' || doc_id || '.wav' AS file_name, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM documents),
   a AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY md5(doc_id || ':' || n || ':42')) AS rn FROM c, (SELECT unnest([{AUG}]) AS n) WHERE split = 'train')
-  SELECT doc_id, split, file_name, NULL AS augmented FROM c UNION ALL SELECT doc_id, split, 'clip' || doc_id || '_' || n || '.wav', n FROM c JOIN a USING (doc_id) WHERE rn <= 3""")
+  SELECT doc_id, split, file_name, NULL AS augmented, NULL::DOUBLE AS amount FROM c UNION ALL SELECT doc_id, split, 'clip' || doc_id || '_' || n || '.wav', n, round({sql_amount('doc_id', 'n')}, 6) FROM c JOIN a USING (doc_id) WHERE rn <= 3""")
 def augmentation_plan(spark, sf):
     k = F.col("doc_id") % 10
     clips = B.read(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("clip"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("file_name"),
         F.when(k < 8, "train").when(k == 8, "val").otherwise("test").alias("split"),
     )
-    return P.augmentation_plan(clips, "doc_id")
+    return P.augmentation_plan(clips, "doc_id").withColumn("amount", F.round("amount", 6))
+
+
+@query("augmented_waves", f"""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS wave FROM embeddings),
+  a AS (SELECT vec_id, wave, n, {sql_amount('vec_id', 'n')} AS amount, row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id || ':' || n || ':42')) AS rn FROM c, (SELECT unnest([{AUG}]) AS n)),
+  v AS (SELECT * FROM a WHERE rn <= 3 UNION ALL SELECT vec_id, wave, NULL, NULL, 0 FROM c)
+  SELECT vec_id, n AS augmented, CAST(CASE WHEN n LIKE 'speed%' THEN floor(len(wave) / amount) ELSE len(wave) END AS INTEGER) AS samples,
+    CASE WHEN n LIKE 'volume%' THEN round(list_sum(list_transform(wave, lambda x: greatest(-1.0, least(1.0, x * pow(10.0::DOUBLE, amount / 20.0::DOUBLE))))), 4)
+      WHEN n IS NULL THEN round(list_sum(wave), 4) END AS total FROM v""")
+def augmented_waves(spark, sf):
+    """Plan and application: lengths of all variants, sums of those that keep their samples."""
+    clips = B.read(spark, sf, "embeddings").select(
+        "vec_id", "embedding", F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file_name"), F.lit("train").alias("split")
+    )
+    plan = P.augmentation_plan(clips, "vec_id").withColumn("clip", F.concat_ws("_", "vec_id", "augmented"))
+    waves = W.augment(plan, "clip", "embedding").select("clip", F.col("embedding").alias("wave"))
+    total = F.round(F.aggregate("wave", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    sums = F.col("augmented").isNull() | F.col("augmented").startswith("volume")
+    return plan.join(waves, "clip").select(
+        "vec_id", "augmented", F.size("wave").alias("samples"), F.when(sums, total).alias("total")
+    )
 
 
 SAMPLES = "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, {0} AS x FROM (SELECT *, unnest(range(1, len(wave) + 1)) AS i FROM {1})"

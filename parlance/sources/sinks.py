@@ -6,7 +6,7 @@ each file holds a bounded number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.turns import (
@@ -55,9 +55,29 @@ def write_training_lines(examples: DataFrame, path: str) -> None:
     examples.select("split", "prompt", "response").write.mode("overwrite").partitionBy("split").json(path)
 
 
-def training_metadata(examples: DataFrame) -> DataFrame:
+def corrected_metadata(examples: DataFrame) -> DataFrame:
+    """What a corrected training set holds: sizes, corrections, and examples per quality.
+
+    ``examples``: split, corrected, num_issues_fixed, quality.
+    """
+    per_quality = examples.groupBy("quality").agg(F.count("*").alias("n")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("quality", F.lit("unknown")), "n")))).alias("q")
+    )
     return examples.agg(
+        *_sizes(),
+        F.count_if("corrected").alias("corrected"),
+        F.count_if(~F.col("corrected")).alias("validated"),
+        F.coalesce(F.sum("num_issues_fixed"), F.lit(0)).cast("long").alias("total_issues_fixed"),
+    ).withColumn("quality_distribution", per_quality.scalar())
+
+
+def _sizes() -> list[Column]:
+    return [
         F.count("*").alias("total_rows"),
         F.count_if(F.col("split") == "train").alias("train_examples"),
         F.count_if(F.col("split") == "val").alias("val_examples"),
-    )
+    ]
+
+
+def training_metadata(examples: DataFrame) -> DataFrame:
+    return examples.agg(*_sizes())
