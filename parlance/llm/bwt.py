@@ -28,7 +28,7 @@ class Transform:
     def following(self) -> np.ndarray:
         """Rank of the suffix one symbol later; the end of a string stays where it is."""
         # Suffixes sorted by the symbol before them are the suffixes that begin with it.
-        out = np.argsort(self.bwt, kind="stable")
+        out = np.argsort(self.bwt, kind="stable").astype(np.int32)
         ends = int(np.searchsorted(self.heads, 0, "right"))
         out[:ends] = np.arange(ends)
         return out
@@ -132,6 +132,8 @@ def repeated_intervals(t: Transform, depth: int) -> np.ndarray:
     def dense(key):
         return np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
 
+    # What is left after the last doubling is walked in steps of its own powers of two.
+    rest = depth - (1 << (depth.bit_length() - 1))
     steps = {1: t.following()}
     level = dense(t.heads.astype(np.int64))
     done = 1
@@ -142,11 +144,13 @@ def repeated_intervals(t: Transform, depth: int) -> np.ndarray:
             shift = depth - done
             jump, left = None, shift
             for d in sorted(steps, reverse=True):
-                if left >= d:
+                if left & d:
                     jump = steps[d] if jump is None else steps[d][jump]
                     left -= d
         level = dense(level * (int(level[-1]) + 1) + level[jump])
         done += shift
         if shift in steps and 2 * shift <= depth:
             steps[2 * shift] = steps[shift][steps[shift]]
+            if not rest & shift:
+                del steps[shift]
     return level

@@ -7,10 +7,13 @@ per batch, so a key found everywhere adds one record per batch to its bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
-from parlance.llm.common import mix64
+from parlance.llm.common import ROW, mix64
 
 NO_ANSWER = -1
 PACKED = "bucket int, keys binary, refs binary, places binary"
@@ -76,3 +79,84 @@ def answers(
     again, crowded = again[wanted], crowded[wanted]
     by = np.lexsort((places[again], refs[again]))
     return refs[again[by]], places[again[by]], crowded[by]
+
+
+GROUPED = "part int, refs binary, x binary, y binary"
+
+
+def part_of(refs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the answers a row number belongs to."""
+    return (mix64(refs.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def grouped(refs: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int) -> pd.DataFrame:
+    """Values of many rows packed by a hash of the row, so that a bucket's answer is a few
+    rows however many it is about."""
+    part = part_of(refs, parts)
+    by = np.lexsort((refs, part))
+    first, n = runs(part[by])
+    rows = [
+        (int(part[by[a]]), *(c[by[a : a + k]].astype(np.int64).tobytes() for c in (refs, x, y)))
+        for a, k in zip(first, n)
+    ]
+    return pd.DataFrame(rows, columns=["part", "refs", "x", "y"])
+
+
+def per_row(packed: DataFrame) -> DataFrame:
+    """One row per row number with all its values, out of ``grouped`` rows."""
+
+    def unpack(group: pd.DataFrame) -> pd.DataFrame:
+        refs, x, y = (
+            np.frombuffer(b"".join(group[c]), np.int64) for c in ("refs", "x", "y")
+        )
+        by = np.argsort(refs, kind="stable")
+        refs, x, y = refs[by], x[by], y[by]
+        first, n = runs(refs)
+        rows = [
+            (int(refs[a]), x[a : a + k].tobytes(), y[a : a + k].tobytes())
+            for a, k in zip(first, n)
+        ]
+        return pd.DataFrame(rows, columns=[ROW, "x", "y"])
+
+    return packed.groupBy("part").applyInPandas(unpack, f"{ROW} long, x binary, y binary")
+
+
+def repeated_places(
+    rows: DataFrame,
+    keys_of: Callable[[], Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]],
+    buckets: int,
+    most: int,
+    crowd: int,
+) -> DataFrame:
+    """Places of repeated keys per row, packed: ``x`` place, ``y`` whether the key is crowded.
+
+    ``keys_of`` runs once per task and gives a function from a batch to the keys in it,
+    the row numbers they are from and their places there. A key is crowded if it occurs
+    over ``most`` times in some batch or comes in over ``crowd`` records; every place it
+    has learns the same. Rows without a repeated key do not come back.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = keys_of()
+        for batch in batches:
+            keys, refs, places = read(batch)
+            known, asked = questions(keys, refs, places, buckets, most)
+            yield asked.assign(own=None)
+            own = np.column_stack([refs[known], places[known]])
+            if len(own):
+                # What is known already travels along, so the rows are read once.
+                yield pd.DataFrame({
+                    "bucket": [int(refs[0] % buckets)], "keys": [b""], "refs": [b""],
+                    "places": [b""], "own": [own.astype(np.int64).tobytes()],
+                })
+
+    def answer(packed: pd.DataFrame) -> pd.DataFrame:
+        refs, places, crowded = answers(packed, crowd)
+        own = np.frombuffer(b"".join(x for x in packed["own"] if x), np.int64).reshape(-1, 2)
+        refs = np.concatenate([refs, own[:, 0]])
+        places = np.concatenate([places, own[:, 1]]).astype(np.int64)
+        crowded = np.concatenate([crowded, np.ones(len(own), bool)])
+        return grouped(refs, places, crowded, buckets)
+
+    asked = rows.mapInPandas(ask, PACKED + ", own binary")
+    return per_row(asked.groupBy("bucket").applyInPandas(answer, GROUPED))

@@ -27,9 +27,9 @@ LENGTH = 200
 # Bytes of an anchor. Every string of LENGTH bytes holds the anchor with the least hash in it.
 ANCHOR = 48
 # An anchor found oftener than this in a batch, or in more records than CROWD, is crowded.
-MOST, CROWD = 4, 4096
+MOST, CROWD = 16, 4096
 # Bytes of text whose transforms are merged together, and of one transform.
-MERGED, SHARD = 1 << 20, 1 << 18
+MERGED, SHARD = 1 << 19, 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -94,49 +94,22 @@ def _packed(values: np.ndarray, dtype) -> bytes:
     return values.astype(dtype).tobytes()
 
 
-def _by_ref(refs: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-    """One row per ref with packed columns; refs come in order."""
-    first, n = repeats.runs(refs)
-    rows = [
-        (int(refs[a]), *(_packed(c[a : a + k], np.int64) for c in columns))
-        for a, k in zip(first, n)
-    ]
-    return pd.DataFrame(rows, columns=[ROW, "x", "y"][: 1 + len(columns)])
-
-
 def _spots(read: DataFrame, size: int, length: int, anchor: int) -> DataFrame:
-    """Places of repeated anchors per row: ``x`` place, ``y`` whether it is crowded."""
-    buckets = parts_for(read, size // 4)
+    """Places of repeated anchors per row."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def keys_of():
+        def read_batch(batch: pd.DataFrame):
             rows = batch[ROW].to_numpy(np.int64)
             held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for flat, sizes, heads, at in _batches(batch):
                 keys, spot, _, _ = anchors(flat, sizes, length, anchor)
                 doc = np.searchsorted(heads, spot, "right") - 1
                 held.append((keys, rows[at + doc], spot - heads[doc]))
-            keys, refs, spots = (np.concatenate(x) for x in zip(*held))
-            known, asked = repeats.questions(keys, refs, spots, buckets, MOST)
-            yield asked.assign(own=None)
-            own = np.column_stack([refs[known], spots[known]])
-            if len(own):
-                yield pd.DataFrame({
-                    "bucket": [int(rows[0] % buckets)], "keys": [b""], "refs": [b""],
-                    "places": [b""], "own": [own.astype(np.int64).tobytes()],
-                })
-
-    def answer(packed: pd.DataFrame) -> pd.DataFrame:
-        refs, spots, crowded = repeats.answers(packed, CROWD)
-        own = np.frombuffer(b"".join(x for x in packed["own"] if x), np.int64).reshape(-1, 2)
-        refs = np.concatenate([refs, own[:, 0]])
-        spots = np.concatenate([spots, own[:, 1]]).astype(np.int64)
-        crowded = np.concatenate([crowded, np.ones(len(own), bool)])
-        by = np.argsort(refs, kind="stable")
-        return _by_ref(refs[by], spots[by], crowded[by])
-
-    asked = read.mapInPandas(ask, repeats.PACKED + ", own binary")
-    return asked.groupBy("bucket").applyInPandas(answer, f"{ROW} long, x binary, y binary")
+            return tuple(np.concatenate(x) for x in zip(*held))
+
+        return read_batch
+
+    return repeats.repeated_places(read, keys_of, parts_for(read, size // 4), MOST, CROWD)
 
 
 def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
@@ -158,8 +131,8 @@ def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataF
                 keys, spot, lo, hi = anchors(flat, sizes, length, anchor)
                 mark = np.zeros(len(flat) + 1, np.int8)
                 for i, head in enumerate(heads):
-                    for x, y in zip(batch["x"].iat[at + i], batch["y"].iat[at + i]):
-                        mark[head + np.frombuffer(x, np.int64)] = 1 + np.frombuffer(y, np.int64)
+                    x, y = (np.frombuffer(batch[c].iat[at + i], np.int64) for c in "xy")
+                    mark[head + x] = 1 + y
                 kind = mark[spot]
                 doc = np.searchsorted(heads, lo, "right") - 1
                 strings = gram_hashes(flat, length)
@@ -313,7 +286,7 @@ def _repeated(texts: list[bytes], names: list[int], length: int) -> dict[int, np
 def repeated_spans(
     docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR
 ) -> DataFrame:
-    """Per row with any: row number and ``spans``, packed (from, to) of repeated bytes.
+    """Per row with any: row number, and packed starts ``x`` and ends ``y`` of repeated bytes.
 
     Spans of one row may touch or overlap.
     """
@@ -322,7 +295,6 @@ def repeated_spans(
     read = number_rows(docs).select(ROW, body.alias("body"))
     size = text_bytes(docs, text)
     spots = settle(_spots(read, size, length, anchor), "spots")
-    spots = spots.groupBy(ROW).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
     buckets = parts_for(read, size)
 
     def meet(packed: pd.DataFrame) -> pd.DataFrame:
@@ -334,11 +306,10 @@ def repeated_spans(
         else:
             met = _meet(packed, length)
         met = np.concatenate([own, met])
-        met = met[np.argsort(met[:, 0], kind="stable")]
-        return _by_ref(met[:, 0], met[:, 1], met[:, 2])
+        return repeats.grouped(*(np.ascontiguousarray(met[:, i]) for i in range(3)), buckets)
 
     cut = _pieces(read.join(spots, ROW), buckets, length, anchor)
-    return cut.groupBy("bucket").applyInPandas(meet, f"{ROW} long, x binary, y binary")
+    return repeats.per_row(cut.groupBy("bucket").applyInPandas(meet, repeats.GROUPED))
 
 
 def drop_repeats(
@@ -360,7 +331,6 @@ def drop_repeats(
     """
     docs = stored(docs)
     spans = settle(repeated_spans(docs, text, length, anchor), "spans")
-    spans = spans.groupBy(ROW).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     read = number_rows(docs).select(ROW, F.col(id_col).alias("id"), body.alias("body"))
     fields = [read.schema["id"]]
@@ -372,13 +342,12 @@ def drop_repeats(
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for body, xs, ys in zip(batch["body"], batch["x"], batch["y"]):
+            for body, x, y in zip(batch["body"], batch["x"], batch["y"]):
                 removed = n = 0
-                if xs is not None:
-                    edge = np.zeros(len(body) + 1, np.int64)
-                    for x, y in zip(xs, ys):
-                        np.add.at(edge, np.frombuffer(x, np.int64), 1)
-                        np.add.at(edge, np.frombuffer(y, np.int64), -1)
+                if x is not None:
+                    edge = np.zeros(len(body) + 1, np.int32)
+                    np.add.at(edge, np.frombuffer(x, np.int64), 1)
+                    np.add.at(edge, np.frombuffer(y, np.int64), -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed = int(gone.sum())
                     n = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
