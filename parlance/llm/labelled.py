@@ -34,7 +34,7 @@ def labelled_sample(
     label: str,
     keep: Column,
     id_col: str = "doc_id",
-    per_class: tuple[int, int] = (4000, 2000),
+    per_class: tuple[int, int] = (3000, 1500),
     max_chars: int = 40_000,
 ) -> Sample:
     """At most ``per_class`` documents of labels 0 and 1 among the rows for which ``keep`` holds.
@@ -74,16 +74,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def calibrate(raw: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit of labels on raw scores; the slope stays positive."""
+# Rows of the base rate that a fit starts from; they count where there are few others.
+PRIOR_ROWS = 10
+
+
+def calibrate(
+    raw: np.ndarray, y: np.ndarray, weights: np.ndarray, base: float
+) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of labels on raw scores; the slope stays positive.
+
+    ``base`` is the share of label 1 among all rows, which a few rows cannot tell.
+    """
     if len(y) == 0:
         return 1.0, 0.0
     mean, scale = raw.mean(), raw.std() + 1e-6
-    x = (raw - mean) / scale
-    a, b = 1.0, 0.0
+    x = np.append((raw - mean) / scale, 0.0)
+    a, b = 1.0, float(np.log(base + 1e-3) - np.log(1 - base + 1e-3))
     # Targets short of 0 and 1 keep the fit finite where classes are apart.
     n1, n0 = (weights * y).sum(), (weights * (1 - y)).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    target = np.append(np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), base)
+    weights = np.append(weights, PRIOR_ROWS * weights.mean())
     for _ in range(50):
         p = sigmoid(a * x + b)
         g = weights * (p - target)

@@ -210,7 +210,7 @@ def train(sample: Sample, rounds: int = 3, steps: int = 80, rate: float = 0.1) -
         np.minimum.at(worst, owner, good)
         line[(y[owner] == 0) & (good <= worst[owner])] = 0
     raw = logit(document_scores(good, lengths, per_text))
-    field.slope, field.offset = calibrate(raw, y, sample.weights)
+    field.slope, field.offset = calibrate(raw, y, sample.weights, float(np.average(y, weights=sample.weights)))
     return field
 
 

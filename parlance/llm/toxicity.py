@@ -376,7 +376,9 @@ def train(
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, owner, score)
     held = ~fit if len(set(y[~fit].tolist())) == 2 else np.ones(len(y), bool)
-    net.slope, net.offset = calibrate(best[held], y[held], sample.weights[held])
+    net.slope, net.offset = calibrate(
+        best[held], y[held], sample.weights[held], float(np.average(y, weights=sample.weights))
+    )
     return net
 
 
