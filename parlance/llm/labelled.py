@@ -49,8 +49,11 @@ def labelled_sample(
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picks = None
     for value in (0, 1):
-        part = known.filter(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col)
-        part = part.limit(per_class[value])
+        rank = F.pmod(F.xxhash64(id_col), F.lit(1 << 31))
+        # Twice what is wanted goes on, so no task has to send its own best many.
+        share = min(1.0, 2 * per_class[value] / max(1, counts.get(value, 0)))
+        part = known.filter((F.col("label") == value) & (rank < int(share * (1 << 31))))
+        part = part.orderBy(rank, id_col).limit(per_class[value])
         picks = part if picks is None else picks.unionByName(part)
     # At most sum(per_class) rows.
     rows = (

@@ -63,9 +63,10 @@ def judge_urls(
     )
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # At most ranges * CUT_SAMPLE keys reach the driver, whatever the number of pages.
-    picked = keyed.select("key", F.xxhash64(ROW, F.lit(7)).alias("o")).orderBy("o")
-    picked = sorted(r.key for r in picked.limit(ranges * CUT_SAMPLE).collect())
+    # About ranges * CUT_SAMPLE keys reach the driver, whatever the number of pages.
+    share = min(1.0, ranges * CUT_SAMPLE / max(1, base.count()))
+    some = F.pmod(F.xxhash64(ROW, F.lit(7)), F.lit(1 << 31)) < int(share * (1 << 31))
+    picked = sorted(r.key for r in keyed.filter(some).select("key").collect())
     cuts = [picked[i * len(picked) // ranges] for i in range(1, ranges)] if picked else []
 
     span = _places(cuts)
