@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -77,6 +78,18 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
             yield batch.slice(int(a), int(b - a))
 
 
+def release() -> None:
+    """Gives memory that is free but still held by a worker back to the system.
+
+    Workers live on between tasks, and what one has held at its peak would otherwise stay
+    with it while others work.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Codes(dict):
     """Strings to dense numbers; ``fresh`` lists what has not been looked at yet."""
 

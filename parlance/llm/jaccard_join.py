@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import repeats
 from parlance.llm.common import (
-    ROW, Growing, number_rows, parts_for, spread_index, stored, text_bytes, window_hash,
+    ROW, Growing, number_rows, parts_for, release, spread_index, stored, text_bytes, window_hash,
 )
 from parlance.llm.components import components
 from parlance.llm.words import ChunkTable, text_slices
@@ -28,10 +28,16 @@ WORDS = 5
 # Share of all hashes for which it is found out whether they occur in several documents.
 PROBED = 0.36
 PROBE_BELOW = np.uint64(int(PROBED * 2**64))
-# Members of a group, on average, where a group of similar documents has to be cut.
-GROUP = 256
+# Members of a group, and bytes of their sets, where a group of similar documents has to be
+# cut; on average, as the cut is by hash.
+GROUP, GROUP_BYTES = 1024, 16 << 20
+# A token found oftener than this in a batch of sets, or in more records than CROWD, comes
+# last in the order of tokens.
+MOST, CROWD = 4, 64
+# Rows whose tokens are asked about together.
+ASKED_ROWS = 2500
 # Columns of a membership matrix held at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -57,7 +63,7 @@ class Sets:
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.table = ChunkTable(self._new, lambda t: t.lower().split())
+        self.table = ChunkTable(self._new, lambda t: t.lower().split(), limit=150_000)
 
     def _new(self):
         self.hashes = Growing(np.uint64)
@@ -95,7 +101,7 @@ def _summaries(read: DataFrame, size: int, words: int) -> DataFrame:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Sets(words)
-        for batch in batches:
+        for batch in (b.iloc[i : i + ASKED_ROWS] for b in batches for i in range(0, len(b), ASKED_ROWS)):
             texts, rows = batch["body"].tolist(), batch[ROW].to_numpy(np.int64)
             held = []
             for a, b in text_slices(texts):
@@ -111,34 +117,43 @@ def _summaries(read: DataFrame, size: int, words: int) -> DataFrame:
             names = np.frombuffer(
                 b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in held), np.int64
             ).reshape(-1, 2)
-            # Rows travel with the questions, so the texts are read once.
+            # What is known of the rows travels with the questions, so texts are read once.
+            yield asked.assign(own=None)
             own = np.column_stack([
                 rows, n, probed, np.bincount(owner[known], minlength=len(held)), names
             ]).astype(np.int64)
-            yield asked.assign(own=None)
-            if len(own):
-                at = int(rows[0] % buckets)
-                yield pd.DataFrame({
-                    "bucket": [at], "keys": [b""], "refs": [b""], "places": [b""],
-                    "own": [own.tobytes()],
-                })
+            part = repeats.part_of(rows, buckets)
+            order = np.argsort(part, kind="stable")
+            first, size = repeats.runs(part[order])
+            yield pd.DataFrame(
+                [(int(part[order[a]]), b"", b"", b"", own[order[a : a + k]].tobytes())
+                 for a, k in zip(first, size)],
+                columns=["bucket", "keys", "refs", "places", "own"],
+            )
+        release()
 
     def answer(packed: pd.DataFrame) -> pd.DataFrame:
         refs, _, _ = repeats.answers(packed)
         first, n = repeats.runs(refs)
-        zero = np.zeros(len(first), np.int64)
-        own = np.frombuffer(b"".join(x for x in packed["own"] if x), np.int64).reshape(-1, 6)
-        told = np.column_stack([refs[first], zero, zero, n, zero, zero])
-        return pd.DataFrame(np.concatenate([own, told]), columns=names)
+        told = repeats.grouped(refs[first], n, np.zeros(len(n), np.int64), buckets)
+        own = b"".join(x for x in packed["own"] if x)
+        mine = pd.DataFrame([(int(packed["bucket"].iat[0]), own)], columns=["part", "own"])
+        return pd.concat([told, mine])[["part", "refs", "x", "own"]]
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        own, refs, n = (
+            np.frombuffer(b"".join(x for x in group[c] if isinstance(x, bytes)), np.int64)
+            for c in ("own", "refs", "x")
+        )
+        own = own.reshape(-1, 6).copy()
+        own = own[np.argsort(own[:, 0], kind="stable")]
+        np.add.at(own[:, 3], np.searchsorted(own[:, 0], refs), n)
+        return pd.DataFrame(own, columns=[ROW, "n", "probed", "again", "name_a", "name_b"])
 
-    names = [ROW, "n", "probed", "again", "name_a", "name_b"]
     asked = read.mapInPandas(ask, repeats.PACKED + ", own binary")
-    told = asked.groupBy("bucket").applyInPandas(answer, ", ".join(f"{c} long" for c in names))
-    return told.groupBy(ROW).agg(
-        F.max("n").alias("n"), F.max("probed").alias("probed"), F.sum("again").alias("again"),
-        # A row is named once; the answers add 0.
-        F.sum("name_a").alias("name_a"), F.sum("name_b").alias("name_b"),
-    )
+    told = asked.groupBy("bucket").applyInPandas(answer, "part int, refs binary, x binary, own binary")
+    names = [ROW, "n", "probed", "again", "name_a", "name_b"]
+    return told.groupBy("part").applyInPandas(gather, ", ".join(f"{c} long" for c in names))
 
 
 def _sets(read: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -155,11 +170,17 @@ def _sets(read: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                     "low": [int(s[:1].view(np.int64)[0]) for s in held],
                     "tokens": [s.tobytes() for s in held],
                 })
+        release()
 
-    chosen = read.select(ROW, "body").join(rows.select(ROW), ROW)
+    chosen = read.select(ROW, "body").join(rows.select(ROW).hint("merge"), ROW)
     return chosen.mapInPandas(make, f"{ROW} long, low long, tokens binary")
 
 
+def _carry(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with their tokens. Sets are many and large: they are met by sorting, at any size."""
+    return rows.join(sets.select(ROW, "tokens").hint("merge"), ROW)
+
+
 def _unpack(blobs) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in blobs]
 
@@ -209,27 +230,34 @@ def _inside(grouped: DataFrame, limit: Threshold) -> DataFrame:
         sets, rows = _unpack(group["tokens"]), group[ROW].to_numpy()
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         linked = limit.holds(overlaps(sets), n[:, None], n[None, :])
-        return pd.DataFrame({
+        out = pd.DataFrame({
             ROW: rows, "root": rows[reach(linked)], "links": linked.sum(axis=1).astype(np.int64) - 1
         })
+        if len(out) > GROUP // 8:
+            del sets, linked
+            release()
+        return out
 
     return grouped.groupBy("place").applyInPandas(compare, f"{ROW} long, root long, links long")
 
 
 def _cut(rows: DataFrame, key: str) -> DataFrame:
-    """A group id per row: rows of one key share a group of about ``GROUP`` members, or are
-    dealt over several by hash."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    part = F.pmod(F.xxhash64(ROW), F.ceil(F.col("size") / GROUP).cast("long"))
+    """A group id per row: rows of one key share a group of bounded size, or are dealt over
+    several by hash. ``size`` is the number of rows of the key, ``parts`` of its groups."""
+    sizes = rows.groupBy(key).agg(
+        F.count("*").alias("size"),
+        F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("bytes") / GROUP_BYTES)).cast("long").alias("parts"),
+    )
+    part = F.pmod(F.xxhash64(ROW), F.col("parts"))
     return rows.join(sizes, key).withColumn("place", F.xxhash64(key, part))
 
 
 def _open(cands: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Links (a, b) of components between queries and the members of groups they qualify for."""
-    asked = cands.join(sets.select(ROW, "tokens"), ROW).join(members.select(ROW, "label"), ROW)
+    asked = _carry(cands, sets).join(members.select(ROW, "label"), ROW)
     asked = asked.select("place", F.lit(1).alias("kind"), "label", "tokens")
     wanted = cands.select("place").distinct()
-    offered = members.join(wanted, "place").join(sets.select(ROW, "tokens"), ROW)
+    offered = _carry(members.join(wanted, "place"), sets)
     offered = offered.select("place", F.lit(0).alias("kind"), "label", "tokens")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,6 +277,7 @@ def _open(cands: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshol
                     ready = _matrix(sets_, labels)
                 out.update((label, other) for other in _probe(tokens, label, ready, limit))
             yield pd.DataFrame(sorted(out), columns=["a", "b"]).astype(np.int64)
+        release()
 
     met = asked.unionByName(offered)
     met = met.repartition("place").sortWithinPartitions("place", "kind")
@@ -319,18 +348,19 @@ def similar_groups(
     classes = settle(could.groupBy(*name).agg(F.min(ROW).alias(ROW), F.min("id").alias("least")), "classes")
     sets = settle(_sets(read, classes, words), "tokens")
 
-    rows = settle(_cut(sets.select(ROW, "low"), "low"), "groups")
+    sized = sets.select(ROW, "low", F.octet_length("tokens").alias("bytes"))
+    rows = settle(_cut(sized, "low"), "groups")
     inside = settle(
-        _inside(rows.filter("size > 1").select(ROW, "place").join(sets.select(ROW, "tokens"), ROW), limit),
-        "inside",
+        _inside(_carry(rows.filter("size > 1").select(ROW, "place"), sets), limit), "inside"
     )
     # The best-linked row of each component of a cut group speaks for it.
     voices = (
-        inside.join(rows.filter(F.col("size") > GROUP).select(ROW, "low"), ROW)
-        .groupBy("low", "root").agg(F.max_by(ROW, "links").alias(ROW))
+        inside.join(rows.filter("parts > 1").select(ROW, "low", "bytes"), ROW)
+        .groupBy("low", "root").agg(F.max_by(F.struct(ROW, "bytes"), "links").alias("v"))
+        .select("low", "root", f"v.{ROW}", "v.bytes")
     )
     cut = _cut(voices, "low").filter("size > 1")
-    across = _inside(cut.select(ROW, "place").join(sets.select(ROW, "tokens"), ROW), limit)
+    across = _inside(_carry(cut.select(ROW, "place"), sets), limit)
     root_of = inside.select(F.col(ROW).alias("r"), F.col("root").alias("t"))
     links = (
         across.filter(F.col(ROW) != F.col("root"))
@@ -346,7 +376,8 @@ def similar_groups(
     )
     members = settle(members, "members")
 
-    firsts = _first_tokens(sets.join(members, ROW), limit)
+    places = settle(_places(sets, size), "places")
+    firsts = _first_tokens(_carry(members.join(places.hint("merge"), ROW), sets), limit)
     firsts = settle(firsts, "firsts")
     mixed = firsts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     mixed = mixed.filter("x <> y").select("token")
@@ -374,22 +405,51 @@ def similar_groups(
     )
 
 
+def _places(sets: DataFrame, size: int) -> DataFrame:
+    """Which tokens of each set, by their place, other sets hold as well."""
+
+    def keys_of():
+        def read_batch(batch: pd.DataFrame):
+            held = _unpack(batch["tokens"])
+            n = np.fromiter(map(len, held), np.int64, len(held))
+            keys = np.concatenate([*held, np.zeros(0, np.uint64)])
+            refs = np.repeat(batch[ROW].to_numpy(np.int64), n)
+            return keys, refs, spread_index(np.zeros(len(n), np.int64), n)
+
+        return read_batch
+
+    rows = sets.select(ROW, "tokens")
+    return repeats.repeated_places(rows, keys_of, parts_for(rows, size // 4), MOST, CROWD)
+
+
 def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
-    """The first tokens of each set, one per row, with its group and component."""
+    """The first tokens of each set, one per row, with its group and component.
+
+    The order of tokens is: those of one set only, the rest, crowded ones; by hash among
+    themselves. It is the same for all sets, which is what the prefixes need; the first
+    kind has no partner and is left out. A set of a row without ``places`` has no other
+    kind, so it has no row here.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [s[: limit.prefix(len(s))] for s in _unpack(batch["tokens"])]
+        for batch in (b.iloc[i : i + 512] for b in batches for i in range(0, len(b), 512)):
+            parts = []
+            for tokens, x, y in zip(_unpack(batch["tokens"]), batch["x"], batch["y"]):
+                at, crowded = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                order = np.lexsort((at, crowded))
+                left = limit.prefix(len(tokens)) - (len(tokens) - len(at))
+                parts.append(tokens[at[order[: max(0, left)]]])
             n = [len(p) for p in parts]
-            if not n:
+            if not sum(n):
                 continue
             yield pd.DataFrame({
                 "token": np.concatenate(parts).view(np.int64),
                 **{c: np.repeat(batch[c].to_numpy(np.int64), n) for c in (ROW, "place", "label")},
             })
+        release()
 
     schema = f"token long, {ROW} long, place long, label long"
-    return held.select(ROW, "place", "label", "tokens").mapInPandas(explode, schema)
+    return held.select(ROW, "place", "label", "tokens", "x", "y").mapInPandas(explode, schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

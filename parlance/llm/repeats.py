@@ -13,9 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from parlance.llm.common import ROW, mix64
+from parlance.llm.common import ROW, mix64, release
 
 NO_ANSWER = -1
+# Rows whose keys are asked about together.
+ASKED_ROWS = 5000
 PACKED = "bucket int, keys binary, refs binary, places binary"
 
 
@@ -138,7 +140,7 @@ def repeated_places(
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = keys_of()
-        for batch in batches:
+        for batch in (b.iloc[i : i + ASKED_ROWS] for b in batches for i in range(0, len(b), ASKED_ROWS)):
             keys, refs, places = read(batch)
             known, asked = questions(keys, refs, places, buckets, most)
             yield asked.assign(own=None)
@@ -149,6 +151,7 @@ def repeated_places(
                     "bucket": [int(refs[0] % buckets)], "keys": [b""], "refs": [b""],
                     "places": [b""], "own": [own.astype(np.int64).tobytes()],
                 })
+        release()
 
     def answer(packed: pd.DataFrame) -> pd.DataFrame:
         refs, places, crowded = answers(packed, crowd)
