@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import repeats
 from parlance.llm.common import (
-    ROW, Growing, number_rows, parts_for, release, spread_index, stored, text_bytes, window_hash,
+    ROW, Growing, mix64, number_rows, parts_for, release, spread_index, stored, text_bytes, window_hash,
 )
 from parlance.llm.components import components
 from parlance.llm.words import ChunkTable, text_slices
@@ -34,6 +34,8 @@ GROUP, GROUP_BYTES = 1024, 16 << 20
 # A token found oftener than this in a batch of sets, or in more records than CROWD, comes
 # last in the order of tokens.
 MOST, CROWD = 4, 64
+# Smallest tokens under different orders; each puts similar sets into groups of its own.
+KEYS = ("low", "low2", "low3")
 # Rows whose tokens are asked about together.
 ASKED_ROWS = 2500
 # Columns of a membership matrix held at once.
@@ -167,13 +169,20 @@ def _sets(read: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 held = sets(texts[a:b])
                 yield pd.DataFrame({
                     ROW: batch[ROW].iloc[a:b].to_numpy(),
-                    "low": [int(s[:1].view(np.int64)[0]) for s in held],
+                    **{k: [_least(s, i) for s in held] for i, k in enumerate(KEYS)},
                     "tokens": [s.tobytes() for s in held],
                 })
         release()
 
     chosen = read.select(ROW, "body").join(rows.select(ROW).hint("merge"), ROW)
-    return chosen.mapInPandas(make, f"{ROW} long, low long, tokens binary")
+    return chosen.mapInPandas(make, f"{ROW} long, {', '.join(f'{k} long' for k in KEYS)}, tokens binary")
+
+
+def _least(tokens: np.ndarray, order: int) -> int:
+    """Smallest token under one of several orders; similar sets mostly share it."""
+    if order == 0:
+        return int(tokens[:1].view(np.int64)[0])
+    return int(mix64(tokens ^ np.uint64(order)).min().astype(np.int64))
 
 
 def _carry(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -252,6 +261,31 @@ def _cut(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(sizes, key).withColumn("place", F.xxhash64(key, part))
 
 
+def _merge(members: DataFrame, key: str, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Members with the labels of components that meet under a key and have a link there.
+
+    The best-linked row of each component speaks for it, so a group of copies of any size
+    brings a few rows; groups that were compared whole are not compared again.
+    """
+    rows = members.filter("parts > 1") if key == KEYS[0] else members
+    voices = (
+        rows.groupBy(key, "label").agg(F.max_by(F.struct(ROW, "bytes"), F.struct("links", ROW)).alias("v"))
+        .select(key, "label", f"v.{ROW}", "v.bytes")
+    )
+    cut = settle(_cut(voices, key).filter("size > 1").select(ROW, "label", "place"), "voices")
+    found = _inside(_carry(cut.select(ROW, "place"), sets), limit).filter(F.col(ROW) != F.col("root"))
+    names = cut.select(F.col(ROW).alias("r"), F.col("label").alias("t"))
+    links = (
+        found.join(names, F.col(ROW) == F.col("r")).select(F.col("t").alias("a"), "root")
+        .join(names, F.col("root") == F.col("r")).select("a", F.col("t").alias("b"))
+    )
+    merged = components(links)
+    named = members.join(merged, members["label"] == merged["node"], "left")
+    return settle(
+        named.withColumn("label", F.coalesce("component", "label")).drop("node", "component"), "members"
+    )
+
+
 def _open(cands: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Links (a, b) of components between queries and the members of groups they qualify for."""
     asked = _carry(cands, sets).join(members.select(ROW, "label"), ROW)
@@ -329,7 +363,7 @@ def similar_groups(
     share of the token space is looked at to find them. (2) Rows with equal sets become
     one. (3) Rows with the same smallest token form a group, cut if it is large, and are
     compared by a membership matrix; the best-linked row of each component then meets
-    those of the other parts of a cut group. (4) The token-group matrix of the first
+    those of others that share its smallest token under this or another order. (4) The token-group matrix of the first
     tokens of all sets finds the other groups a row could have a link into; tokens held by
     one component only are left out. (5) A row opens a group if its overlap with the
     group's token union admits a link. No step looks at all pairs of a group of copies,
@@ -348,35 +382,19 @@ def similar_groups(
     classes = settle(could.groupBy(*name).agg(F.min(ROW).alias(ROW), F.min("id").alias("least")), "classes")
     sets = settle(_sets(read, classes, words), "tokens")
 
-    sized = sets.select(ROW, "low", F.octet_length("tokens").alias("bytes"))
+    sized = sets.select(ROW, *KEYS, F.octet_length("tokens").alias("bytes"))
     rows = settle(_cut(sized, "low"), "groups")
-    inside = settle(
-        _inside(_carry(rows.filter("size > 1").select(ROW, "place"), sets), limit), "inside"
-    )
-    # The best-linked row of each component of a cut group speaks for it.
-    voices = (
-        inside.join(rows.filter("parts > 1").select(ROW, "low", "bytes"), ROW)
-        .groupBy("low", "root").agg(F.max_by(F.struct(ROW, "bytes"), "links").alias("v"))
-        .select("low", "root", f"v.{ROW}", "v.bytes")
-    )
-    cut = _cut(voices, "low").filter("size > 1")
-    across = _inside(_carry(cut.select(ROW, "place"), sets), limit)
-    root_of = inside.select(F.col(ROW).alias("r"), F.col("root").alias("t"))
-    links = (
-        across.filter(F.col(ROW) != F.col("root"))
-        .join(root_of, F.col(ROW) == F.col("r")).select(F.col("t").alias("a"), "root")
-        .join(root_of, F.col("root") == F.col("r")).select("a", F.col("t").alias("b"))
-    )
-    merged = components(links)
-    members = (
-        rows.select(ROW, "place").join(inside.select(ROW, "root"), ROW, "left")
-        .withColumn("root", F.coalesce("root", ROW))
-        .join(merged, F.col("root") == F.col("node"), "left")
-        .select(ROW, "place", F.coalesce("component", "root").alias("label"))
+    inside = _inside(_carry(rows.filter("size > 1").select(ROW, "place"), sets), limit)
+    members = rows.join(inside, ROW, "left").select(
+        ROW, *KEYS, "bytes", "parts", "place", F.coalesce("root", ROW).alias("label"),
+        F.coalesce("links", F.lit(0)).alias("links"),
     )
     members = settle(members, "members")
+    for key in KEYS:
+        members = _merge(members, key, sets, limit)
 
     places = settle(_places(sets, size), "places")
+    members = members.select(ROW, "place", "label")
     firsts = _first_tokens(_carry(members.join(places.hint("merge"), ROW), sets), limit)
     firsts = settle(firsts, "firsts")
     mixed = firsts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
