@@ -3,7 +3,8 @@
 A text becomes a sequence of words in which numbers, names and units are typed
 placeholders. Windows of that sequence are joined by hash with those of the benchmark, and
 a match counts if the values under the placeholders map one to one, so a question with
-other numbers or names is found as well.
+other numbers or names is found as well. Windows of which half or more are placeholders say
+too little for that; they are joined as they are written.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ UNITS = frozenset(
 TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?:;][\"')\]]*$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
+# Places of the ways of reading in what ``readings`` gives.
+TEMPLATE, WRITTEN = 0, 1
 MARKS = np.array([0, 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997], np.uint64)
 K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -110,6 +113,19 @@ def templates(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, ...]:
     return np.where(kind == PLAIN, value, MARKS[kind]), kind, value, counts
 
 
+def readings(table: ChunkTable, texts: list[str]) -> list[tuple[np.ndarray, ...]]:
+    """The ways all texts are read: sequence, kinds, values, counts, and each word's place.
+
+    First with placeholders, then as written, without any.
+    """
+    seq, kind, value, counts = templates(table, texts)
+    place = spread_index(np.zeros(len(counts), np.int64), counts)
+    return [
+        (seq, kind, value, counts, place),
+        (value, np.zeros_like(kind), value, counts, place),
+    ]
+
+
 def second_hash(seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     out = np.full(len(at), 0x5851F42D4C957F2D, np.uint64)
     for j in range(width):
@@ -122,6 +138,12 @@ def item_width(n: int, width: int = WIDTH) -> int:
     return width if n > width else n - 1 if n > SHORT else n
 
 
+def heavy_windows(kind: np.ndarray, width: int) -> np.ndarray:
+    """Whether half or more of a window are placeholders, for each place it may start at."""
+    filled = np.concatenate(([0], np.cumsum(kind != PLAIN)))
+    return 2 * (filled[width:] - filled[: len(kind) - width + 1]) >= width
+
+
 WINDOW = "key long, `check` long, slots array<long>"
 
 
@@ -138,32 +160,34 @@ def _rows(keys, at, width, seq, kind, value):
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """All windows of all items that have more words than placeholders."""
+    """All windows of all items: with placeholders where words outnumber them, else as written."""
     read = items.select(F.col(item_id).alias("item"), F.coalesce(text, F.lit("")).alias("text"))
     schema = T.StructType([
-        read.schema["item"], T.StructField("width", T.IntegerType()),
-        T.StructField("whole", T.BooleanType()), *T.StructType.fromDDL(WINDOW).fields,
+        read.schema["item"], *T.StructType.fromDDL("way int, width int, whole boolean, at int").fields,
+        *T.StructType.fromDDL(WINDOW).fields,
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = template_table()
         for batch in batches:
             for item, text in zip(batch["item"], batch["text"]):
-                seq, kind, value, counts = templates(table, [text])
-                n = int(counts[0])
-                w = item_width(n, width)
-                if not w:
-                    continue
-                keys = window_hash(seq, w)
-                filled = np.concatenate(([0], np.cumsum(kind != PLAIN)))
-                at = np.flatnonzero(2 * (filled[w:] - filled[: n - w + 1]) < w)
-                if not len(at):
-                    continue
-                key, check, slots = _rows(keys[at], at, w, seq, kind, value)
-                yield pd.DataFrame({
-                    "item": [item] * len(at), "width": np.int32(w), "whole": n < SHORT,
-                    "key": key, "check": check, "slots": slots,
-                })
+                given = readings(table, [text])
+                for way, (seq, kind, value, counts, place) in enumerate(given):
+                    n = int(counts[0])
+                    w = item_width(n, width)
+                    if not w:
+                        continue
+                    heavy = heavy_windows(given[0][1], w)
+                    at = np.flatnonzero(heavy if way == WRITTEN else ~heavy)
+                    if not len(at):
+                        continue
+                    keys = window_hash(seq, w)
+                    key, check, slots = _rows(keys[at], at, w, seq, kind, value)
+                    yield pd.DataFrame({
+                        "item": [item] * len(at), "way": np.int32(way), "width": np.int32(w),
+                        "whole": n < SHORT, "at": place[at].astype(np.int32),
+                        "key": key, "check": check, "slots": slots,
+                    })
 
     return read.mapInPandas(run, schema)
 
@@ -185,8 +209,9 @@ def find_leaks(
     all but one of their words, shorter ones only by a document that is the item.
 
     Words are letters in any case, numbers become one placeholder, so do units after a
-    number and capitalised words inside a sentence; windows with fewer words than
-    placeholders are left out. Null and empty texts hold nothing, an item without words is
+    number and capitalised words inside a sentence; a window of which half or more are
+    placeholders is matched by the same words, numbers and names only. ``n_windows`` counts
+    the places of the item at which a window found begins. Null and empty texts hold nothing, an item without words is
     held by nothing, repeated documents and items are reported each for itself. Extra
     columns are ignored. An empty table gives an empty table.
 
@@ -197,12 +222,14 @@ def find_leaks(
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_id, item_text, width)
     hashed = windows.select(
-        "width", "whole", F.shiftrightunsigned("key", 44).alias("word"),
+        "way", "width", "whole", F.shiftrightunsigned("key", 44).alias("word"),
         F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 38) % 64 as int))").alias("bit"),
     )
-    # At most FILTER_WORDS rows for each of the few widths.
-    bits = hashed.groupBy("word", "width", "whole").agg(F.bit_or("bit").alias("bits")).toPandas()
-    asked = sorted({(int(w), bool(x)) for w, x in zip(bits["width"], bits["whole"])})
+    # At most FILTER_WORDS rows for each of the few widths and ways of reading.
+    bits = hashed.groupBy("word", "way", "width", "whole").agg(F.bit_or("bit").alias("bits")).toPandas()
+    asked = sorted({
+        (int(r), int(w), bool(x)) for r, w, x in zip(bits["way"], bits["width"], bits["whole"])
+    })
     seen = np.zeros(FILTER_WORDS, np.uint64)
     np.bitwise_or.at(
         seen, bits["word"].to_numpy(np.int64), bits["bits"].to_numpy(np.int64).view(np.uint64)
@@ -222,10 +249,11 @@ def find_leaks(
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in text_slices(texts):
-                seq, kind, value, counts = templates(table, texts[a:b])
-                ends = np.cumsum(counts)
-                rest = np.repeat(ends, counts) - np.arange(len(seq))
-                for w, whole in asked:
+                read_as = readings(table, texts[a:b])
+                for way, w, whole in asked:
+                    seq, kind, value, counts, place = read_as[way]
+                    ends = np.cumsum(counts)
+                    rest = np.repeat(counts, counts) - place
                     keys = window_hash(seq, w)
                     hit = filter_[(keys >> np.uint64(44)).astype(np.int64)]
                     hit = hit >> ((keys >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)
@@ -240,7 +268,7 @@ def find_leaks(
 
     found = read.mapInPandas(run, schema).distinct()
     offered = windows.select(
-        "item", "key", "check", F.col("slots").alias("given"),
+        "item", "at", "key", "check", F.col("slots").alias("given"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     ).distinct()
     met = found.withColumn("salt", F.pmod(F.hash(ROW), F.lit(SALTS))).join(
@@ -253,7 +281,7 @@ def find_leaks(
         met.filter(one_to_one)
         .groupBy(ROW, "id", "item")
         .agg(
-            F.count_distinct("key", "check").alias("n_windows"),
+            F.count_distinct("at").alias("n_windows"),
             F.max(F.expr("slots = given")).alias("exact"),
         )
     )

@@ -163,6 +163,16 @@ def test_slots_map_one_to_one(spark):
     assert set(leaks(spark, [good, bad], [item])) == {(0, 0)}
 
 
+def test_windows_of_placeholders(spark):
+    """Sums and Title Case are found as they are written, other numbers are not."""
+    number = "Compute 12 + 7 - 3 * 48 / 2 + 91 - 14 * 6 + 33 - 5 * 8 + 27 - 9 = 70"
+    title = "What Is The Capital City Of The Country Where The Eiffel Tower Was Built In 1889"
+    docs = [f"so {number} yes", f"so {title} yes", number.replace("48", "49").replace("33", "34"),
+            title.replace("Eiffel", "Other").replace("City", "Town")]
+    got = leaks(spark, docs, [number, title])
+    assert set(got) == {(0, 0), (1, 1)} and all(exact for _, exact in got.values())
+
+
 def test_leaks_of_table_by_brute_force(spark):
     words = lambda t: re.findall(r"[^\W\d_]+|[0-9]+", t.lower())
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
