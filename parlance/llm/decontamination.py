@@ -4,7 +4,9 @@ A text becomes a sequence of words in which numbers, names and units are typed
 placeholders. Windows of that sequence are joined by hash with those of the benchmark, and
 a match counts if the values under the placeholders map one to one, so a question with
 other numbers or names is found as well. Windows of which half or more are placeholders say
-too little for that; they are joined as they are written.
+too little for that. All windows are also joined as they are written, which finds copies in
+other letter case or with other line ends, and once more with every run of capitalised words
+as one name, wherever the sentence begins.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?:;][\"')\]]*$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # Places of the ways of reading in what ``readings`` gives.
-TEMPLATE, WRITTEN = 0, 1
+TEMPLATE, WRITTEN, NAMES = 0, 1, 2
 MARKS = np.array([0, 0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997], np.uint64)
 K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,7 +91,8 @@ def template_table() -> ChunkTable:
 
 
 def templates(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Words and placeholders of all texts in a row, kinds, values and counts per text."""
+    """Words and placeholders of all texts in a row, kinds, values, which are capitalised,
+    and counts per text."""
     codes, chunks = table.encode(texts)
     hashes, kinds, capital, first, size, ends = (p.view() for p in table.learn.parts)
     sizes = size[codes]
@@ -110,19 +113,43 @@ def templates(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, ...]:
     after_number[heads] = False
     kind[(kind == UNIT) & ~after_number] = PLAIN
     kind[(kind == PLAIN) & upper & ~begins] = NAME
-    return np.where(kind == PLAIN, value, MARKS[kind]), kind, value, counts
+    return np.where(kind == PLAIN, value, MARKS[kind]), kind, value, upper, counts
+
+
+def _one_name(
+    kind: np.ndarray, value: np.ndarray, upper: np.ndarray, counts: np.ndarray, place: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """The texts with each run of capitalised words as one name, sentence openers included."""
+    kind = np.where((kind == PLAIN) & upper, NAME, kind)
+    more = kind == NAME
+    more[1:] &= kind[:-1] == NAME
+    more &= place > 0
+    at = np.flatnonzero(~more)
+    size = np.diff(np.append(at, len(kind)))
+    held = value[at]
+    long = np.flatnonzero(size > 1)
+    if len(long):
+        n = size[long]
+        words = spread_index(at[long], n)
+        nth = spread_index(np.zeros(len(n), np.int64), n).astype(np.uint64)
+        held[long] = mix64(np.add.reduceat(mix64(value[words] + nth * K2), np.cumsum(n) - n))
+    kind = kind[at]
+    seq = np.where(kind == PLAIN, held, MARKS[kind])
+    return seq, kind, held, counts - sums(more, counts), place[at]
 
 
 def readings(table: ChunkTable, texts: list[str]) -> list[tuple[np.ndarray, ...]]:
     """The ways all texts are read: sequence, kinds, values, counts, and each word's place.
 
-    First with placeholders, then as written, without any.
+    First with placeholders, then as written, without any, then with runs of capitalised
+    words as one name. A place is that of a word in the text, also where a run stands for it.
     """
-    seq, kind, value, counts = templates(table, texts)
+    seq, kind, value, upper, counts = templates(table, texts)
     place = spread_index(np.zeros(len(counts), np.int64), counts)
     return [
         (seq, kind, value, counts, place),
         (value, np.zeros_like(kind), value, counts, place),
+        _one_name(kind, value, upper, counts, place),
     ]
 
 
@@ -160,7 +187,7 @@ def _rows(keys, at, width, seq, kind, value):
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """All windows of all items: with placeholders where words outnumber them, else as written."""
+    """All windows of all items as written, those with more words than placeholders also so."""
     read = items.select(F.col(item_id).alias("item"), F.coalesce(text, F.lit("")).alias("text"))
     schema = T.StructType([
         read.schema["item"], *T.StructType.fromDDL("way int, width int, whole boolean, at int").fields,
@@ -171,14 +198,13 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) ->
         table = template_table()
         for batch in batches:
             for item, text in zip(batch["item"], batch["text"]):
-                given = readings(table, [text])
-                for way, (seq, kind, value, counts, place) in enumerate(given):
+                for way, (seq, kind, value, counts, place) in enumerate(readings(table, [text])):
                     n = int(counts[0])
                     w = item_width(n, width)
                     if not w:
                         continue
-                    heavy = heavy_windows(given[0][1], w)
-                    at = np.flatnonzero(heavy if way == WRITTEN else ~heavy)
+                    # As written there are no placeholders, so nothing is left out.
+                    at = np.flatnonzero(~heavy_windows(kind, w))
                     if not len(at):
                         continue
                     keys = window_hash(seq, w)
@@ -210,8 +236,10 @@ def find_leaks(
 
     Words are letters in any case, numbers become one placeholder, so do units after a
     number and capitalised words inside a sentence; a window of which half or more are
-    placeholders is matched by the same words, numbers and names only. ``n_windows`` counts
-    the places of the item at which a window found begins. Null and empty texts hold nothing, an item without words is
+    placeholders is matched by the same words, numbers and names only. Texts are read in two
+    more ways: as written, without placeholders, so letter case and line ends do not
+    matter, and with each run of capitalised words as one name, those that open a sentence
+    included. ``n_windows`` counts the places of the item at which a window found begins. Null and empty texts hold nothing, an item without words is
     held by nothing, repeated documents and items are reported each for itself. Extra
     columns are ignored. An empty table gives an empty table.
 

@@ -173,6 +173,19 @@ def test_windows_of_placeholders(spark):
     assert set(got) == {(0, 0), (1, 1)} and all(exact for _, exact in got.values())
 
 
+def test_leaks_in_other_case_lines_and_names(spark):
+    german = "Wenn der Bauer seine Kuh am Morgen auf die Weide bringt und der Hund die Katze am Abend ins Haus jagt"
+    wrapped = "the boat left the harbour with our friend Marta and was seen again in spring"
+    opens = "for all of the long hot summer. Weng earns 12 dollars an hour for babysitting"
+    moved = "the slow night train that goes on from Rome to the north takes many hours"
+    docs = [f"so {german.upper()} yes", f"so {german.lower()} yes", wrapped.replace(" Marta", "\nMarta"),
+            opens.replace("Weng", "Bob").replace("12", "30"), moved.replace("Rome", "New York"),
+            "clean text of many words " * 30, opens.replace("Weng earns", "Bob spends")]
+    got = leaks(spark, docs, [german, wrapped, opens, moved])
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)}
+    assert {k for k, (_, exact) in got.items() if exact} == {(0, 0), (1, 0), (2, 1)}
+
+
 def test_leaks_of_table_by_brute_force(spark):
     words = lambda t: re.findall(r"[^\W\d_]+|[0-9]+", t.lower())
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
