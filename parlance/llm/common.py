@@ -49,6 +49,15 @@ def number_rows(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with a number per row, written once to the shared folder.
+
+    How files are dealt to tasks follows the cores that are there when a job is planned, so
+    a number made anew in a later job may be that of another row. Here it is a column.
+    """
+    return settle(number_rows(df), "numbered")
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number, for sizing partitions."""
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import repeats
 from parlance.llm.common import (
-    ROW, Growing, mix64, number_rows, parts_for, release, spread_index, stored, text_bytes, window_hash,
+    ROW, Growing, mix64, numbered, parts_for, release, spread_index, text_bytes, window_hash,
 )
 from parlance.llm.components import components
 from parlance.llm.words import ChunkTable, text_slices
@@ -91,9 +91,9 @@ class Sets:
         return out
 
 
-def _read(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _read(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return number_rows(docs).select(ROW, F.col(id_col).alias("id"), body.alias("body"))
+    return rows.select(ROW, F.col(id_col).alias("id"), body.alias("body"))
 
 
 def _summaries(read: DataFrame, size: int, words: int) -> DataFrame:
@@ -369,10 +369,17 @@ def similar_groups(
     group's token union admits a link. No step looks at all pairs of a group of copies,
     and none drops a candidate.
     """
+    rows = numbered(docs.select(*dict.fromkeys([id_col, text])))
+    return _groups(rows, id_col, text, percent, words)
+
+
+def _groups(
+    given: DataFrame, id_col: str, text: str, percent: int = 75, words: int = WORDS
+) -> DataFrame:
+    """``similar_groups`` of ``numbered`` rows."""
     limit = Threshold(percent)
-    docs = stored(docs)
-    read = _read(docs, id_col, text)
-    size = text_bytes(docs, text)
+    read = _read(given, id_col, text)
+    size = text_bytes(given, text)
     told = settle(
         _summaries(read.select(ROW, "body"), size, words).join(read.select(ROW, "id"), ROW), "sets"
     )
@@ -476,8 +483,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     A null id counts as larger than others; of rows with the same id the first one read
     stays. Rows without words all stay.
     """
-    docs = stored(docs)
-    found = similar_groups(docs, id_col, text, **options)
+    rows = numbered(docs)
+    found = _groups(rows, id_col, text, **options)
     best = F.min(F.struct(F.col("id").isNull(), "id", ROW)).alias("m")
     stay = found.groupBy("group").agg(best).select(F.col(f"m.{ROW}").alias(ROW))
-    return number_rows(docs).join(stay, ROW, "left_semi").select(*docs.columns)
+    return rows.join(stay, ROW, "left_semi").select(*docs.columns)

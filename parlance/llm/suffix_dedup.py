@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from parlance.llm import bwt, repeats
 from parlance.llm.common import (
-    ROW, mix64, number_rows, parts_for, spread_index, stored, text_bytes,
+    ROW, mix64, numbered, parts_for, spread_index, text_bytes,
 )
 from parlance.llm.words import text_slices
 from parlance.session import settle
@@ -290,10 +290,14 @@ def repeated_spans(
 
     Spans of one row may touch or overlap.
     """
-    docs = stored(docs)
+    return _spans(numbered(docs.select(text)), text, length, anchor)
+
+
+def _spans(rows: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
+    """``repeated_spans`` of ``numbered`` rows."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    read = number_rows(docs).select(ROW, body.alias("body"))
-    size = text_bytes(docs, text)
+    read = rows.select(ROW, body.alias("body"))
+    size = text_bytes(rows, text)
     spots = settle(_spots(read, size, length, anchor), "spots")
     buckets = parts_for(read, size)
 
@@ -329,10 +333,10 @@ def drop_repeats(
     stay whole. Rows that repeat are texts like others, so both lose what they share.
     Other columns are ignored, an empty table gives an empty table.
     """
-    docs = stored(docs)
-    spans = settle(repeated_spans(docs, text, length, anchor), "spans")
+    rows = numbered(docs.select(*dict.fromkeys([id_col, text])))
+    spans = settle(_spans(rows, text, length, anchor), "spans")
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    read = number_rows(docs).select(ROW, F.col(id_col).alias("id"), body.alias("body"))
+    read = rows.select(ROW, F.col(id_col).alias("id"), body.alias("body"))
     fields = [read.schema["id"]]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     fields.append(T.StructField("kept_sha256", T.StringType()))

@@ -70,6 +70,32 @@ def test_matches_all_pairs(spark, monkeypatch, seed, group):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_rows_keep_their_numbers(spark, monkeypatch, tmp_path):
+    """Files are dealt to tasks in another way by each job, as when executors come and go."""
+    texts = corpus(3, 60)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.repartition(6).write.parquet(str(tmp_path / "docs"))
+    real, sizes = jaccard_join.settle, iter(["128m", "1m", "2k"] * 99)
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def settle(df, name):
+        out = real(df, name)
+        spark.conf.set(key, next(sizes))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", settle)
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set(key, "1k")
+    try:
+        got = {r.id: (r.n, r.component_id) for r in jaccard_join.similar_groups(docs).collect()}
+        left = {r.doc_id for r in jaccard_join.keep_one(docs).collect()}
+    finally:
+        spark.conf.unset(key)
+    want = brute(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert left == {i for i, (n, c) in enumerate(want) if not n or i == c}
+
+
 def test_one_of_each_group_stays(spark):
     text = "one two three four five six seven eight"
     rows = [(3, text), (2, text.upper()), (2, text), (9, "other words entirely"), (None, None), (None, ""), (None, text)]

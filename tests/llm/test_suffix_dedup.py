@@ -57,6 +57,28 @@ def test_matches_brute_force(spark, seed):
     assert run(spark, texts, length=40, anchor=12) == brute(texts, 40)
 
 
+def test_rows_keep_their_numbers(spark, monkeypatch, tmp_path):
+    """Files are dealt to tasks in another way by each job, as when executors come and go."""
+    texts = corpus(3)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.repartition(6).write.parquet(str(tmp_path / "docs"))
+    real, sizes = suffix_dedup.settle, iter(["128m", "1m", "2k", "128m"] * 9)
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def settle(df, name):
+        out = real(df, name)
+        spark.conf.set(key, next(sizes))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "settle", settle)
+    spark.conf.set(key, "1k")
+    try:
+        got = suffix_dedup.drop_repeats(spark.read.parquet(str(tmp_path / "docs")), length=40, anchor=12).collect()
+    finally:
+        spark.conf.unset(key)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sorted(got)] == brute(texts, 40)
+
+
 def test_crowded_anchors(spark, monkeypatch):
     """With every anchor crowded, strings are compared one by one; the result is the same."""
     monkeypatch.setattr(suffix_dedup, "CROWD", 0)
