@@ -36,8 +36,9 @@ def scan_transcripts(
     """Turns of all transcripts under ``path`` with roles, word counts and durations.
 
     The first 512 characters of a file pick its separator, unless ``sep`` names it; columns
-    are found by their names in the header, whatever their order. Each file, one interview,
-    is read as one record. Files whose name carries no session number are skipped.
+    are found by their names in the header, whatever their order and number; a first job
+    looks up how many the widest header has. Each file, one interview, is read as one
+    record. Files whose name carries no session number are skipped.
     """
     where = F.col("_metadata.file_path")
     sid = session_id if session_id is not None else scores.session_id_from_path(F.col("_file"))
@@ -57,7 +58,8 @@ def scan_transcripts(
         rows.withColumn("_names", F.transform(names, strip)), ["session_id", "_sep", "_names"],
         F.slice("_r", F.lit(2), F.size("_r")), "_line", "turn_id",
     )
-    width = len(COLUMNS)
+    widest = rows.select(F.max(F.size(names))).first()[0]
+    width = max(widest or 0, len(COLUMNS))
     if sep is None:
         got = F.when(F.col("_sep") == "\t", _fields(F.col("_line"), "\t", width)).otherwise(
             _fields(F.col("_line"), ",", width)

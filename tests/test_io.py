@@ -31,6 +31,18 @@ def test_transcripts_of_both_kinds(spark, tmp_path):
         assert (r.role, r.speaker, r.text_en, r.start_time, r.stop_time) == ("Doctor", "Ellie", "hi, you", 3.0, 1.0)
 
 
+def test_transcripts_with_more_columns(spark, tmp_path):
+    write(tmp_path, "5_TRANSCRIPT.csv", 'id,start_time,stop_time,speaker,value\n9,1.0,3.0,Ellie,"hi, you"\n')
+    write(tmp_path, "6_TRANSCRIPT.csv", "a\tb\tvalue\tc\tspeaker\tstop_time\tstart_time\n1\t2\tyes, it is\t3\tPat\t4\t2\n")
+    write(tmp_path, "7_TRANSCRIPT.csv", "start_time,stop_time,speaker,value\n0,1,Pat,short\n")
+    read = lambda df: sorted((r.session_id, r.speaker, r.text_en, r.start_time, r.stop_time) for r in df.collect())
+    assert read(X.scan_transcripts(spark, str(tmp_path))) == [
+        (5, "Ellie", "hi, you", 1.0, 3.0), (6, "Pat", "yes, it is", 2.0, 4.0), (7, "Pat", "short", 0.0, 1.0)]
+    assert read(X.scan_transcripts(spark, str(tmp_path / "6_TRANSCRIPT.csv"), sep="\t")) == [(6, "Pat", "yes, it is", 2.0, 4.0)]
+    (tmp_path / "none").mkdir()
+    assert read(X.scan_transcripts(spark, str(tmp_path / "none"))) == []
+
+
 def test_last_label_file_wins(spark, tmp_path):
     a = write(tmp_path, "a.csv", "Participant_ID,PHQ8_Score,PHQ8_Binary,Gender\n1,5.0,0,1\n2,,1,\nbad,1,1,1\n3,x,0,0\n")
     b = write(tmp_path, "b.csv", "Participant_ID,PHQ_Score,PHQ8_Binary,Gender\n1,20,1,0\n")
