@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import (
-    chat, decontamination, exact_dedup, jaccard_join, labelled, packing, quality,
-    suffix_dedup, token_counts, toxicity, url_filters,
+    chat, conversation_queries, decontamination, exact_dedup, jaccard_join, labelled, licenses,  # noqa: F401
+    packing, quality, suffix_dedup, token_counts, toxicity, url_filters,
 )
 from parlance.llm.common import LOWER, UPPER
 from parlance.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -201,3 +201,10 @@ def op3(spark, sf):
 def op2(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text")
     return suffix_dedup.drop_repeats(docs, with_text=False)
+
+
+# The expressions behind tags need a parser, so a plain re-reading in the tests stands for SQL.
+@query("op11_license_scans")
+def op11(spark, sf):
+    found = licenses.scan_licenses(table(spark, sf, "documents", "doc_id", "text"))
+    return found.drop("notices", "tags")
