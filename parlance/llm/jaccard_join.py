@@ -286,23 +286,54 @@ def _merge(members: DataFrame, key: str, sets: DataFrame, limit: Threshold) -> D
     )
 
 
+def _candidates(firsts: DataFrame, limit: Threshold) -> DataFrame:
+    """Rows and the groups of other components a row could have a link into.
+
+    A group holds members of one component. Of two components with a token in common the
+    smaller one asks, so what is asked of a component grows with the rows outside it and
+    with its groups, not with its rows. A group whose members with that token are all too
+    small or too large for the row is not asked.
+    """
+    mixed = firsts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    held = firsts.join(mixed.filter("x <> y").select("token"), "token")
+    matrix = held.groupBy("token", "place").agg(
+        F.first("label").alias("other"), F.first("size").alias("others"),
+        F.min("bytes").alias("least"), F.max("bytes").alias("most"),
+    )
+    asks = (F.col("size") < F.col("others")) | (
+        (F.col("size") == F.col("others")) & (F.col("label") < F.col("other"))
+    )
+    fits = (100 * F.col("most") >= limit.percent * F.col("bytes")) & (
+        100 * F.col("bytes") >= limit.percent * F.col("least")
+    )
+    asked = held.drop("place").join(matrix, "token").filter(asks & fits)
+    return asked.select(ROW, "label", "place").distinct()
+
+
 def _open(cands: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Links (a, b) of components between queries and the members of groups they qualify for."""
-    asked = _carry(cands, sets).join(members.select(ROW, "label"), ROW)
-    asked = asked.select("place", F.lit(1).alias("kind"), "label", "tokens")
-    wanted = cands.select("place").distinct()
-    offered = _carry(members.join(wanted, "place"), sets)
-    offered = offered.select("place", F.lit(0).alias("kind"), "label", "tokens")
+    """Links (a, b) of components between queries and the members of groups they qualify for.
+
+    A group that very many rows ask is offered in copies, each to as many rows as it may have
+    members.
+    """
+    busy = cands.groupBy("place").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("copies"))
+    asked = _carry(cands.join(busy, "place"), sets).select(
+        "place", F.pmod(F.xxhash64(ROW), F.col("copies")).cast("int").alias("copy"),
+        F.lit(1).alias("kind"), "label", "tokens",
+    )
+    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    offered = _carry(members.join(busy, "place").withColumn("copy", copy), sets)
+    offered = offered.select("place", "copy", F.lit(0).alias("kind"), "label", "tokens")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, sets_, labels, ready = None, [], [], None
         for batch in batches:
             out = set()
-            rows = zip(*(batch[c].tolist() for c in ("place", "kind", "label", "tokens")))
-            for place, kind, label, blob in rows:
+            rows = zip(*(batch[c].tolist() for c in ("place", "copy", "kind", "label", "tokens")))
+            for place, copy, kind, label, blob in rows:
                 tokens = np.frombuffer(blob, np.uint64)
-                if place != here:
-                    here, sets_, labels, ready = place, [], [], None
+                if (place, copy) != here:
+                    here, sets_, labels, ready = (place, copy), [], [], None
                 if kind == 0:
                     sets_.append(tokens)
                     labels.append(label)
@@ -314,7 +345,7 @@ def _open(cands: DataFrame, members: DataFrame, sets: DataFrame, limit: Threshol
         release()
 
     met = asked.unionByName(offered)
-    met = met.repartition("place").sortWithinPartitions("place", "kind")
+    met = met.repartition("place", "copy").sortWithinPartitions("place", "copy", "kind")
     return met.mapInPandas(sweep, "a long, b long")
 
 
@@ -363,9 +394,10 @@ def similar_groups(
     share of the token space is looked at to find them. (2) Rows with equal sets become
     one. (3) Rows with the same smallest token form a group, cut if it is large, and are
     compared by a membership matrix; the best-linked row of each component then meets
-    those of others that share its smallest token under this or another order. (4) The token-group matrix of the first
-    tokens of all sets finds the other groups a row could have a link into; tokens held by
-    one component only are left out. (5) A row opens a group if its overlap with the
+    those of others that share its smallest token under this or another order. (4) Members of a component
+    form groups of bounded size. The token-group matrix of the first tokens of all sets finds the
+    groups of larger components a row could have a link into; tokens held by one component only
+    and groups of other set sizes are left out. (5) A row opens a group if its overlap with the
     group's token union admits a link. No step looks at all pairs of a group of copies,
     and none drops a candidate.
     """
@@ -400,22 +432,12 @@ def _groups(
     for key in KEYS:
         members = _merge(members, key, sets, limit)
 
+    # From here on a group holds similar documents: members of one component.
+    members = settle(_cut(members.select(ROW, "label", "bytes"), "label").drop("parts"), "placed")
     places = settle(_places(sets, size), "places")
-    members = members.select(ROW, "place", "label")
     firsts = _first_tokens(_carry(members.join(places.hint("merge"), ROW), sets), limit)
-    firsts = settle(firsts, "firsts")
-    mixed = firsts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = mixed.filter("x <> y").select("token")
-    held = firsts.join(mixed, "token")
-    matrix = held.groupBy("token", "place").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    asked = held.select("token", ROW, F.col("place").alias("own"), "label")
-    cands = (
-        asked.join(matrix, "token")
-        .filter("place > own AND (x <> label OR y <> label)")
-        .select(ROW, "place").distinct()
-    )
-    cands = settle(cands, "candidates")
-    last = components(_open(cands, members, sets, limit))
+    cands = settle(_candidates(settle(firsts, "firsts"), limit), "candidates")
+    last = components(_open(cands, members.select(ROW, "label", "place"), sets, limit))
 
     final = (
         members.join(last, F.col("label") == F.col("node"), "left")
@@ -448,7 +470,7 @@ def _places(sets: DataFrame, size: int) -> DataFrame:
 
 
 def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
-    """The first tokens of each set, one per row, with its group and component.
+    """The first tokens of each set, one per row, with its group, component and their sizes.
 
     The order of tokens is: those of one set only, the rest, crowded ones; by hash among
     themselves. It is the same for all sets, which is what the prefixes need; the first
@@ -469,12 +491,13 @@ def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
                 continue
             yield pd.DataFrame({
                 "token": np.concatenate(parts).view(np.int64),
-                **{c: np.repeat(batch[c].to_numpy(np.int64), n) for c in (ROW, "place", "label")},
+                **{c: np.repeat(batch[c].to_numpy(np.int64), n) for c in kept},
             })
         release()
 
-    schema = f"token long, {ROW} long, place long, label long"
-    return held.select(ROW, "place", "label", "tokens", "x", "y").mapInPandas(explode, schema)
+    kept = [ROW, "place", "label", "size", "bytes"]
+    schema = ", ".join(f"{c} long" for c in ["token", *kept])
+    return held.select(*kept, "tokens", "x", "y").mapInPandas(explode, schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -70,6 +70,22 @@ def test_matches_all_pairs(spark, monkeypatch, seed, group):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize("group", [8, 256])
+def test_passages_in_all_rows(spark, monkeypatch, group):
+    """Sets made of passages that many rows hold: every token is crowded."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    rng = random.Random(11)
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 30))] for _ in range(9)]
+    texts = []
+    for _ in range(160):
+        own = rng.sample(passages, rng.randrange(1, 6))
+        extra = [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 3, 9]))]
+        texts.append(" ".join([*passages[0], *[w for p in own for w in p], *extra]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.n, r.component_id) for r in jaccard_join.similar_groups(df.repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_rows_keep_their_numbers(spark, monkeypatch, tmp_path):
     """Files are dealt to tasks in another way by each job, as when executors come and go."""
     texts = corpus(3, 60)
