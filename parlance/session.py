@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -35,19 +36,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(tasks)) if tasks else df
 
 
+# Folders of this machine by application, for sessions that have no shared one.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir``.
 
     Only a session whose tasks run in this very process gets a folder of this machine when
     the setting is missing.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if folder:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="parlance-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    # The setting cannot be made while a session runs, so the folder is remembered here.
+    folder = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="parlance-")
     return folder
 
 
@@ -65,5 +70,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     short, and lost executors cost no more than the current step.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries that are over.
+
+    It does so when the driver has collected the objects that stand for them, which a driver
+    with little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
