@@ -292,19 +292,24 @@ def _candidates(firsts: DataFrame, limit: Threshold) -> DataFrame:
     A group holds members of one component. Of two components with a token in common the
     smaller one asks, so what is asked of a component grows with the rows outside it and
     with its groups, not with its rows. A group whose members with that token are all too
-    small or too large for the row is not asked.
+    small or too large for the row, or have too little in common with others from that token
+    on, is not asked.
     """
     mixed = firsts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     held = firsts.join(mixed.filter("x <> y").select("token"), "token")
     matrix = held.groupBy("token", "place").agg(
         F.first("label").alias("other"), F.first("size").alias("others"),
-        F.min("bytes").alias("least"), F.max("bytes").alias("most"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("onward"),
     )
     asks = (F.col("size") < F.col("others")) | (
         (F.col("size") == F.col("others")) & (F.col("label") < F.col("other"))
     )
-    fits = (100 * F.col("most") >= limit.percent * F.col("bytes")) & (
-        100 * F.col("bytes") >= limit.percent * F.col("least")
+    # What the row and a member have in common is at most what either has from the first
+    # common token on, and at least what the threshold asks of two sets of their sizes.
+    fits = (
+        (100 * F.col("most") >= limit.percent * F.col("n"))
+        & (100 * F.col("n") >= limit.percent * F.col("least"))
+        & ((100 + limit.percent) * F.least("rest", "onward") >= limit.percent * (F.col("n") + F.col("least")))
     )
     asked = held.drop("place").join(matrix, "token").filter(asks & fits)
     return asked.select(ROW, "label", "place").distinct()
@@ -470,7 +475,8 @@ def _places(sets: DataFrame, size: int) -> DataFrame:
 
 
 def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
-    """The first tokens of each set, one per row, with its group, component and their sizes.
+    """The first tokens of each set, one per row, with its group, component and their sizes,
+    and ``rest``, how many tokens from this one on other sets hold as well.
 
     The order of tokens is: those of one set only, the rest, crowded ones; by hash among
     themselves. It is the same for all sets, which is what the prefixes need; the first
@@ -480,24 +486,26 @@ def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[i : i + 512] for b in batches for i in range(0, len(b), 512)):
-            parts = []
+            parts, rest = [], []
             for tokens, x, y in zip(_unpack(batch["tokens"]), batch["x"], batch["y"]):
                 at, crowded = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 order = np.lexsort((at, crowded))
                 left = limit.prefix(len(tokens)) - (len(tokens) - len(at))
                 parts.append(tokens[at[order[: max(0, left)]]])
+                rest.append(len(at) - np.arange(len(parts[-1])))
             n = [len(p) for p in parts]
             if not sum(n):
                 continue
             yield pd.DataFrame({
-                "token": np.concatenate(parts).view(np.int64),
+                "token": np.concatenate(parts).view(np.int64), "rest": np.concatenate(rest),
                 **{c: np.repeat(batch[c].to_numpy(np.int64), n) for c in kept},
             })
         release()
 
-    kept = [ROW, "place", "label", "size", "bytes"]
-    schema = ", ".join(f"{c} long" for c in ["token", *kept])
-    return held.select(*kept, "tokens", "x", "y").mapInPandas(explode, schema)
+    kept = [ROW, "place", "label", "size", "n"]
+    schema = ", ".join(f"{c} long" for c in ["token", "rest", *kept])
+    rows = held.withColumn("n", F.octet_length("tokens") / 8)
+    return rows.select(*kept, "tokens", "x", "y").mapInPandas(explode, schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
