@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+import sys
+from collections.abc import Callable, Hashable
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.session import settle
 
+T = TypeVar("T")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Name of the row number the operators carry inside; it never leaves them.
 ROW = "__row"
@@ -68,23 +72,16 @@ def parts_for(df: DataFrame, size: int, target: int = 64 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` under a short name."""
-    return df.mapInArrow(fn, schema)
+def per_worker(key: Hashable, make: Callable[[], T]) -> T:
+    """One value per Python worker process, made when it is first asked for.
 
-
-def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts reach ``limit`` bytes; a longer single text stays whole."""
-    sizes = np.asarray(
-        pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64
-    )
-    part = np.concatenate(([0], np.cumsum(sizes)[:-1])) // limit if len(sizes) else sizes
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(sizes)]):
-        if b > a:
-            yield batch.slice(int(a), int(b - a))
+    Workers live on from task to task, but the package's functions are shipped anew with
+    each, and their globals with them; so the value is kept with the process's modules.
+    """
+    held = sys.modules.setdefault("_parlance_worker", ModuleType("_parlance_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def release() -> None:

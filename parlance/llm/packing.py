@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -15,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import Growing, spread_index
-from parlance.llm.words import ChunkTable, text_slices
+from parlance.llm.common import Growing, per_worker, spread_index
+from parlance.llm.words import KEPT_CHUNKS, MARKS, PLAIN_SAMPLES, ChunkTable, byte_letters, plain_word, text_slices
 
 # Weight of a token pair against a token in the cost of attention over a piece.
 PAIR_COST = 1 / 1024
@@ -77,7 +75,6 @@ def powers(total: int, most: int) -> np.ndarray:
     )
 
 
-@lru_cache(maxsize=4)
 def _library(path: str):
     import os
 
@@ -87,62 +84,42 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _byte_letters() -> dict[int, int]:
-    """Bytes to the letters byte-level vocabularies write them as: printable ones as they
-    are, the others, in order, from code point 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(rest)}}
-
-
 class PlainWords:
     """Ids of chunks that are a word of plain letters, with or without one mark behind it.
 
-    Such a word is one unit for a vocabulary that lower-cases, splits letters from marks
-    and works on bytes, so its model is asked directly, once per word; the library's whole
-    way through normaliser and splitter costs several times as much. ``usable`` tells, by
-    comparing both ways on samples, whether a vocabulary is of that kind.
+    The vocabulary's model is asked directly, once per word; the library's whole way through
+    normaliser and splitter costs several times as much. ``usable`` tells, by comparing both
+    ways on samples, whether a vocabulary is of the kind ``plain_word`` is for.
     """
 
-    MARKS = ".,;:!?"
-    # Below it, lower case of a letter is one letter whatever is around it.
-    LETTERS = "\u0130"
-
     def __init__(self, library) -> None:
-        self.library, self.model, self.letters = library, library.model, _byte_letters()
-        self.marks = {m: self._whole(m) for m in self.MARKS}
+        self.library, self.model = library, library.model
+        self.marks = {m: self._whole(m) for m in MARKS}
         self.known: dict[str, list[int]] = {}
-        samples = ["word", "Word,", "éÀß.", "ab", "Thenon!", "aº;", "xÿ", "don?", "ZZ:"]
-        self.usable = all(self.ids(s) in (None, self._whole(s)) for s in samples)
+        self.usable = all(self.ids(s) in (None, self._whole(s)) for s in PLAIN_SAMPLES)
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def ids(self, chunk: str) -> list[int] | None:
         """Ids of a chunk of that kind, None for another."""
-        mark = self.marks.get(chunk[-1])
-        word = chunk if mark is None else chunk[:-1]
-        if not word.isalpha() or not word.isascii() and (
-            max(word) >= self.LETTERS or not unicodedata.is_normalized("NFC", word)
-        ):
+        plain = plain_word(chunk)
+        if plain is None:
             return None
-        word = word.lower()
+        word, mark = plain
         own = self.known.get(word)
         if own is None:
-            letters = word
-            if not word.isascii():
-                letters = word.encode().decode("latin-1").translate(self.letters)
-            own = self.known[word] = [t.id for t in self.model.tokenize(letters)]
-        return own if mark is None else own + mark
+            own = self.known[word] = [t.id for t in self.model.tokenize(byte_letters(word))]
+        return own + self.marks[mark] if mark else own
 
 
 class TokenTable:
-    """Ids of chunks, worked out once per chunk."""
+    """Ids of chunks, worked out once per chunk for as long as the table holds it."""
 
     def __init__(self, path: str) -> None:
         self.library = _library(path)
         self.plain = PlainWords(self.library)
-        self.table = ChunkTable(self._new)
+        self.table = ChunkTable(self._new, limit=KEPT_CHUNKS)
 
     def _new(self):
         self.plain.known.clear()
@@ -203,7 +180,7 @@ def pack(
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = TokenTable(path)
+        table = per_worker(("ids", path), lambda: TokenTable(path))
         waiting: list[tuple[object, int, int, np.ndarray]] = []  # id, start, all tokens, ids
         base = TaskContext.get().partitionId() << 32
         held = 0

@@ -6,7 +6,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import Growing
-from parlance.llm.words import ChunkTable, sums, text_slices
+from parlance.llm.common import Growing, per_worker
+from parlance.llm.words import KEPT_CHUNKS, MARKS, PLAIN_SAMPLES, ChunkTable, byte_letters, plain_word, sums, text_slices
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -59,7 +58,11 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class PairCounter:
-    """Counts of one vocabulary file; its own rules split and normalise the text."""
+    """Counts of one vocabulary file; its own rules split and normalise the text.
+
+    Words of plain letters need neither, if samples show that the file's rules leave them
+    whole. Counts of words and chunks are kept until their table reaches its limit.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -76,6 +79,30 @@ class PairCounter:
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[str, int] = {}
+        self.marks = {m: self.count(m) for m in MARKS}
+        self.plain = True
+        self.plain = all(self.chunk(s) == self.count(s) for s in PLAIN_SAMPLES)
+        self.table = ChunkTable(self._new, limit=KEPT_CHUNKS)
+
+    def _new(self):
+        self.known.clear()
+        self.counts = Growing(np.int64)
+        return self._learn
+
+    def _learn(self, fresh: list[str]) -> None:
+        self.counts.add(np.fromiter(map(self.chunk, fresh), np.int64, len(fresh)))
+
+    def chunk(self, chunk: str) -> int:
+        """Tokens of a run of text without white space."""
+        plain = plain_word(chunk) if self.plain else None
+        if plain is None:
+            return self.count(chunk)
+        word, mark = plain
+        return self.word(byte_letters(word)) + (self.marks[mark] if mark else 0)
+
+    def counts_of(self, texts: list[str]) -> np.ndarray:
+        codes, sizes = self.table.encode(texts)
+        return sums(self.counts.view()[codes], sizes)
 
     def word(self, word: str) -> int:
         n = self.known.get(word)
@@ -99,11 +126,6 @@ class PairCounter:
         return held
 
 
-@lru_cache(maxsize=4)
-def pair_counter(path: str) -> PairCounter:
-    return PairCounter(path)
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows with ``n_bytes`` (UTF-8) and ``n_tokens`` in place of the text column.
 
@@ -122,25 +144,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = pair_counter(path)
-
-        def fresh_table():
-            known = Growing(np.int64)
-            counter.known.clear()
-
-            def learn(fresh: list[str]) -> None:
-                known.add(np.fromiter(map(counter.count, fresh), np.int64, len(fresh)))
-
-            learn.known = known
-            return learn
-
-        table = ChunkTable(fresh_table)
+        counter = per_worker(("pairs", path), lambda: PairCounter(path))
         for batch in batches:
             texts = batch["n_tokens"].tolist()
             counts = np.zeros(len(texts), np.int64)
             for a, b in text_slices(texts):
-                codes, sizes = table.encode(texts[a:b])
-                counts[a:b] = sums(table.learn.known.view()[codes], sizes)
+                counts[a:b] = counter.counts_of(texts[a:b])
             yield batch.assign(n_tokens=counts)
 
     return read.mapInPandas(run, schema)

@@ -8,6 +8,7 @@ reaches its limit, which bounds memory and changes no result.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from parlance.llm.common import Codes
 BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 CHUNK_LIMIT = 300_000
+# Where little is kept per chunk and the table outlives a task.
+KEPT_CHUNKS = 700_000
 SLICE_CHARS = 1 << 20
 
 
@@ -28,6 +31,46 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+# Marks a word may have behind it, and a bound on its letters: below it the lower case of a
+# letter is one letter whatever is around it.
+MARKS, LETTERS_BELOW = ".,;:!?", "\u0130"
+
+
+def plain_word(chunk: str) -> tuple[str, str] | None:
+    """Lower-cased word and mark of a chunk that is plain letters, with or without a mark.
+
+    For a vocabulary that lower-cases, splits letters from marks and works on bytes such a
+    word is one unit, so it need not go through normaliser and splitter.
+    """
+    mark = chunk[-1] if chunk[-1] in MARKS else ""
+    word = chunk[:-1] if mark else chunk
+    if not word.isalpha() or not word.isascii() and (
+        max(word) >= LETTERS_BELOW or not unicodedata.is_normalized("NFC", word)
+    ):
+        return None
+    return word.lower(), mark
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes to the letters byte-level vocabularies write them as: printable ones as they
+    are, the others, in order, from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(rest)}}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_letters(word: str) -> str:
+    """A word as a byte-level vocabulary spells it."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+# Chunks a rule for plain words is tried on before it is trusted.
+PLAIN_SAMPLES = ["word", "Word,", "éÀß.", "ab", "Thenon!", "aº;", "xÿ", "don?", "ZZ:"]
+
+
 def text_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters; one longer text is a range of its own."""
     start = size = 0
@@ -68,7 +111,12 @@ class ChunkTable:
         codes = self.codes.encode(words)
         fresh = self.codes.take()
         if fresh:
-            self.learn(fresh)
+            try:
+                self.learn(fresh)
+            except BaseException:
+                # A table that outlives this task must not hold chunks it knows nothing of.
+                self.reset()
+                raise
         return codes, counts
 
 
