@@ -29,16 +29,30 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+def _ordered(keys: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys, and the first index and length of each run of equal ones in it."""
+    if check is None:
+        order = np.argsort(keys, kind="stable")
+        return order, *runs(keys[order])
+    order = np.lexsort((check, keys))
+    a, b = keys[order], check[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(a)))
+
+
 def questions(
-    keys: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int, most: int = 1
+    keys: np.ndarray, refs: np.ndarray, places: np.ndarray, buckets: int, most: int = 1,
+    check: np.ndarray | None = None,
 ) -> tuple[np.ndarray, pd.DataFrame]:
     """Which keys occur over ``most`` times in one batch, and the packed rows for the rest.
 
     A key that occurs up to ``most`` times is sent with its ``refs`` (int64) and ``places``
-    (int32), which come back with the answer; one that occurs oftener is sent once.
+    (int32), which come back with the answer; one that occurs oftener is sent once. With a
+    second hash in ``check``, keys are equal if both are.
     """
-    order = np.argsort(keys, kind="stable")
-    first, n = runs(keys[order])
+    order, first, n = _ordered(keys, check)
     often = n > most
     known = np.zeros(len(keys), bool)
     known[order] = np.repeat(often, n)
@@ -46,6 +60,7 @@ def questions(
     sent[known] = False
     sent[order[first[often]]] = True
     keys, ref, place = keys[sent], np.where(known, NO_ANSWER, refs)[sent], places[sent]
+    told = keys if check is None else np.column_stack([keys, check[sent]])
     bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int32)
     # Inside a bucket in the order of refs, which packs well.
     by = np.lexsort((ref, bucket))
@@ -54,25 +69,26 @@ def questions(
     for a, k in zip(start, size):
         own = by[a : a + k]
         rows.append((
-            int(bucket[own[0]]), keys[own].tobytes(), ref[own].astype(np.int64).tobytes(),
+            int(bucket[own[0]]), told[own].tobytes(), ref[own].astype(np.int64).tobytes(),
             place[own].astype(np.int32).tobytes(),
         ))
     return known, pd.DataFrame(rows, columns=["bucket", "keys", "refs", "places"])
 
 
 def answers(
-    packed: pd.DataFrame, crowd: int = 0
+    packed: pd.DataFrame, crowd: int = 0, checked: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refs and places, by ref and place, of the keys of one bucket that repeat.
 
     The third array tells which of them belong to a key that some batch sent for many, or
-    that came over ``crowd`` times.
+    that came over ``crowd`` times. ``checked`` keys come with a second hash.
     """
-    keys = np.frombuffer(b"".join(packed["keys"]), np.uint64)
+    keys, check = np.frombuffer(b"".join(packed["keys"]), np.uint64), None
+    if checked:
+        keys, check = (np.ascontiguousarray(k) for k in keys.reshape(-1, 2).T)
     refs = np.frombuffer(b"".join(packed["refs"]), np.int64)
     places = np.frombuffer(b"".join(packed["places"]), np.int32)
-    order = np.argsort(keys, kind="stable")
-    first, n = runs(keys[order])
+    order, first, n = _ordered(keys, check)
     many = refs[order] == NO_ANSWER
     held = np.maximum.reduceat(many, first) if len(first) else np.zeros(0, bool)
     again = order[np.repeat((n > 1) | held, n)]

@@ -21,7 +21,7 @@ from parlance.llm.common import (
     ROW, mix64, numbered, parts_for, spread_index, text_bytes,
 )
 from parlance.llm.words import text_slices
-from parlance.session import settle
+from parlance.session import free_shuffles, settle
 
 LENGTH = 200
 # Bytes of an anchor. Every string of LENGTH bytes holds the anchor with the least hash in it.
@@ -30,10 +30,11 @@ ANCHOR = 48
 MOST, CROWD = 16, 4096
 # Bytes of text whose transforms are merged together, and of one transform.
 MERGED, SHARD = 1 << 19, 1 << 17
-BASE = 0x9E3779B97F4A7C15 | 1
+# Odd multipliers of two hashes of the same bytes.
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
-def gram_hashes(flat: np.ndarray, width: int) -> np.ndarray:
+def gram_hashes(flat: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Hash of every ``width`` bytes, from hashes of powers of two."""
     n = len(flat) - width + 1
     if n <= 0:
@@ -42,12 +43,12 @@ def gram_hashes(flat: np.ndarray, width: int) -> np.ndarray:
     while True:
         if width & step:
             part = power[done : done + n]
-            factor = np.uint64(pow(BASE, step, 1 << 64))
+            factor = np.uint64(pow(base, step, 1 << 64))
             out = part.copy() if out is None else out * factor + part
             done += step
         if done == width:
             return mix64(out)
-        power = power[:-step] * np.uint64(pow(BASE, step, 1 << 64)) + power[step:]
+        power = power[:-step] * np.uint64(pow(base, step, 1 << 64)) + power[step:]
         step *= 2
 
 
@@ -116,8 +117,8 @@ def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataF
     """What the repeated anchors of each row stand for, on its way to where it meets its like.
 
     An anchor's strings travel as one piece of text to the anchor's bucket. Crowded anchors
-    would bring too many pieces to one place; each of their strings travels as its hash
-    instead, to a bucket of its own, which only strings with that hash share.
+    would bring too many pieces to one place; each of their strings travels as two hashes of
+    64 bits instead, to a bucket of its own, which only strings with the first hash share.
     """
     columns = ["bucket", "keys", "refs", "places", "widths", "content", "own"]
 
@@ -125,7 +126,8 @@ def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataF
         for batch in batches:
             rows = batch[ROW].to_numpy(np.int64)
             done = [np.zeros((0, 3), np.int64)]
-            singles = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            none = np.zeros(0, np.int64)
+            singles = [(np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64))]
             parts = []
             for flat, sizes, heads, at in _batches(batch):
                 keys, spot, lo, hi = anchors(flat, sizes, length, anchor)
@@ -135,24 +137,24 @@ def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataF
                     mark[head + x] = 1 + y
                 kind = mark[spot]
                 doc = np.searchsorted(heads, lo, "right") - 1
-                strings = gram_hashes(flat, length)
 
                 many = kind == 2
-                starts = spread_index(lo[many], hi[many] - lo[many] + 1)
-                owner = np.repeat(doc[many], hi[many] - lo[many] + 1)
-                singles.append((strings[starts], rows[at + owner], starts - heads[owner]))
+                if many.any():
+                    starts = spread_index(lo[many], hi[many] - lo[many] + 1)
+                    owner = np.repeat(doc[many], hi[many] - lo[many] + 1)
+                    first, second = (gram_hashes(flat, length, b)[starts] for b in (BASE, SECOND_BASE))
+                    singles.append((first, rows[at + owner], starts - heads[owner], second))
 
                 few = kind == 1
                 if few.any():
                     parts.append((
                         keys[few], rows[at + doc[few]], lo[few] - heads[doc[few]],
                         hi[few] - lo[few] + length,
-                        mix64(strings[lo[few]] * np.uint64(BASE) + strings[hi[few]]
-                              + (hi[few] - lo[few]).astype(np.uint64)),
                         [flat[a : b + length].tobytes() for a, b in zip(lo[few], hi[few])],
                     ))
-            known, asked = repeats.questions(*(np.concatenate(x) for x in zip(*singles)), buckets)
-            refs, places = (np.concatenate(x)[known] for x in list(zip(*singles))[1:])
+            strings, refs, places, second = (np.concatenate(x) for x in zip(*singles))
+            known, asked = repeats.questions(strings, refs, places, buckets, check=second)
+            refs, places = refs[known], places[known]
             by = np.lexsort((places, refs))
             done.append(_joined(refs[by], places[by], length))
             if len(asked):
@@ -174,8 +176,10 @@ def _pieces(spotted: DataFrame, buckets: int, length: int, anchor: int) -> DataF
 
 def _share(parts: list, buckets: int) -> tuple[np.ndarray, pd.DataFrame]:
     """Pieces of a batch: those with equal text repeat, and their text is sent once."""
-    keys, refs, places, widths, names = (np.concatenate(x) for x in list(zip(*parts))[:5])
-    content = [c for p in parts for c in p[5]]
+    keys, refs, places, widths = (np.concatenate(x) for x in list(zip(*parts))[:4])
+    content = [c for p in parts for c in p[4]]
+    numbers: dict[bytes, int] = {}
+    names = np.fromiter((numbers.setdefault(c, len(numbers)) for c in content), np.int64, len(content))
     order = np.argsort(names, kind="stable")
     first, n = repeats.runs(names[order])
     twice = np.zeros(len(keys), bool)
@@ -299,13 +303,14 @@ def _spans(rows: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
     read = rows.select(ROW, body.alias("body"))
     size = text_bytes(rows, text)
     spots = settle(_spots(read, size, length, anchor), "spots")
+    free_shuffles(read.sparkSession)
     buckets = parts_for(read, size)
 
     def meet(packed: pd.DataFrame) -> pd.DataFrame:
         own = np.frombuffer(b"".join(x for x in packed["own"] if x), np.int64).reshape(-1, 3)
         packed = packed[packed["keys"].str.len() > 0]
         if len(packed) and packed["widths"].iat[0] is None:
-            refs, places, _ = repeats.answers(packed)
+            refs, places, _ = repeats.answers(packed, checked=True)
             met = _joined(refs, places.astype(np.int64), length)
         else:
             met = _meet(packed, length)
@@ -335,6 +340,7 @@ def drop_repeats(
     """
     rows = numbered(docs.select(*dict.fromkeys([id_col, text])))
     spans = settle(_spans(rows, text, length, anchor), "spans")
+    free_shuffles(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     read = rows.select(ROW, F.col(id_col).alias("id"), body.alias("body"))
     fields = [read.schema["id"]]
