@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Hashable
+from functools import wraps
 from types import ModuleType
 from typing import TypeVar
 
@@ -26,40 +27,34 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-# Plans that give the same rows in the same places whenever they are read.
-STABLE = {
-    "Project", "Filter", "SubqueryAlias", "View", "Relation", "LogicalRelation", "LocalRelation",
-    "LogicalRDD", "ExternalRDD", "OneRowRelation", "Range",
-}
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table itself if it is read from storage, else a copy written to the shared folder.
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with a number per row, written once to the shared folder.
 
-    What comes out of a shuffle may come in another order when it is computed again or
-    when other columns are asked for.
+    How files are dealt to tasks follows the cores that are there when a job is planned, and
+    what comes out of a shuffle may come in another order, so a number made anew in a later
+    job may be that of another row. Here it is a column. Null or repeated ids never mix
+    rows up.
     """
-    todo = [df._jdf.queryExecution().analyzed()]
-    while todo:
-        node = todo.pop()
-        if node.nodeName().split(" ")[0] not in STABLE:
-            return settle(df, "input")
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    return df
+    return settle(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def number_rows(df: DataFrame) -> DataFrame:
-    """A number per row of a ``stored`` table, so that null or repeated ids never mix rows up."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, longer by as many underscores as it takes to be none of those given."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """The table with a number per row, written once to the shared folder.
+def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets an operator's table have a column of the name its row numbers go by."""
 
-    How files are dealt to tasks follows the cores that are there when a job is planned, so
-    a number made anew in a later job may be that of another row. Here it is a column.
-    """
-    return settle(number_rows(df), "numbered")
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        aside = {c: free_name(c, df.columns) for c in df.columns if c.lower() == ROW}
+        found = operator(df.withColumnsRenamed(aside), *args, **options)
+        return found.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return run
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

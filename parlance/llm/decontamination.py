@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.common import (
-    ROW, Growing, mix64, number_rows, spread_index, stored, window_hash,
+    ROW, Growing, keeps_columns, mix64, numbered, spread_index, window_hash,
 )
 from parlance.llm.words import ChunkTable, chunks_of, sums, text_slices
 
 WIDTH = 13
-# Shorter items are matched only against a document that is nothing else.
-SHORT = 8
+# Items of fewer words are matched whole and as written; of fewer than LEAST, only by a
+# document that is nothing else.
+SHORT, LEAST = 8, 3
 # Copies of each benchmark window, over which the matches of a frequent passage are dealt.
 SALTS = 16
 # Size of the filter in front of the join: 2^20 words of 64 bits, 8 MB whatever the input.
@@ -41,7 +42,12 @@ UNITS = frozenset(
     "tb v w kw kwh degrees degree celsius fahrenheit meter meters metre metres kilometer "
     "kilometers kilometre kilometres".split()
 )
-TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
+# Letters of scripts that put no blanks between words; each is a word here.
+UNSPACED = (
+    "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003ffff"
+)
+TOKEN = re.compile(rf"[0-9]+(?:[.,][0-9]+)*|(?=[^\W\d_])(?:[{UNSPACED}]|[^\W\d_{UNSPACED}]+)")
 SENTENCE_END = re.compile(r"[.!?:;][\"')\]]*$")
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # Places of the ways of reading in what ``readings`` gives.
@@ -203,6 +209,9 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) ->
                     w = item_width(n, width)
                     if not w:
                         continue
+                    # A short item has too few words for placeholders: in a text they would
+                    # fit too much.
+                    whole = n < LEAST or n < SHORT and way != WRITTEN
                     # As written there are no placeholders, so nothing is left out.
                     at = np.flatnonzero(~heavy_windows(kind, w))
                     if not len(at):
@@ -211,7 +220,7 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, width: int) ->
                     key, check, slots = _rows(keys[at], at, w, seq, kind, value)
                     yield pd.DataFrame({
                         "item": [item] * len(at), "way": np.int32(way), "width": np.int32(w),
-                        "whole": n < SHORT, "at": place[at].astype(np.int32),
+                        "whole": whole, "at": place[at].astype(np.int32),
                         "key": key, "check": check, "slots": slots,
                     })
 
@@ -231,15 +240,18 @@ def find_leaks(
 
     A document holds an item if a window of ``width`` words of the item's template occurs
     in its own and the values of the placeholders map one to one; ``exact`` says that in
-    some window they are the same. Items of ``SHORT`` to ``width`` words are matched by
-    all but one of their words, shorter ones only by a document that is the item.
+    some window they are the same. Items of over ``SHORT`` up to ``width`` words are matched
+    by all but one of their words, shorter ones by all of them as they are written, wherever
+    they stand; one or two words, and the template of a short item, only by a document that is
+    nothing else.
 
-    Words are letters in any case, numbers become one placeholder, so do units after a
+    In scripts without blanks each letter is a word. Words are letters in any case, numbers become one placeholder, so do units after a
     number and capitalised words inside a sentence; a window of which half or more are
     placeholders is matched by the same words, numbers and names only. Texts are read in two
     more ways: as written, without placeholders, so letter case and line ends do not
     matter, and with each run of capitalised words as one name, those that open a sentence
-    included. ``n_windows`` counts the places of the item at which a window found begins. Null and empty texts hold nothing, an item without words is
+    included. ``n_windows`` counts the places of the item at which a window found begins.
+    Texts are read whole, however long. Null and empty texts hold nothing, an item without words is
     held by nothing, repeated documents and items are reported each for itself. Extra
     columns are ignored. An empty table gives an empty table.
 
@@ -247,26 +259,29 @@ def find_leaks(
     read documents ask first; what passes is joined with the windows by hash, whatever
     their number.
     """
-    spark = docs.sparkSession
+    return _leaks(numbered(docs.select(*dict.fromkeys([id_col, text]))), benchmark, id_col, text,
+                  item_id, item_text, width)
+
+
+def _leaks(
+    rows: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", width: int = WIDTH,
+) -> DataFrame:
+    """``find_leaks`` of ``numbered`` rows."""
     windows = benchmark_windows(benchmark, item_id, item_text, width)
     hashed = windows.select(
-        "way", "width", "whole", F.shiftrightunsigned("key", 44).alias("word"),
+        F.shiftrightunsigned("key", 44).alias("word"),
         F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 38) % 64 as int))").alias("bit"),
     )
-    # At most FILTER_WORDS rows for each of the few widths and ways of reading.
-    bits = hashed.groupBy("word", "way", "width", "whole").agg(F.bit_or("bit").alias("bits")).toPandas()
-    asked = sorted({
-        (int(r), int(w), bool(x)) for r, w, x in zip(bits["way"], bits["width"], bits["whole"])
-    })
+    # One filter for all widths and ways: FILTER_WORDS rows at most.
+    bits = hashed.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    ways = windows.select("way", "width", "whole").distinct().collect()
+    asked = sorted((r["way"], r["width"], r["whole"]) for r in ways)
     seen = np.zeros(FILTER_WORDS, np.uint64)
-    np.bitwise_or.at(
-        seen, bits["word"].to_numpy(np.int64), bits["bits"].to_numpy(np.int64).view(np.uint64)
-    )
-    held = spark.sparkContext.broadcast(seen)
+    seen[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(seen)
 
-    read = number_rows(stored(docs)).select(
-        ROW, F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")
-    )
+    read = rows.select(ROW, F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     # Ids travel as they are, looked up by row only where a window passed.
     schema = T.StructType([
         read.schema[ROW], read.schema["id"], *T.StructType.fromDDL(WINDOW).fields
@@ -315,8 +330,13 @@ def find_leaks(
     )
 
 
+@keeps_columns
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, columns as given."""
-    docs = stored(docs)
-    leaks = find_leaks(docs, benchmark, **options).select(ROW).distinct()
-    return number_rows(docs).join(leaks, ROW, "left_anti").select(*docs.columns)
+    """The documents that hold no item, columns as given.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table or benchmark
+    changes nothing.
+    """
+    rows = numbered(docs)
+    leaks = _leaks(rows, benchmark, **options).select(ROW).distinct()
+    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ROW, ascii_lower, number_rows, stored
+from parlance.llm.common import ROW, ascii_lower, keeps_columns, numbered
 
 # Sub-groups a group of copies is spread over before its winners meet.
 SALTS = 32
@@ -39,16 +39,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
+@keeps_columns
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, columns as given: of each text the row with the largest id.
 
     Of rows that share text and id, whole repeats included, one stays. Other cases are as
     in ``exact_groups``.
     """
-    numbered = number_rows(stored(docs))
-    rows = numbered.select(ROW, F.col(id_col).alias("id"), normal_text(text).alias("body"))
+    given = numbered(docs)
+    rows = given.select(ROW, F.col(id_col).alias("id"), normal_text(text).alias("body"))
     stay = _judged(rows).filter("kept").groupBy(*NAME).agg(F.max(ROW).alias(ROW))
-    return numbered.join(stay.select(ROW), ROW, "left_semi").select(*docs.columns)
+    return given.join(stay.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def _judged(rows: DataFrame) -> DataFrame:

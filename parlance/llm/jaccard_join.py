@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import repeats
 from parlance.llm.common import (
-    ROW, Growing, mix64, numbered, parts_for, release, spread_index, text_bytes, window_hash,
+    ROW, Growing, keeps_columns, mix64, numbered, parts_for, release, spread_index, text_bytes, window_hash,
 )
 from parlance.llm.components import components
 from parlance.llm.words import ChunkTable, text_slices
@@ -393,7 +393,7 @@ def similar_groups(
     included; null ids lose to all others. ``group`` is the row number of one of them, which
     tells components apart where ids repeat. Texts that are null count as empty, rows that
     repeat are linked with each other, extra columns are ignored, an empty table gives an
-    empty table.
+    empty table. A text is read whole however long it is; its set is the most one row holds.
 
     Steps: (1) rows most of whose tokens occur in no other row cannot have a link; a fixed
     share of the token space is looked at to find them. (2) Rows with equal sets become
@@ -508,6 +508,7 @@ def _first_tokens(held: DataFrame, limit: Threshold) -> DataFrame:
     return rows.select(*kept, "tokens", "x", "y").mapInPandas(explode, schema)
 
 
+@keeps_columns
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of the rows of each component the one with the smallest id, columns as given.
 

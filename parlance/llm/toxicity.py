@@ -383,14 +383,14 @@ def train(
 
 
 def score_toxicity(
-    docs: DataFrame, net: Network, text: str = "text", keep_text: bool = False
+    docs: DataFrame, net: Network, text: str = "text", keep_text: bool = False, score: str = "score"
 ) -> DataFrame:
-    """The rows with ``score`` (0 to 1) in place of their text, or next to it.
+    """The rows with a score (0 to 1) in place of their text, or next to it.
 
     Every word of every text is in a window; a text is as toxic as its worst window. Null
     and empty texts have one empty window and get the score it has. Repeated rows get the
-    same score, other columns pass through, a column named ``score`` is replaced, an empty
+    same score, other columns pass through, a column of the score's name is replaced, an empty
     table gives an empty table.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
-    return score_texts(docs, lambda: Scorer(held.value), text, keep_text=keep_text)
+    return score_texts(docs, lambda: Scorer(held.value), text, score, keep_text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlance.llm.common import ROW, ascii_lower, number_rows, stored
+from parlance.llm.common import ROW, ascii_lower, keeps_columns, numbered
 
 # Keys the range cuts are chosen from, per partition.
 CUT_SAMPLE = 64
@@ -34,6 +34,7 @@ def reversed_host(host: str | Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+@keeps_columns
 def judge_urls(
     pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow"
 ) -> DataFrame:
@@ -43,7 +44,7 @@ def judge_urls(
     subdomains if the page's path starts with the rule's; of the rules that fit, the one
     with the longest host and path wins, then the longer host, then the smaller verdict.
     Pages without a fitting rule, null and malformed urls among them, get ``default`` and
-    a null rule. Null parts of a rule count as empty; a rule without a host fits no page.
+    a null rule; an empty table gives an empty table. A url of any length is one key, read whole. Null parts of a rule count as empty; a rule without a host fits no page.
     Repeated pages are judged one by one, repeated rules count once. Columns of the same
     names as the new ones are replaced.
 
@@ -56,7 +57,7 @@ def judge_urls(
     spark = pages.sparkSession
     added = ["host", "path", "rule", "verdict"]
     given = [c for c in pages.columns if c not in added]
-    base = number_rows(stored(pages.select(*given)))
+    base = numbered(pages.select(*given))
     base = base.withColumn("host", url_host(url)).withColumn("path", url_path(url))
     keyed = base.select(
         ROW, "host", "path", reversed_host("host").alias("key"), F.xxhash64(ROW).alias("spread")

@@ -149,10 +149,23 @@ def test_templates(spark):
     docs = ["x y z. " + item.upper(), "so, " + moved, unfit + " tail", "clean text of many words " * 30, None, "",
             short, short + " more", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", item + item]
     got = leaks(spark, docs, [item, short, None, "", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"])
-    assert got[(1, 0)][1] is False and got[(9, 0)][1] is True
-    assert {k for k in got if k[1] == 0} <= {(0, 0), (1, 0), (2, 0), (9, 0)}
-    assert (6, 1) in got and (7, 1) not in got
-    assert not any(k[0] in (3, 4, 5, 8) for k in got)
+    # The moved text keeps a run of 13 words as it is, the copies all of it.
+    assert got[(1, 0)][1] is True and got[(9, 0)][1] is True
+    assert {k for k in got if k[1] == 0} <= {(0, 0), (1, 0), (2, 0), (9, 0)} and {(0, 0), (1, 0), (9, 0)} <= set(got)
+    # A short item as written, wherever it stands; numbers only as written.
+    assert got[(6, 1)][1] and got[(7, 1)][1]
+    assert {k[0] for k in got if k[1] == 4} == {8} and got[(8, 4)][1] is True
+    assert not any(k[0] in (3, 4, 5) for k in got)
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    france, chinese, two = "What is the capital of France?", "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u4e00\u4e2a\u57ce\u5e02\uff1f", "Prime numbers"
+    long = "\u5c0f\u660e\u6709\u4e09\u4e2a\u82f9\u679c\u5988\u5988\u53c8\u7ed9\u4e86\u4ed6\u4e94\u4e2a\u8bf7\u95ee\u4ed6\u73b0\u5728\u4e00\u5171\u6709\u51e0\u4e2a\u82f9\u679c"
+    docs = [f"They asked: {france.lower()} Nobody knew.", "what is the capital of Spain and why", "the capital of France is what",
+            f"\u524d\u9762\u7684\u6587\u5b57{chinese}\u540e\u9762", "\u6cd5\u56fd\u7684\u9996\u90fd\u5f88\u7f8e", two.upper(), f"{two} are odd",
+            f"\u9898\u76ee{long}\u3002", long[:10] + "x" + long[17:]]
+    got = leaks(spark, docs, [france, chinese, two, long])
+    assert set(got) == {(0, 0), (3, 1), (5, 2), (7, 3)} and all(exact for _, exact in got.values())
 
 
 def test_slots_map_one_to_one(spark):
@@ -214,6 +227,33 @@ def test_leaks_dropped_and_empty(spark):
     assert decontamination.find_leaks(df, b.limit(0)).collect() == []
 
 
+def test_columns_of_any_name(spark):
+    """A given column that is named like the row numbers comes back as it was."""
+    item = "here is a fairly long benchmark question with more than thirteen words in it for sure"
+    df = spark.createDataFrame([(1, item, -7, "a"), (2, "x", -8, "b"), (2, "x", -8, "b")], "doc_id long, text string, __row long, __ROW_ string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for out, want in (
+        (decontamination.drop_leaks(df, b), [(2, "x", -8, "b")] * 2),
+        (exact_dedup.drop_copies(df), [(1, item, -7, "a"), (2, "x", -8, "b")]),
+    ):
+        assert out.columns == df.columns and sorted(map(tuple, out.collect())) == want
+    pages = spark.createDataFrame([(1, "http://a.com/x", 5)], "page_id long, url string, __row long")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    r = url_filters.judge_urls(pages, rules).first()
+    assert (r["__row"], r.rule, r.verdict) == (5, "com/", "block")
+
+
+def test_very_long_rows(spark):
+    item = "here is a fairly long benchmark question with more than thirteen words in it for sure"
+    long = "\u00e9 word " * 60000
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, long + item), (2, long)], "doc_id long, text string")
+    assert [r.doc_id for r in decontamination.drop_leaks(df, b).collect()] == [2]
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 300000)], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/xxx", "block")], "host string, path string, verdict string")
+    assert url_filters.judge_urls(pages, rules).first().verdict == "block"
+
+
 def test_sha_of_normal_text(spark):
     df = spark.createDataFrame([(1, "ÀB")], "doc_id long, text string")
     assert exact_dedup.exact_groups(df).first().text_sha256 == hashlib.sha256("Àb".encode()).hexdigest()

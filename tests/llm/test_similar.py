@@ -129,6 +129,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and long texts, repeats, clashing names; and no rows at all."""
+    long = "many words in here " * 9000
+    rows = [(1, None), (None, "a clean line of words here"), (2, ""), (3, long), (3, long), (4, "Some other text"), (5, "some OTHER text")]
+    df = spark.createDataFrame([(i, t, -7.0, 4, "en") for i, t in rows], "doc_id long, text string, score double, __row int, lang string")
+    docs, empty = df, df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, none = (corpus_pipeline.scratch(spark, "odd") for _ in range(2))
+        stage(spark, df, SF).write.parquet(docs)
+        stage(spark, empty, SF).write.parquet(none)
+        out = spark.read.parquet(docs)
+        assert spark.read.parquet(none).collect() == []
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in df.collect()}
+            continue
+        assert out.columns == df.columns
+        assert {(r["score"], r["__row"], r.lang) for r in out.collect()} == {(-7.0, 4, "en")}
+        df, empty = out, spark.read.parquet(none)
+    assert sorted(r.doc_id or 0 for r in df.collect()) == [0, 2, 3, 5]
+
+
 def test_pipeline(spark):
     """Each stage against what its operator, or brute force, says about its input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
