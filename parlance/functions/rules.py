@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.text import let
+
 # Languages, their codes and role labels.
 LANGUAGES = {
     "hindi": {"code": "hi", "Doctor": "डॉक्टर", "Patient": "मरीज़"},
@@ -215,22 +217,50 @@ def to_plain_english(text: Column) -> Column:
     return out
 
 
+def usable_terms(vocabulary: dict[str, dict[str, str]]) -> list[tuple[int, str, str]]:
+    """(place, term, wording): the colloquial, else the formal form of each key."""
+    worded = [
+        (key, forms.get("colloquial") or forms.get("formal") or "") for key, forms in vocabulary.items()
+    ]
+    return [(i, k, w) for i, (k, w) in enumerate(worded) if w and not k.startswith("_")]
+
+
+def word_terms(text: Column, terms: Column) -> Column:
+    """Terms that stand in the untouched text as whole words give way to their wordings, in turn.
+
+    ``terms`` is an array of structs with ``term`` and ``wording``. A term is looked for in
+    the lower-cased text and replaced in any letter case, also in earlier wordings.
+    """
+    # A term and a wording are texts, not patterns.
+    def whole(t: Column) -> Column:
+        return F.concat(
+            F.lit(r"(?U)\b\Q"), F.replace(t["term"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")
+        )
+
+    def plain(t: Column) -> Column:
+        return F.replace(F.replace(t["wording"], F.lit("\\"), F.lit(r"\\")), F.lit("$"), F.lit(r"\$"))
+
+    def run(x: Column) -> Column:
+        present = F.filter(x["terms"], lambda t: F.contains(x["low"], t["term"]) & F.rlike(x["low"], whole(t)))
+        return F.aggregate(
+            present, x["text"],
+            lambda out, t: F.regexp_replace(out, F.concat(F.lit("(?i)"), whole(t)), plain(t)),
+        )
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low"), terms.alias("terms")), run)
+
+
 def substitute_vocabulary(text: Column, vocabulary: dict[str, dict[str, str]]) -> Column:
-    """Whole-word keys of the untouched text give way to their colloquial (else formal) form."""
-    import re
-
-    out, low = text, F.lower(text)
-    for key, forms in vocabulary.items():
-        wording = forms.get("colloquial") or forms.get("formal") or ""
-        if key.startswith("_") or not wording:
-            continue
-        pattern = rf"(?U)\b{re.escape(key)}\b"
-        # A pattern that never matches keeps ``out`` from appearing in two branches.
-        chosen = F.when(low.rlike(pattern), f"(?i){pattern}").otherwise("(?!)")
-        # A wording is text, not a pattern.
-        plain = wording.replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, chosen, F.lit(plain))
-    return out
+    """Whole-word keys of the untouched text give way to their colloquial (else formal) form.
+
+    For a vocabulary held in the program; ``glossary.substitute_terms`` takes one of any size.
+    """
+    terms = usable_terms(vocabulary)
+    if not terms:
+        return text
+    return word_terms(text, F.array(*[
+        F.struct(F.lit(t).alias("term"), F.lit(w).alias("wording")) for _, t, w in terms
+    ]))
 
 
 def translate_terms(text: Column, terms: list[tuple[str, str]] = NOTE_TERMS) -> Column:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.text import let
+from parlance.functions.arrays import let, running
 
 SPAN = "array<struct<rule:int,label:string,start:int,stop:int,confidence:double>>"
 
@@ -151,46 +152,9 @@ def flat_rules(groups: dict[str, list[str]]) -> list[tuple[int, str, str]]:
     return [(i, label, rule) for i, (label, rule) in enumerate(pairs)]
 
 
-# Elements that are summed together on the way to running sums.
-BLOCK = 256
-
-
-def _running(items: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """``join`` of all elements up to each one, for arrays of ints of at least 0.
-
-    Totals of blocks are run through first, then each element goes through its own block:
-    work grows with the elements times the block, not with their square.
-    """
-    def upto(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0), join)
-
-    def blocks(n: Column) -> Column:
-        return F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
-
-    def fill(b: Column) -> Column:
-        own, heads = b["own"], b["heads"]
-        return F.transform(
-            own,
-            lambda _, i: join(
-                F.get(heads, F.floor(i / BLOCK).cast("int")),
-                upto(F.slice(own, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)),
-            ),
-        )
-
-    def run(own: Column) -> Column:
-        totals = F.transform(blocks(F.size(own)), lambda k: upto(F.slice(own, k * BLOCK + 1, F.lit(BLOCK))))
-        heads = let(
-            totals,
-            lambda t: F.transform(t, lambda _, k: upto(F.slice(t, F.lit(1), k))),
-        )
-        return let(F.struct(own.alias("own"), heads.alias("heads")), fill)
-
-    return let(items, lambda own: F.when(F.size(own) > 0, run(own)).otherwise(own))
-
-
 def _running_ends(lengths: Column) -> Column:
     """Cumulative sums of an array of ints."""
-    return _running(lengths, lambda a, b: a + b)
+    return running(lengths, lambda a, b: a + b)
 
 
 def keyword_spans(text: Column, groups: dict[str, list[str]]) -> Column:
@@ -271,23 +235,87 @@ def with_entities(text: Column, spans: Column) -> Column:
     )
 
 
+def openings(pattern: str) -> set[str] | None:
+    """Texts one of which every match of a pattern starts with, in lower case; None if unknown."""
+
+    def starts(items) -> set[tuple[str, bool]]:
+        """Beginnings of a sequence, and whether what follows it may go on from them."""
+        found = {("", True)}
+        for item in items:
+            follow = one(*item)
+            found = {
+                (text + more, goes_on) if on else (text, False)
+                for text, on in found for more, goes_on in (follow if on else [("", False)])
+            }
+        return found
+
+    def one(kind, value) -> set[tuple[str, bool]]:
+        if kind is parser.LITERAL:
+            return {(chr(value).lower(), True)}
+        if kind is parser.IN and value == [(parser.CATEGORY, parser.CATEGORY_DIGIT)]:
+            return {(d, True) for d in "0123456789"}
+        if kind is parser.IN and all(k is parser.LITERAL for k, _ in value):
+            return {(chr(v).lower(), True) for _, v in value}
+        if kind is parser.AT:
+            return {("", True)}
+        if kind is parser.SUBPATTERN:
+            return starts(value[-1])
+        if kind is parser.BRANCH:
+            return set().union(*[starts(b) for b in value[1]])
+        if kind is parser.MAX_REPEAT:
+            least, most, what = value
+            once = {(text, on and most == 1) for text, on in starts(what)}
+            return once | ({("", True)} if least == 0 else set())
+        return {("", False)}
+
+    texts = {text for text, _ in starts(parser.parse(pattern))}
+    return None if "" in texts else texts
+
+
+def prefix_tree(words: set[str]) -> str:
+    """A pattern for any of the words, common beginnings factored out."""
+    heads: dict[str, set[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], set()).add(w[1:])
+    if "" in heads:
+        return ""
+    branches = [quoted(c) + prefix_tree(rest) for c, rest in sorted(heads.items())]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: float) -> Column:
-    """Left-to-right, non-overlapping matches of each pattern.
+    """Left-to-right, non-overlapping matches of each pattern, letter case ignored.
 
-    A pattern that matches leaves the pieces between its hits and the hits themselves;
-    their lengths, summed in turn, are the offsets.
+    One pass with a prefix tree of all patterns' openings finds which of them stand in the
+    text; only patterns with one of these are run. A pattern that matches leaves the pieces
+    between its hits and the hits themselves; their lengths, summed in turn, are the offsets.
     """
-    cut = [
-        F.when(
-            text.rlike(pattern),
-            F.struct(
-                F.lit(number).alias("rule"), F.lit(label).alias("label"),
-                F.split(text, pattern, -1).alias("gaps"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-            ),
-        )
-        for number, label, pattern in rules
-    ]
+    known = {number: openings(pattern) for number, _, pattern in rules}
+    every = set().union(*[o for o in known.values() if o])
+    # Of two openings the shorter is kept where the longer starts with it.
+    shortest = {w for w in every if not any(w[:n] in every for n in range(1, len(w)))}
+    located = F.array_distinct(
+        F.regexp_extract_all(F.lower(text), F.lit(f"(?=({prefix_tree(shortest)}))"), F.lit(1))
+        if shortest else F.array().cast("array<string>")
+    )
+
+    def cut(here: Column) -> list[Column]:
+        out = []
+        for number, label, rule in rules:
+            pattern = f"(?i){rule}"
+            own = known[number]
+            may = text.rlike(pattern) if own is None else F.arrays_overlap(
+                here, F.array(*[F.lit(w) for w in sorted(shortest) if any(o.startswith(w) for o in own)])
+            )
+            out.append(F.when(
+                may,
+                F.struct(
+                    F.lit(number).alias("rule"), F.lit(label).alias("label"),
+                    F.split(text, pattern, -1).alias("gaps"),
+                    F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+                ),
+            ))
+        return out
 
     def place(m: Column) -> Column:
         lengths = F.flatten(
@@ -307,12 +335,15 @@ def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: flo
             ),
         )
 
-    return F.flatten(F.transform(F.array_compact(F.array(*cut)), place)).cast(SPAN)
+    def run(here: Column) -> Column:
+        found = F.flatten(F.transform(F.array_compact(F.array(*cut(here))), place))
+        return F.when(F.size(here) > 0, found) if None not in known.values() else found
+
+    return F.coalesce(let(located, run).cast(SPAN), F.array().cast(SPAN))
 
 
 def pattern_spans(text: Column, groups: dict[str, list[str]] = PATTERNS) -> Column:
-    rules = [(i, label, f"(?i){rule}") for i, label, rule in flat_rules(groups)]
-    return match_spans(text, rules, PATTERN_CONFIDENCE)
+    return match_spans(text, flat_rules(groups), PATTERN_CONFIDENCE)
 
 
 def merge_spans(spans: Column) -> Column:
@@ -340,12 +371,12 @@ def merge_spans(spans: Column) -> Column:
         )
 
     def bind(s: Column) -> Column:
-        far = _running(F.transform(s, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+        far = running(F.transform(s, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
         return let(F.struct(s.alias("s"), far.alias("far")), unite)
 
     return let(plain, bind)
 
 
 def highlight_spans(text: Column, patterns: list[str] = HIGHLIGHTS) -> Column:
-    rules = [(i, "HIGHLIGHT", f"(?i){p}") for i, p in enumerate(patterns)]
+    rules = [(i, "HIGHLIGHT", p) for i, p in enumerate(patterns)]
     return merge_spans(match_spans(text, rules, 1.0))

@@ -5,11 +5,11 @@ Everything here works inside one row, so no function causes a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.arrays import let
+
 # The white space of Unicode, as characters and as a class that Java and RE2
 # read alike, and the ends of a line.
 BLANK_RANGES = [
@@ -37,15 +37,6 @@ CLIP_TEXT_MIN, CLIP_TEXT_MAX = 3, 500
 NOT_KEPT = r"\x00-\x1F!-/:-`{-\x{8FF}\x{980}-\x{10FFFF}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once per row and use it many times in ``body``.
-
-    A plain column captured by a lambda is evaluated again for every element;
-    a lambda variable is not.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions import rules
 from parlance.functions.overlap import ngrams
 from parlance.functions.rows import explode_rows
-from parlance.functions.text import let, words
+from parlance.functions.text import let, strip, words
 from parlance.operators.ordering import head_rows
 
 # Built-in terms as (english, marathi, hindi, category).
@@ -61,6 +63,10 @@ TERMS = [
 # ten terms per text.
 PHRASE_WORDS, PHRASE_MIN_CHARS, PHRASE_HITS, TEXT_TERMS = 3, 3, 2, 10
 
+# Terms in a cluster on average, and clusters at most: their centres go to every task.
+CLUSTER_TERMS, CLUSTERS = 1024, 512
+# How far a bound on a similarity may be off: angles near zero have half the digits of cosines.
+SLACK = 1e-7
 # Terms in a block, queries in a group, and similarities held at once.
 BLOCK_TERMS = 4096
 GROUP_QUERIES = 20_000
@@ -99,47 +105,191 @@ def _nearest(vectors: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
 
 
-def term_topk(queries: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
-    """``k`` nearest terms of each query vector by cosine, exact for any glossary size.
+class Clusters(NamedTuple):
+    """Terms around centres: unit vectors, largest angle to a member, and number of members.
 
-    ``queries``: query_id, vector. ``terms``: term_id, vector. Terms are cut into blocks and
-    queries into groups by hash, both bounded; every group meets every block, similarities
-    are worked out tile by tile, and the ``k`` candidates of each block are merged. How many
-    blocks and groups there are is part of the query, not found out before it.
+    The last cluster has no centre; it holds the vectors without length.
     """
-    def times(df: DataFrame, size: int) -> Column:
-        return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("n")).scalar()
-
-    def copies(df: DataFrame, own: str, id_col: str, size: int, other: str, count: Column) -> DataFrame:
-        held = df.select(id_col, "vector", times(df, size).alias("_own"), count.alias("_other"))
-        return held.select(
-            id_col, "vector", F.pmod(F.xxhash64(id_col), F.col("_own")).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1)).alias(other),
-        )
 
-    q_type, t_type = (
-        df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (terms, "term_id"))
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cluster of each vector and its angle to the centre."""
+        angles = _angles(vectors, self.centres)
+        at = angles.argmin(axis=1)
+        found = angles[np.arange(len(at)), at]
+        plain = np.linalg.norm(vectors, axis=1) > 0
+        return np.where(plain, at, len(self.centres)), np.where(plain, found, 0.0)
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """No member of a cluster is more similar to a vector than this; -2 where it has none."""
+        near = np.cos(np.maximum(_angles(vectors, self.centres) - self.radius[:-1], 0))
+        near[np.linalg.norm(vectors, axis=1) == 0] = 0
+        bound = np.column_stack([near, np.zeros(len(vectors))])
+        return np.where(self.size > 0, bound, -2.0)
+
+    def first(self, bounds: np.ndarray, k: int) -> np.ndarray:
+        """The clusters with the highest bounds that have ``k`` members together."""
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        chosen = np.zeros(bounds.shape, bool)
+        np.put_along_axis(chosen, order, before < k, axis=1)
+        return chosen & (bounds > -2)
+
+
+def _angles(vectors: np.ndarray, units: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(vectors, axis=1)[:, None]
+    cosines = np.divide(vectors @ units.T, length, out=np.zeros((len(vectors), len(units))), where=length > 0)
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def _stack(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors).astype(np.float64)
+
+
+def cluster_terms(terms: DataFrame) -> tuple[DataFrame, Clusters] | None:
+    """Terms with their ``cluster``, and the clusters; None for too few terms to tell apart.
+
+    Centres are terms drawn by a hash of their id, ``CLUSTERS`` at most; they and one row of
+    figures per cluster are all that comes to the driver.
+    """
+    n = terms.count()
+    wanted = min(CLUSTERS, -(-n // CLUSTER_TERMS))
+    if wanted <= 1:
+        return None
+    drawn = terms.orderBy(F.xxhash64("term_id"), "term_id").limit(wanted).select("vector").toPandas()
+    centres = _stack(drawn["vector"])
+    centres = np.unique(centres[np.linalg.norm(centres, axis=1) > 0], axis=0)
+    if not len(centres):
+        return None
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    bare = Clusters(centres, np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, np.int64))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, angle = bare.nearest(_stack(pdf["vector"])) if len(pdf) else ([], [])
+            yield pdf.assign(cluster=at, angle=angle)
+
+    kind = terms.schema["term_id"].dataType.simpleString()
+    placed = terms.select("term_id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(
+        place, f"term_id {kind}, vector array<double>, cluster int, angle double"
     )
-    asked = copies(queries, "salt", "query_id", GROUP_QUERIES, "block", times(terms, BLOCK_TERMS))
-    offered = copies(terms, "block", "term_id", BLOCK_TERMS, "salt", times(queries, GROUP_QUERIES))
+    for r in placed.groupBy("cluster").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
+        bare.radius[r["cluster"]], bare.size[r["cluster"]] = r["r"], r["n"]
+    return placed.drop("angle"), bare
+
+
+def opened_first(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    """Queries with the clusters they start with."""
+    return _opened(queries, lambda pdf, bounds: clusters.first(bounds, k), clusters)
+
+
+def opened_next(queries: DataFrame, found: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    """Queries with the further clusters whose bound the ``k``-th best found does not beat."""
+    worst = found.groupBy("query_id").agg(F.min("similarity").alias("worst"), F.count("*").alias("n"))
+    known = queries.join(worst, "query_id", "left").select(
+        "query_id", "vector", F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst")
+    )
+
+    def choose(pdf: pd.DataFrame, bounds: np.ndarray) -> np.ndarray:
+        open_ = bounds + SLACK >= pdf["worst"].to_numpy()[:, None]
+        return open_ & (bounds > -2) & ~clusters.first(bounds, k)
+
+    return _opened(known, choose, clusters)
+
+
+def _opened(
+    queries: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray], clusters: Clusters
+) -> DataFrame:
+    """One row per query and cluster it opens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            chosen = choose(pdf, clusters.bounds(_stack(pdf["vector"]))) if len(pdf) else []
+            listed = [np.flatnonzero(c).astype(np.int32) for c in chosen]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "vector": pdf["vector"], "opened": listed})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.withColumn("vector", F.col("vector").cast("array<double>"))
+    listed = rows.mapInPandas(run, f"query_id {kind}, vector array<double>, opened array<int>")
+    return listed.select("query_id", "vector", F.explode("opened").alias("cluster"))
+
+
+def _compare(asked: DataFrame, offered: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` nearest terms a group of queries has in each block it meets."""
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "term_id", "similarity"]
         if not len(q) or not len(t):
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame(columns=["query_id", "term_id", "similarity"])
         t = t.sort_values("term_id")
-        rows, columns, values = _nearest(
-            np.stack(q["vector"]).astype(np.float64), np.stack(t["vector"]).astype(np.float64), k
-        )
+        rows, columns, values = _nearest(_stack(q["vector"]), _stack(t["vector"]), k)
         return pd.DataFrame({
             "query_id": q["query_id"].to_numpy()[rows], "term_id": t["term_id"].to_numpy()[columns],
             "similarity": values,
         })
 
-    found = asked.groupBy("block", "salt").cogroup(offered.groupBy("block", "salt")).applyInPandas(
+    q_type, t_type = (
+        df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (offered, "term_id"))
+    )
+    return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(
         meet, f"query_id {q_type}, term_id {t_type}, similarity double"
     )
-    return _best(found, ["query_id"], "term_id", k)
+
+
+def _groups_of(df: DataFrame, size: int) -> Column:
+    """How many groups of about ``size`` rows there are, worked out within the query."""
+    return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("n")).scalar()
+
+
+def _in_opened(asked: DataFrame, placed: DataFrame, queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    """Nearest terms among those of opened clusters; large clusters come in blocks."""
+    blocks = F.get(F.lit([int(-(-n // BLOCK_TERMS)) or 1 for n in clusters.size]), F.col("cluster"))
+    salt = F.pmod(F.xxhash64("query_id"), _groups_of(queries, GROUP_QUERIES)).alias("salt")
+    asked = asked.select(
+        "query_id", "vector", "cluster", salt, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    )
+    # Only blocks that some group of queries opens go out, once for each such group.
+    wanted = asked.select(*[F.col(c).alias(f"_{c}") for c in ("cluster", "block", "salt")]).distinct()
+    offered = placed.withColumn("block", F.pmod(F.xxhash64("term_id"), blocks).cast("int")).join(
+        wanted, (F.col("cluster") == F.col("_cluster")) & (F.col("block") == F.col("_block"))
+    ).select("term_id", "vector", "cluster", "block", F.col("_salt").alias("salt"))
+    return _compare(asked, offered, ["cluster", "block", "salt"], k)
+
+
+def term_topk(queries: DataFrame, terms: DataFrame, k: int = 5, clustered: bool = True) -> DataFrame:
+    """``k`` nearest terms of each query vector by cosine, exact for any glossary size.
+
+    ``queries``: query_id, vector. ``terms``: term_id, vector. Terms are put into clusters
+    around drawn centres. The angle between a query and a centre, less the cluster's radius,
+    bounds the similarity of all its members, so a query first opens the clusters with the
+    highest bounds that have ``k`` terms, then those whose bound its ``k``-th best similarity
+    does not beat; the others cannot hold a nearer term, nor one as near. What is opened is
+    compared in groups of queries and blocks of terms, both bounded, tile by tile.
+
+    Vectors without length have similarity 0 to all; ties go to the smaller term_id. Where
+    terms are too few for clusters, or ``clustered`` is off, all groups meet all blocks.
+    """
+    cut = cluster_terms(terms) if clustered else None
+    if cut is None:
+        blocks, groups = _groups_of(terms, BLOCK_TERMS), _groups_of(queries, GROUP_QUERIES)
+
+        def copies(df: DataFrame, id_col: str, own: str, mine: Column, other: str, theirs: Column) -> DataFrame:
+            held = df.select(id_col, "vector", mine.alias("_own"), theirs.alias("_other"))
+            return held.select(
+                id_col, "vector", F.pmod(F.xxhash64(id_col), F.col("_own")).alias(own),
+                F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1)).alias(other),
+            )
+
+        asked = copies(queries, "query_id", "salt", groups, "block", blocks)
+        offered = copies(terms, "term_id", "block", blocks, "salt", groups)
+        return _best(_compare(asked, offered, ["block", "salt"], k), ["query_id"], "term_id", k)
+    placed, clusters = cut
+    first = _in_opened(opened_first(queries, clusters, k), placed, queries, clusters, k)
+    first = _best(first, ["query_id"], "term_id", k)
+    further = _in_opened(opened_next(queries, first, clusters, k), placed, queries, clusters, k)
+    return _best(first.unionByName(further), ["query_id"], "term_id", k)
 
 
 def _best(found: DataFrame, keys: list[str], term: str, k: int) -> DataFrame:
@@ -192,9 +342,73 @@ def phrase_terms(
     terms = term_table(texts.sparkSession) if glossary is None else glossary
     phrases = explode_rows(texts, [*key], phrases_of(F.col("text")), "query_id")
     near = term_topk(
-        embedded(phrases, "query_id", embed, "query_id"), embedded(terms, "english", embed, "term_id"), hits
+        embedded(phrases, "query_id", embed, "query_id"), embedded(terms, "english", embed, "term_id"), hits,
+        clustered=glossary is not None,
     )
     scored = phrases.join(near, "query_id").groupBy(*key, F.col("term_id").alias("english")).agg(
         F.max("similarity").alias("similarity")
     )
     return _best(scored, key, "english", top)
+
+
+# Runs of letters, digits and underscores: what lies between two word borders.
+WORD_RUN = r"(?U)\w+"
+
+
+def vocabulary_of(glossary: DataFrame) -> DataFrame:
+    """Terms and wordings out of a glossary as ``term_table`` and ``scan_glossary`` give it.
+
+    Terms are lower-cased, longer ones come first; of equal terms the first wording by
+    letters is taken. Terms without a wording are left out.
+    """
+    term, wording = F.lower(strip(F.col("english"))), F.coalesce(F.nullif("marathi", F.lit("")), "hindi")
+    terms = glossary.select(term.alias("term"), wording.alias("wording"))
+    return (
+        terms.filter("term <> '' AND wording <> ''").groupBy("term").agg(F.min("wording").alias("wording"))
+        .select(F.struct(-F.length("term"), "term").alias("place"), "term", "wording")
+    )
+
+
+def substitute_terms(
+    rows: DataFrame, vocabulary: DataFrame, key: list[str], text: str = "text"
+) -> DataFrame:
+    """Rows whose ``text`` has whole-word terms replaced, for a vocabulary of any size.
+
+    ``vocabulary``: place, term, wording; terms take effect in order of place. The words of a
+    text, one up to as many in a row as the longest term has, are looked up in the
+    vocabulary's terms, so a text meets the terms it may hold and no others, and the plan
+    is the same for ten terms and for millions. What is found comes back to the row by
+    ``key`` (rows that share a key share candidates, each is judged by its own text) and is
+    applied as ``rules.word_terms`` does. Null texts stay null; terms without a letter or
+    digit are not looked for; other columns pass through.
+    """
+    terms = vocabulary.filter("wording <> '' AND NOT startswith(term, '_')").select(
+        "place", "term", "wording", F.regexp_extract_all("term", F.lit(WORD_RUN), F.lit(0)).alias("_w")
+    ).filter(F.size("_w") > 0)
+    longest = F.coalesce(terms.agg(F.max(F.size("_w"))).scalar(), F.lit(1))
+    by_words = terms.select(F.array_join("_w", " ").alias("_run"), "place", "term", "wording")
+    said = F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(0))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        sizes = F.sequence(F.lit(1), F.greatest(F.least(F.col("_longest"), n), F.lit(1)))
+        of_size = F.transform(
+            sizes,
+            lambda k: F.transform(
+                F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
+                lambda i: F.array_join(F.slice(w, i, k), " "),
+            ),
+        )
+        return F.array_distinct(F.flatten(of_size))
+
+    asked = explode_rows(rows.withColumn("_longest", longest), [*key], let(said, runs), "_run")
+    hit = F.struct("place", "term", "wording")
+    found = asked.join(by_words, "_run").groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(
+        F.sort_array(F.collect_set(hit)).alias("_hits")
+    )
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = rows.join(found, same, "left")
+    new = F.when(F.col("_hits").isNull(), F.col(text)).otherwise(rules.word_terms(F.col(text), F.col("_hits")))
+    return met.withColumn(text, new).select(*rows.columns)

@@ -5,51 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.text import let
 from parlance.operators.ordering import prefix
 
 # Seconds per time bucket; about the length of a typical segment works best.
 BUCKET_S = 60.0
 
 
-# Buckets one interval may touch, a week of minutes.
-MAX_BUCKETS = 7 * 24 * 60
+# A node of the time tree spans so many of the next level; the levels reach over 10^14 buckets.
+FANOUT, LEVELS = 16, 13
+NODE = "array<struct<level:int,node:bigint>>"
 
 
-def _buckets(start: Column, stop: Column, width: float) -> Column:
-    """Time buckets of an interval; one that is longer than any recording is an error."""
-    first, last = F.floor(start / width), F.floor(stop / width)
-    long = F.concat(F.lit("interval too long: "), start.cast("string"), F.lit(" to "), stop.cast("string"))
-    return F.when(last - first > MAX_BUCKETS, F.raise_error(long).cast("array<bigint>")).otherwise(
-        F.sequence(first, last)
+def _cover(first: Column, last: Column) -> Column:
+    """Tree nodes that make up the buckets ``first`` to ``last``, none of them twice.
+
+    Each level keeps what its parents can't take whole, less than twice ``FANOUT`` nodes, so
+    an interval of any length has few nodes; a short one has its buckets.
+    """
+    def run(a: Column, b: Column) -> Column:
+        return F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+    def whole(ends: Column, level: Column) -> tuple[Column, Column]:
+        span = F.pow(F.lit(FANOUT), level)
+        return F.ceil(ends["first"] / span).cast("bigint"), F.floor((ends["last"] + 1) / span).cast("bigint") - 1
+
+    def nodes(ends: Column, level: Column) -> Column:
+        (a, b), (up, upto) = whole(ends, level), whole(ends, level + 1)
+        inner = up <= upto
+        left = run(a, F.when(inner, up * FANOUT - 1).otherwise(b))
+        right = run(F.when(inner, (upto + 1) * FANOUT).otherwise(b + 1), b)
+        return F.transform(F.concat(left, right), lambda n: F.struct(level.alias("level"), n.alias("node")))
+
+    ends = F.struct(first.alias("first"), last.alias("last"))
+    long = let(ends, lambda e: F.flatten(
+        F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: nodes(e, level))
+    ))
+    short = F.transform(
+        F.sequence(first, F.greatest(first, last)),
+        lambda n: F.struct(F.lit(0).alias("level"), n.alias("node")),
     )
+    return F.when(last - first < FANOUT, short).otherwise(long).cast(NODE)
+
+
+def _nodes(df: DataFrame, start: str, stop: str, width: float) -> DataFrame:
+    """One row per interval and node of its cover."""
+    first, last = (F.floor(F.col(c) / width).cast("bigint") for c in (start, stop))
+    cover = _cover(first, F.greatest(first, last))
+    return df.withColumn("_n", F.explode(cover)).select(*df.columns, "_n.level", "_n.node")
+
+
+def _points(df: DataFrame, start: str, width: float, covers: DataFrame) -> DataFrame:
+    """One row per interval and node its start lies in, at the levels that covers use."""
+    bucket = F.floor(F.col(start) / width).cast("bigint")
+    placed = df.withColumn("_levels", covers.agg(F.collect_set("level")).scalar())
+    return placed.select(*df.columns, bucket.alias("_b"), F.explode("_levels").alias("level")).withColumn(
+        "node", F.floor(F.col("_b") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
+    ).drop("_b")
 
 
 def overlap_pairs(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:
-    """Overlapping (chunk, segment) pairs through an equi-join on (session, time bucket).
+    """Overlapping (chunk, segment) pairs through equi-joins on (session, tree node).
 
-    A pair meets in every bucket both sides touch and is kept only in the bucket where
-    the overlap starts, so no duplicate has to be removed afterwards.
+    Of two overlapping intervals one starts inside the other. The time line is a tree over
+    buckets of ``width`` seconds; an interval is a few nodes of it, whatever its length, and
+    a start lies in one node of each level. A pair is found once: with the chunk's start in
+    the segment, or with the segment's later start in the chunk. An interval that stops
+    before it starts overlaps nothing.
     """
-    c = chunks.select(
-        "session_id", "chunk_id", "start_s", "end_s",
-        F.explode(_buckets(F.col("start_s"), F.col("end_s"), width)).alias("_b"),
-    )
+    c = chunks.select("session_id", "chunk_id", "start_s", "end_s")
     s = segments.select(
         "session_id", "seg_id", "label",
         F.col("start_s").alias("seg_start"), F.col("end_s").alias("seg_end"),
-        F.explode(_buckets(F.col("start_s"), F.col("end_s"), width)).alias("_b"),
     )
-    begin = F.greatest("start_s", "seg_start")
-    return (
-        c.join(s, ["session_id", "_b"])
-        .filter(
-            (F.col("start_s") < F.col("seg_end"))
-            & (F.col("end_s") > F.col("seg_start"))
-            & (F.floor(begin / width) == F.col("_b"))
-        )
-        .withColumn("overlap", F.least("end_s", "seg_end") - begin)
-        .drop("_b")
+    c, s = c.filter("start_s <= end_s"), s.filter("seg_start <= seg_end")
+    keys = ["session_id", "level", "node"]
+    in_segment, in_chunk = _nodes(s, "seg_start", "seg_end", width), _nodes(c, "start_s", "end_s", width)
+    meets = (F.col("start_s") < F.col("seg_end")) & (F.col("end_s") > F.col("seg_start"))
+    chunk_later = _points(c, "start_s", width, in_segment).join(in_segment, keys).filter(
+        meets & (F.col("start_s") >= F.col("seg_start"))
+    )
+    segment_later = in_chunk.join(_points(s, "seg_start", width, in_chunk), keys).filter(
+        meets & (F.col("seg_start") > F.col("start_s"))
     )
+    both = chunk_later.unionByName(segment_later).drop("level", "node")
+    return both.withColumn("overlap", F.least("end_s", "seg_end") - F.greatest("start_s", "seg_start"))
 
 
 def assign_by_overlap(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:

@@ -93,23 +93,42 @@ def scan_sessions_json(spark, sf):
     return D.scan_sessions(spark, path, multi_line=False).select("session_id", "turn_id", "phq8_score", "role", "text")
 
 
+def _store(files, root):
+    """Writes each row's content under its name."""
+
+    def write(batches):
+        system, folder = D.file_system(root)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with system.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(content)
+            yield pdf[["name"]]
+
+    system, folder = D.file_system(root)
+    system.create_dir(folder)
+    files.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 @query("scan_zip_members", "SELECT doc_id, doc_id || '_TRANSCRIPT.csv' AS file_name, text AS content FROM documents")
 def scan_zip_members(spark, sf):
-    """Each document packed into an archive with a wanted and an unwanted member."""
+    """Archives of many documents, each with a wanted and an unwanted member; the files are scanned."""
+    root = scratch(spark, "archives")
 
     def pack(batches):
-        for pdf in batches:
-            out = []
-            for k, body in zip(pdf["doc_id"], pdf["text"]):
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w") as z:
-                    z.writestr(f"{k}_P/{k}_TRANSCRIPT.csv", body)
+        for n, pdf in enumerate(b for b in batches if len(b)):
+            body = io.BytesIO()
+            with zipfile.ZipFile(body, "w") as z:
+                for k, text in zip(pdf["doc_id"], pdf["text"]):
+                    kind = zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED
+                    z.writestr(f"{k}_P/{k}_TRANSCRIPT.csv", text, kind)
                     z.writestr(f"{k}_P/{k}_AUDIO.wav", "x")
-                out.append(buffer.getvalue())
-            yield pd.DataFrame({"path": pdf["doc_id"].astype(str), "content": out})
+            # One file per batch, named by its first document.
+            yield pd.DataFrame({"name": [f"{pdf['doc_id'].iloc[0]}_{n}.zip"], "content": [body.getvalue()]})
 
-    zips = B.read(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
-    return D.unzip_members(zips).select(F.col("archive").cast("long").alias("doc_id"), "file_name", "content")
+    docs = B.read(spark, sf, "documents").select("doc_id", "text")
+    _store(docs.mapInPandas(pack, "name string, content binary"), root)
+    got = D.scan_zip_members(spark, root)
+    return got.select(F.regexp_extract("file_name", r"^(\d+)", 1).cast("long").alias("doc_id"), "file_name", "content")
 
 
 @query("scan_clip_metadata", "SELECT 'clip' || doc_id || '.wav' AS file_name, text AS transcript, lang AS language FROM documents")
@@ -188,10 +207,10 @@ def scan_notes(spark, sf):
         .when(k == 2, F.to_json(F.struct(F.col("en").alias("subjective"), F.col("mr").alias("plan"))))
         .otherwise(F.concat(F.lit("{broken "), "raw"))
     )
-    files = B.talk(spark, sf).select(
-        F.concat(F.lit("soap_"), F.concat_ws("_", "session_id", "turn_id"), F.lit(".json")).alias("file_name"), value.alias("value")
-    )
-    return D.parse_notes(files).select("session_id", "file_name", "note.*")
+    name = F.concat(F.lit("soap_"), F.concat_ws("_", "session_id", "turn_id"), F.lit(".json"))
+    root = scratch(spark, "notes")
+    _store(B.talk(spark, sf).select(name.alias("name"), value.cast("binary").alias("content")), root)
+    return D.scan_notes(spark, root).select("session_id", "file_name", "note.*")
 
 
 def _sql_code_mix() -> str:
@@ -220,10 +239,17 @@ def _read_csv(spark, path, schema, sep=","):
 def sink_turn_files(spark, sf):
     path = scratch(spark, "turn-files")
     K.write_turn_files(B.master(spark, sf), path)
-    return _read_csv(
-        spark, path,
-        "turn_id long, start_time double, stop_time double, speaker string, role_label string, text_en string, text string, session_id long, language string, style string",
-        "\t",
+    return K.read_turn_files(spark, path)
+
+
+@query("sink_turn_manifest", f"WITH {B.TALK}, {MASTER} SELECT session_id, language, style, count(*) AS rows, min(turn_id) AS first_turn, max(turn_id) AS last_turn FROM master GROUP BY ALL")
+def sink_turn_manifest(spark, sf):
+    """What the manifest of the transcript files says of each variant."""
+    path = scratch(spark, "turn-files")
+    K.write_turn_files(B.master(spark, sf), path)
+    held = spark.read.parquet(f"{path}/manifest")
+    return held.groupBy("session_id", "language", "style").agg(
+        F.sum("rows").alias("rows"), F.min("first_turn").alias("first_turn"), F.max("last_turn").alias("last_turn")
     )
 
 

@@ -375,10 +375,10 @@ def stream_ingest_sessions(spark, sf):
     part = F.col("event_id") % 3
     again = e.withColumn("ts", F.col("ts") + F.expr("interval 2 days"))
     first, later, late = (e.filter(part == k) for k in (1, 2, 0))
+    state = scratch(spark, "ingest-state")
     for batch in (first, later.unionByName(again.filter(part == 1)), late.unionByName(again.filter(part != 0))):
-        batch.coalesce(1).write.mode("append").parquet(src)
-    s = jobs.read_files(spark, src, e.schema, files_per_batch=1)
-    jobs.ingest(s, ["event_id"], "ts", out, scratch(spark, "ingest-state")).awaitTermination()
+        batch.write.mode("append").parquet(src)
+        jobs.ingest(jobs.read_files(spark, src, e.schema), ["event_id"], "ts", out, state).awaitTermination()
     got = spark.read.schema("event_id long, user_id long, ts timestamp").parquet(out)
     return got.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
 

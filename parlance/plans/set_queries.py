@@ -332,6 +332,35 @@ def phrase_terms_user_glossary(spark, sf):
 
 
 
+SPOKEN_TERMS = """spoken AS (SELECT DISTINCT unnest(regexp_extract_all(lower(en), '[a-z]{5,}')) AS term FROM talk),
+  pairs_of AS (SELECT DISTINCT regexp_extract(lower(en), '^([a-z]+ [a-z]+)', 1) AS term FROM talk),
+  terms AS (SELECT term, upper(reverse(term)) AS wording FROM (SELECT term FROM spoken UNION SELECT term FROM pairs_of
+    UNION SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark) WHERE term <> '')"""
+
+
+@query("vocab_substitute_glossary", f"""WITH {B.TALK}, {SPOKEN_TERMS},
+  hits AS (SELECT {KEY}, list({{'term': term, 'wording': wording, 'out': ''}} ORDER BY -length(term), term) AS h FROM talk, terms
+    WHERE regexp_matches(lower(en), '\\b' || term || '\\b') GROUP BY {KEY})
+  SELECT {KEY}, CASE WHEN h IS NULL THEN en ELSE list_reduce(h, lambda a, x: {{'term': '', 'wording': '',
+    'out': regexp_replace(a.out, '\\b' || x.term || '\\b', x.wording, 'gi')}}, {{'term': '', 'wording': '', 'out': en}}).out END AS text
+  FROM talk LEFT JOIN hits USING ({KEY})""")
+def vocab_substitute_glossary(spark, sf):
+    """A glossary file with all words of the benchmark, all long words and all openings of turns."""
+    t = B.talk(spark, sf).select("session_id", "turn_id", F.col("en").alias("text"))
+    low = F.lower("text")
+    parts = [
+        t.select(F.explode(F.regexp_extract_all(low, F.lit("([a-z]{5,})"), F.lit(1))).alias("term")),
+        t.select(F.regexp_extract(low, "^([a-z]+ [a-z]+)", 1).alias("term")),
+        B.read(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1))).alias("term")),
+    ]
+    terms = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("term <> ''").distinct()
+    path = scratch(spark, "vocabulary")
+    item = F.struct(F.col("term").alias("k"), F.upper(F.reverse("term")).alias("v"))
+    terms.select(F.to_json(F.map_from_entries(F.array(item))).alias("value")).write.text(path)
+    vocabulary = G.vocabulary_of(D.scan_glossary(spark, path, whole_file=False))
+    return G.substitute_terms(t, vocabulary, ["session_id", "turn_id"])
+
+
 @query("session_summary", f"""WITH {B.TALK}, {B.TIMED} SELECT session_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'Patient') AS n_patient_turns,
   arg_max(stop_time, turn_id) AS session_duration_sec FROM timed GROUP BY session_id""")
 def session_summary(spark, sf):

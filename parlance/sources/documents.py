@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import io
+import os
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,33 +83,98 @@ def scan_sessions(
     )
 
 
-def scan_zip_members(
+# Bytes of archives a task is to read.
+READ_BYTES = 64 << 20
+MEMBER = (
+    "archive string, member string, method int, offset bigint, packed bigint, size bigint, crc bigint"
+)
+
+
+def file_system(path: str):
+    """File system of a path, as Spark names it, and the path inside it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def zip_members(
     spark: SparkSession, path: str, suffixes: tuple[str, ...] = KEEP_SUFFIXES
 ) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return unzip_members(files, suffixes)
+    """The wanted members of all archives under ``path`` and where they lie, one row each.
 
+    An archive's directory is at its end, so no more than that is read here.
+    """
 
-def unzip_members(files: DataFrame, suffixes: tuple[str, ...] = KEEP_SUFFIXES) -> DataFrame:
-    """Text of the archive members with a wanted suffix, their folders dropped."""
+    def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for archive in pdf["path"]:
+                system, inside = file_system(archive)
+                with system.open_input_file(inside) as f:
+                    # A member takes 98 bytes at least; what is shorter has none.
+                    listed = zipfile.ZipFile(f).infolist() if f.size() >= 98 else []
+                rows = [
+                    (archive, m.filename, m.compress_type, m.header_offset, m.compress_size, m.file_size, m.CRC)
+                    for m in listed if m.filename.endswith(suffixes)
+                ]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER.split(", ")])
+
+    return _archives(spark, path).select("path").mapInPandas(list_members, MEMBER)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """Archives by path and length; their content is not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "length")
+
+
+def _inflate(f, member) -> bytes:
+    """A member's bytes, from its own stretch of the archive."""
+    if member.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        f.seek(0)
+        with zipfile.ZipFile(f) as z:
+            return z.read(member.member)
+    f.seek(member.offset)
+    # A local header has 30 bytes, the lengths of name and extra field at its end.
+    name, extra = struct.unpack("<HH", f.read(30)[26:])
+    f.seek(member.offset + 30 + name + extra)
+    body = f.read(member.packed)
+    data = body if member.method == zipfile.ZIP_STORED else zlib.decompress(body, -15)
+    if len(data) != member.size or zlib.crc32(data) != member.crc:
+        raise ValueError(f"damaged member {member.member} in {member.archive}")
+    return data
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def scan_zip_members(
+    spark: SparkSession, path: str, suffixes: tuple[str, ...] = KEEP_SUFFIXES
+) -> DataFrame:
+    """Text of the archive members with a wanted suffix, their folders dropped.
+
+    The archives' directories are read first. Their members are then dealt out one by one,
+    so those of one large archive are read in many tasks, each its own bytes alone, and no
+    row holds more than a member. ``path`` may lie in any file system Arrow can open. A
+    damaged member ends the job.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.endswith(suffixes):
-                            yield pd.DataFrame(
-                                {
-                                    "archive": [archive],
-                                    "file_name": [member.rsplit("/", 1)[-1]],
-                                    "content": [z.read(member).decode("utf-8")],
-                                }
-                            )
-
-    return files.select("path", "content").mapInPandas(
-        unzip, "archive string, file_name string, content string"
-    )
+            for archive, members in pdf.groupby("archive", sort=False):
+                system, inside = file_system(archive)
+                with system.open_input_file(inside) as f:
+                    for m in members.itertuples(index=False):
+                        yield pd.DataFrame({
+                            "archive": [archive], "file_name": [m.member.rsplit("/", 1)[-1]],
+                            "content": [_inflate(f, m).decode("utf-8")],
+                        })
+
+    # What is dealt are short rows that stand for long reads, so their number is no guide.
+    size = _archives(spark, path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    dealt = zip_members(spark, path, suffixes).repartition(tasks, "archive", "offset")
+    return dealt.mapInPandas(read, "archive string, file_name string, content string")
 
 
 def scan_clips(spark: SparkSession, path: str) -> DataFrame:

@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import io
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import scores
-from parlance.functions.rows import explode_rows
 from parlance.functions.text import strip
 from parlance.operators.turns import with_metrics, with_roles
 
 # Transcript columns and how many characters decide the separator.
 COLUMNS = ["start_time", "stop_time", "speaker", "value"]
 PROBE_CHARS = 512
+# Bytes of a file that are looked at for its header, and how many files at a time.
+HEAD_BYTES = 1 << 16
+HEAD_READERS = 32
+GLOB_MARKS = str.maketrans({c: "\\" + c for c in "\\*?[]{}"})
 
 
-def _records(content: Column) -> Column:
-    """Lines of a file, a quoted field keeping its own line breaks."""
-    found = F.regexp_extract_all(content, F.lit(r'((?:[^"\r\n]++|"[^"]*+")++)'), F.lit(1))
-    return F.filter(found, lambda r: strip(r) != "")
+def _head(spark: SparkSession, path: str, size: int) -> str:
+    """The first bytes of a file of any file system Spark can open."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size)).decode("utf-8", "ignore")
+    finally:
+        stream.close()
 
 
-def _fields(record: Column, sep: str, width: int) -> Column:
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "false",
-               "ignoreTrailingWhiteSpace": "false"}
-    return F.from_csv(record, F.lit(schema), options)
+def _layout(head: str, sep: str | None) -> tuple[tuple[str, ...], str] | None:
+    """Column names and separator of a file that starts like this; None if it is empty."""
+    if sep is None:
+        sep = "\t" if "\t" in head[:PROBE_CHARS] else ","
+    names = next(csv.reader(io.StringIO(head, newline=""), delimiter=sep), None)
+    return None if names is None else (tuple(names), sep)
+
+
+def _scan(spark: SparkSession, paths: list[str], names: tuple[str, ...], sep: str, suffix: str) -> DataFrame:
+    """Rows of files of one layout, the wanted columns by name; of equal names the last counts."""
+    at = {name: i for i, name in enumerate(names)}
+    rows = (
+        spark.read.schema(", ".join(f"c{i} string" for i in range(max(len(names), 1))))
+        .options(sep=sep, quote='"', escape='"', header=True, multiLine=True, encoding="UTF-8",
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+                 recursiveFileLookup=True, pathGlobFilter=suffix)
+        .csv(paths)
+    )
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().alias("_row"),
+        *[(F.col(f"c{at[c]}") if c in at else none).alias(c) for c in COLUMNS],
+    )
 
 
 def scan_transcripts(
@@ -36,50 +67,43 @@ def scan_transcripts(
     """Turns of all transcripts under ``path`` with roles, word counts and durations.
 
     The first 512 characters of a file pick its separator, unless ``sep`` names it; columns
-    are found by their names in the header, whatever their order and number; a first job
-    looks up how many the widest header has. Each file, one interview, is read as one
-    record. Files whose name carries no session number are skipped.
+    are found by their names in the header, whatever their order and number and quoted or
+    not. The heads of the files, ``HEAD_BYTES`` each, are read before the scan is planned;
+    files of one header and separator are one CSV scan with its own columns. A quote inside
+    an unquoted field is part of it, a quoted field may hold separators and line ends. After
+    the scan the rows of a file meet once, to be numbered. Files whose name carries no
+    session number and empty files are skipped.
     """
-    where = F.col("_metadata.file_path")
     sid = session_id if session_id is not None else scores.session_id_from_path(F.col("_file"))
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", suffix).text(path, wholetext=True)
-        .select(where.alias("_file"), F.col("value").alias("_content"))
-        .withColumn("session_id", sid).filter("session_id IS NOT NULL")
-    )
-    probe = F.when(F.contains(F.left("_content", F.lit(PROBE_CHARS)), F.lit("\t")), "\t").otherwise(",")
-    rows = files.select(
-        "session_id", (probe if sep is None else F.lit(sep)).alias("_sep"),
-        _records(F.col("_content")).alias("_r"),
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", suffix).load(path)
+        .select(F.col("path").alias("_file"), F.least("length", F.lit(HEAD_BYTES)).cast("int").alias("size"))
     )
-    names = F.split(F.get("_r", 0), F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E")))
-    body = explode_rows(
-        rows.withColumn("_names", F.transform(names, strip)), ["session_id", "_sep", "_names"],
-        F.slice("_r", F.lit(2), F.size("_r")), "_line", "turn_id",
-    )
-    widest = rows.select(F.max(F.size(names))).first()[0]
-    width = max(widest or 0, len(COLUMNS))
-    if sep is None:
-        got = F.when(F.col("_sep") == "\t", _fields(F.col("_line"), "\t", width)).otherwise(
-            _fields(F.col("_line"), ",", width)
-        )
-    else:
-        got = _fields(F.col("_line"), sep, width)
-
-    def column(name: str) -> Column:
-        at = F.array_position("_names", name)
-        cells = F.array(*[F.col(f"_f.c{i}") for i in range(width)])
-        return F.when(at > 0, F.get(cells, (at - 1).cast("int"))).alias(name)
-
-    turns = body.withColumn("_f", got).select(
-        "session_id", F.col("turn_id").cast("long").alias("turn_id"),
-        *[column(n) for n in COLUMNS],
+    files = listed.filter(sid.isNotNull()).filter("size > 0").collect()
+    with ThreadPoolExecutor(HEAD_READERS) as pool:
+        heads = list(pool.map(lambda f: _head(spark, f["_file"], f["size"]), files))
+    layouts: dict[tuple, list[str]] = {}
+    for file, head in zip(files, heads):
+        layouts.setdefault(_layout(head, sep), []).append(file["_file"])
+    layouts.pop(None, None)
+    scans = [
+        _scan(spark, [path] if len(layouts) == 1 else [f.translate(GLOB_MARKS) for f in own], *layout, suffix)
+        for layout, own in layouts.items()
+    ]
+    if not scans:
+        kinds = ["_file string", "_row long", *[f"{c} string" for c in COLUMNS]]
+        scans = [spark.createDataFrame([], ", ".join(kinds))]
+    rows = scans[0]
+    for other in scans[1:]:
+        rows = rows.unionByName(other)
+    number = F.row_number().over(Window.partitionBy("session_id", "_file").orderBy("_row")) - 1
+    turns = rows.withColumn("session_id", sid).filter("session_id IS NOT NULL").select(
+        "session_id", number.cast("long").alias("turn_id"), "start_time", "stop_time",
+        strip(F.coalesce("speaker", F.lit(""))).alias("speaker"),
+        strip(F.coalesce("value", F.lit(""))).alias("text_en"),
     )
-    named = turns.withColumn("speaker", strip(F.coalesce("speaker", F.lit("")))).withColumn(
-        "text_en", strip(F.coalesce("value", F.lit("")))
-    ).drop("value")
-    return with_metrics(with_roles(named, clinicians))
+    return with_metrics(with_roles(turns, clinicians))
 
 
 def scan_labels(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:

@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -43,6 +46,38 @@ def test_transcripts_with_more_columns(spark, tmp_path):
     assert read(X.scan_transcripts(spark, str(tmp_path / "none"))) == []
 
 
+ODD_FILES = {
+    # Quoted names; a lone quote in a field; quoted separators and line ends; short and long rows.
+    "11_T.csv": '"start_time","stop_time","speaker","value"\n1.0,2.0,Ellie,"hi, there"\n2.0,3.0,Pat,he said "no\n3.0,4.0,Pat,yes\n',
+    "12_T.csv": 'value\t"speaker"\tx\tstop_time\tstart_time\ny\nsaid "no" twice\tEllie\t1\t5\t4\textra\n"two\nlines ""q"""\tPat\t\t7.5\t6\n\n\t\t\t\t\n',
+    "13_T.csv": 'id,speaker,value,start_time,stop_time,speaker\n1,a,t,0,1,Doctor\n2,b,"",x,1,\n',
+    "14_T.csv": ' speaker ,value\nPat,only text\n',
+    "15_T.csv": "start_time,stop_time,speaker,value\r\n0,1,Pat,crlf\r\n1,2,Ellie,end",
+    "16_T.csv": "start_time,stop_time,speaker,value\n",
+    "17_T.csv": "",
+    "18_[a]{b}_T.csv": "value,speaker\nodd name,Ellie\n",
+    "19_T.csv": "\u00e9," * 200 + "value\nx" + "," * 200 + "beyond\t512 characters\n",
+}
+
+
+def test_transcripts_as_csv_readers_have_them(spark, tmp_path):
+    """Every file gives what the standard library's reader gives."""
+    want = []
+    for name, body in ODD_FILES.items():
+        (tmp_path / name).write_bytes(body.encode())
+        sep = "\t" if "\t" in body[:512] else ","
+        for i, r in enumerate(csv.DictReader(io.StringIO(body, newline=""), delimiter=sep)):
+            try:
+                at = float(r.get("start_time", 0)), float(r.get("stop_time", 0))
+            except (TypeError, ValueError):
+                at = 0.0, 0.0
+            want.append((int(name.split("_")[0]), i, (r.get("speaker") or "").strip(), (r.get("value") or "").strip(), *at))
+    got = X.scan_transcripts(spark, str(tmp_path))
+    assert sorted((r.session_id, r.turn_id, r.speaker, r.text_en, r.start_time, r.stop_time) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" in plan and "FileScan text" not in plan and "regexp_extract_all" not in plan
+
+
 def test_last_label_file_wins(spark, tmp_path):
     a = write(tmp_path, "a.csv", "Participant_ID,PHQ8_Score,PHQ8_Binary,Gender\n1,5.0,0,1\n2,,1,\nbad,1,1,1\n3,x,0,0\n")
     b = write(tmp_path, "b.csv", "Participant_ID,PHQ_Score,PHQ8_Binary,Gender\n1,20,1,0\n")
@@ -82,6 +117,53 @@ def test_zip_members(spark, tmp_path):
     assert [(r.file_name, r.content) for r in got] == [("300_TRANSCRIPT.csv", "a\tb")]
 
 
+def test_members_of_one_archive_are_dealt_out(spark, tmp_path):
+    kinds = [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    body = lambda i: f"{i}\u00e9\n" * (i % 7) + "x" * i
+    with zipfile.ZipFile(tmp_path / "big one.zip", "w") as z:
+        for i in range(1000):
+            z.writestr(f"a/b/{i}_TRANSCRIPT.csv", body(i), kinds[i % 4] if i < 40 else kinds[i % 2])
+            z.writestr(f"a/b/{i}.wav", "no")
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    listed = D.zip_members(spark, str(tmp_path))
+    assert "content" not in listed.columns and listed.count() == 1000
+    got = D.scan_zip_members(spark, str(tmp_path))
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.file_name: r.content for r in rows} == {f"{i}_TRANSCRIPT.csv": body(i) for i in range(1000)}
+    assert len(rows) == 1000 and len({r.task for r in rows}) > 1
+    # The directory stays, a member's bytes are damaged.
+    whole = bytearray((tmp_path / "big one.zip").read_bytes())
+    whole[whole.index("4\u00e9\n4\u00e9\n".encode())] ^= 0xFF
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "1.zip").write_bytes(bytes(whole))
+    with pytest.raises(Exception, match="damaged member"):
+        D.scan_zip_members(spark, str(tmp_path / "bad")).collect()
+
+
+def test_turn_files_and_their_manifest(spark, tmp_path):
+    rows = [(s, lang, style, t, float(t), t + 0.5, "Doctor", "d", f"e{t}\t\"q\"", f"two\nlines {s}")
+            for s in range(300) for lang in ("marathi",) for style in ("formal", "mixed") for t in range(3)]
+    master = spark.createDataFrame(rows, "session_id long, language string, style string, turn_id long, start_time double, "
+                                         "stop_time double, role string, role_label string, text_en string, text string")
+    out = str(tmp_path / "out")
+    K.write_turn_files(master, out, folders=8)
+    key = lambda r: (r.session_id, r.style, r.turn_id)
+    whole = sorted(K.read_turn_files(spark, out).collect(), key=key)
+    assert [tuple(r) for r in whole] == sorted(rows, key=lambda r: (r[0], r[2], r[3]))
+    assert len(list((tmp_path / "out" / "turns").glob("folder=*/*.csv"))) == 8
+    one = K.read_turn_files(spark, out, [17])
+    assert sorted(map(tuple, one.collect())) == sorted(r for r in rows if r[0] == 17)
+    names = {r.f for r in one.select(F.col("_metadata.file_path").alias("f")).collect()}
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert len(names) == 1 and re.search(r"PartitionFilters: \[[^\]]*folder", plan)
+    held = spark.read.parquet(f"{out}/manifest").collect()
+    assert len(held) == 600 and all((r.rows, r.first_turn, r.last_turn) == (3, 0, 2) for r in held)
+    assert K.read_turn_files(spark, out, []).collect() == []
+    K.export_turn_folders(master, str(tmp_path / "tree"), [3, 4])
+    assert sorted(p.parent.name for p in (tmp_path / "tree").glob("*/*/*/*.csv")) == ["style=formal", "style=formal", "style=mixed", "style=mixed"]
+
+
 def test_notes(spark, tmp_path):
     write(tmp_path, "soap_12_a.json", json.dumps({"soap_en": {"subjective": "s", "plan": 4}}))
     write(tmp_path, "soap_13_a.json", json.dumps({"session_id": 99, "soap_english": "**SUBJECTIVE:**\none\n**PLAN:**\ntwo"}))
@@ -134,6 +216,96 @@ def test_stream_takes_each_key_once_however_late(spark, tmp_path):
     assert run((4, "2024-01-09", "e"), (1, "2024-01-12", "f")) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
 
 
+def put(spark, src, *rows):
+    df = spark.createDataFrame(rows, "id long, day string, v string")
+    df = df.select("id", F.to_timestamp("day").alias("ts"), "v")
+    df.write.mode("append").parquet(src)
+    return jobs.read_files(spark, src, df.schema)
+
+
+def test_ingest_never_reads_its_output(spark, tmp_path):
+    """Earlier folders are taken away: old keys are known all the same."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for n in range(3):
+        rows = put(spark, src, *[(i, f"2024-01-{10 + n}", f"{n}") for i in range(4 * n + 4)])
+        jobs.ingest(rows, ["id"], "ts", out, state).awaitTermination()
+        got = spark.read.parquet(f"{out}/batch={n}").collect()
+        assert sorted((r.id, r.v) for r in got) == [(i, str(n)) for i in range(4 * n, 4 * n + 4)]
+        (tmp_path / "out" / f"batch={n}").rename(tmp_path / f"gone-{n}")
+    rows = put(spark, src, (1, "2023-01-01", "old"), (50, "2023-01-01", "new"), (50, "2022-01-01", "first"))
+    query = jobs.ingest(rows, ["id"], "ts", out, state)
+    query.awaitTermination()
+    assert [(r.id, r.v) for r in spark.read.parquet(f"{out}/batch=3").collect()] == [(50, "first")]
+    kept = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert kept and kept[0]["numRowsTotal"] == 13 and any("rocksdb" in m for m in kept[0]["customMetrics"])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_ingest_after_a_failed_batch(spark, tmp_path, monkeypatch):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    jobs.ingest(put(spark, src, (1, "2024-01-01", "a")), ["id"], "ts", out, state).awaitTermination()
+    real = jobs._publish
+
+    def cut_off(path):
+        def write(batch, batch_id):
+            real(path)(batch, batch_id)
+            raise RuntimeError("lost after writing")
+
+        return write
+
+    rows = put(spark, src, (1, "2024-01-02", "b"), (2, "2024-01-02", "c"))
+    monkeypatch.setattr(jobs, "_publish", cut_off)
+    with pytest.raises(Exception, match="lost after writing"):
+        jobs.ingest(rows, ["id"], "ts", out, state).awaitTermination()
+    monkeypatch.setattr(jobs, "_publish", real)
+    put(spark, src, (2, "2024-01-03", "d"), (3, "2024-01-03", "e"))
+    jobs.ingest(rows, ["id"], "ts", out, state).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.id, r.v) for r in got) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_ingest_refuses_a_clock_that_went_back(spark, tmp_path, monkeypatch):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    rows = put(spark, src, (1, "2024-01-01", "a"))
+    jobs.ingest(rows, ["id"], "ts", out, state).awaitTermination()
+    monkeypatch.setattr(jobs.time, "time", lambda: 1e9)
+    with pytest.raises(ValueError, match="clock"):
+        jobs.ingest(rows, ["id"], "ts", out, state)
+
+
+def test_visits_in_snapshots(spark, tmp_path):
+    """Many batches leave few files to read, and a cut-off merge neither loses nor doubles."""
+    out = str(tmp_path / "out")
+    day = "timestamp'2024-01-01' + make_dt_interval(cast(id as int))"
+    for n in range(200):
+        spark.range(n % 3, n % 3 + 2).selectExpr(f"{day} AS day", "1L AS n").coalesce(1).write.parquet(f"{out}/batches/batch={n}")
+        if n % 32 == 31:
+            jobs.merge_visits(spark, out)
+    counted = lambda: sorted((str(r.day)[:10], r.n) for r in jobs._counted(spark, out)[0].collect())
+    want = [("2024-01-01", 67), ("2024-01-02", 134), ("2024-01-03", 133), ("2024-01-04", 66)]
+    assert counted() == want
+    files = jobs.active_visits(spark, out).inputFiles()
+    assert len(files) == 1 + 200 - 192
+    # A merge that is cut off: its folder has no mark. A batch still being written has none either.
+    jobs.merge_visits(spark, out)
+    (tmp_path / "out" / "snapshots" / "upto=199" / "_SUCCESS").unlink()
+    spark.range(1).selectExpr(f"{day} AS day", "9L AS n").write.parquet(f"{out}/batches/batch=200")
+    (tmp_path / "out" / "batches" / "batch=200" / "_SUCCESS").unlink()
+    assert counted() == want
+    jobs.merge_visits(spark, out)
+    assert counted() == want and len(jobs.active_visits(spark, out).inputFiles()) == 1
+
+
+def test_visits_merge_while_streaming(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for n in range(5):
+        rows = put(spark, src, (n, "2024-01-05", "x"), (n, f"2024-01-0{n + 1}", "x"))
+        jobs.daily_visits(rows, "ts", out, state, every=2).awaitTermination()
+    got = {str(r.window_start)[:10]: r.visits for r in jobs.active_visits(spark, out).collect()}
+    assert got["2024-01-01"] == 10 and got["2024-01-05"] == 6
+    assert len(jobs.active_visits(spark, out).inputFiles()) <= 3
+
+
 def test_progress_over_two_runs(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     spark.range(6).select((F.col("id") % 2).alias("k")).write.parquet(src)

@@ -152,6 +152,36 @@ def test_speaker_assignment_against_brute_force(spark):
     assert "CartesianProduct" not in text_plan and "NestedLoop" not in text_plan
 
 
+def test_intervals_of_any_length(spark):
+    """Thirty years next to half seconds, on both sides, and an interval the wrong way round."""
+    rng = random.Random(9)
+    years = 30 * 365.25 * 86400
+    chunks, segs = [], []
+    for i in range(60):
+        a = rng.choice([rng.uniform(0, 300), rng.uniform(0, years), -rng.uniform(0, 9000)])
+        chunks.append((1, i, a, a + rng.choice([0.0, 0.5, 40.0, 86400.0, years])))
+        b = rng.choice([rng.uniform(0, 300), rng.uniform(0, years), a, -rng.uniform(0, 9000)])
+        segs.append((1, i, b, b + rng.choice([0.5, 150.0, 5e5, years]), f"L{i % 3}"))
+    chunks += [(1, 60, 500.0, 100.0), (1, 61, None, 3.0), (2, 0, 0.0, years)]
+    segs += [(1, 60, 900.0, 90.0, "L0"), (1, 61, 0.0, None, "L1")]
+    c = spark.createDataFrame(chunks, "session_id int, chunk_id int, start_s double, end_s double")
+    g = spark.createDataFrame(segs, "session_id int, seg_id int, start_s double, end_s double, label string")
+    want = [
+        (i, j, min(b, y) - max(a, x)) for s, i, a, b in chunks for t, j, x, y, _ in segs
+        if s == t and None not in (a, b, x, y) and a <= b and x <= y and a < y and b > x
+    ]
+    for width in (60.0, 0.7):
+        pairs = I.overlap_pairs(c, g, width)
+        got = [(r.chunk_id, r.seg_id, r.overlap) for r in pairs.collect()]
+        assert sorted(got) == sorted(want) and len(want) > 500
+    nodes = I._nodes(g.select("session_id", "seg_id", "start_s", "end_s"), "start_s", "end_s", 60.0)
+    assert nodes.groupBy("seg_id").count().agg(F.max("count")).first()[0] < 200
+    labels = {r.chunk_id: r.speaker for r in I.assign_by_overlap(c.filter("session_id = 1"), g).collect()}
+    for i in {i for i, _, _ in want}:
+        best = max((x for x in want if x[0] == i), key=lambda x: (x[2], -x[1]))
+        assert labels[i] == segs[best[1]][4]
+
+
 def test_clinician_inference(spark):
     rows = [(1, 0, "A1", "i am tired"), (1, 1, "B1", "since when do you?"), (2, 5, "X", "hm"), (2, 6, "Y", "hm")]
     df = spark.createDataFrame(rows, "session_id int, chunk_id int, speaker string, text string")
@@ -174,7 +204,8 @@ def test_topk_with_small_blocks_and_ties(spark, monkeypatch):
         return round(sum(x * y for x, y in zip(a, b)) / n**0.5, 10) if n else 0.0
 
     want = {(i, j) for i, v in queries for j, _ in sorted(terms, key=lambda x: (-cosine(v, x[1]), x[0]))[:4]}
-    for block, group, tile in ((4096, 20000, 1 << 21), (4, 7, 8), (1, 1, 1)):
+    for block, group, tile, cluster in ((4096, 20000, 1 << 21, 1024), (4, 7, 8, 99), (1, 1, 1, 99), (3, 7, 8, 4), (4096, 20000, 8, 1)):
+        monkeypatch.setattr(G, "CLUSTER_TERMS", cluster)
         monkeypatch.setattr(G, "BLOCK_TERMS", block)
         monkeypatch.setattr(G, "GROUP_QUERIES", group)
         monkeypatch.setattr(G, "TILE", tile)
@@ -182,6 +213,32 @@ def test_topk_with_small_blocks_and_ties(spark, monkeypatch):
     assert G.term_topk(q, t.limit(0), 4).collect() == []
 
 
+def test_topk_opens_few_clusters(spark, monkeypatch):
+    """Clustered vectors with copies: all rows as without clusters, most clusters left closed."""
+    import numpy as np
+
+    monkeypatch.setattr(G, "CLUSTER_TERMS", 40)
+    monkeypatch.setattr(G, "BLOCK_TERMS", 64)
+    monkeypatch.setattr(G, "GROUP_QUERIES", 50)
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(25, 16))
+    near = lambda n: hubs[rng.integers(25, size=n)] * rng.uniform(0.1, 9, (n, 1)) + rng.normal(size=(n, 16)) * 0.05
+    terms = np.vstack([near(1400), np.repeat(hubs[:1], 150, axis=0), np.zeros((3, 16))])
+    asked = np.vstack([near(120), hubs[:5], np.zeros((2, 16)), -hubs[5:8]])
+    rows = lambda vs, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], f"{name} long, vector array<double>")
+    q, t = rows(asked, "query_id"), rows(terms, "term_id")
+    listed = lambda df: sorted((r.query_id, r.term_id, round(r.similarity, 9)) for r in df.collect())
+    want = listed(G.term_topk(q, t, 6, clustered=False))
+    assert len(want) == 6 * len(asked) and listed(G.term_topk(q, t, 6)) == want
+    plain = q.filter(f"query_id < 125")
+    placed, clusters = G.cluster_terms(t)
+    assert clusters.size.sum() == len(terms) and clusters.size[-1] == 3
+    start = G.opened_first(plain, clusters, 6)
+    found = G._best(G._in_opened(start, placed, plain, clusters, 6), ["query_id"], "term_id", 6)
+    opened = start.count() + G.opened_next(plain, found, clusters, 6).count()
+    assert opened < 0.25 * 125 * (clusters.size > 0).sum()
+
+
 
 def test_augmentation_plan(spark):
     clips = spark.createDataFrame([(i, f"c{i}.wav", "train" if i < 8 else "val") for i in range(10)], "id int, file_name string, split string")

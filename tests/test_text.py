@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import rules, scores, sections, spans, text
 from parlance.functions.sections import EMPTY_SECTION
+from parlance.operators import glossary as G
 
 T = F.col("t")
 
@@ -49,6 +50,60 @@ def test_vocabulary_looks_at_the_untouched_text(one):
     assert one(rules.substitute_vocabulary(T, vocabulary), t="low, Sad") == "very X, X"
 
 
+def test_wordings_are_texts(one):
+    vocabulary = {"a.b": {"formal": "x$1\\"}, "i'm ok": {"colloquial": "fine"}, "PTSD": {"formal": "never"}, "\\E": {"formal": "e"}}
+    c = rules.substitute_vocabulary(T, vocabulary)
+    assert one(c, t="A.b axb I'm OK ptsd") == "x$1\\ axb fine ptsd"
+    assert one(rules.substitute_vocabulary(T, {}), t="same") == "same"
+
+
+def test_vocabulary_of_any_size(spark):
+    """Ten thousand terms: each text as if all were tried in turn, longest first."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 5)))
+    terms = {" ".join(word() for _ in range(rng.randrange(1, 4))): f"<{i}>" for i in range(12000)}
+    terms |= {"a-b": "<dash>", "it's": "is", "caf\u00e9": "bar", "_x": "no", "b": ""}
+    texts = [" ".join(rng.choice([word(), word().upper(), "a-b", "it's", "Caf\u00e9,"]) for _ in range(rng.randrange(30))) for _ in range(40)]
+    texts += [None, "", "caf\u00e9s caf\u00e9", "xa-b a-bx a-b"]
+    rows = spark.createDataFrame([(i, None if i % 9 == 0 else i % 7, t, "c") for i, t in enumerate(texts)], "k long, s long, text string, term string")
+    glossary = spark.createDataFrame([(e, w, "", "x") for e, w in terms.items()], "english string, marathi string, hindi string, category string")
+    got = G.substitute_terms(rows, G.vocabulary_of(glossary), ["k", "s"])
+    assert got.columns == rows.columns
+    order = [t for t in sorted(terms, key=lambda t: (-len(t), t)) if terms[t] and not t.startswith("_")]
+    for r in got.collect():
+        want = texts[r.k]
+        for t in order:
+            if want and re.search(rf"\b{re.escape(t)}\b", texts[r.k].lower()):
+                want = re.sub(rf"\b{re.escape(t)}\b", terms[t], want, flags=re.I)
+        assert r.text == want, r.k
+    none = G.vocabulary_of(glossary.limit(0))
+    assert sorted(r.text or "" for r in G.substitute_terms(rows, none, ["k", "s"]).collect()) == sorted(t or "" for t in texts)
+
+
+def test_openings_and_prefix_trees():
+    assert spans.openings(r"(ab(?:c|d)?x|\d+ y)") == {"abcx", "abdx", "abx", *"0123456789"}
+    assert spans.openings(r"[xy]z") == {"xz", "yz"} and spans.openings(r"\bPHQ-?8\b") == {"phq8", "phq-8"}
+    assert spans.openings("x*") is None and spans.openings(r"\w+a") is None
+    assert spans.prefix_tree({"abc", "abd", "x"}) == "(?:ab(?:c|d)|x)"
+
+
+def test_patterns_run_only_where_they_may_match(one):
+    """Patterns whose openings overlap, lie in one another, or are unknown."""
+    import re
+
+    groups = {"A": [r"(abc(?:d)?)", r"(bc+)", r"(\d+ (?:mg|ml))"], "B": [r"(\w+z)", r"(abcdef|ab)"]}
+    for value in ("xABCDabcdefz 12 mg", "12 mgabc 3 ml", "", "nothing", "bccc ab ABz"):
+        want = sorted(
+            (i, m.start(), m.end()) for i, _, p in spans.flat_rules(groups) for m in re.finditer(p, value, re.I | re.A)
+        )
+        got = one(spans.pattern_spans(T, groups), t=value)
+        assert sorted((s["rule"], s["start"], s["stop"]) for s in got) == want, value
+    assert one(spans.pattern_spans(T, groups), t=None) == []
+
+
 def test_line_terms(one):
     assert one(rules.translate_terms_in_line(T), t="Anxiety and PLAN") == "चिंता and उपचार योजना"
 
