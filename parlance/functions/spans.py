@@ -286,36 +286,26 @@ def prefix_tree(words: set[str]) -> str:
 def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: float) -> Column:
     """Left-to-right, non-overlapping matches of each pattern, letter case ignored.
 
-    One pass with a prefix tree of all patterns' openings finds which of them stand in the
-    text; only patterns with one of these are run. A pattern that matches leaves the pieces
-    between its hits and the hits themselves; their lengths, summed in turn, are the offsets.
+    A prefix tree of all patterns' openings tells in one pass whether any of them can match;
+    a text without one, as those in another script, is not looked at again. A pattern that
+    matches leaves the pieces between its hits and the hits themselves; their lengths, summed
+    in turn, are the offsets.
     """
-    known = {number: openings(pattern) for number, _, pattern in rules}
-    every = set().union(*[o for o in known.values() if o])
+    known = [openings(pattern) for _, _, pattern in rules]
+    every = set().union(*[o for o in known if o])
     # Of two openings the shorter is kept where the longer starts with it.
     shortest = {w for w in every if not any(w[:n] in every for n in range(1, len(w)))}
-    located = F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(f"(?=({prefix_tree(shortest)}))"), F.lit(1))
-        if shortest else F.array().cast("array<string>")
-    )
-
-    def cut(here: Column) -> list[Column]:
-        out = []
-        for number, label, rule in rules:
-            pattern = f"(?i){rule}"
-            own = known[number]
-            may = text.rlike(pattern) if own is None else F.arrays_overlap(
-                here, F.array(*[F.lit(w) for w in sorted(shortest) if any(o.startswith(w) for o in own)])
-            )
-            out.append(F.when(
-                may,
-                F.struct(
-                    F.lit(number).alias("rule"), F.lit(label).alias("label"),
-                    F.split(text, pattern, -1).alias("gaps"),
-                    F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-                ),
-            ))
-        return out
+    cut = []
+    for number, label, rule in rules:
+        pattern = f"(?i){rule}"
+        cut.append(F.when(
+            text.rlike(pattern),
+            F.struct(
+                F.lit(number).alias("rule"), F.lit(label).alias("label"),
+                F.split(text, pattern, -1).alias("gaps"),
+                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+            ),
+        ))
 
     def place(m: Column) -> Column:
         lengths = F.flatten(
@@ -335,11 +325,11 @@ def match_spans(text: Column, rules: list[tuple[int, str, str]], confidence: flo
             ),
         )
 
-    def run(here: Column) -> Column:
-        found = F.flatten(F.transform(F.array_compact(F.array(*cut(here))), place))
-        return F.when(F.size(here) > 0, found) if None not in known.values() else found
-
-    return F.coalesce(let(located, run).cast(SPAN), F.array().cast(SPAN))
+    found = F.flatten(F.transform(F.array_compact(F.array(*cut)), place)).cast(SPAN)
+    none = F.array().cast(SPAN)
+    if None in known or not shortest:
+        return F.coalesce(found, none)
+    return F.when(text.rlike(f"(?i){prefix_tree(shortest)}"), found).otherwise(none)
 
 
 def pattern_spans(text: Column, groups: dict[str, list[str]] = PATTERNS) -> Column:

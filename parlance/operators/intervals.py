@@ -13,7 +13,7 @@ BUCKET_S = 60.0
 
 
 # A node of the time tree spans so many of the next level; the levels reach over 10^14 buckets.
-FANOUT, LEVELS = 16, 13
+FANOUT, LEVELS = 256, 7
 NODE = "array<struct<level:int,node:bigint>>"
 
 
@@ -48,24 +48,30 @@ def _cover(first: Column, last: Column) -> Column:
     return F.when(last - first < FANOUT, short).otherwise(long).cast(NODE)
 
 
-def _nodes(df: DataFrame, start: str, stop: str, width: float) -> DataFrame:
-    """One row per interval and node of its cover."""
+def _placed(df: DataFrame, start: str, stop: str, width: float, flag: str) -> DataFrame:
+    """One row per interval and place: the nodes of its cover, and at each level the node its
+    start lies in. ``flag`` tells the two apart."""
     first, last = (F.floor(F.col(c) / width).cast("bigint") for c in (start, stop))
-    cover = _cover(first, F.greatest(first, last))
-    return df.withColumn("_n", F.explode(cover)).select(*df.columns, "_n.level", "_n.node")
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
 
+    def above(level: Column) -> Column:
+        return F.floor(first / F.pow(F.lit(FANOUT), level)).cast("bigint")
 
-def _points(df: DataFrame, start: str, width: float, covers: DataFrame) -> DataFrame:
-    """One row per interval and node its start lies in, at the levels that covers use."""
-    bucket = F.floor(F.col(start) / width).cast("bigint")
-    placed = df.withColumn("_levels", covers.agg(F.collect_set("level")).scalar())
-    return placed.select(*df.columns, bucket.alias("_b"), F.explode("_levels").alias("level")).withColumn(
-        "node", F.floor(F.col("_b") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
-    ).drop("_b")
+    cover = F.transform(
+        _cover(first, F.greatest(first, last)),
+        lambda n: F.struct(n["level"].alias("level"), n["node"].alias("node"), F.lit(True).alias("covers")),
+    )
+    points = F.transform(
+        levels, lambda n: F.struct(n.alias("level"), above(n).alias("node"), F.lit(False).alias("covers"))
+    )
+    places = F.when(first.isNotNull() & last.isNotNull(), F.concat(cover, points))
+    return df.withColumn("_n", F.explode(places)).select(
+        *df.columns, "_n.level", "_n.node", F.col("_n.covers").alias(flag)
+    )
 
 
 def overlap_pairs(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:
-    """Overlapping (chunk, segment) pairs through equi-joins on (session, tree node).
+    """Overlapping (chunk, segment) pairs through an equi-join on (session, tree node).
 
     Of two overlapping intervals one starts inside the other. The time line is a tree over
     buckets of ``width`` seconds; an interval is a few nodes of it, whatever its length, and
@@ -73,23 +79,22 @@ def overlap_pairs(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_
     the segment, or with the segment's later start in the chunk. An interval that stops
     before it starts overlaps nothing.
     """
-    c = chunks.select("session_id", "chunk_id", "start_s", "end_s")
+    c = chunks.select("session_id", "chunk_id", "start_s", "end_s").filter("start_s <= end_s")
     s = segments.select(
         "session_id", "seg_id", "label",
         F.col("start_s").alias("seg_start"), F.col("end_s").alias("seg_end"),
+    ).filter("seg_start <= seg_end")
+    met = _placed(c, "start_s", "end_s", width, "_c").join(
+        _placed(s, "seg_start", "seg_end", width, "_s"), ["session_id", "level", "node"]
     )
-    c, s = c.filter("start_s <= end_s"), s.filter("seg_start <= seg_end")
-    keys = ["session_id", "level", "node"]
-    in_segment, in_chunk = _nodes(s, "seg_start", "seg_end", width), _nodes(c, "start_s", "end_s", width)
-    meets = (F.col("start_s") < F.col("seg_end")) & (F.col("end_s") > F.col("seg_start"))
-    chunk_later = _points(c, "start_s", width, in_segment).join(in_segment, keys).filter(
-        meets & (F.col("start_s") >= F.col("seg_start"))
+    later = (F.col("_s") & ~F.col("_c") & (F.col("start_s") >= F.col("seg_start"))) | (
+        F.col("_c") & ~F.col("_s") & (F.col("seg_start") > F.col("start_s"))
     )
-    segment_later = in_chunk.join(_points(s, "seg_start", width, in_chunk), keys).filter(
-        meets & (F.col("seg_start") > F.col("start_s"))
+    both = met.filter(
+        later & (F.col("start_s") < F.col("seg_end")) & (F.col("end_s") > F.col("seg_start"))
     )
-    both = chunk_later.unionByName(segment_later).drop("level", "node")
-    return both.withColumn("overlap", F.least("end_s", "seg_end") - F.greatest("start_s", "seg_start"))
+    overlap = F.least("end_s", "seg_end") - F.greatest("start_s", "seg_start")
+    return both.drop("level", "node", "_c", "_s").withColumn("overlap", overlap)
 
 
 def assign_by_overlap(chunks: DataFrame, segments: DataFrame, width: float = BUCKET_S) -> DataFrame:

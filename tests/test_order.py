@@ -174,8 +174,8 @@ def test_intervals_of_any_length(spark):
         pairs = I.overlap_pairs(c, g, width)
         got = [(r.chunk_id, r.seg_id, r.overlap) for r in pairs.collect()]
         assert sorted(got) == sorted(want) and len(want) > 500
-    nodes = I._nodes(g.select("session_id", "seg_id", "start_s", "end_s"), "start_s", "end_s", 60.0)
-    assert nodes.groupBy("seg_id").count().agg(F.max("count")).first()[0] < 200
+    placed = I._placed(g.select("session_id", "seg_id", "start_s", "end_s"), "start_s", "end_s", 60.0, "covers")
+    assert placed.groupBy("seg_id").count().agg(F.max("count")).first()[0] < 1600
     labels = {r.chunk_id: r.speaker for r in I.assign_by_overlap(c.filter("session_id = 1"), g).collect()}
     for i in {i for i, _, _ in want}:
         best = max((x for x in want if x[0] == i), key=lambda x: (x[2], -x[1]))
