@@ -267,23 +267,36 @@ def augmentation_plan(spark, sf):
     return P.augmentation_plan(clips, "doc_id").withColumn("amount", F.round("amount", 6))
 
 
+def _sql_resampled(wave: str, m: str) -> str:
+    """Linear interpolation of a list onto ``m`` points from its first to its last value."""
+    at = f"(CASE WHEN {m} > 1 THEN i * (len({wave}) - 1) / ({m} - 1)::DOUBLE ELSE 0 END)"
+    lo = f"least(floor({at})::BIGINT, len({wave}) - 1)"
+    low, high = f"{wave}[{lo} + 1]", f"{wave}[least({lo} + 1, len({wave}) - 1) + 1]"
+    return f"list_transform(range(({m})::BIGINT), lambda i: {low} + ({high} - {low}) * ({at} - {lo}))"
+
+
 @query("augmented_waves", f"""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS wave FROM embeddings),
   a AS (SELECT vec_id, wave, n, {sql_amount('vec_id', 'n')} AS amount, row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id || ':' || n || ':42')) AS rn FROM c, (SELECT unnest([{AUG}]) AS n)),
-  v AS (SELECT * FROM a WHERE rn <= 3 UNION ALL SELECT vec_id, wave, NULL, NULL, 0 FROM c)
-  SELECT vec_id, n AS augmented, CAST(CASE WHEN n LIKE 'speed%' THEN floor(len(wave) / amount) ELSE len(wave) END AS INTEGER) AS samples,
-    CASE WHEN n LIKE 'volume%' THEN round(list_sum(list_transform(wave, lambda x: greatest(-1.0, least(1.0, x * pow(10.0::DOUBLE, amount / 20.0::DOUBLE))))), 4)
-      WHEN n IS NULL THEN round(list_sum(wave), 4) END AS total FROM v""")
+  v AS (SELECT * FROM a WHERE rn <= 3 UNION ALL SELECT vec_id, wave, NULL, NULL, 0 FROM c),
+  m AS (SELECT *, floor(len(wave) / amount) AS fast, floor(len(wave) * pow(2.0::DOUBLE, -amount / 12)) AS bent FROM v),
+  p AS (SELECT *, CASE WHEN n LIKE 'pitch%' THEN {_sql_resampled('wave', 'bent')} END AS shifted FROM m),
+  x AS (SELECT vec_id, n, wave, fast, CASE WHEN n LIKE 'speed%' THEN {_sql_resampled('wave', 'fast')}
+      WHEN n LIKE 'pitch%' THEN {_sql_resampled('shifted', 'len(wave)')}
+      WHEN n LIKE 'volume%' THEN list_transform(wave, lambda x: greatest(-1.0, least(1.0, x * pow(10.0::DOUBLE, amount / 20.0::DOUBLE))))
+      WHEN n IS NULL THEN wave END AS made FROM p)
+  SELECT vec_id, n AS augmented, CAST(CASE WHEN n LIKE 'speed%' THEN fast ELSE len(wave) END AS INTEGER) AS samples,
+    round(list_sum(list_transform(made, lambda x: x::FLOAT::DOUBLE)), 4) AS total FROM x""")
 def augmented_waves(spark, sf):
-    """Plan and application: lengths of all variants, sums of those that keep their samples."""
+    """Plan and application: lengths of all variants, sums of all but the noisy ones."""
     clips = B.read(spark, sf, "embeddings").select(
         "vec_id", "embedding", F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("file_name"), F.lit("train").alias("split")
     )
     plan = P.augmentation_plan(clips, "vec_id").withColumn("clip", F.concat_ws("_", "vec_id", "augmented"))
     waves = W.augment(plan, "clip", "embedding").select("clip", F.col("embedding").alias("wave"))
     total = F.round(F.aggregate("wave", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
-    sums = F.col("augmented").isNull() | F.col("augmented").startswith("volume")
+    noisy = F.coalesce(F.col("augmented").startswith("noise"), F.lit(False))
     return plan.join(waves, "clip").select(
-        "vec_id", "augmented", F.size("wave").alias("samples"), F.when(sums, total).alias("total")
+        "vec_id", "augmented", F.size("wave").alias("samples"), F.when(~noisy, total).alias("total")
     )
 
 
@@ -340,16 +353,17 @@ def resample_speed_pitch(spark, sf):
     return explode_rows(made, ["vec_id", "kind"], F.col("wave"), "x", "i").withColumn("x", F.round("x", 6))
 
 
-@query("noise_snr", """SELECT vec_id % 4 AS part, count(*) AS clips, sum(len(embedding))::BIGINT AS samples, 20 AS snr_db FROM embeddings GROUP BY 1""")
+@query("noise_snr", """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS samples, true AS changed, true AS near_snr FROM embeddings""")
 def noise_snr(spark, sf):
-    """Over the many samples of a part, what was added has the power that was asked for."""
+    """Each clip's noise against what was asked for, 20 dB: within 5 dB over its few samples."""
     e = B.read(spark, sf, "embeddings").select("vec_id", "embedding")
     noisy = W.add_noise(e, "vec_id", "embedding", 20.0).withColumnRenamed("embedding", "noisy")
     square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     added = F.zip_with("noisy", "embedding", lambda a, b: a - b)
-    return e.join(noisy, "vec_id").groupBy((F.col("vec_id") % 4).alias("part")).agg(
-        F.count("*").alias("clips"), F.sum(F.size("noisy")).alias("samples"),
-        F.round(10 * F.log10(F.sum(square(F.col("embedding"))) / F.sum(square(added)))).cast("int").alias("snr_db"),
+    snr = 10 * F.log10(square(F.col("embedding")) / square(added))
+    return e.join(noisy, "vec_id").select(
+        "vec_id", F.size("noisy").alias("samples"), (square(added) > 0).alias("changed"),
+        snr.between(15.0, 25.0).alias("near_snr"),
     )
 
 
