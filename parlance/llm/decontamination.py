@@ -245,15 +245,17 @@ def find_leaks(
     they stand; one or two words, and the template of a short item, only by a document that is
     nothing else.
 
-    In scripts without blanks each letter is a word. Words are letters in any case, numbers become one placeholder, so do units after a
-    number and capitalised words inside a sentence; a window of which half or more are
-    placeholders is matched by the same words, numbers and names only. Texts are read in two
-    more ways: as written, without placeholders, so letter case and line ends do not
-    matter, and with each run of capitalised words as one name, those that open a sentence
-    included. ``n_windows`` counts the places of the item at which a window found begins.
-    Texts are read whole, however long. Null and empty texts hold nothing, an item without words is
-    held by nothing, repeated documents and items are reported each for itself. Extra
-    columns are ignored. An empty table gives an empty table.
+    Words are letters in any case; in scripts without blanks each letter is a word. Numbers
+    become one placeholder, so do units after a number and capitalised words inside a
+    sentence; a window of which half or more are placeholders is matched by the same words,
+    numbers and names only. Texts are read in two more ways: as written, without
+    placeholders, so letter case and line ends do not matter, and with each run of
+    capitalised words as one name, those that open a sentence included. ``n_windows`` counts
+    the places of the item at which a window found begins.
+
+    Texts are read whole, however long. Null and empty texts hold nothing, an item without
+    words is held by nothing, repeated documents and items are reported each for itself.
+    Extra columns are ignored. An empty table gives an empty table.
 
     The benchmark's window hashes set bits in a filter of fixed size, which the tasks that
     read documents ask first; what passes is joined with the windows by hash, whatever

@@ -44,7 +44,8 @@ def judge_urls(
     subdomains if the page's path starts with the rule's; of the rules that fit, the one
     with the longest host and path wins, then the longer host, then the smaller verdict.
     Pages without a fitting rule, null and malformed urls among them, get ``default`` and
-    a null rule; an empty table gives an empty table. A url of any length is one key, read whole. Null parts of a rule count as empty; a rule without a host fits no page.
+    a null rule. A url is read whole, however long; an empty table gives an empty table. Null
+    parts of a rule count as empty; a rule without a host fits no page.
     Repeated pages are judged one by one, repeated rules count once. Columns of the same
     names as the new ones are replaced.
 
