@@ -7,7 +7,6 @@ forward pass over the pieces between hits, inside the row.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from re import _parser as parser
 
 from pyspark.sql import Column

@@ -13,7 +13,7 @@ from parlance.operators import splits as P, turns as T
 from parlance.plans import tables as B
 from parlance.plans.order_queries import EXAMPLES, _examples, sql_hash
 from parlance.plans.registry import query
-from parlance.plans.text_queries import KEY, sql_replace
+from parlance.plans.text_queries import sql_replace
 from parlance.session import scratch
 from parlance.sources import documents as D, sinks as K, transcripts as X
 
