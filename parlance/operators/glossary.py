@@ -337,7 +337,8 @@ def phrase_terms(
 
     ``glossary`` has a column ``english``, as ``term_table`` and ``scan_glossary`` give it.
     Each distinct phrase is embedded and looked up once, whatever the number of texts that
-    hold it, and only the best score per text and term goes on.
+    hold it, and only the best score per text and term goes on. The phrases of all texts are
+    many times the texts that Spark estimates them by, so neither side of their join is broadcast.
     """
     terms = term_table(texts.sparkSession) if glossary is None else glossary
     phrases = explode_rows(texts, [*key], phrases_of(F.col("text")), "query_id")
@@ -345,7 +346,7 @@ def phrase_terms(
         embedded(phrases, "query_id", embed, "query_id"), embedded(terms, "english", embed, "term_id"), hits,
         clustered=glossary is not None,
     )
-    scored = phrases.join(near, "query_id").groupBy(*key, F.col("term_id").alias("english")).agg(
+    scored = phrases.hint("merge").join(near, "query_id").groupBy(*key, F.col("term_id").alias("english")).agg(
         F.max("similarity").alias("similarity")
     )
     return _best(scored, key, "english", top)

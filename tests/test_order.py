@@ -240,6 +240,18 @@ def test_topk_opens_few_clusters(spark, monkeypatch):
 
 
 
+def test_phrases_are_not_broadcast(spark, tmp_path):
+    """Phrases out of texts that look small to Spark stay on the executors."""
+    rows = [(i, "low mood and poor sleep, severe stress") for i in range(50)]
+    spark.createDataFrame(rows, "k int, text string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    glossary = spark.createDataFrame([("low mood",), ("stress",), ("sleep",)], "english string")
+    for terms in (None, glossary):
+        got = G.phrase_terms(texts, ["k"], glossary=terms)
+        assert got.count() > 50
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_augmentation_plan(spark):
     clips = spark.createDataFrame([(i, f"c{i}.wav", "train" if i < 8 else "val") for i in range(10)], "id int, file_name string, split string")
     plan = P.augmentation_plan(clips, "id").collect()
