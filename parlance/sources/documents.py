@@ -83,8 +83,9 @@ def scan_sessions(
     )
 
 
-# Bytes of archives a task is to read.
+# Bytes of archives a task is to read, and bytes and number of members handed on at once.
 READ_BYTES = 64 << 20
+HAND_BYTES, HAND_MEMBERS = 4 << 20, 1000
 MEMBER = (
     "archive string, member string, method int, offset bigint, packed bigint, size bigint, crc bigint"
 )
@@ -148,6 +149,23 @@ def _inflate(f, member) -> bytes:
     return data
 
 
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of listed members: small ones are handed on together, large ones alone."""
+    for pdf in batches:
+        for archive, members in pdf.groupby("archive", sort=False):
+            system, inside = file_system(archive)
+            names, texts, held = [], [], 0
+            with system.open_input_file(inside) as f:
+                for m in members.sort_values("offset").itertuples(index=False):
+                    if names and (held + m.size > HAND_BYTES or len(names) == HAND_MEMBERS):
+                        yield pd.DataFrame({"archive": archive, "file_name": names, "content": texts})
+                        names, texts, held = [], [], 0
+                    names.append(m.member.rsplit("/", 1)[-1])
+                    texts.append(_inflate(f, m).decode("utf-8"))
+                    held += m.size
+            yield pd.DataFrame({"archive": archive, "file_name": names, "content": texts})
+
+
 def scan_zip_members(
     spark: SparkSession, path: str, suffixes: tuple[str, ...] = KEEP_SUFFIXES
 ) -> DataFrame:
@@ -155,26 +173,15 @@ def scan_zip_members(
 
     The archives' directories are read first. Their members are then dealt out one by one,
     so those of one large archive are read in many tasks, each its own bytes alone, and no
-    row holds more than a member. ``path`` may lie in any file system Arrow can open. A
-    damaged member ends the job.
+    row holds more than a member. Small members are handed on together, large ones alone.
+    ``path`` may lie in any file system Arrow can open. A damaged member ends the job.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for archive, members in pdf.groupby("archive", sort=False):
-                system, inside = file_system(archive)
-                with system.open_input_file(inside) as f:
-                    for m in members.itertuples(index=False):
-                        yield pd.DataFrame({
-                            "archive": [archive], "file_name": [m.member.rsplit("/", 1)[-1]],
-                            "content": [_inflate(f, m).decode("utf-8")],
-                        })
-
     # What is dealt are short rows that stand for long reads, so their number is no guide.
     size = _archives(spark, path).agg(F.sum("length")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
     dealt = zip_members(spark, path, suffixes).repartition(tasks, "archive", "offset")
-    return dealt.mapInPandas(read, "archive string, file_name string, content string")
+    return dealt.mapInPandas(_contents, "archive string, file_name string, content string")
 
 
 def scan_clips(spark: SparkSession, path: str) -> DataFrame:

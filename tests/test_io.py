@@ -141,6 +141,23 @@ def test_members_of_one_archive_are_dealt_out(spark, tmp_path):
         D.scan_zip_members(spark, str(tmp_path / "bad")).collect()
 
 
+def test_members_are_handed_on_together(spark, tmp_path, monkeypatch):
+    """Bounded frames of many members, not one frame each; a large member goes alone."""
+    body = lambda i: "x" * (5000 if i == 50 else 10)
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for i in range(100):
+                z.writestr(f"{name}/{i}_TRANSCRIPT.csv", body(i))
+    listed = D.zip_members(spark, str(tmp_path)).toPandas()
+    monkeypatch.setattr(D, "HAND_BYTES", 400)
+    monkeypatch.setattr(D, "HAND_MEMBERS", 30)
+    frames = list(D._contents(iter([listed])))
+    assert len(frames) == 2 * 5 and max(map(len, frames)) == 30
+    assert all(len(f) == 1 or f["content"].str.len().sum() <= 400 for f in frames)
+    got = sorted((a[-5:], n, t) for f in frames for a, n, t in f.itertuples(index=False))
+    assert got == sorted((f"{k}.zip", f"{i}_TRANSCRIPT.csv", body(i)) for k in "ab" for i in range(100))
+
+
 def test_turn_files_and_their_manifest(spark, tmp_path):
     rows = [(s, lang, style, t, float(t), t + 0.5, "Doctor", "d", f"e{t}\t\"q\"", f"two\nlines {s}")
             for s in range(300) for lang in ("marathi",) for style in ("formal", "mixed") for t in range(3)]
