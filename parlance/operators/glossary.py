@@ -67,8 +67,10 @@ PHRASE_WORDS, PHRASE_MIN_CHARS, PHRASE_HITS, TEXT_TERMS = 3, 3, 2, 10
 CLUSTER_TERMS, CLUSTERS = 1024, 512
 # How far a bound on a similarity may be off: angles near zero have half the digits of cosines.
 SLACK = 1e-7
-# Terms in a block, queries in a group, and similarities held at once.
+# Terms in a block, blocks of that size before blocks grow and terms in a grown one, queries in
+# a group, and similarities held at once.
 BLOCK_TERMS = 4096
+FEW_BLOCKS, MOST_TERMS = 8, 32_768
 GROUP_QUERIES = 20_000
 TILE = 1 << 21
 # Texts the model is given at once.
@@ -183,11 +185,24 @@ def cluster_terms(terms: DataFrame) -> tuple[DataFrame, Clusters] | None:
 
 def opened_first(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
     """Queries with the clusters they start with."""
-    return _opened(queries, lambda pdf, bounds: clusters.first(bounds, k), clusters)
+    return _each(_first(queries, clusters, k))
 
 
 def opened_next(queries: DataFrame, found: DataFrame, clusters: Clusters, k: int) -> DataFrame:
     """Queries with the further clusters whose bound the ``k``-th best found does not beat."""
+    return _each(_next(queries, found, clusters, k))
+
+
+def _each(listed: DataFrame) -> DataFrame:
+    """One row per query and cluster it opens."""
+    return listed.select("query_id", "vector", F.explode("opened").alias("cluster"))
+
+
+def _first(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    return _opened(queries, lambda pdf, bounds: clusters.first(bounds, k), clusters)
+
+
+def _next(queries: DataFrame, found: DataFrame, clusters: Clusters, k: int) -> DataFrame:
     worst = found.groupBy("query_id").agg(F.min("similarity").alias("worst"), F.count("*").alias("n"))
     known = queries.join(worst, "query_id", "left").select(
         "query_id", "vector", F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst")
@@ -203,7 +218,7 @@ def opened_next(queries: DataFrame, found: DataFrame, clusters: Clusters, k: int
 def _opened(
     queries: DataFrame, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray], clusters: Clusters
 ) -> DataFrame:
-    """One row per query and cluster it opens."""
+    """Queries with the list of clusters they open."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,18 +228,51 @@ def _opened(
 
     kind = queries.schema["query_id"].dataType.simpleString()
     rows = queries.withColumn("vector", F.col("vector").cast("array<double>"))
-    listed = rows.mapInPandas(run, f"query_id {kind}, vector array<double>, opened array<int>")
-    return listed.select("query_id", "vector", F.explode("opened").alias("cluster"))
+    return rows.mapInPandas(run, f"query_id {kind}, vector array<double>, opened array<int>")
+
+
+def _nearest_opened(
+    opened: pd.Series, vectors: np.ndarray, cluster: np.ndarray, matrix: np.ndarray, k: int
+) -> tuple[np.ndarray, ...]:
+    """As ``_nearest``, among the terms of the clusters that a query opens."""
+    count = opened.map(len).to_numpy()
+    query, wanted = np.repeat(np.arange(len(opened)), count), np.concatenate(opened.to_list())
+    rows, columns, values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for c in np.unique(cluster):
+        mine, members = query[wanted == c], np.flatnonzero(cluster == c)
+        if not len(mine):
+            continue
+        at, term, found = _nearest(vectors[mine], matrix[members], k)
+        rows, columns = np.append(rows, mine[at]), np.append(columns, members[term])
+        values = np.append(values, found)
+        if len(rows) > 2 * k * len(vectors):
+            rows, columns, values = _leading(rows, columns, values, k)
+    return _leading(rows, columns, values, k)
+
+
+def _leading(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best per row."""
+    order = np.lexsort((columns, -values, rows))
+    rows, columns, values = rows[order], columns[order], values[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], columns[kept], values[kept]
 
 
 def _compare(asked: DataFrame, offered: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The ``k`` nearest terms a group of queries has in each block it meets."""
+    """The ``k`` nearest terms a group of queries has in each block it meets.
+
+    Where queries list the clusters they open, each is compared with the terms of those alone.
+    """
 
     def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return pd.DataFrame(columns=["query_id", "term_id", "similarity"])
         t = t.sort_values("term_id")
-        rows, columns, values = _nearest(_stack(q["vector"]), _stack(t["vector"]), k)
+        asked, offered = _stack(q["vector"]), _stack(t["vector"])
+        if "opened" not in q:
+            rows, columns, values = _nearest(asked, offered, k)
+        else:
+            rows, columns, values = _nearest_opened(q["opened"], asked, t["cluster"].to_numpy(), offered, k)
         return pd.DataFrame({
             "query_id": q["query_id"].to_numpy()[rows], "term_id": t["term_id"].to_numpy()[columns],
             "similarity": values,
@@ -243,19 +291,52 @@ def _groups_of(df: DataFrame, size: int) -> Column:
     return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("long").alias("n")).scalar()
 
 
+def _shares(clusters: Clusters) -> tuple[list[int], list[int]]:
+    """Block at which a cluster begins, and number of blocks it has to itself; 0 where it shares one.
+
+    A query is sent once to a block, so neighbouring clusters share blocks. Up to ``FEW_BLOCKS``
+    blocks are of ``BLOCK_TERMS`` terms, more terms make larger ones of ``MOST_TERMS`` at most.
+    """
+    grown = -(-int(clusters.size.sum()) // FEW_BLOCKS)
+    limit = max(BLOCK_TERMS, min(MOST_TERMS, grown))
+    start, own, block, held = [], [], 0, 0
+    for n in clusters.size.tolist():
+        if held and held + n > limit:
+            block, held = block + 1, 0
+        start.append(block)
+        own.append(-(-n // limit) if n > limit else 0)
+        held += n
+        if own[-1]:
+            block, held = block + own[-1], 0
+    return start, own
+
+
 def _in_opened(asked: DataFrame, placed: DataFrame, queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
-    """Nearest terms among those of opened clusters; large clusters come in blocks."""
-    blocks = F.get(F.lit([int(-(-n // BLOCK_TERMS)) or 1 for n in clusters.size]), F.col("cluster"))
+    """Nearest terms among those of opened clusters; a query goes once to each block that holds some.
+
+    ``asked`` has one row per query and ``cluster``, or the clusters of a query as ``opened``.
+    """
+    if "opened" not in asked.columns:
+        asked = asked.withColumn("opened", F.array("cluster"))
+    start, own = (F.lit(x) for x in _shares(clusters))
+
+    def blocks_of(c: Column) -> Column:
+        return F.sequence(F.get(start, c), F.get(start, c) + F.greatest(F.get(own, c) - 1, F.lit(0)))
+
     salt = F.pmod(F.xxhash64("query_id"), _groups_of(queries, GROUP_QUERIES)).alias("salt")
-    asked = asked.select(
-        "query_id", "vector", "cluster", salt, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    placing = F.transform("opened", lambda c: F.struct(c.alias("cluster"), blocks_of(c).alias("blocks")))
+    asked = asked.select("query_id", "vector", salt, placing.alias("_p")).select(
+        "query_id", "vector", "salt", "_p", F.explode(F.array_distinct(F.flatten("_p.blocks"))).alias("block")
     )
+    mine = F.filter("_p", lambda p: F.array_contains(p["blocks"], F.col("block")))
+    asked = asked.select("query_id", "vector", "salt", "block", F.transform(mine, lambda p: p["cluster"]).alias("opened"))
     # Only blocks that some group of queries opens go out, once for each such group.
-    wanted = asked.select(*[F.col(c).alias(f"_{c}") for c in ("cluster", "block", "salt")]).distinct()
-    offered = placed.withColumn("block", F.pmod(F.xxhash64("term_id"), blocks).cast("int")).join(
-        wanted, (F.col("cluster") == F.col("_cluster")) & (F.col("block") == F.col("_block"))
+    wanted = asked.select(F.col("block").alias("_block"), F.col("salt").alias("_salt")).distinct()
+    part = F.pmod(F.xxhash64("term_id"), F.greatest(F.get(own, F.col("cluster")), F.lit(1))).cast("int")
+    offered = placed.withColumn("block", F.get(start, F.col("cluster")) + part).join(
+        wanted, F.col("block") == F.col("_block")
     ).select("term_id", "vector", "cluster", "block", F.col("_salt").alias("salt"))
-    return _compare(asked, offered, ["cluster", "block", "salt"], k)
+    return _compare(asked, offered, ["block", "salt"], k)
 
 
 def term_topk(queries: DataFrame, terms: DataFrame, k: int = 5, clustered: bool = True) -> DataFrame:
@@ -286,9 +367,9 @@ def term_topk(queries: DataFrame, terms: DataFrame, k: int = 5, clustered: bool
         offered = copies(terms, "term_id", "block", blocks, "salt", groups)
         return _best(_compare(asked, offered, ["block", "salt"], k), ["query_id"], "term_id", k)
     placed, clusters = cut
-    first = _in_opened(opened_first(queries, clusters, k), placed, queries, clusters, k)
+    first = _in_opened(_first(queries, clusters, k), placed, queries, clusters, k)
     first = _best(first, ["query_id"], "term_id", k)
-    further = _in_opened(opened_next(queries, first, clusters, k), placed, queries, clusters, k)
+    further = _in_opened(_next(queries, first, clusters, k), placed, queries, clusters, k)
     return _best(first.unionByName(further), ["query_id"], "term_id", k)
 
 

@@ -240,6 +240,27 @@ def test_topk_opens_few_clusters(spark, monkeypatch):
 
 
 
+def test_a_query_goes_once_to_a_block(spark, monkeypatch):
+    """Many small clusters share few blocks, a large one has its own; nothing is lost or sent twice."""
+    import numpy as np
+
+    monkeypatch.setattr(G, "CLUSTER_TERMS", 10)
+    monkeypatch.setattr(G, "BLOCK_TERMS", 60)
+    monkeypatch.setattr(G, "FEW_BLOCKS", 4)
+    monkeypatch.setattr(G, "MOST_TERMS", 100)
+    rng = np.random.default_rng(5)
+    terms = np.vstack([rng.normal(size=(300, 6)), np.repeat(np.eye(6)[:1], 250, axis=0)])
+    rows = lambda vs, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], f"{name} long, vector array<double>")
+    q, t = rows(rng.normal(size=(40, 6)), "query_id"), rows(terms, "term_id")
+    sent = []
+    compare = G._compare
+    monkeypatch.setattr(G, "_compare", lambda asked, offered, keys, k: (sent.append(asked), compare(asked, offered, keys, k))[1])
+    listed = lambda df: sorted((r.query_id, r.term_id, round(r.similarity, 9)) for r in df.collect())
+    got = listed(G.term_topk(q, t, 5))
+    assert [df.count() for df in sent][0] <= 40 * 2 and all(df.count() <= 40 * 12 for df in sent)
+    assert got == listed(G.term_topk(q, t, 5, clustered=False)) and len(got) == 200
+
+
 def test_phrases_are_not_broadcast(spark, tmp_path):
     """Phrases out of texts that look small to Spark stay on the executors."""
     rows = [(i, "low mood and poor sleep, severe stress") for i in range(50)]
