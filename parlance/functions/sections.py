@@ -301,10 +301,11 @@ def prepare_conversation(text: Column, max_chars: int = PROMPT_CHARS) -> Column:
 
     def tidy(line: Column) -> Column:
         at = F.instr(line, ":")
-        said = strip(F.substring(line, at + 1, F.length(line)))
+        # Squeezed lines hold no other blanks than plain ones.
+        said = F.trim(F.substring(line, at + 1, F.length(line)))
         return F.when(at == 0, line).when(
             F.length(said) >= 2,
-            F.concat(strip(F.substring(line, F.lit(1), at - 1)), F.lit(": "), said),
+            F.concat(F.trim(F.substring(line, F.lit(1), at - 1)), F.lit(": "), said),
         )
 
     lines = F.filter(F.transform(F.split(text, LINE_END), squeeze), lambda x: x != "")

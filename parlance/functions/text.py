@@ -18,6 +18,9 @@ BLANK_RANGES = [
 ]
 BLANKS = "".join(chr(c) for a, b in BLANK_RANGES for c in range(a, b + 1))
 WS = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in BLANK_RANGES) + "]"
+# Blanks that are more than one plain one, in Java's own terms: it tests one property, not ten ranges.
+ANY_BLANK = r"\s\x1C-\x1F"
+ODD_BLANKS = f"(?U) [{ANY_BLANK}]+|[{ANY_BLANK}&&[^ ]][{ANY_BLANK}]*"
 LINE_END = r"\r\n|[\n\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Question cues, brief-reply openers and length of a brief reply.
@@ -59,7 +62,7 @@ def word_count(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, ODD_BLANKS, " "))
 
 
 def normalise(c: Column) -> Column:

@@ -242,3 +242,19 @@ def test_fillers_depend_on_key_only(one):
     assert said in got and len(got) > 1
     assert one(rules.add_dialect_filler(T, F.lit("Doctor"), "mumbai", F.col("k")), t=said, k="1") == said
     assert all(said in g for g in got)
+
+
+def test_squeezed_blanks_of_unicode(spark, one):
+    """Runs of any blanks, ends included, as the spelt-out class has them; the class itself is not run."""
+    blanks = text.BLANKS
+    kinds = ["a" + b + "b" for b in blanks] + [b + "a" + b + " b" + b for b in blanks]
+    kinds += ["a  b", " a b ", "a \u3000b\u3000 c", "", " ", blanks, "a\u200bb", "a\ufeff b", None]
+    for value in kinds:
+        want = None if value is None else " ".join("".join(" " if c in blanks else c for c in value).split(" ")).strip(" ")
+        while want and "  " in want:
+            want = want.replace("  ", " ")
+        assert one(text.squeeze(T), t=value) == want, value
+    said = f"A{blanks[0]}:{blanks[-1]}hi there\nB:x\nB : x\n : long\nC:\xa0\x1fok"
+    assert one(sections.prepare_conversation(T), t=said) == "A: hi there\n: long\nC: ok"
+    plan = spark.createDataFrame([("a",)], "t string").select(sections.prepare_conversation(T))
+    assert text.WS not in plan._jdf.queryExecution().optimizedPlan().toString()
