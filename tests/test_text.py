@@ -258,3 +258,16 @@ def test_squeezed_blanks_of_unicode(spark, one):
     assert one(sections.prepare_conversation(T), t=said) == "A: hi there\n: long\nC: ok"
     plan = spark.createDataFrame([("a",)], "t string").select(sections.prepare_conversation(T))
     assert text.WS not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_low_info_runs_are_not_stepped_through(spark, one):
+    other = " ".join(f"w{i}" for i in range(20))
+    cases = {
+        f"{other} uh uh uh uh uh uh uh": True, f"uh uh uh uh uh uh uh {other}": True, f"a {'uh, ' * 7} {other}": True,
+        f"{other} uh uh uh uh uh uh": False, f"{other} uh uh uh uh uh uh uhm": False, f"xuh {'uh ' * 6} {other}": False,
+        f"{other} UH uh Uh uh uh uh uH b": True, f"{'ab ' * 6} abab {other}": False, "uh " * 7: False, "uh " * 8: True,
+    }
+    for value, want in cases.items():
+        assert one(text.is_low_info(T), t=value) is want, value
+    plan = spark.createDataFrame([("a",)], "t string").select(text.is_low_info(T))
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
