@@ -231,11 +231,11 @@ def word_terms(text: Column, terms: Column) -> Column:
     ``terms`` is an array of structs with ``term`` and ``wording``. A term is looked for in
     the lower-cased text and replaced in any letter case, also in earlier wordings.
     """
-    # A term and a wording are texts, not patterns.
+    # A term and a wording are texts, not patterns. The borders are looked for where the term
+    # stands: a pattern that begins with one asks for it at each character.
     def whole(t: Column) -> Column:
-        return F.concat(
-            F.lit(r"(?U)\b\Q"), F.replace(t["term"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")
-        )
+        term = F.concat(F.lit(r"\Q"), F.replace(t["term"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        return F.concat(F.lit("(?U)"), term, F.lit(r"\b(?<=\b"), term, F.lit(")"))
 
     def plain(t: Column) -> Column:
         return F.replace(F.replace(t["wording"], F.lit("\\"), F.lit(r"\\")), F.lit("$"), F.lit(r"\$"))

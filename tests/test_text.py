@@ -271,3 +271,15 @@ def test_low_info_runs_are_not_stepped_through(spark, one):
         assert one(text.is_low_info(T), t=value) is want, value
     plan = spark.createDataFrame([("a",)], "t string").select(text.is_low_info(T))
     assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_terms_look_for_the_term_before_its_borders(spark):
+    """Borders, cases, terms with marks, earlier wordings; no pattern that begins with a border."""
+    terms = F.expr("array(struct('a.b' AS term, 'x$1' AS wording), struct('caf\u00e9' AS term, 'tea\\\\' AS wording), struct('x' AS term, 'y' AS wording), struct('-c' AS term, 'd' AS wording), struct('\U0001F600a' AS term, 'z' AS wording))")
+    cases = {
+        "A.B a.bc za.b a.b": "x$1 a.bc za.b x$1", "Caf\u00e9 caf\u00e9s CAF\u00c9": "tea\\ caf\u00e9s tea\\", "X xx _x x": "y xx _x y",
+        "b-c -c b-C -cd": "bd -c bd -cd", "k\U0001F600a \U0001F600a": "kz \U0001F600a", "": "", "axb a-b": "axb a-b",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", rules.word_terms(T, terms).alias("o"))
+    assert {r.t: r.o for r in df.collect()} == cases
+    assert r"(?U)\b" not in df._jdf.queryExecution().analyzed().toString()
