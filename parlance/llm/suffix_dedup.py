@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +96,15 @@ def _packed(values: np.ndarray, dtype) -> bytes:
     return values.astype(dtype).tobytes()
 
 
+def _squeezed(texts: list[bytes]) -> bytes:
+    """Texts in a row as they travel: Spark's own packing of shuffles leaves half as much again."""
+    return pa.Codec("zstd", compression_level=3).compress(b"".join(texts), asbytes=True)
+
+
+def _unsqueezed(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _spots(read: DataFrame, size: int, length: int, anchor: int) -> DataFrame:
     """Places of repeated anchors per row."""
 
@@ -196,7 +206,7 @@ def _share(parts: list, buckets: int) -> tuple[np.ndarray, pd.DataFrame]:
         rows.append((
             int(bucket[own[0]]), _packed(keys[at[own]], np.uint64), _packed(refs[own], np.int64),
             _packed(places[at[own]], np.int32), _packed(widths[at[own]], np.int32),
-            b"".join(content[i] for i in at[own]),
+            _squeezed([content[i] for i in at[own]]),
         ))
     names = ["bucket", "keys", "refs", "places", "widths", "content"]
     return kept.astype(np.int64), pd.DataFrame(rows, columns=names)
@@ -219,7 +229,8 @@ def _meet(packed: pd.DataFrame, length: int) -> np.ndarray:
     refs = np.frombuffer(b"".join(packed["refs"]), np.int64)
     places = np.frombuffer(b"".join(packed["places"]), np.int32).astype(np.int64)
     widths = np.frombuffer(b"".join(packed["widths"]), np.int32).astype(np.int64)
-    flat = b"".join(packed["content"])
+    sizes = (int(np.frombuffer(w, np.int32).sum(dtype=np.int64)) for w in packed["widths"])
+    flat = b"".join(map(_unsqueezed, packed["content"], sizes))
     ends = np.cumsum(widths)
     texts: dict[bytes, int] = {}
     piece = np.empty(len(keys), np.int64)
@@ -294,15 +305,22 @@ def repeated_spans(
 
     Spans of one row may touch or overlap.
     """
-    return _spans(numbered(docs.select(text)), text, length, anchor)
+    rows = numbered(docs.select(text))
+    return _spans(_bodies(rows, text), text_bytes(rows, text), length, anchor)
 
 
-def _spans(rows: DataFrame, text: str, length: int, anchor: int) -> DataFrame:
-    """``repeated_spans`` of ``numbered`` rows."""
+def _bodies(rows: DataFrame, text: str, *more: Column) -> DataFrame:
+    """Number and UTF-8 bytes of ``numbered`` rows, and ``more`` of them."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    read = rows.select(ROW, body.alias("body"))
-    size = text_bytes(rows, text)
-    spots = settle(_spots(read, size, length, anchor), "spots")
+    # An inner join would ask for numbers that are not null, and its shuffle be another one.
+    return rows.where(F.col(ROW).isNotNull()).select(ROW, *more, body.alias("body"))
+
+
+def _spans(read: DataFrame, size: int, length: int, anchor: int) -> DataFrame:
+    """``repeated_spans`` of ``_bodies`` of ``size`` bytes. All columns of ``read`` go through
+    its one join, so another join of the same ``read`` by row takes the same shuffle."""
+    body = read.select(ROW, "body")
+    spots = settle(_spots(body, size, length, anchor), "spots")
     free_shuffles(read.sparkSession)
     buckets = parts_for(read, size)
 
@@ -339,10 +357,9 @@ def drop_repeats(
     Other columns are ignored, an empty table gives an empty table.
     """
     rows = numbered(docs.select(*dict.fromkeys([id_col, text])))
-    spans = settle(_spans(rows, text, length, anchor), "spans")
-    free_shuffles(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    read = rows.select(ROW, F.col(id_col).alias("id"), body.alias("body"))
+    read = _bodies(rows, text, F.col(id_col).alias("id"))
+    # Not settled: in one job with the join below, the texts are shuffled once for both.
+    spans = _spans(read, text_bytes(rows, text), length, anchor)
     fields = [read.schema["id"]]
     fields += [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     fields.append(T.StructField("kept_sha256", T.StringType()))

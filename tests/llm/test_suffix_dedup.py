@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import string
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -94,6 +96,51 @@ def test_small_shards(spark, monkeypatch):
     assert packed == brute(texts, 40)
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Shuffle files of the whole run, had Spark removed none of them meanwhile."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [str(d) for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        found = (f for d in folders for f in Path(d).rglob("shuffle_*.data"))
+        return {f: f.stat().st_size for f in found}
+
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+    texts = [word(1500) for _ in range(2000)]
+    texts[7] = texts[7][:700] + texts[1900][900:]
+    monkeypatch.setattr(suffix_dedup, "free_shuffles", lambda spark: None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = files()
+    try:
+        got = suffix_dedup.drop_repeats(df, with_text=False)
+        rows = {r.doc_id: r.n_removed for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written = sum(size for f, size in files().items() if f not in before)
+    assert {k: v for k, v in rows.items() if v} == {7: 600, 1900: 600}
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    assert written < 1.6 * sum(map(len, texts))
+
+
+def test_pieces_travel_squeezed():
+    rng = random.Random(7)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(60)]
+    said = [" ".join(rng.choices(words, k=40)).encode() for _ in range(200)]
+    content = [s + b"-" + said[0][:200] for s in said[1:]] + [said[5]]
+    n = np.arange(len(content))
+    widths = np.array([len(c) for c in content])
+    kept, sent = suffix_dedup._share([(np.full(len(n), 3, np.uint64), n, n * 0, widths, content)], 1)
+    assert len(kept) == 0 and sent["content"].str.len().sum() < 0.5 * widths.sum()
+    met = suffix_dedup._meet(sent, 200)
+    got = np.zeros(len(n), int)
+    for ref, x, y in met:
+        got[ref] += y - x
+    want = brute([c.decode() for c in content], 200)
+    assert got.tolist() == [w[1] for w in want]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     want = brute([r.text for r in docs], 200)
