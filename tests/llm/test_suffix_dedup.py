@@ -3,11 +3,14 @@
 import hashlib
 import random
 import string
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from parlance import session
 from parlance.llm import bwt, queries, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -96,15 +99,27 @@ def test_small_shards(spark, monkeypatch):
     assert packed == brute(texts, 40)
 
 
-def test_texts_are_shuffled_once(spark, monkeypatch):
-    """Shuffle files of the whole run, had Spark removed none of them meanwhile."""
+def shuffle_files(spark):
+    """Sizes of the shuffle files that are there."""
     env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
-    folders = [str(d) for d in env.blockManager().diskBlockManager().localDirs()]
+    folders = [Path(str(d)) for d in env.blockManager().diskBlockManager().localDirs()]
+    return {f: f.stat().st_size for d in folders for f in d.rglob("shuffle_*.data")}
+
 
-    def files():
-        found = (f for d in folders for f in Path(d).rglob("shuffle_*.data"))
-        return {f: f.stat().st_size for f in found}
+def test_shuffles_of_settled_tables_go(spark):
+    before = shuffle_files(spark)
+    session.settle(spark.range(20000).groupBy(F.col("id") % 999).count(), "counted")
+    new = shuffle_files(spark).keys() - before.keys()
+    assert new
+    session.free_shuffles(spark)
+    until = time.time() + 5
+    while time.time() < until and any(f.exists() for f in new):
+        time.sleep(0.1)
+    assert not any(f.exists() for f in new)
 
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Shuffle files of the whole run, had Spark removed none of them meanwhile."""
     rng = random.Random(6)
     word = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
     texts = [word(1500) for _ in range(2000)]
@@ -112,13 +127,13 @@ def test_texts_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "free_shuffles", lambda spark: None)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    before = files()
+    before = shuffle_files(spark)
     try:
         got = suffix_dedup.drop_repeats(df, with_text=False)
         rows = {r.doc_id: r.n_removed for r in got.collect()}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    written = sum(size for f, size in files().items() if f not in before)
+    written = sum(size for f, size in shuffle_files(spark).items() if f not in before)
     assert {k: v for k, v in rows.items() if v} == {7: 600, 1900: 600}
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
     assert written < 1.6 * sum(map(len, texts))
